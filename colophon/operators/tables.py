@@ -27,7 +27,7 @@ def detect_header(cells: DataFrame) -> DataFrame:
     usable = F.length(text).between(1, MAX_HEADER_CHARS) & ~F.rlike(text, F.lit(r"^\p{Nd}+$"))
     per_row = (
         cells.filter((F.col("row") < HEADER_SCAN_ROWS) & usable)
-        .groupBy(*SHEET, "row").agg(F.count_distinct("col").alias("n"))
+        .groupBy(*SHEET, "row").agg(F.size(F.collect_set("col")).alias("n"))  # at most 512 columns
     )
     best = F.max(F.struct("n", (-F.col("row")).alias("up"))).alias("best")
     return (
@@ -37,7 +37,7 @@ def detect_header(cells: DataFrame) -> DataFrame:
 
 
 def table_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """SHEET, header_row, idx, col, name: columns between the outer header cells that have a label or data."""
+    """SHEET, header_row, idx, col, name, labels: columns between the outer header cells that have a label or data."""
     below = cells.join(headers.select(*SHEET, "header_row"), SHEET).filter(F.col("row") >= F.col("header_row"))
     seen = below.groupBy(*SHEET, "header_row", "col").agg(
         F.max(F.when(F.col("row") == F.col("header_row"), F.col("text"))).alias("label")
@@ -50,23 +50,24 @@ def table_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
         .select(
             *SHEET, "header_row",
             (F.row_number().over(sheet.orderBy("col")) - 1).alias("idx"),
-            "col", F.coalesce("label", F.lit("")).alias("name"),
+            "col", F.coalesce("label", F.lit("")).alias("name"), F.count("label").over(sheet).alias("labels"),
         )
     )
 
 
 def _table_rows(cells: DataFrame, columns: DataFrame, max_records: int):
     """Cells below the header in table columns, and one row per sheet row that has any."""
-    labels = columns.select(*SHEET, "header_row", "idx", "col", "name")
-    body = cells.join(labels, [*SHEET, "col"]).filter(
+    known = columns.select(*SHEET, "header_row", "idx", "col", "name", "labels")
+    body = cells.join(known, [*SHEET, "col"]).filter(
         (F.col("row") > F.col("header_row")) & (F.col("row") <= F.col("header_row") + max_records)
     )
-    named = columns.groupBy(*SHEET).agg(F.count_if(F.col("name") != "").alias("named"))
     rows = (
         body.groupBy(*SHEET, "row")
-        .agg(F.count("*").alias("filled"), F.count_if(F.col("text") == strip(F.col("name"))).alias("equal"))
-        .join(named, SHEET)
-        .select(*SHEET, "row", ((F.col("filled") == F.col("equal")) & (F.col("equal") == F.col("named"))).alias("repeat"))
+        .agg(
+            F.count("*").alias("filled"), F.count_if(F.col("text") == F.col("name")).alias("equal"),
+            F.max("labels").alias("labels"),
+        )
+        .select(*SHEET, "row", ((F.col("filled") == F.col("equal")) & (F.col("equal") == F.col("labels"))).alias("repeat"))
     )
     return body, rows
 

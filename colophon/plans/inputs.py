@@ -6,17 +6,22 @@ Spark, and its check builds the same inputs elsewhere. Every feed covers its sou
 
 from __future__ import annotations
 
+import hashlib
+import os
 import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colophon.session import checkpoint_dir
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
 ]
 
 FEEDS: dict[str, str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 def needed(sql: str) -> list[str]:
@@ -35,6 +40,19 @@ class Inputs:
     def feed(self, name: str) -> DataFrame:
         return self.sql(FEEDS[name])
 
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A stage many queries start from, written once per application and data directory to the shared folder."""
+        source = hashlib.sha256(os.path.abspath(self.sf_dir).encode()).hexdigest()[:12]
+        key = (self.spark.sparkContext.applicationId, source, name)
+        if key not in _STORED:
+            path = f"{checkpoint_dir(self.spark)}/{key[0]}/stages/{source}/{name}"
+            build().write.mode("overwrite").parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
+    def stored(self, name: str) -> DataFrame:
+        return self.keep(name, lambda: self.feed(name))
+
     def sql(self, text: str) -> DataFrame:
         """Run a text whose ``{name}`` placeholders are tables or feeds."""
         args = {n: self.table(n) if n in TABLES else self.feed(n) for n in needed(text)}

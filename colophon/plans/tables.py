@@ -69,7 +69,7 @@ class Grid:
     """Cells, header, columns and table of the derived workbook."""
 
     def __init__(self, inputs: Inputs):
-        self.cells = clean_cells(inputs.feed("cells"))
+        self.cells = clean_cells(inputs.stored("cells"))
         self.headers = tables.detect_header(self.cells)
         self.columns = tables.table_columns(self.cells, self.headers)
         self.styles = inputs.feed("styles")
@@ -82,7 +82,7 @@ def grid_query(name: str, sql: str):
 
 @grid_query("read_cells", "SELECT * FROM clean")
 def _(i):
-    return clean_cells(i.feed("cells"))
+    return clean_cells(i.stored("cells"))
 
 
 @grid_query("detect_header", "SELECT sheet_key, sheet, header_row, header_cells FROM header_rows")
@@ -120,3 +120,274 @@ FROM data_rows d JOIN extent e USING (workbook, sheet_key, sheet) WHERE d.row >
 def _(i):
     g = Grid(i)
     return tables.table_truncation(g.cells, g.columns).select("sheet_key", "blank_row", "skipped_rows", "first_skipped_row")
+
+
+class Workbook:
+    """The same stages, kept as tables: what mapping, facets, analytics and health start from."""
+
+    def __init__(self, inputs: Inputs):
+        self.cells = inputs.keep("clean_cells", lambda: clean_cells(inputs.stored("cells")))
+        self.headers = tables.detect_header(self.cells)
+        self.columns = inputs.keep("columns", lambda: tables.table_columns(self.cells, self.headers))
+        self.table = inputs.keep("table", lambda: tables.table_cells(self.cells, self.columns, inputs.feed("styles")))
+        self.inputs = inputs
+
+    def profile(self):
+        return mapping.effective_profile(
+            self.columns, edits=self.inputs.feed("sheet_edits"), own=self.inputs.feed("sheet_profiles")
+        )
+
+    def mapping(self):
+        return self.inputs.keep("mapping", lambda: mapping.resolve_mapping(self.columns, self.profile()))
+
+    def entries(self):
+        return self.inputs.keep("bare_entries", lambda: mapping.build_entries(self.table, self.mapping()))
+
+
+FEEDS["sheet_edits"] = """
+SELECT 'book' AS workbook, s.sheet_key, f.field, f.header
+FROM (SELECT DISTINCT 'name:Suppliers ' || cast(cast(floor(s_suppkey / 50) AS bigint) AS string) AS sheet_key FROM {supplier}) s
+CROSS JOIN (SELECT 'title' AS field, ' Title ' AS header UNION ALL SELECT 'circle', 'CIRCLE' UNION ALL SELECT 'price', 'Price' UNION ALL SELECT 'artist', 'Author' UNION ALL SELECT 'url', ' ') f
+"""
+FEEDS["sheet_profiles"] = """
+SELECT 'book' AS workbook, s.sheet_key, f.field, f.header
+FROM (SELECT DISTINCT 'xl/customers' || cast(2 * cast(floor(c_custkey / 1000) AS bigint) AS string) || '.xml' AS sheet_key FROM {customer}) s
+CROSS JOIN (SELECT 'title' AS field, 'Customer' AS header UNION ALL SELECT 'circle', 'Segment' UNION ALL SELECT 'tags', 'segment' UNION ALL SELECT 'price', 'Balance') f
+"""
+FEEDS["shared_profile"] = """
+SELECT 'book' AS workbook, f.field, f.header
+FROM (SELECT 'title' AS field, 'タイトル' AS header UNION ALL SELECT 'price', 'price' UNION ALL SELECT 'identifier', 'Product  ID') f
+WHERE EXISTS (SELECT 1 FROM {region})
+"""
+
+
+def _detected_sql() -> str:
+    names = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    parts = []
+    for field, (_, aliases) in mapping.FIELDS.items():
+        lead = mapping.LEADING.get(field)
+        first = f"WHEN regexp_matches(lower(name), '{'|'.join(lead)}') THEN 0 " if lead else ""
+        parts.append(
+            f"SELECT workbook, sheet_key, sheet, '{field}' AS field, name, col, CASE {first}"
+            f"WHEN lower({strip_sql('name')}) IN ({names(aliases)}) THEN 1 "
+            f"WHEN regexp_matches(lower({strip_sql('name')}), '{'|'.join(aliases)}') THEN 2 END AS rule FROM cols"
+        )
+    return " UNION ALL ".join(parts)
+
+
+NORM = "regexp_replace(lower({}), '\\s+', ' ', 'g')"
+FIELD_ROWS = " UNION ALL ".join(f"SELECT '{f}' AS field" for f in mapping.FIELD_NAMES)
+MAPPING = GRID + f"""
+, detected AS (
+  SELECT workbook, sheet_key, sheet, field, name AS header FROM (
+    SELECT *, row_number() OVER (PARTITION BY workbook, sheet_key, sheet, field ORDER BY rule, col) AS rn
+    FROM ({_detected_sql()}) WHERE rule IS NOT NULL) WHERE rn = 1
+), sheet_list AS (SELECT DISTINCT workbook, sheet_key, sheet FROM cols
+), candidates AS (
+  SELECT l.workbook, l.sheet_key, l.sheet, e.field, e.header, 1 AS rank, 'EDIT' AS origin FROM sheet_list l JOIN sheet_edits e USING (workbook, sheet_key) WHERE trim(e.header) <> ''
+  UNION ALL SELECT l.workbook, l.sheet_key, l.sheet, e.field, e.header, 2, 'PROFILE_SHEET' FROM sheet_list l JOIN sheet_profiles e USING (workbook, sheet_key)
+  UNION ALL SELECT workbook, sheet_key, sheet, field, header, 4, 'DETECTED' FROM detected
+), profile AS (
+  SELECT * EXCLUDE (best) FROM (SELECT *, min(rank) OVER (PARTITION BY workbook, sheet_key, sheet) AS best FROM candidates) WHERE rank = best
+), known AS (
+  SELECT workbook, sheet_key, sheet, {NORM.format(strip_sql('name'))} AS norm, count(*) AS matches, min(col) AS only_col, min(name) AS only_name FROM cols GROUP BY ALL
+), resolved AS (
+  SELECT p.workbook, p.sheet_key, p.sheet, p.field, CASE WHEN k.matches = 1 THEN k.only_name ELSE p.header END AS header,
+    CASE WHEN k.matches IS NULL THEN 'HEADER_MISSING' WHEN k.matches = 1 THEN 'RESOLVED' ELSE 'HEADER_AMBIGUOUS' END AS outcome,
+    CASE WHEN k.matches = 1 THEN k.only_col END AS col, coalesce(k.matches, 0) AS matches
+  FROM profile p LEFT JOIN known k ON k.workbook = p.workbook AND k.sheet_key = p.sheet_key AND k.sheet = p.sheet AND k.norm = {NORM.format(strip_sql('p.header'))}
+), issues AS (
+  SELECT workbook, sheet_key, sheet, outcome AS kind, field, header FROM resolved WHERE outcome <> 'RESOLVED'
+  UNION ALL SELECT workbook, sheet_key, sheet, 'SHARED_HEADER', field, header FROM (
+    SELECT *, count(*) OVER (PARTITION BY workbook, sheet_key, sheet, col) AS users FROM resolved WHERE outcome = 'RESOLVED') WHERE users > 1
+  UNION ALL SELECT l.workbook, l.sheet_key, l.sheet, 'REQUIRED_UNMAPPED', 'title', p.header FROM sheet_list l
+    LEFT JOIN profile p ON p.workbook = l.workbook AND p.sheet_key = l.sheet_key AND p.sheet = l.sheet AND p.field = 'title'
+    WHERE NOT EXISTS (SELECT 1 FROM resolved r WHERE r.workbook = l.workbook AND r.sheet_key = l.sheet_key AND r.field = 'title' AND r.outcome = 'RESOLVED')
+), entry_fields AS (
+  SELECT d.workbook, d.sheet_key, d.sheet, d.row, f.field,
+    CASE WHEN r.outcome = 'HEADER_AMBIGUOUS' THEN 'AMBIGUOUS' WHEN r.outcome IS NULL OR r.outcome <> 'RESOLVED' THEN 'UNMAPPED'
+      WHEN t.text IS NULL THEN 'MISSING' ELSE 'MAPPED' END AS state, CASE WHEN r.outcome = 'RESOLVED' THEN t.text END AS text
+  FROM (SELECT DISTINCT workbook, sheet_key, sheet, row FROM tcells) d CROSS JOIN ({FIELD_ROWS}) f
+  LEFT JOIN resolved r ON r.workbook = d.workbook AND r.sheet_key = d.sheet_key AND r.sheet = d.sheet AND r.field = f.field
+  LEFT JOIN tcells t ON t.workbook = d.workbook AND t.sheet_key = d.sheet_key AND t.sheet = d.sheet AND t.row = d.row AND t.col = r.col
+), entries AS (
+  SELECT workbook, sheet_key, sheet, row, sheet_key || '#' || row AS id,
+    {", ".join(f"max(state) FILTER (field = '{f}') AS {f}_state, max(text) FILTER (field = '{f}') AS {f}_text" for f in mapping.FIELD_NAMES)}
+  FROM entry_fields GROUP BY ALL
+)
+"""
+MAPPING_FEEDS = ["cells", "styles", "sheet_edits", "sheet_profiles"]
+
+
+def book_query(name: str, sql: str, more: list[str] | None = None):
+    return query(name, f"WITH {MAPPING}{sql}", [*MAPPING_FEEDS, *(more or [])])
+
+
+@book_query("detect_mapping", "SELECT sheet_key, field, header FROM detected")
+def _(i):
+    return mapping.detect_mapping(Workbook(i).columns).select("sheet_key", "field", "header")
+
+
+@book_query("effective_profile", "SELECT sheet_key, field, header, origin FROM profile")
+def _(i):
+    return Workbook(i).profile().select("sheet_key", "field", "header", "origin")
+
+
+@book_query("effective_profile_shared", """
+, shared_candidates AS (
+  SELECT l.sheet_key, e.field, e.header, 1 AS rank, 'EDIT' AS origin FROM sheet_list l JOIN sheet_edits e USING (workbook, sheet_key) WHERE trim(e.header) <> ''
+  UNION ALL SELECT l.sheet_key, e.field, e.header, 3, 'PROFILE' FROM sheet_list l JOIN shared_profile e USING (workbook)
+) SELECT sheet_key, field, header, origin FROM (SELECT *, min(rank) OVER (PARTITION BY sheet_key) AS best FROM shared_candidates) WHERE rank = best
+""", ["shared_profile"])
+def _(i):
+    book = Workbook(i)
+    profile = mapping.effective_profile(book.columns, edits=i.feed("sheet_edits"), shared=i.feed("shared_profile"))
+    return profile.select("sheet_key", "field", "header", "origin")
+
+
+@book_query("resolve_mapping", "SELECT sheet_key, field, header, outcome, col, matches FROM resolved")
+def _(i):
+    book = Workbook(i)
+    return mapping.resolve_mapping(book.columns, book.profile()).select(
+        "sheet_key", "field", "header", "outcome", "col", "matches"
+    )
+
+
+@book_query("mapping_issues", "SELECT sheet_key, kind, field, header FROM issues")
+def _(i):
+    book = Workbook(i)
+    return mapping.mapping_issues(book.columns, book.mapping(), book.profile()).select("sheet_key", "kind", "field", "header")
+
+
+ENTRY_COLUMNS = ", ".join(f"{f}_state, {f}_text" for f in mapping.FIELD_NAMES)
+
+
+@book_query("build_entries", f"SELECT id, row, {ENTRY_COLUMNS} FROM entries")
+def _(i):
+    book = Workbook(i)
+    flat = [F.col(f"{f}.{p}").alias(f"{f}_{p}") for f in mapping.FIELD_NAMES for p in ("state", "text")]
+    return mapping.build_entries(book.table, book.mapping()).select("id", "row", *flat)
+
+
+@book_query("mapping_diff", f"""
+, a AS (SELECT workbook, sheet_key, field, {NORM.format(strip_sql('header'))} AS header FROM detected),
+b AS (SELECT workbook, sheet_key, field, {NORM.format(strip_sql('header'))} AS header FROM profile)
+SELECT *, 'LEFT' AS side FROM (SELECT * FROM a WHERE header <> '' EXCEPT ALL SELECT * FROM b)
+UNION ALL SELECT *, 'RIGHT' FROM (SELECT * FROM b WHERE header <> '' EXCEPT ALL SELECT * FROM a)
+""")
+def _(i):
+    book = Workbook(i)
+    return mapping.mapping_diff(mapping.detect_mapping(book.columns), book.profile())
+
+
+@book_query("sheet_choices", """
+SELECT l.sheet_key, l.sheet, count(e.id) AS records FROM (SELECT DISTINCT workbook, sheet_key, sheet FROM clean UNION SELECT 'book', 'xl/empty.xml', 'Empty') l
+LEFT JOIN entries e USING (workbook, sheet_key) GROUP BY ALL
+""")
+def _(i):
+    book = Workbook(i)
+    empty = i.spark.sql("SELECT 'book' AS workbook, 'xl/empty.xml' AS sheet_key, 'Empty' AS sheet")
+    sheets = book.cells.select(*SHEET).distinct().unionByName(empty)
+    return mapping.sheet_choices(sheets, book.entries()).select("sheet_key", "sheet", "records")
+
+
+@book_query("scope", """
+SELECT id FROM entries WHERE sheet_key IN (SELECT DISTINCT sheet_key FROM cols WHERE lower(name) LIKE 'circle')
+""")
+def _(i):
+    book = Workbook(i)
+    chosen = book.columns.filter(F.lower("name") == "circle").select("workbook", "sheet_key")
+    wanted = mapping.reconcile_scope(chosen, book.columns.select(*SHEET))
+    return mapping.scope(book.entries(), wanted).select("id")
+
+
+@book_query("facet_fields", f"""
+, v AS (SELECT sheet_key, col, count(DISTINCT {strip_sql('shown')}) AS n FROM tcells WHERE {strip_sql('shown')} <> '' GROUP BY ALL),
+n AS (SELECT *, count(*) OVER (PARTITION BY sheet_key, lower(name)) AS same FROM cols)
+SELECT n.sheet_key, n.col, CASE WHEN n.name = '' THEN 'Column ' || chr(65 + n.col) WHEN n.same > 1 THEN n.name || ' (' || chr(65 + n.col) || ')' ELSE n.name END AS label, v.n AS "values"
+FROM n JOIN v USING (sheet_key, col) WHERE v.n >= 2
+""")
+def _(i):
+    book = Workbook(i)
+    return facets.facet_fields(book.table, book.columns).select("sheet_key", "col", "label", "values")
+
+
+@book_query("facet_values", """
+SELECT DISTINCT shown AS value FROM tcells WHERE sheet = 'Parts 0' AND col = 8 AND contains(lower(shown), 'shelf 1')
+""")
+def _(i):
+    return facets.facet_values(Workbook(i).table, "Parts 0", 8, " SHELF 1")
+
+
+FEEDS["facet_choice"] = """
+SELECT 'Parts ' || cast(cast(floor(p_partkey / 400) AS bigint) AS string) AS sheet, 3 AS col, max(p_type) AS value FROM {part} GROUP BY 1
+"""
+
+
+@book_query("facet_filter", """
+, last AS (SELECT * FROM facet_choice ORDER BY sheet DESC LIMIT 1)
+SELECT t.sheet_key, t.row FROM tcells t JOIN last c ON t.sheet = c.sheet AND t.col = c.col AND t.shown = c.value
+""", ["facet_choice"])
+def _(i):
+    chosen = i.feed("facet_choice").orderBy(F.desc("sheet")).limit(1)
+    return facets.facet_filter(Workbook(i).table, chosen).select("sheet_key", "row")
+
+
+@book_query("search_records", """
+SELECT DISTINCT sheet_key, row FROM tcells WHERE contains(lower(text), 'ring') OR contains(lower(shown), 'ring')
+""")
+def _(i):
+    return facets.search_records(Workbook(i).table, " Ring ").select("sheet_key", "row")
+
+
+@book_query("categorical_fields", """
+, r AS (SELECT sheet_key, count(DISTINCT row) AS records FROM tcells GROUP BY ALL)
+SELECT sheet_key, col, count(DISTINCT text) AS "values" FROM tcells JOIN r USING (sheet_key) GROUP BY sheet_key, col, records
+HAVING count(DISTINCT text) BETWEEN 2 AND 40 AND count(DISTINCT text) < records
+""")
+def _(i):
+    return facets.categorical_fields(Workbook(i).table).select("sheet_key", "col", "values")
+
+
+FEEDS["window_targets"] = """
+SELECT p_partkey AS target_id, 'book' AS workbook, 'xl/parts' || cast(cast(floor(p_partkey / 400) AS bigint) AS string) || '.xml' AS sheet_key,
+  'Parts ' || cast(cast(floor(p_partkey / 400) AS bigint) AS string) AS sheet, cast(p_partkey % 420 AS int) AS target_row, cast(p_size % 12 AS int) AS target_col
+FROM {part}
+"""
+WINDOW = """
+, near AS (
+  SELECT t.*, c.row, c.col, c.text FROM window_targets t JOIN clean c ON c.sheet_key = t.sheet_key AND c.row BETWEEN t.target_row - 6 AND t.target_row + 6
+), used AS (
+  SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY abs(col - target_col), col) AS rn FROM (
+    SELECT DISTINCT target_id, target_col, col FROM near UNION SELECT target_id, target_col, target_col FROM window_targets)
+)
+"""
+
+
+@book_query("cell_window", WINDOW + """
+SELECT n.target_id, n.row, n.col, n.text FROM near n JOIN used u ON u.target_id = n.target_id AND u.col = n.col WHERE u.rn <= 4
+""", ["window_targets"])
+def _(i):
+    return tables.cell_window(Workbook(i).cells, i.feed("window_targets"), max_cols=4).select("target_id", "row", "col", "text")
+
+
+@book_query("window_summary", WINDOW + """
+, m AS (SELECT sheet_key, max(row) AS max_row FROM clean GROUP BY ALL),
+r AS (SELECT target_id, count(DISTINCT row) AS rows FROM (SELECT target_id, row FROM near UNION SELECT target_id, target_row FROM window_targets) GROUP BY ALL),
+u AS (SELECT target_id, count(*) AS used FROM used GROUP BY ALL)
+SELECT t.target_id, greatest(t.target_row - 6, 0) AS first_row, greatest(t.target_row, least(m.max_row, t.target_row + 6)) AS last_row, r.rows,
+  least(u.used, 4) AS columns, greatest(u.used - 4, 0) AS hidden,
+  NOT (h.header_row BETWEEN greatest(t.target_row - 6, 0) AND greatest(t.target_row, least(m.max_row, t.target_row + 6))) AS header_above
+FROM window_targets t JOIN m USING (sheet_key) JOIN r USING (target_id) JOIN u USING (target_id) JOIN header_rows h USING (sheet_key)
+""", ["window_targets"])
+def _(i):
+    book = Workbook(i)
+    return tables.window_summary(book.cells, i.feed("window_targets"), book.headers, max_cols=4)
+
+
+@book_query("record_locations", """
+SELECT t.sheet_key, t.row, chr(65 + cast(min(c.col) AS int)) || (t.row + 1) AS cell FROM (SELECT DISTINCT sheet_key, row FROM tcells) t JOIN cols c USING (sheet_key) GROUP BY t.sheet_key, t.row
+""")
+def _(i):
+    book = Workbook(i)
+    return tables.record_locations(book.table, book.columns).select("sheet_key", "row", "cell")

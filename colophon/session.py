@@ -32,10 +32,9 @@ def local_session(name: str, cpus: int | str = 8, memory: str = "8g") -> SparkSe
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediate results; a local one only where the session names none."""
+    """The shared folder for written tables; a local one only where the session names none, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         path = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "checkpoint")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
     return path
