@@ -220,10 +220,10 @@ def _(i):
 
 
 @catalog_query("query_images", """
-, named AS (SELECT DISTINCT h.key FROM hits h JOIN tcells t ON t.sheet_key = h.sheet_key AND t.row = h.row WHERE contains(lower(t.text), 'ring')),
+, named_keys AS (SELECT DISTINCT h.key FROM hits h JOIN tcells t ON t.sheet_key = h.sheet_key AND t.row = h.row WHERE contains(lower(t.text), 'ring')),
 placed_at AS (SELECT DISTINCT key FROM places WHERE contains(lower(sheet), 'ring') OR contains(lower(cell), 'ring') OR contains(lower(preview), 'ring')),
 typed AS (SELECT DISTINCT h.key FROM hits h JOIN tcells t ON t.sheet_key = h.sheet_key AND t.row = h.row WHERE t.sheet = 'Parts 0' AND t.col = 3 AND t.shown = 'SMALL')
-SELECT key, state FROM images WHERE state IN ('LINKED', 'UNRESOLVED') AND (key IN (FROM named) OR key IN (FROM placed_at) OR contains(lower(file_name), 'ring') OR contains(lower(detail), 'ring')) AND key IN (FROM typed)
+SELECT key, state FROM images WHERE state IN ('LINKED', 'UNRESOLVED') AND (key IN (FROM named_keys) OR key IN (FROM placed_at) OR contains(lower(file_name), 'ring') OR contains(lower(detail), 'ring')) AND key IN (FROM typed)
 """)
 def _(i):
     c = Catalog(i)
