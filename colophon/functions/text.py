@@ -53,12 +53,14 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: inside a lambda it is a variable, not an expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def grams(c: Column, n: int) -> Column:
-    """Distinct character n-grams; empty array when the text is shorter than n."""
-    positions = F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1)))
-    return F.when(
-        F.length(c) >= n, F.array_distinct(F.transform(positions, lambda i: F.substr(c, i, F.lit(n))))
-    ).otherwise(F.array().cast("array<string>"))
+    """Distinct character n-grams in one pass; empty array when the text is shorter than n."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def similarity_of_normal(a: Column, b: Column, grams_a: Column, grams_b: Column) -> Column:
@@ -78,8 +80,11 @@ def similarity_of_normal(a: Column, b: Column, grams_a: Column, grams_b: Column)
 
 def text_similarity(a: Column, b: Column) -> Column:
     """0..1 similarity of two raw texts: equality, containment, else Dice over bigram sets."""
-    x, y = normalize_text(a), normalize_text(b)
-    return similarity_of_normal(x, y, grams(x, 2), grams(y, 2))
+    normal = F.struct(normalize_text(a).alias("x"), normalize_text(b).alias("y"))
+    with_grams = lambda v: F.struct(
+        v["x"].alias("x"), v["y"].alias("y"), grams(v["x"], 2).alias("gx"), grams(v["y"], 2).alias("gy")
+    )
+    return bind(bind(normal, with_grams), lambda v: similarity_of_normal(v["x"], v["y"], v["gx"], v["gy"]))
 
 
 def contains_ci(c: Column, needle: str) -> Column:

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colophon.functions.text import strip
+from colophon.functions.text import bind, strip
 from colophon.functions.urls import is_safe_image_url, url_domain
 
 # Named entities in the order they are replaced.
@@ -242,8 +242,10 @@ def page_cover(pages: DataFrame, key: str, html: str = "html", url: str = "url")
     rows = pages.select(key, F.col(url).alias("page_url"), metas.alias("metas"), links.alias("links"))
 
     def usable(raw: Column, source: str) -> Column:
-        full = resolve_url(raw, F.col("page_url"))
-        return F.when(is_safe_image_url(full), F.struct(full.alias("cover_url"), F.lit(source).alias("source")))
+        found = lambda full: F.when(
+            is_safe_image_url(full), F.struct(full.alias("cover_url"), F.lit(source).alias("source"))
+        )
+        return bind(resolve_url(raw, F.col("page_url")), found)
 
     first = lambda k: F.try_element_at(
         F.filter("metas", lambda s: (s["key"] == k) & s["content"].isNotNull()), F.lit(1)

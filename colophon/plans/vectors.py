@@ -121,18 +121,36 @@ def _(i):
     return _signatures(i).select(F.col("id").alias("vec_id"), "signature")
 
 
+# Each signature with a re-scan that differs in up to two bits and an exact copy.
+SCANS = """
+, scans AS (
+  SELECT vec_id AS id, signature FROM sig UNION ALL SELECT vec_id + 2000000, signature FROM sig
+  UNION ALL SELECT vec_id + 1000000, xor(xor(signature, 1::BIGINT << (vec_id % 61)), 1::BIGINT << ((vec_id * 7 + 3) % 61)) FROM sig
+)"""
+
+
+def _scans(i):
+    s = _signatures(i).select("id", "signature")
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    near = F.col("signature").bitwiseXOR(bit(F.col("id") % 61)).bitwiseXOR(bit((F.col("id") * 7 + 3) % 61))
+    return (
+        s.unionByName(s.withColumn("id", F.col("id") + 2_000_000))
+        .unionByName(s.select((F.col("id") + 1_000_000).alias("id"), near.alias("signature")))
+    )
+
+
 @query("hamming_pairs", f"""
-WITH {SIGNATURES}, g AS (SELECT signature, count(*) AS copies, min(vec_id) AS first_id FROM sig GROUP BY ALL)
+WITH {SIGNATURES}{SCANS}, g AS (SELECT signature, count(*) AS copies, min(id) AS first_id FROM scans GROUP BY ALL)
 SELECT a.signature AS signature_a, b.signature AS signature_b, a.copies AS copies_a, b.copies AS copies_b, a.first_id AS first_id_a, b.first_id AS first_id_b,
   bit_count(xor(a.signature, b.signature)) AS distance FROM g a JOIN g b ON a.signature < b.signature WHERE bit_count(xor(a.signature, b.signature)) <= 8
 """)
 def _(i):
-    return similarity.hamming_pairs(_signatures(i))
+    return similarity.hamming_pairs(_scans(i))
 
 
-@query("signature_groups", f"WITH {SIGNATURES} SELECT signature, count(*) AS copies, min(vec_id) AS first_id FROM sig GROUP BY ALL")
+@query("signature_groups", f"WITH {SIGNATURES}{SCANS} SELECT signature, count(*) AS copies, min(id) AS first_id FROM scans GROUP BY ALL")
 def _(i):
-    return similarity.signature_groups(_signatures(i))
+    return similarity.signature_groups(_scans(i))
 
 
 @query("rank_by_hamming", f"""
