@@ -10,6 +10,7 @@ collection status reads off a table of at most sixteen availability masks.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -97,7 +98,7 @@ def _prefix_keys(values: DataFrame, frequency: DataFrame, target: bool) -> DataF
 
 def _containment(short: DataFrame, long: DataFrame, frequency: DataFrame) -> DataFrame:
     """(short_id, long_id) that agree on the rarest trigram of the shorter text."""
-    tri = lambda df: df.select("id", F.explode(grams(F.col("value"), 3)).alias("token"))
+    tri = lambda df: df.select("id", F.explode("trigrams").alias("token"))
     rarest = tri(short).join(frequency, "token").groupBy("id").agg(F.min(F.struct("df", "token"))["token"].alias("token"))
     return rarest.withColumnRenamed("id", "short_id").join(tri(long).withColumnRenamed("id", "long_id"), "token").select(
         "short_id", "long_id"
@@ -105,17 +106,23 @@ def _containment(short: DataFrame, long: DataFrame, frequency: DataFrame) -> Dat
 
 
 def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_value, right_value, similarity of all pairs of distinct normalised texts at or above 0.6.
+    """kind, left_value, right_value, similarity of all pairs of distinct normalised texts at or above 0.6.
 
+    Inputs are (kind, value); only values of one kind are compared, so several columns go through one pass.
     Exact: equality by join, containment through the rarest trigram of the shorter text, Dice by prefix keys.
     """
-    side = lambda df: df.select("value").distinct().withColumn("id", F.md5("value")).withColumn(
-        "tokens", grams(F.col("value"), 2)
-    )
+
+    def side(df: DataFrame) -> DataFrame:
+        tokens = lambda n: F.transform(grams(F.col("value"), n), lambda g: F.concat("kind", g))
+        return df.select("kind", "value").distinct().select(
+            "kind", "value", F.md5(F.concat_ws("\x01", "kind", "value")).alias("id"), tokens(2).alias("tokens"),
+            tokens(3).alias("trigrams"),
+        )
+
     a, b = side(left), side(right)
-    both = a.select("value", "tokens").unionByName(b.select("value", "tokens"))
-    counted = lambda tokens: both.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    two, three = counted(F.col("tokens")), counted(grams(F.col("value"), 3))
+    both = a.select("tokens", "trigrams").unionByName(b.select("tokens", "trigrams"))
+    counted = lambda c: both.select(F.explode(c).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    two, three = counted("tokens"), counted("trigrams")
     near = _prefix_keys(a, two, False).withColumnRenamed("id", "a").join(
         _prefix_keys(b, two, True).withColumnRenamed("id", "b"), ["cls", "x", "y"]
     ).select("a", "b")
@@ -123,46 +130,49 @@ def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     around = _containment(b, a, three).toDF("b", "a").select("a", "b")
     equal = a.select(F.col("id").alias("a")).join(b.select(F.col("id").alias("b")), F.col("a") == F.col("b"))
     pairs = near.unionByName(inside).unionByName(around).unionByName(equal).distinct()
-    values = lambda df, key, name: df.select(F.col("id").alias(key), F.col("value").alias(name), F.col("tokens").alias(f"{name}_t"))
-    judged = pairs.join(values(a, "a", "left_value"), "a").join(values(b, "b", "right_value"), "b")
+    texts = lambda df, key, name, *more: df.select(
+        F.col("id").alias(key), F.col("value").alias(name), F.col("tokens").alias(f"{name}_t"), *more
+    )
+    judged = pairs.join(texts(a, "a", "left_value", "kind"), "a").join(texts(b, "b", "right_value"), "b")
     score = similarity_of_normal(F.col("left_value"), F.col("right_value"), F.col("left_value_t"), F.col("right_value_t"))
     return judged.withColumn("similarity", score).filter(F.col("similarity") >= TEXT_PARTIAL).select(
-        "left_value", "right_value", "similarity"
+        "kind", "left_value", "right_value", "similarity"
     )
 
 
+def _comparable(df: DataFrame, key: str, side: str) -> DataFrame:
+    """(key, kind, value, way): the texts a profile may be found by.
+
+    A circle is only asked when no title can be compared, an author when neither can. ``way`` spells for each
+    earlier text whose blank (c or l) is to blame; a side takes part in the ways its own blanks allow.
+    """
+    found = []
+    for depth, text in enumerate(TEXTS):
+        for way in ("".join(w) for w in product("cl", repeat=depth)):
+            blank = [F.col(TEXTS[n]).isNull() for n, s in enumerate(way) if s == side]
+            allowed = reduce(lambda p, q: p & q, blank, F.col(text).isNotNull())
+            found.append(F.when(allowed, F.struct(F.lit(text).alias("kind"), F.col(text).alias("value"), F.lit(way).alias("way"))))
+    return df.select(F.col("profile").alias(key), F.explode(F.array_compact(F.array(*found))).alias("f")).select(key, "f.*")
+
+
 def block_pairs(candidates: DataFrame, locals_: DataFrame, covers: DataFrame | None = None) -> DataFrame:
     """c, l: the profile pairs that may be a match. covers: c, l, cover_similarity.
 
     Equal codes; similar titles; where no title can be compared, similar circles; where neither can, similar
     authors; and every pair with a supplied cover similarity.
     """
-    c, l = candidates, locals_
-    parts = [
-        c.filter("code IS NOT NULL").select(F.col("profile").alias("c"), "code")
-        .join(l.filter("code IS NOT NULL").select(F.col("profile").alias("l"), "code"), "code").select("c", "l")
-    ]
-    # Sides whose earlier texts cannot be compared: blank on the candidate side, or blank on the local side.
-    for depth, text in enumerate(TEXTS):
-        for blanks in _blank_sides(TEXTS[:depth]):
-            x = c.filter(reduce(lambda p, q: p & q, [F.col(text).isNotNull(), *[F.col(t).isNull() for t, s in blanks if s == "c"]]))
-            y = l.filter(reduce(lambda p, q: p & q, [F.col(text).isNotNull(), *[F.col(t).isNull() for t, s in blanks if s == "l"]]))
-            near = similar_texts(x.select(F.col(text).alias("value")), y.select(F.col(text).alias("value")))
-            parts.append(
-                x.select(F.col("profile").alias("c"), F.col(text).alias("left_value")).join(near, "left_value")
-                .join(y.select(F.col("profile").alias("l"), F.col(text).alias("right_value")), "right_value").select("c", "l")
-            )
+    coded = lambda df, key: df.filter("code IS NOT NULL").select(F.col("profile").alias(key), "code")
+    same_code = coded(candidates, "c").join(coded(locals_, "l"), "code").select("c", "l")
+    x, y = _comparable(candidates, "c", "c"), _comparable(locals_, "l", "l")
+    near = similar_texts(x, y).select("kind", "left_value", "right_value")
+    same_text = (
+        x.withColumnRenamed("value", "left_value").join(near, ["kind", "left_value"])
+        .join(y.withColumnRenamed("value", "right_value"), ["kind", "right_value", "way"]).select("c", "l")
+    )
+    pairs = same_code.unionByName(same_text)
     if covers is not None:
-        parts.append(covers.select("c", "l"))
-    return reduce(lambda p, q: p.unionByName(q), parts).distinct()
-
-
-def _blank_sides(texts: list[str]) -> list[list[tuple[str, str]]]:
-    """Every way the given texts can be incomparable: each is blank on one side or the other."""
-    ways: list[list[tuple[str, str]]] = [[]]
-    for t in texts:
-        ways = [[*w, (t, side)] for w in ways for side in ("c", "l")]
-    return ways
+        pairs = pairs.unionByName(covers.select("c", "l"))
+    return pairs.distinct()
 
 
 def pair_evidence(

@@ -96,7 +96,7 @@ SELECT md5(left_value) AS a, md5(right_value) AS b, round(similarity, 6) AS simi
   SELECT lg.v AS left_value, rg.v AS right_value, {similarity_sql('lg.v', 'rg.v', 'lg.g', 'rg.g')} AS similarity FROM lg CROSS JOIN rg) WHERE similarity >= 0.6
 """, ["passages", "sentences"])
 def _(i):
-    side = lambda n: i.feed(n).filter("trim(text) <> ''").select(text.normalize_text(F.col("text")).alias("value"))
+    side = lambda n: i.feed(n).filter("trim(text) <> ''").select(F.lit("t").alias("kind"), text.normalize_text(F.col("text")).alias("value"))
     found = linkage.similar_texts(side("passages"), side("sentences"))
     return found.select(F.md5("left_value").alias("a"), F.md5("right_value").alias("b"), F.round("similarity", 6).alias("similarity"))
 
@@ -130,10 +130,10 @@ def _(i):
 
 @query("default_order_key", """
 SELECT l_orderkey, l_linenumber, CASE WHEN t IS NULL THEN 2 WHEN try_cast(t AS double) IS NOT NULL THEN 0 ELSE 1 END AS kind, round(try_cast(t AS double), 4) AS number, CASE WHEN try_cast(t AS double) IS NULL THEN lower(t) END AS folded
-FROM (SELECT l_orderkey, l_linenumber, nullif(trim(CASE l_linenumber % 4 WHEN 0 THEN ' ' || l_quantity || ' ' WHEN 1 THEN l_returnflag || l_suppkey WHEN 2 THEN '  ' ELSE '-0' || l_discount || 'e1' END), '') AS t FROM lineitem)
+FROM (SELECT l_orderkey, l_linenumber, nullif(trim(CASE l_linenumber % 4 WHEN 0 THEN ' ' || l_quantity || ' ' WHEN 1 THEN l_returnflag || l_suppkey WHEN 2 THEN '  ' ELSE '-7' || l_discount || 'e1' END), '') AS t FROM lineitem)
 """)
 def _(i):
-    raw = F.expr("CASE l_linenumber % 4 WHEN 0 THEN ' ' || l_quantity || ' ' WHEN 1 THEN l_returnflag || l_suppkey WHEN 2 THEN '  ' ELSE '-0' || l_discount || 'e1' END")
+    raw = F.expr("CASE l_linenumber % 4 WHEN 0 THEN ' ' || l_quantity || ' ' WHEN 1 THEN l_returnflag || l_suppkey WHEN 2 THEN '  ' ELSE '-7' || l_discount || 'e1' END")
     keyed = i.table("lineitem").withColumn("k", text.default_order_key(raw))
     return keyed.select("l_orderkey", "l_linenumber", "k.kind", F.round("k.approx", 4).alias("number"), "k.folded")
 
@@ -237,7 +237,7 @@ def _(i):
 FEEDS["format_codes"] = """
 SELECT l_orderkey AS a, l_linenumber AS b, cast(l_partkey % 60 AS int) AS format_id, CASE l_suppkey % 16 WHEN 0 THEN 'yyyy-mm-dd' WHEN 1 THEN 'h:mm AM/PM' WHEN 2 THEN '[h]:mm:ss' WHEN 3 THEN '0.00%' WHEN 4 THEN '#,##0.00'
   WHEN 5 THEN '"yes";d' WHEN 6 THEN '"mdy" 0' WHEN 7 THEN '[Red]0.0;[Blue]-0.0' WHEN 8 THEN '@' WHEN 9 THEN 'mmm' WHEN 10 THEN 'd/m/yy h:mm' WHEN 11 THEN '0.0E+00' WHEN 12 THEN '_-* #,##0' WHEN 13 THEN 'General' ELSE ' ' END AS code,
-  CASE WHEN l_linenumber = 3 THEN 'n/a' ELSE cast(l_quantity * l_partkey / 64 AS string) END AS raw, l_linenumber % 5 <> 0 AS numeric, l_returnflag = 'A' AS date1904 FROM {lineitem}
+  CASE WHEN l_linenumber = 3 THEN 'n/a' ELSE cast(round(l_quantity * l_partkey / 7, 4) AS string) END AS raw, l_linenumber % 5 <> 0 AS numeric, l_returnflag = 'A' AS date1904 FROM {lineitem}
 """
 KIND = """
 CASE WHEN trim(code) <> '' THEN CASE l WHEN 'yyyy-mm-dd' THEN 'DATE' WHEN 'h:mm AM/PM' THEN 'TIME' WHEN '[h]:mm:ss' THEN 'TIME' WHEN '0.00%' THEN 'PERCENT' WHEN '#,##0.00' THEN 'NUMBER' WHEN '"yes";d' THEN 'GENERAL' WHEN '"mdy" 0' THEN 'GENERAL'
@@ -261,7 +261,7 @@ WITH k AS (SELECT *, {KIND.replace('CASE l ', 'CASE code ').replace(chr(10), ' '
 )
 SELECT a, b, CASE WHEN NOT numeric OR v IS NULL THEN raw WHEN kind = 'PERCENT' THEN regexp_replace(printf('%.2f', v * 100), '\\.?0+$', '') || '%' WHEN kind = 'NUMBER' THEN raw_number
   WHEN kind = 'DATE' THEN coalesce(dt, raw) WHEN kind = 'TIME' AND NOT (dt IS NULL AND s = 0) THEN coalesce(tm, '00:00') WHEN kind = 'DATE_TIME' AND NOT (dt IS NULL AND s = 0) THEN concat_ws(' ', dt, tm) ELSE raw END AS shown
-FROM (SELECT *, CASE WHEN regexp_matches(f2, '\\.') THEN regexp_replace(f2, '\\.?0+$', '') ELSE f2 END AS raw_number FROM (SELECT *, printf('%.2f', round(v + 1e-9, 2)) AS f2 FROM t))
+FROM (SELECT *, CASE WHEN regexp_matches(f2, '\\.') THEN regexp_replace(f2, '\\.?0+$', '') ELSE f2 END AS raw_number FROM (SELECT *, printf('%.2f', v) AS f2 FROM t))
 """, ["format_codes"])
 def _(i):
     kind = formats.classify_format(F.col("format_id"), F.col("code"))

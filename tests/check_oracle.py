@@ -54,7 +54,8 @@ def compare(spark, con, sf_dir, build, sql):
     if got_columns != want_columns:
         return f"COLUMNS {got_columns} != {want_columns}", spent, False
     if got != want:
-        a, b = [x for x in got if x not in want][:3], [x for x in want if x not in got][:3]
+        have, need = {tuple(x) for x in got}, {tuple(x) for x in want}
+        a, b = sorted(have - need)[:3], sorted(need - have)[:3]
         return f"ROWS {len(got)} vs {len(want)}\n   spark {a}\n   duck  {b}", spent, False
     return f"ok {len(got)} (sql {spent_sql:.1f}s)", spent, len(got) > 0
 
