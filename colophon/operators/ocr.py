@@ -115,7 +115,7 @@ def ocr_regions(truth: DataFrame, lines: DataFrame, normal_form=lambda c: c) ->
         .groupBy(want["fixture"], "region", "truth", "t").agg(F.min_by(F.struct("got", "g"), "line_no").alias("b"))
         .withColumn("distance", F.lit(0))
     )
-    rest = want.join(same.select("fixture", "region"), ["fixture", "region"], "left_anti")
+    rest = want.join(same.select("fixture", "region", "t"), ["fixture", "region", "t"], "left_anti")
     measured = rest.join(have, "fixture", "left").withColumn("distance", F.levenshtein("t", F.coalesce("g", F.lit(""))))
     near = measured.groupBy("fixture", "region", "truth", "t").agg(
         F.min_by(F.struct("got", "g", "distance"), F.struct("distance", "line_no")).alias("b")

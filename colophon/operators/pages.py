@@ -293,7 +293,7 @@ def parse_pasted_hits(texts: DataFrame, key: str, text: str = "text", limit: int
     url = lambda l: F.regexp_extract(l, r"""(?i)\b(https?://[^\s<>"']+)""", 1)
     hits = F.transform(F.filter(lines, lambda l: url(l) != ""), lambda l: F.struct(
         url(l).alias("source_url"),
-        F.regexp_replace(strip(F.substring_index(l, url(l), 1)), r"^[\-:–—]+|[\-:–—]+$", "").alias("title"),
+        F.regexp_replace(strip(F.call_function("substring_index", l, url(l), F.lit(1))), r"^[\-:–—]+|[\-:–—]+$", "").alias("title"),
         F.regexp_extract(l, r"(?i)(\d{1,3})\s*%", 1).try_cast("double").alias("similarity"),
     ))
     return texts.select(key, F.posexplode(F.slice(hits, 1, limit)).alias("pos", "h")).select(key, "pos", "h.*")

@@ -4,7 +4,7 @@ import importlib
 
 from colophon.plans.inputs import ORACLES, QUERIES
 
-MODULES = ["tables", "catalog", "vectors", "text"]
+MODULES = ["tables", "catalog", "vectors", "text", "web", "library"]
 
 for _name in MODULES:
     importlib.import_module(f"colophon.plans.{_name}")
