@@ -490,7 +490,7 @@ def _(i):
     base = f"{checkpoint_dir(spark)}/capture-{mark}"
     frames = i.feed("frames").select("device", "ts", "blur", "mean_lum", "signature")
     frames.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/in")
+    stream = spark.readStream.schema(frames.schema).parquet(f"{base}/in")
     ticks = capture.capture_events(stream)
     run = (
         ticks.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")

@@ -30,7 +30,7 @@ SLICE = 65_536
 
 
 def _occurrence(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Adds n, the 0-based occurrence of a name by arrival.
+    """Adds ``occurrence``, the 0-based occurrence of a name by arrival.
 
     Arrival numbers are cut into slices; rows are counted inside a slice and slices are summed up, so a name
     that a third of all files share is not numbered in one task.
@@ -42,7 +42,7 @@ def _occurrence(df: DataFrame, name: str, order: str) -> DataFrame:
     inside = W.partitionBy(name, "slice").orderBy(order)
     return (
         sliced.withColumn("at", F.row_number().over(inside)).join(offsets, [name, "slice"])
-        .withColumn("n", F.col("offset") + F.col("at") - 1).drop("slice", "at", "offset")
+        .withColumn("occurrence", F.col("offset") + F.col("at") - 1).drop("slice", "at", "offset")
     )
 
 
@@ -59,13 +59,13 @@ def export_names(df: DataFrame, name: str, order: str) -> DataFrame:
         F.regexp_extract("safe", r" \(([1-9]\d{0,8})\)(\.[^.]*)?$", 1).try_cast("long").alias("number"),
     ).filter("number IS NOT NULL")
     taken = spelled.groupBy("safe").agg(F.array_sort(F.collect_set("number")).alias("taken"))
-    skipped = F.size(F.filter(F.transform("taken", lambda t, i: t - i), lambda gap: gap <= F.col("n")))
-    number = F.col("n") + F.coalesce(F.when(F.col("taken").isNotNull(), skipped), F.lit(0))
+    skipped = F.size(F.filter(F.transform("taken", lambda t, i: t - i), lambda gap: gap <= F.col("occurrence")))
+    number = F.col("occurrence") + F.coalesce(F.when(F.col("taken").isNotNull(), skipped), F.lit(0))
     stem, suffix = F.regexp_extract("safe", parts, 1), F.regexp_extract("safe", parts, 2)
     renamed = F.concat(stem, F.lit(" ("), number.cast("string"), F.lit(")"), suffix)
     return numbered.join(taken, "safe", "left").withColumn(
-        "exported_file", F.when(F.col("n") == 0, F.col("safe")).otherwise(renamed)
-    ).drop("safe", "n", "taken")
+        "exported_file", F.when(F.col("occurrence") == 0, F.col("safe")).otherwise(renamed)
+    ).drop("safe", "occurrence", "taken")
 
 
 def image_manifest(images: DataFrame, hits: DataFrame) -> DataFrame:

@@ -87,7 +87,8 @@ def gate(config: CaptureConfig = DEFAULT) -> Column:
 
 
 def _prepared(frames: DataFrame, config: CaptureConfig) -> DataFrame:
-    return frames.select("device", "ts", F.unix_millis("ts").alias("now_ms"), gate(config).alias("gate"), "signature")
+    ts = F.col("ts").cast("timestamp")
+    return frames.select("device", ts.alias("ts"), F.unix_millis(ts).alias("now_ms"), gate(config).alias("gate"), "signature")
 
 
 def _run(pdf: pd.DataFrame, state: tuple, config: CaptureConfig) -> tuple[tuple, pd.DataFrame]:
@@ -108,7 +109,8 @@ def capture_events(
     """Ticks of a frame stream, keyed by device. The watermark orders time and expires silent devices.
 
     Rows later than the watermark are dropped before they reach the state; count them with the query's progress
-    (numRowsDroppedByWatermark).
+    (numRowsDroppedByWatermark). The frames of one device in one trigger are sorted together, so bound the trigger
+    (maxFilesPerTrigger, maxOffsetsPerTrigger), not the device.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
