@@ -21,7 +21,7 @@ def local_session(name: str, cpus: int | str = 8, memory: str = "8g") -> SparkSe
     builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName(name)
         .config("spark.driver.memory", memory).config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "8").config("spark.ui.showConsoleProgress", "false")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     )
     for key, value in SETTINGS.items():
