@@ -154,7 +154,7 @@ def test_snapshot_round_trip(spark, tmp_path):
 
 def test_manifest_file(spark, tmp_path):
     rows = spark.createDataFrame([('a, "b".png', "", "x")], "exported_file string, media_file string, format string")
-    exports.write_image_manifest(rows, str(tmp_path / "m"))
+    exports.write_image_manifest(rows.coalesce(1), str(tmp_path / "m"))
     text = b"".join(p.read_bytes() for p in (tmp_path / "m").glob("*.csv")).decode()
     assert text == 'exported_file,media_file,format\r\n"a, ""b"".png",,x\r\n'
 
