@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from colophon.functions.text import strip
+from colophon.functions.text import bind, strip
 
 # Accepted spellings and bounds.
 YEAR_PATTERN = r"^(\d{4})\s*年?$"
@@ -32,33 +32,50 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group).try_cast("int")
 
 
+def _flag(value: bool | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def _serial(days: Column, date1904: bool | Column) -> Column:
+    base = F.when(_flag(date1904), F.to_date(F.lit(EPOCH_1904))).otherwise(F.to_date(F.lit(EPOCH_1900)))
+    date = F.when(days.between(MIN_SERIAL, MAX_SERIAL), F.date_add(base, days))
+    return bind(date, lambda d: F.when(
+        F.year(d).between(MIN_YEAR, MAX_YEAR), partial_date(F.year(d), F.month(d), F.day(d))
+    ))
+
+
 def parse_serial_date(c: Column, date1904: bool | Column = False) -> Column:
     """Spreadsheet day number as a date; null outside the accepted window."""
-    days = _part(strip(c), SERIAL_PATTERN, 1)
-    flag = date1904 if isinstance(date1904, Column) else F.lit(date1904)
-    base = F.when(flag, F.to_date(F.lit(EPOCH_1904))).otherwise(F.to_date(F.lit(EPOCH_1900)))
-    date = F.when(days.between(MIN_SERIAL, MAX_SERIAL), F.date_add(base, days))
-    return F.when(F.year(date).between(MIN_YEAR, MAX_YEAR), partial_date(F.year(date), F.month(date), F.day(date)))
+    return bind(_part(strip(c), SERIAL_PATTERN, 1), lambda days: _serial(days, date1904))
 
 
 def parse_partial_date(c: Column, serial: bool | Column = False, date1904: bool | Column = False) -> Column:
-    """Year, year-month or full date; anything that would need a guess is null."""
-    text = strip(c)
-    year = F.regexp_extract(text, r"^(\d{4})", 1).try_cast("int")
-    in_years = year.between(MIN_YEAR, MAX_YEAR)
-    month_m = _part(text, MONTH_PATTERN, 2)
-    month_d, day_d = _part(text, DAY_PATTERN, 2), _part(text, DAY_PATTERN, 3)
-    is_year, is_month, is_day = (F.rlike(text, F.lit(p)) for p in (YEAR_PATTERN, MONTH_PATTERN, DAY_PATTERN))
-    month_start = F.when(month_d.between(1, 12), F.make_date(year, month_d, F.lit(1)))
-    real_day = day_d.between(1, F.day(F.last_day(month_start)))
-    none = F.lit(None).cast("int")
-    flag = serial if isinstance(serial, Column) else F.lit(serial)
-    return (
-        F.when(is_year, F.when(in_years, partial_date(year, none, none)))
-        .when(is_month, F.when(in_years & month_m.between(1, 12), partial_date(year, month_m, none)))
-        .when(is_day, F.when(in_years & real_day, partial_date(year, month_d, day_d)))
-        .when(flag, parse_serial_date(c, date1904))
+    """Year, year-month or full date; anything that would need a guess is null.
+
+    The text is taken apart once and the parts are bound, so no pattern runs twice.
+    """
+    parts = lambda t: F.struct(
+        F.regexp_extract(t, r"^(\d{4})", 1).try_cast("int").alias("year"), F.rlike(t, F.lit(YEAR_PATTERN)).alias("only_year"),
+        _part(t, MONTH_PATTERN, 2).alias("of_year"), _part(t, DAY_PATTERN, 2).alias("month"),
+        _part(t, DAY_PATTERN, 3).alias("day"), _part(t, SERIAL_PATTERN, 1).alias("days"),
     )
+    none = F.lit(None).cast("int")
+
+    def read(p: Column) -> Column:
+        in_years = p["year"].between(MIN_YEAR, MAX_YEAR)
+        start = F.when(p["month"].between(1, 12), F.make_date(p["year"], p["month"], F.lit(1)))
+        real_day = p["day"].between(1, F.day(F.last_day(start)))
+        return (
+            F.when(p["only_year"], F.when(in_years, partial_date(p["year"], none, none)))
+            .when(
+                p["of_year"].isNotNull(),
+                F.when(in_years & p["of_year"].between(1, 12), partial_date(p["year"], p["of_year"], none)),
+            )
+            .when(p["day"].isNotNull(), F.when(in_years & real_day, partial_date(p["year"], p["month"], p["day"])))
+            .when(_flag(serial), _serial(p["days"], date1904))
+        )
+
+    return bind(bind(strip(c), parts), read)
 
 
 def date_is_malformed(c: Column, serial: bool | Column = False, date1904: bool | Column = False) -> Column:

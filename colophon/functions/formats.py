@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from colophon.functions.text import strip
+from colophon.functions.text import bind, strip
 
 # Kinds of the built-in format ids.
 BUILTIN_KINDS = {
@@ -50,39 +50,47 @@ def classify_format(format_id: Column, code: Column) -> Column:
 
 def short_decimal(value: Column) -> Column:
     """At most two decimals, trailing zeros dropped, no negative zero."""
-    text = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
-    return F.when(F.rlike(text, F.lit(r"^-0?$")), F.lit("0")).when(text == "", F.lit("0")).otherwise(text)
+    trimmed = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
+    return bind(trimmed, lambda t: F.when(F.rlike(t, F.lit(r"^-?0?$")), F.lit("0")).otherwise(t))
+
+
+def _date_text(days: Column, date1904: Column) -> Column:
+    from_epoch = lambda epoch: F.date_format(F.date_add(F.to_date(F.lit(epoch)), days.cast("int")), "yyyy-MM-dd")
+    return F.when(
+        days.between(-700_000, 2_958_465),
+        F.when(date1904, F.when(days >= 0, from_epoch("1904-01-01")))
+        .when(days >= 61, from_epoch("1899-12-30")).when(days.between(1, 59), from_epoch("1899-12-31")),
+    )
+
+
+def _time_text(seconds: Column) -> Column:
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    parts = F.array_compact(F.array(
+        two(F.floor(seconds / 3600)), two(F.floor(seconds % 3600 / 60)), F.when(seconds % 60 > 0, two(seconds % 60))
+    ))
+    return F.when(seconds > 0, F.array_join(parts, ":"))
 
 
 def display_value(kind: Column, raw: Column, numeric: Column, date1904: Column | bool = False) -> Column:
     """Text a spreadsheet would show for a numeric cell; other cells keep their text."""
     flag = date1904 if isinstance(date1904, Column) else F.lit(date1904)
-    value = strip(raw).try_cast("double")
-    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
-    whole = F.floor(value)
-    seconds = F.round((value - whole) * 86_400).cast("long")
-    carry = seconds >= 86_400
-    days = F.when(carry, whole + 1).otherwise(whole)
-    secs = F.when(carry, seconds - 86_400).otherwise(seconds)
-    day_in_range = days.between(-700_000, 2_958_465)
-    date = F.when(
-        day_in_range,
-        F.when(flag, F.when(days >= 0, F.date_add(F.to_date(F.lit("1904-01-01")), days.cast("int"))))
-        .when(days >= 61, F.date_add(F.to_date(F.lit("1899-12-30")), days.cast("int")))
-        .when(days.between(1, 59), F.date_add(F.to_date(F.lit("1899-12-31")), days.cast("int"))),
+    clock = lambda v: F.struct(
+        F.floor(v).alias("day"), F.round((v - F.floor(v)) * 86_400).cast("long").alias("second")
     )
-    date_text = F.date_format(date, "yyyy-MM-dd")
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    clock = F.concat_ws(":", two(F.floor(secs / 3600)), two(F.floor(secs % 3600 / 60)))
-    time_text = F.when(
-        secs > 0, F.when(secs % 60 == 0, clock).otherwise(F.concat(clock, F.lit(":"), two(secs % 60)))
+    carried = lambda t: F.struct(
+        (t["day"] + F.when(t["second"] >= 86_400, 1).otherwise(0)).alias("day"), (t["second"] % 86_400).alias("second")
     )
-    nothing = date.isNull() & (secs == 0)
-    shown = (
-        F.when(kind == "PERCENT", F.concat(short_decimal(value * 100), F.lit("%")))
-        .when(kind == "NUMBER", short_decimal(value))
-        .when(kind == "DATE", date_text)
-        .when((kind == "TIME") & ~nothing, F.coalesce(time_text, F.lit("00:00")))
-        .when((kind == "DATE_TIME") & ~nothing, F.concat_ws(" ", date_text, time_text))
+    texts = lambda t: F.struct(
+        _date_text(t["day"], flag).alias("date"), _time_text(t["second"]).alias("time"), (t["second"] == 0).alias("sharp")
     )
-    return F.coalesce(F.when(numeric & finite, shown), raw)
+
+    def moment(v: Column) -> Column:
+        return bind(bind(bind(clock(v), carried), texts), lambda t: F.when(kind == "DATE", t["date"]).when(
+            t["date"].isNull() & t["sharp"], F.lit(None).cast("string")
+        ).when(kind == "TIME", F.coalesce(t["time"], F.lit("00:00"))).otherwise(F.concat_ws(" ", t["date"], t["time"])))
+
+    shown = bind(strip(raw).try_cast("double"), lambda v: F.when(
+        v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(None).cast("string")
+    ).when(kind == "PERCENT", F.concat(short_decimal(v * 100), F.lit("%"))).when(kind == "NUMBER", short_decimal(v)).otherwise(moment(v)))
+    formatted = numeric & kind.isin("DATE", "TIME", "DATE_TIME", "PERCENT", "NUMBER")
+    return F.coalesce(F.when(formatted, shown), raw)

@@ -117,15 +117,13 @@ def default_order_key(c: Column) -> Column:
 
     Numbers beyond decimal(38,18) fall back to their double value inside the same group.
     """
-    text = blank_to_null(c)
-    number = text.try_cast("double")
-    is_number = F.rlike(text, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"))
-    return F.struct(
-        F.when(text.isNull(), 2).when(is_number, 0).otherwise(1).alias("kind"),
-        F.when(is_number, number).alias("approx"),
-        F.when(is_number, text.try_cast("decimal(38,18)")).alias("exact"),
-        F.when(~is_number, F.lower(text)).alias("folded"),
-    )
+    pattern = F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    return bind(blank_to_null(c), lambda t: F.struct(
+        F.when(t.isNull(), 2).when(F.rlike(t, pattern), 0).otherwise(1).alias("kind"),
+        F.when(F.rlike(t, pattern), t.try_cast("double")).alias("approx"),
+        F.when(F.rlike(t, pattern), t.try_cast("decimal(38,18)")).alias("exact"),
+        F.when(~F.rlike(t, pattern), F.lower(t)).alias("folded"),
+    ))
 
 
 def split_tags(c: Column) -> Column:
