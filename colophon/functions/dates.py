@@ -7,9 +7,7 @@ from pyspark.sql import Column, functions as F
 from colophon.functions.text import bind, strip
 
 # Accepted spellings and bounds.
-YEAR_PATTERN = r"^(\d{4})\s*年?$"
-MONTH_PATTERN = r"^(\d{4})\s*[-/.年]\s*(\d{1,2})\s*月?$"
-DAY_PATTERN = r"^(\d{4})\s*[-/.年]\s*(\d{1,2})\s*[-/.月]\s*(\d{1,2})\s*日?$"
+DATE_PATTERN = r"^(\d{4})(?:\s*年?|\s*[-/.年]\s*(\d{1,2})(?:\s*月?|\s*[-/.月]\s*(\d{1,2})\s*日?))$"
 SERIAL_PATTERN = r"^(\d{5,7})(\.\d+)?$"
 MIN_YEAR, MAX_YEAR = 1900, 2100
 MIN_SERIAL, MAX_SERIAL = 10_000, 2_958_465
@@ -52,30 +50,27 @@ def parse_serial_date(c: Column, date1904: bool | Column = False) -> Column:
 def parse_partial_date(c: Column, serial: bool | Column = False, date1904: bool | Column = False) -> Column:
     """Year, year-month or full date; anything that would need a guess is null.
 
-    The text is taken apart once and the parts are bound, so no pattern runs twice.
+    One pattern takes the text apart; only what it does not fit is tried as a serial number.
     """
+    fits = lambda t: F.rlike(t, F.lit(DATE_PATTERN))
     parts = lambda t: F.struct(
-        F.regexp_extract(t, r"^(\d{4})", 1).try_cast("int").alias("year"), F.rlike(t, F.lit(YEAR_PATTERN)).alias("only_year"),
-        _part(t, MONTH_PATTERN, 2).alias("of_year"), _part(t, DAY_PATTERN, 2).alias("month"),
-        _part(t, DAY_PATTERN, 3).alias("day"), _part(t, SERIAL_PATTERN, 1).alias("days"),
+        F.when(fits(t), F.split(F.regexp_replace(t, DATE_PATTERN, "$1/$2/$3"), "/")).alias("ymd"), t.alias("text")
+    )
+    numbers = lambda p: F.struct(
+        *[p["ymd"][n].try_cast("int").alias(name) for n, name in enumerate(("year", "month", "day"))], p["text"].alias("text")
     )
-    none = F.lit(None).cast("int")
 
     def read(p: Column) -> Column:
-        in_years = p["year"].between(MIN_YEAR, MAX_YEAR)
-        start = F.when(p["month"].between(1, 12), F.make_date(p["year"], p["month"], F.lit(1)))
-        real_day = p["day"].between(1, F.day(F.last_day(start)))
-        return (
-            F.when(p["only_year"], F.when(in_years, partial_date(p["year"], none, none)))
-            .when(
-                p["of_year"].isNotNull(),
-                F.when(in_years & p["of_year"].between(1, 12), partial_date(p["year"], p["of_year"], none)),
-            )
-            .when(p["day"].isNotNull(), F.when(in_years & real_day, partial_date(p["year"], p["month"], p["day"])))
-            .when(_flag(serial), _serial(p["days"], date1904))
+        in_years, in_months = p["year"].between(MIN_YEAR, MAX_YEAR), p["month"].between(1, 12)
+        start = F.when(in_months, F.make_date(p["year"], p["month"], F.lit(1)))
+        real = in_years & (p["month"].isNull() | in_months) & (
+            p["day"].isNull() | p["day"].between(1, F.day(F.last_day(start)))
         )
+        date = F.when(real, partial_date(p["year"], p["month"], p["day"]))
+        days = F.when(_flag(serial), _part(p["text"], SERIAL_PATTERN, 1))
+        return F.when(p["year"].isNotNull(), date).otherwise(bind(days, lambda d: _serial(d, date1904)))
 
-    return bind(bind(strip(c), parts), read)
+    return bind(bind(bind(strip(c), parts), numbers), read)
 
 
 def date_is_malformed(c: Column, serial: bool | Column = False, date1904: bool | Column = False) -> Column:
