@@ -32,9 +32,15 @@ def local_session(name: str, cpus: int | str = 8, memory: str = "8g") -> SparkSe
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables; a local one only where the session names none, as in tests."""
+    """The shared folder for written tables, as the session names it.
+
+    Only a session on one machine may go without: it gets a folder of its own. On a cluster a missing setting is an
+    error, because executors would each write to their own disk.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "checkpoint")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
