@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colophon.llm import bpe
-from colophon.llm.shared import table
+from colophon.llm import bpe, toxicity
+from colophon.llm.shared import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,13 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text by the multilingual rank file, decoded again; no SQL twin, checked against a library."""
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer)
+
+
+@query("op8_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored by a machine trained on the labelled rows outside fold 2 of 4; tested on that fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    machine = toxicity.fit(docs.filter(~held_out), labels.filter(~held_out))
+    scored = toxicity.score(docs.select("doc_id", "text"), machine)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
