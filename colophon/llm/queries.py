@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colophon.llm import bpe, toxicity
+from colophon.llm import bpe, licenses, quality, toxicity
 from colophon.llm.shared import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,16 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.fit(docs.filter(~held_out), labels.filter(~held_out))
     scored = toxicity.score(docs.select("doc_id", "text"), machine)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op1_license_scan", licenses.oracle())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License wordings in every whole text: base phrases with their places, and all labels with the best score."""
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op3_quality_rules", quality.oracle())
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures of every whole text and the verdict by cutoffs proven on the labelled documents."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
