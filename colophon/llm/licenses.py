@@ -2,10 +2,10 @@
 
 A template is a short license wording; its postings say which word stands at which place. A scan works inside a row:
 
-1. the words of a text that are *anchors*, the rarest words of some template by inverse document frequency over all texts,
-   are found in one pass over its words, with their positions;
-2. the posting of an anchor turns a position into the start of an alignment; an alignment lives on only if another anchor
-   of the template stands at the place the postings ask for (rare positions first, so few texts get further);
+1. the words of a text that are *anchors*, the rarest mandatory word of some template by inverse document frequency over all
+   texts, are found in one pass over its words, with their positions;
+2. the posting of an anchor turns a position into the start of an alignment; an alignment lives on only if the second
+   rarest stands at the place the postings ask for (rare positions first, so few texts get further);
 3. an alignment is accepted if every mandatory key phrase stands where the template has it and the words that agree, weighted
    by their inverse document frequency, reach ``least`` of the template's weight.
 
@@ -47,6 +47,11 @@ class Template:
             found.append((next(i for i in range(len(own)) if own[i : i + len(p)] == p), p))
         return found
 
+    def anchors(self, idf: dict[str, float]) -> list[int]:
+        """Places of the mandatory words, rarest first: every acceptable alignment has them, so none is lost."""
+        own = self.words
+        return sorted({place + k for place, phrase in self.places() for k in range(len(phrase))}, key=lambda i: (-idf[own[i]], i))
+
 
 # Wordings of public licenses.
 TEMPLATES = (
@@ -55,16 +60,16 @@ TEMPLATES = (
     Template("gpl", "general public license", ("general public license",), True),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted", "free of charge")),
     Template("mit", "released under the mit license", ("mit license",)),
-    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
+    Template("apache-2.0", "apache license version 2 0", ("apache license", "version 2 0")),
     Template("gpl-2.0", "gnu general public license version 2", ("general public license", "version 2")),
     Template("gpl-3.0", "gnu general public license version 3", ("general public license", "version 3")),
     Template("lgpl", "gnu lesser general public license", ("lesser general public license",)),
     Template("agpl-3.0", "gnu affero general public license", ("affero general public license",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "binary forms")),
     Template("mpl-2.0", "mozilla public license version 2 0", ("mozilla public license",)),
-    Template("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
+    Template("cc-by", "cc by 4 0", ("cc by 4 0",)),
+    Template("cc-by-sa", "cc by sa 4 0", ("cc by sa",)),
+    Template("cc-by-nc", "cc by nc 4 0", ("cc by nc",)),
     Template("cc0", "cc0 1 0 universal public domain dedication", ("public domain dedication",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
 )
@@ -89,7 +94,7 @@ def inverse_frequencies(n: int, counts: dict[str, int], templates: tuple[Templat
 def _alignments(anchors: Column, text: Column, template: Template, idf: dict[str, float], least: float) -> Column:
     """array<struct<start, score, base, label>> of accepted alignments; ``anchors`` has (word, position) of a text."""
     own = template.words
-    order = sorted(range(len(own)), key=lambda i: (-idf[own[i]], i))
+    order = template.anchors(idf)
     first, second = order[0], order[min(1, len(order) - 1)]
     total = sum(idf[w] for w in own)
     # Places of the text are 1-based; a start below 1 gives null and drops out.
@@ -124,7 +129,7 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] =
     split = words(lower_ascii(F.col(text)), SEPARATORS)
     n, counts = document_frequencies(docs.select(split.alias("words")), templates)
     idf = inverse_frequencies(n, counts, templates)
-    keys = sorted({max(t.words, key=lambda w: (idf[w], -t.words.index(w))) for t in templates})
+    keys = sorted({t.words[t.anchors(idf)[0]] for t in templates})
 
     def hits(w: Column) -> Column:
         placed = F.filter(F.transform(w, lambda x, i: F.when(x.isin(keys), F.struct(x.alias("w"), (i + 1).alias("p")))), lambda a: a.isNotNull())
@@ -164,7 +169,7 @@ frequency AS (SELECT v.word, ln(((SELECT count(*) FROM docs) + 1) / (count(DISTI
   FROM (SELECT DISTINCT word FROM template) v LEFT JOIN tokens t USING (word) GROUP BY v.word),
 weighed AS (SELECT t.*, f.idf FROM template t JOIN frequency f USING (word)),
 total AS (SELECT k, sum(idf) AS idf, sum(CASE WHEN fixed THEN 1 ELSE 0 END) AS fixed FROM weighed GROUP BY k),
-lead AS (SELECT k, arg_min(i, (-idf, i)) AS a,  arg_min(i, (-idf, i), 2)[least(2, count(*))] AS b FROM weighed GROUP BY k),
+lead AS (SELECT k, arg_min(i, (-idf, i)) AS a,  arg_min(i, (-idf, i), 2)[least(2, count(*))] AS b FROM weighed WHERE fixed GROUP BY k),
 starts AS (SELECT t.rid, w.k, t.p - w.i AS start, sum(w.idf) AS idf, sum(CASE WHEN w.fixed THEN 1 ELSE 0 END) AS fixed,
     bool_or(w.i = l.a) AND bool_or(w.i = l.b) AS led
   FROM tokens t JOIN weighed w USING (word) JOIN lead l ON l.k = w.k WHERE t.p >= w.i GROUP BY t.rid, w.k, t.p - w.i),
