@@ -35,7 +35,7 @@ from colophon.llm.shared import written
 DECAY, SPAN, CODES = 0.7, 6, 64
 CLEAN = 4
 START, END = 62, 63
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES = 1 << 17
 LOWEST = -2.0  # decision where a text has fewer than three words
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPLIT = re.compile(r"[^\s\"(),.;:!?|]+")
@@ -85,7 +85,7 @@ def decisions(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
         by_length.setdefault(len(w), []).append(i)
     for n, members in by_length.items():
         places, scale = subsequences(n + 2)
-        step = max(1, 2_000_000 // max(1, len(places)))
+        step = max(1, 500_000 // max(1, len(places)))
         scale = scale.astype(np.float32)
         for at in range(0, len(members), step):
             some = members[at : at + step]
@@ -192,8 +192,8 @@ def top_decisions(text: Column, machine: Machine) -> Column:
         known: dict[str, float] = {}
         for texts in batches:
             out = []
-            for at in range(0, len(texts), 256):
-                bags = [words_of(t or "") for t in texts.iloc[at : at + 256]]
+            for at in range(0, len(texts), 64):
+                bags = [words_of(t or "") for t in texts.iloc[at : at + 64]]
                 new = list(set().union(*bags).difference(known))
                 if len(known) + len(new) > CACHE_ENTRIES:
                     known.clear()
