@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colophon.llm import bpe, licenses, mixing, quality, toxicity
+from colophon.llm import bpe, licenses, lines, mixing, quality, toxicity
 from colophon.llm.shared import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,9 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes from every document; the order is by a hash, so there is no SQL twin."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_line_templates", lines.oracle())
+def line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the lines whose template recurs in an earlier document: line counts and a digest."""
+    return lines.digests(lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
