@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colophon.llm import bpe, licenses, lines, mixing, quality, toxicity
+from colophon.llm import bpe, licenses, lines, mixing, quality, simhash, toxicity
 from colophon.llm.shared import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,10 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text without the lines whose template recurs in an earlier document: line counts and a digest."""
     return lines.digests(lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op5_simhash")
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every whole text; no SQL twin (XXH64), tested against all pairs."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
