@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colophon.llm.shared import BLANK_RUN, bind
+from colophon.llm.shared import BLANK_RUN, bind, written
 
 SEGMENTS = 4
 # Shapes of fields that vary by nature.
@@ -48,7 +48,9 @@ def templates(line: Column, depth: int, min_tokens: int) -> Column:
 def recurring(docs: DataFrame, text: str, depth: int, min_tokens: int, min_docs: int) -> DataFrame:
     """(doc, line numbers) to drop; ``docs`` has the document key ``_doc``."""
     lines = docs.select("_doc", F.posexplode(F.split(text, "\n")).alias("n", "line"))
-    found = lines.select("_doc", "n", F.explode(templates(F.col("line"), depth, min_tokens)).alias("t"))
+    # Hashes are made once: they are read twice below and are much smaller than the lines.
+    hashed = written(lines.select("_doc", "n", templates(F.col("line"), depth, min_tokens).alias("ts")).filter(F.size("ts") > 0), "line_templates")
+    found = hashed.select("_doc", "n", F.explode("ts").alias("t"))
     # Partial aggregates: first and last document of each template, and for min_docs over 2 the number of different ones.
     if min_docs <= 2:
         counted = found.groupBy("t").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).filter("first != last")
