@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colophon.llm import bpe, licenses, lines, mixing, quality, simhash, toxicity
+from colophon.llm import bpe, crosspolytope, licenses, lines, mixing, quality, simhash, toxicity, urllists
 from colophon.llm.shared import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,17 @@ def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every whole text; no SQL twin (XXH64), tested against all pairs."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
+
+
+@query("op10_embedding_links")
+def embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict of every embedding; found by hashing, so tested for recall against all pairs."""
+    return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op9_url_lists", urllists.oracle())
+def url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the list entries that were active on the day it was fetched."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures, log = (spark.sql(text, pages=pages) for text in (urllists.CAPTURES, urllists.LOG))
+    return urllists.judge(captures, log).select("page_id", "host", "fetched", "lists", "n_entries", "blocked")
