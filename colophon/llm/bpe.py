@@ -190,10 +190,11 @@ class Tokenizer:
 
         return data(ids)
 
-    def digest(self, ids: Column) -> Column:
-        """struct<n_tokens, ids_sha256, decoded_sha256> of encoded ids."""
+    def digest(self, ids: Column, with_ids: bool = False) -> Column:
+        """struct<n_tokens, ids_sha256, decoded_sha256> of encoded ids, and the ids themselves if asked for."""
         shared = self._found
-        schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+        names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 if with_ids else 3]
+        schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
         @F.pandas_udf(schema)
         def summary(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -203,8 +204,8 @@ class Tokenizer:
                 for r in rows:
                     packed = np.asarray([] if r is None else r, dtype="<u4")
                     decoded = hashlib.sha256(b"".join(map(token, array("i", packed.tobytes()))))
-                    out.append((len(packed), hashlib.sha256(packed.tobytes()).hexdigest(), decoded.hexdigest()))
-                yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                    out.append((len(packed), hashlib.sha256(packed.tobytes()).hexdigest(), decoded.hexdigest(), packed.view("<i4"))[: len(names)])
+                yield pd.DataFrame(out, columns=names)
 
         return summary(ids)
 

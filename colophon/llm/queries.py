@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colophon.llm import bpe, crosspolytope, licenses, lines, mixing, quality, simhash, toxicity, urllists
+from colophon.llm import bpe, crosspolytope, interpolation, licenses, lines, mixing, quality, simhash, toxicity, urllists
 from colophon.llm.shared import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TOXIC_FOLDS, HELD_OUT, TOXIC = 4, 2, 0.3
 
 
 def query(name: str, oracle: str | None = None):
@@ -35,10 +36,10 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text scored by a machine trained on the labelled rows outside fold 2 of 4; tested on that fold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = fold_of(F.col("doc_id"), 4) == 2
+    held_out = fold_of(F.col("doc_id"), TOXIC_FOLDS) == HELD_OUT
     machine = toxicity.fit(docs.filter(~held_out), labels.filter(~held_out))
     scored = toxicity.score(docs.select("doc_id", "text"), machine)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 @query("op1_license_scan", licenses.oracle())
@@ -86,3 +87,13 @@ def url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures, log = (spark.sql(text, pages=pages) for text in (urllists.CAPTURES, urllists.LOG))
     return urllists.judge(captures, log).select("page_id", "host", "fetched", "lists", "n_entries", "blocked")
+
+
+@query("op4_deleted_interpolation")
+def deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored by pair and word counts of the texts outside fold 2 of 7; fold 5 is held out for the weights."""
+    fold = fold_of(F.col("doc_id"), 7)
+    role = F.when(fold == 2, interpolation.SCORE_ONLY).when(fold == 5, interpolation.DELETED).otherwise(interpolation.FIT)
+    scored = interpolation.score(table(spark, sf_dir, "documents"), role)
+    held_out = (fold == 2).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -164,6 +164,15 @@ def links(fingerprints: DataFrame, distance: int, parts: int, block_rows: int =
     return blocks.linked(filed.select("key", "fp", "_side"), "key", partitions, work, "a long, b long")
 
 
+def _classed(own: DataFrame, distance: int, parts: int) -> DataFrame:
+    """(fp, root, component_id, class_rows) per fingerprint; ``root`` is the smallest fingerprint of the component."""
+    classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_rows")), "classes")
+    roots = components(links(classes.select("fp"), distance, parts)).withColumnRenamed("node", "fp")
+    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(named, "root").select("fp", "root", "component_id", "class_rows")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", distance: int = 4, parts: int = 3, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id, class_rows) for every row of ``docs``.
 
@@ -171,10 +180,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", distance: int = 4, part
     none). Null and blank texts have fingerprint zero and are linked like any other. Repeated rows stay.
     """
     own = written(docs.select("doc_id", fingerprint(F.col(text), shingle).alias("fp")), "fingerprints")
-    classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_rows")), "classes")
-    roots = components(links(classes.select("fp"), distance, parts)).withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = rooted.join(named, "root").select("fp", "component_id", "class_rows")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return own.join(by_class, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "class_rows")
+    return own.join(_classed(own, distance, parts), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "class_rows")
+
+
+def representatives(docs: DataFrame, text: str = "text", distance: int = 4, parts: int = 3, shingle: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` per component: that of the smallest doc_id (null last), of the smallest text hash where ids repeat."""
+    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_th": F.coalesce(F.xxhash64(text), F.lit(0))}
+    own = written(docs.select("doc_id", *[c.alias(k) for k, c in key.items()], fingerprint(F.col(text), shingle).alias("fp")), "fingerprints")
+    least = own.groupBy("fp").agg(F.min(F.struct(*key)).alias("k"))
+    chosen = least.join(_classed(own, distance, parts).select("fp", "root"), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.*")
+    return docs.withColumns(key).join(chosen, list(key), "left_semi").dropDuplicates(list(key)).drop(*key)
