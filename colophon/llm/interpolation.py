@@ -145,8 +145,8 @@ def answers(asked: DataFrame) -> DataFrame:
     """
     ddl = "chunk string, role int, part int, words binary, words_fit binary, pairs binary, pairs_fit binary, tokens long, types long, tokens_fit long, types_fit long"
 
-    def add(key, batches: pd.DataFrame) -> pd.DataFrame:
-        rows = batches.sort_values("chunk")
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        rows = part.sort_values("chunk")
         roles = rows.role.tolist()
         out = {"chunk": rows.chunk, "role": rows.role, "part": rows.part}
         sums = {}
