@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from colophon.llm.shared import written
+
 BLOCK_ROWS = 4096
 
 
@@ -25,7 +27,9 @@ def dealt(rows: DataFrame, key: str, order: str, block_rows: int = BLOCK_ROWS) -
     Rows of an ordinary bucket have side 0. In a pair of different blocks the two have sides 0 and 1 and only rows of
     different sides need to be compared; in a block with itself all have side 0. ``rows`` is read twice.
     """
-    hot = rows.groupBy(key).count().filter(F.col("count") > block_rows).select(key, F.ceil(F.col("count") / block_rows).cast("int").alias("_n"))
+    counted = rows.groupBy(key).count().filter(F.col("count") > block_rows)
+    # Written, so that its size is known when the join is planned: a short table of hot keys saves moving all rows for it.
+    hot = written(counted.select(key, F.ceil(F.col("count") / block_rows).cast("int").alias("_n")), "hot_keys")
     marked = rows.join(hot, key, "left")
     block = F.pmod(F.xxhash64(order), F.col("_n")).cast("int")
     one = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side")))
