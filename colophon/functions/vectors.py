@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from colophon.functions.text import bind
+
 # Fixed values of the score scale.
 DEFAULT_BASELINE = 0.5
 HIGH_PERCENT, MID_PERCENT = 70.0, 45.0
@@ -18,8 +20,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalize(c: Column) -> Column:
     """Unit vector in double precision; a vector without length is returned unchanged."""
-    norm = F.sqrt(dot(c, c))
-    return F.transform(c, lambda x: F.when(norm < 1e-12, x.cast("double")).otherwise(x.cast("double") / norm))
+    scaled = lambda norm: F.transform(c, lambda x: F.when(norm < 1e-12, x.cast("double")).otherwise(x.cast("double") / norm))
+    return bind(F.sqrt(dot(c, c)), scaled)
 
 
 def score_percent(cosine: Column, baseline: Column) -> Column:
@@ -37,8 +39,8 @@ def median_signature(coeffs: Column) -> Column:
     """64 coefficients as a bit set: bit i tells whether coefficient i exceeds the median of 1..63."""
     median = F.array_sort(F.slice(coeffs, 2, SIGNATURE_BITS - 1))[31]
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    powers = F.transform(coeffs, lambda x, i: F.when(x > median, F.call_function("shiftleft", one, i)).otherwise(zero))
-    return F.aggregate(powers, zero, lambda acc, v: acc.bitwiseOR(v))
+    powers = lambda m: F.transform(coeffs, lambda x, i: F.when(x > m, F.call_function("shiftleft", one, i)).otherwise(zero))
+    return F.aggregate(bind(median, powers), zero, lambda acc, v: acc.bitwiseOR(v))
 
 
 def hamming(a: Column, b: Column) -> Column:

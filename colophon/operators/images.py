@@ -13,7 +13,6 @@ from colophon.functions.cellref import a1_format, a1_parse, range_filter
 from colophon.functions.text import contains_ci, natural_sort_key, strip
 from colophon.sources.cells import SHEET
 
-MAX_FLOATING = 300  # fixed value: floating pictures considered per range
 PREVIEW_CHARS = 120  # fixed value: longest note preview
 CELL = [*SHEET, "row", "col"]
 
@@ -108,13 +107,14 @@ def resolve_media_refs(refs: DataFrame, relationships: DataFrame, media: DataFra
     )
 
 
-def place_images(candidates: DataFrame, cell_range: str, max_floating: int = MAX_FLOATING) -> DataFrame:
+def place_images(candidates: DataFrame, cell_range: str, max_floating: int | None = None) -> DataFrame:
     """Images anchored in the range, one per cell: floating pictures before note images, then arrival.
 
-    candidates: image_id, kind FLOATING|NOTE, row, col, pos. The limit on floating pictures is the feature.
+    candidates: image_id, kind FLOATING|NOTE, row, col, pos. Only a given limit leaves floating pictures out.
     """
     inside = range_filter(candidates, cell_range)
-    floating = inside.filter(F.col("kind") == "FLOATING").orderBy("pos").limit(max_floating)
+    floating = inside.filter(F.col("kind") == "FLOATING")
+    floating = floating if max_floating is None else floating.orderBy("pos").limit(max_floating)
     both = floating.unionByName(inside.filter(F.col("kind") == "NOTE"))
     order = F.struct(F.when(F.col("kind") == "FLOATING", 0).otherwise(1).alias("k"), "pos")
     return (

@@ -52,6 +52,7 @@ class Part:
     patterns: list[str]
     clean: bool = True
     longest: int | None = None
+    within: tuple[str, ...] = ()  # cut the block down first: each pattern in the text that the one before leaves
 
 
 @dataclass(frozen=True)
@@ -75,25 +76,23 @@ class ListingSpec:
     people: Part | None = None
 
 
+# A field is read inside its own element: the element is closed first, then its first link is taken.
+WORK = r'<dd\s+class="work_name"[^>]*>([\s\S]*?)</dd>'
+ANCHOR = r'(<a\b[^>]*href="[^"]+"[^>]*>[\s\S]*?</a>)'
+ANCHOR_TEXT = r'<a\b[^>]*href="[^"]+"[^>]*>([\s\S]*?)</a>'
+
 # The two shops whose result pages are read.
 DL = ListingSpec(
     name="dl",
     guard=r'id="search_result_(?:list|img_box)"',
     item_start=r'<li\b[^>]*data-list_item_product_id="([A-Za-z]{2}[0-9]{4,12})"',
     parts={
-        "detail_url": Part([r'<dd\s+class="work_name"[^>]*>[\s\S]{0,1200}?<a\b[^>]*href="([^"]+)"'], clean=False),
-        "title": Part([
-            r'<dd\s+class="work_name"[^>]*>[\s\S]{0,1200}?<a\b(?=[^>]*href=")[^>]*\btitle="([^"]*)"',
-            r'<dd\s+class="work_name"[^>]*>[\s\S]{0,1200}?<a\b[^>]*href="[^"]+"[^>]*>([\s\S]*?)</a>',
-        ], longest=300),
-        "circle": Part([
-            r'<dd\s+class="maker_name"[^>]*>(?:(?!</dd>)[\s\S]){0,600}?<a\b[^>]*href="[^"]+"[^>]*>([\s\S]*?)</a>',
-            r'<dd\s+class="maker_name"[^>]*>([\s\S]{0,600}?)</dd>',
-        ], longest=120),
+        "detail_url": Part([r'href="([^"]+)"'], clean=False, within=(WORK, ANCHOR)),
+        "title": Part([r'^<a\b[^>]*\btitle="([^"]*)"', r'^<a\b[^>]*>([\s\S]*)</a>$'], within=(WORK, ANCHOR)),
+        "circle": Part([ANCHOR_TEXT, r"([\s\S]+)"], within=(r'<dd\s+class="maker_name"[^>]*>([\s\S]*?)</dd>',)),
         "author": Part([
-            r'<dd\s+class="author_name"[^>]*>([\s\S]{0,600}?)</dd>',
-            r"作者\s*</th>\s*<td[^>]*>([\s\S]{0,300}?)</td>",
-        ], longest=120),
+            r'<dd\s+class="author_name"[^>]*>([\s\S]*?)</dd>', r"作者\s*</th>\s*<td[^>]*>([\s\S]*?)</td>",
+        ]),
         "price": Part([r'<span\s+class="work_price_base"[^>]*>\s*([0-9][0-9,]*)\s*</span>'], clean=False),
         "cover": Part([
             r"""((?:https?:)?//img\.dlsite\.jp/[^"'\s]+?_img_main_240x240\.jpg)""",
@@ -114,8 +113,8 @@ MB = ListingSpec(
     parts={
         "detail_url": Part([r'href="(/detail/detail\.php\?product_id=[0-9]{3,12})"'], clean=False),
         "title": Part([
-            r'class="item-ttl product_title"[^>]*>([\s\S]{0,400}?)</p>', r'<a\b[^>]*\btitle="([^"]*)"',
-        ], longest=300),
+            r'class="item-ttl product_title"[^>]*>([\s\S]*?)</p>', r'<a\b[^>]*\btitle="([^"]*)"',
+        ]),
         "price": Part([r'class="item-price"[^>]*>([^<]{1,24})</p>']),
         "cover": Part([r'data-src="(//[^"]*?resize_image\.php[^"]*?)"'], clean=False),
     },
@@ -125,13 +124,15 @@ MB = ListingSpec(
     detail_must=["/detail/detail.php", "product_id="],
     cover_refuse="now_printing",
     same_id=r"product_id=([0-9]+)$",
-    people=Part([r'<p\s+class="search-item-author-author[^"]*"[^>]*>(?:(?!</p>)[\s\S]){0,700}?<a\b[^>]*>([\s\S]{0,200}?)</a>'], longest=120),
+    people=Part([r'<p\s+class="search-item-author-author[^"]*"[^>]*>(?:(?!</p>|<a\b)[\s\S])*+<a\b[^>]*>([\s\S]*?)</a>']),
 )
 
 
 def _read(block: Column, part: Part) -> Column:
     """First pattern with a non-empty reading; null when there is none."""
     readings = []
+    for pattern in part.within:
+        block = F.regexp_extract(block, pattern, 1)
     for pattern in part.patterns:
         raw = F.regexp_extract(block, pattern, 1)
         text = html_text(raw) if part.clean else strip(unescape(raw))
@@ -168,7 +169,7 @@ def extract_listing(pages: DataFrame, spec: ListingSpec, key: str, limit: int, h
             values["cover"] = F.when(F.startswith(cover, F.lit(spec.cover_must)) & ~refused, cover)
         if spec.people is not None:
             names = F.regexp_extract_all(block, F.lit(spec.people.patterns[0]), F.lit(1))
-            cleaned = F.transform(names, lambda n: F.substring(html_text(n), 1, spec.people.longest))
+            cleaned = F.transform(names, html_text)
             values["author"] = F.array_join(F.slice(F.array_distinct(F.filter(cleaned, lambda n: n != "")), 1, 2), ", ")
         return F.struct(
             i.alias("arrival"), (F.upper(ident) if spec.upper_id else ident).alias("id"),

@@ -2,7 +2,7 @@
 
 Cells stay in long form, keyed by (workbook, sheet_key, sheet). A sheet may hold any share of all cells, so
 work inside a sheet goes through keyed aggregates and equi-joins on (sheet, row) or (sheet, col); the only
-per-sheet windows run over its columns, of which the reader admits at most 512.
+per-sheet windows run over its columns.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from colophon.sources.cells import SHEET
 
 # Fixed values of table detection.
 HEADER_SCAN_ROWS, MIN_HEADER_CELLS, MAX_HEADER_CHARS = 12, 3, 40
-MAX_RECORDS = 5000
 MAX_LINK_CELLS = 1024
 CONTEXT_ROWS, MAX_WINDOW_COLUMNS = 6, 96
 
@@ -27,7 +26,7 @@ def detect_header(cells: DataFrame) -> DataFrame:
     usable = F.length(text).between(1, MAX_HEADER_CHARS) & ~F.rlike(text, F.lit(r"^\p{Nd}+$"))
     per_row = (
         cells.filter((F.col("row") < HEADER_SCAN_ROWS) & usable)
-        .groupBy(*SHEET, "row").agg(F.size(F.collect_set("col")).alias("n"))  # at most 512 columns
+        .groupBy(*SHEET, "row").agg(F.count_distinct("col").alias("n"))
     )
     best = F.max(F.struct("n", (-F.col("row")).alias("up"))).alias("best")
     return (
@@ -55,12 +54,10 @@ def table_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def _table_rows(cells: DataFrame, columns: DataFrame, max_records: int):
+def _table_rows(cells: DataFrame, columns: DataFrame):
     """Cells below the header in table columns, and one row per sheet row that has any."""
     known = columns.select(*SHEET, "header_row", "idx", "col", "name", "labels")
-    body = cells.join(known, [*SHEET, "col"]).filter(
-        (F.col("row") > F.col("header_row")) & (F.col("row") <= F.col("header_row") + max_records)
-    )
+    body = cells.join(known, [*SHEET, "col"]).filter(F.col("row") > F.col("header_row"))
     rows = (
         body.groupBy(*SHEET, "row")
         .agg(
@@ -72,34 +69,29 @@ def _table_rows(cells: DataFrame, columns: DataFrame, max_records: int):
     return body, rows
 
 
-def table_extent(rows: DataFrame) -> DataFrame:
-    """SHEET, first_row, last_row, repeats: a table ends before the first blank row after a record.
+def table_extent(rows: DataFrame, max_records: int | None = None) -> DataFrame:
+    """SHEET, first_row, last_row: a table ends before the first blank row after a record.
 
-    The rows of a sheet are combined into one sorted array of at most max_records (and never more than the
-    reader's 20000) integers. From the first record on, rows without a gap keep row - position constant, so
-    the length of that run is a filter over the array: no self-join and no sort of a sheet in one task.
+    A row ends a run if the row after it is missing: an equi-join on (sheet, row), so a sheet of any length is spread over
+    tasks. The table ends at the first such row from its first record on; an explicit limit may end it before.
     """
-    packed = rows.groupBy(*SHEET).agg(
-        F.min(F.when(~F.col("repeat"), F.col("row"))).alias("first_row"),
-        F.array_sort(F.collect_list("row")).alias("rows"),
-        F.collect_list(F.when(F.col("repeat"), F.col("row"))).alias("repeats"),
-    ).filter(F.col("first_row").isNotNull())
-    after = F.filter("rows", lambda r: r >= F.col("first_row"))
-    run = F.filter(F.transform(after, lambda r, i: r - i), lambda start: start == F.col("first_row"))
-    return packed.select(*SHEET, "first_row", (F.col("first_row") + F.size(run) - 1).alias("last_row"), "repeats")
+    first = rows.filter(~F.col("repeat")).groupBy(*SHEET).agg(F.min("row").alias("first_row"))
+    after = rows.select(*SHEET, (F.col("row") - 1).alias("row"))
+    ends = rows.select(*SHEET, "row").join(after, [*SHEET, "row"], "left_anti")
+    extent = ends.join(first, SHEET).filter(F.col("row") >= F.col("first_row")).groupBy(*SHEET, "first_row").agg(F.min("row").alias("last_row"))
+    if max_records is None:
+        return extent
+    return extent.withColumn("last_row", F.least("last_row", F.col("first_row") + (max_records - 1)))
 
 
 def table_cells(
-    cells: DataFrame, columns: DataFrame, styles: DataFrame | None = None, max_records: int = MAX_RECORDS
+    cells: DataFrame, columns: DataFrame, styles: DataFrame | None = None, max_records: int | None = None
 ) -> DataFrame:
-    """SHEET, row, idx, col, name, text, shown: the filled cells of the table's records.
-
-    The extent is one row per sheet, so the cells are only filtered, not shuffled again by row.
-    """
-    body, rows = _table_rows(cells, columns, max_records)
-    kept = body.join(table_extent(rows), SHEET).filter(
-        F.col("row").between(F.col("first_row"), F.col("last_row")) & ~F.array_contains("repeats", F.col("row"))
-    )
+    """SHEET, row, idx, col, name, text, shown: the filled cells of the table's records; rows that repeat the header are none."""
+    body, rows = _table_rows(cells, columns)
+    inside = F.col("row").between(F.col("first_row"), F.col("last_row"))
+    kept = body.join(table_extent(rows, max_records), SHEET).filter(inside)
+    kept = kept.join(rows.filter("repeat").select(*SHEET, "row"), [*SHEET, "row"], "left_anti")
     if styles is not None:
         kept = display_cells(kept, styles)
     else:
@@ -118,11 +110,15 @@ def table_records(table: DataFrame, columns: DataFrame) -> DataFrame:
     return packed.join(width, SHEET).select(*SHEET, "row", pick("text").alias("values"), pick("shown").alias("shown"))
 
 
-def table_truncation(cells: DataFrame, columns: DataFrame, max_records: int = MAX_RECORDS) -> DataFrame:
-    """SHEET, blank_row, skipped_rows, first_skipped_row where rows with data follow the end of the table."""
-    _, rows = _table_rows(cells, columns, max_records)
+def table_truncation(cells: DataFrame, columns: DataFrame, max_records: int | None = None) -> DataFrame:
+    """SHEET, blank_row, skipped_rows, first_skipped_row where rows with data follow the end of the table.
+
+    What an explicit limit leaves out counts as skipped too.
+    """
+    _, rows = _table_rows(cells, columns)
+    after = F.col("row") > F.col("last_row") + (1 if max_records is None else 0)
     return (
-        rows.join(table_extent(rows), SHEET).filter(F.col("row") > F.col("last_row") + 1)
+        rows.join(table_extent(rows, max_records), SHEET).filter(after)
         .groupBy(*SHEET, (F.col("last_row") + 1).alias("blank_row"))
         .agg(F.count("*").alias("skipped_rows"), F.min("row").alias("first_skipped_row"))
     )

@@ -188,7 +188,7 @@ SELECT l_orderkey * 10 + l_linenumber AS image_id, CASE WHEN l_returnflag = 'R'
 
 @query("place_images", """
 WITH inside AS (SELECT * FROM placed WHERE row BETWEEN 4 AND 39 AND col BETWEEN 1 AND 19),
-both_kinds AS (SELECT * FROM (SELECT * FROM inside WHERE kind = 'FLOATING' ORDER BY pos LIMIT 300) UNION ALL SELECT * FROM inside WHERE kind = 'NOTE')
+both_kinds AS (SELECT * FROM inside WHERE kind = 'FLOATING' UNION ALL SELECT * FROM inside WHERE kind = 'NOTE')
 SELECT chr(65 + col) || (row + 1) AS cell, row, col, image_id, kind FROM (
   SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY CASE kind WHEN 'FLOATING' THEN 0 ELSE 1 END, pos) AS rn FROM both_kinds) WHERE rn = 1
 """, ["placed"])

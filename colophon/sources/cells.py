@@ -10,13 +10,15 @@ CELLS_DDL = (
     "workbook string, sheet string, sheet_key string, row int, col int, text string, style int, numeric boolean"
 )
 SHEET = ["workbook", "sheet_key", "sheet"]
-MAX_ROWS, MAX_COLS = 20_000, 512  # fixed values: the part of a worksheet that is read
 
 
-def clean_cells(raw: DataFrame) -> DataFrame:
-    """Stripped, non-empty cells inside the readable area; a missing sheet key falls back on the name."""
+def clean_cells(raw: DataFrame, max_rows: int | None = None, max_cols: int | None = None) -> DataFrame:
+    """Stripped, non-empty cells; a missing sheet key falls back on the name. Only a given limit cuts a sheet."""
+    inside = (F.col("row") >= 0) & (F.col("col") >= 0)
+    for name, limit in (("row", max_rows), ("col", max_cols)):
+        inside = inside if limit is None else inside & (F.col(name) < limit)
     return (
-        raw.filter((F.col("row") < MAX_ROWS) & (F.col("col") < MAX_COLS) & (F.col("row") >= 0) & (F.col("col") >= 0))
+        raw.filter(inside)
         .withColumn("text", strip(F.col("text")))
         .filter(F.col("text") != "")
         .withColumn("sheet_key", sheet_key("sheet_key", "sheet"))

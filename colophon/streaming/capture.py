@@ -33,8 +33,9 @@ DEFAULT = CaptureConfig()
 TICKS = "device long, ts timestamp, phase string, stable_count int, capture boolean, steady boolean, signature long"
 # previous signature, stable count, cooldown end, accepted signature, bad frames, bad streak, last outcome, last steady
 STATE = (
-    "previous long, stable int, cooldown_until long, accepted long, bad int, streak int, outcome string, steady boolean"
+    "previous long, stable int, cooldown_until long, accepted long, bad int, streak int, outcome string, steady boolean, last_seen long"
 )
+EXPIRE_MS = 600_000
 START = (None, 0, 0, None, 0, 0, "CAPTURED", False)
 
 
@@ -91,22 +92,29 @@ def _prepared(frames: DataFrame, config: CaptureConfig) -> DataFrame:
     return frames.select("device", ts.alias("ts"), F.unix_millis(ts).alias("now_ms"), gate(config).alias("gate"), "signature")
 
 
-def _run(pdf: pd.DataFrame, state: tuple, config: CaptureConfig) -> tuple[tuple, pd.DataFrame]:
-    """Step the frames of one device in event order."""
+def _run(pdf: pd.DataFrame, state: tuple, config: CaptureConfig, expire_ms: int) -> tuple[tuple, pd.DataFrame]:
+    """Step the frames of one device in event order. ``state`` ends with the time of its last frame: a device silent for
+    longer than ``expire_ms`` starts anew, whatever trigger or batch its next frame comes in."""
     out = []
+    state, last_seen = state[:-1], state[-1]
     for row in pdf.sort_values(["now_ms", "signature"], kind="stable").itertuples(index=False):
-        state, tick = step(state, int(row.now_ms), row.gate, int(row.signature), config)
+        now = int(row.now_ms)
+        if last_seen is not None and now - last_seen > expire_ms:
+            state = START
+        last_seen = now
+        state, tick = step(state, now, row.gate, int(row.signature), config)
         out.append((row.device, row.ts, *tick))
     names = ["device", "ts", "phase", "stable_count", "capture", "steady", "signature"]
     ticks = pd.DataFrame(out, columns=names)
     ticks["signature"] = ticks["signature"].astype("Int64")
-    return state, ticks
+    return (*state, last_seen), ticks
 
 
 def capture_events(
-    frames: DataFrame, config: CaptureConfig = DEFAULT, delay: str = "10 seconds", expire_ms: int = 600_000
+    frames: DataFrame, config: CaptureConfig = DEFAULT, delay: str = "10 seconds", expire_ms: int = EXPIRE_MS
 ) -> DataFrame:
-    """Ticks of a frame stream, keyed by device. The watermark orders time and expires silent devices.
+    """Ticks of a frame stream, keyed by device. How the frames fall into triggers makes no difference: a silent device starts
+    anew by its own frames' times, and the timeout by watermark only frees its memory after that.
 
     Rows later than the watermark are dropped before they reach the state; count them with the query's progress
     (numRowsDroppedByWatermark). The frames of one device in one trigger are sorted together, so bound the trigger
@@ -117,10 +125,10 @@ def capture_events(
         if state.hasTimedOut:
             state.remove()
             return
-        current = tuple(state.get) if state.exists else START
+        current = tuple(state.get) if state.exists else (*START, None)
         rows = pd.concat(list(batches), ignore_index=True)
         latest = int(rows["now_ms"].max())
-        current, ticks = _run(rows, current, config)
+        current, ticks = _run(rows, current, config, expire_ms)
         state.update(current)
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + expire_ms)
         yield ticks
@@ -131,7 +139,7 @@ def capture_events(
     )
 
 
-def capture_events_batch(frames: DataFrame, config: CaptureConfig = DEFAULT) -> DataFrame:
+def capture_events_batch(frames: DataFrame, config: CaptureConfig = DEFAULT, expire_ms: int = EXPIRE_MS) -> DataFrame:
     """The same ticks over a finished table.
 
     The rows of a device arrive sorted and in Arrow batches, and only the small state is kept between them, so a
@@ -140,12 +148,12 @@ def capture_events_batch(frames: DataFrame, config: CaptureConfig = DEFAULT) ->
     ordered = _prepared(frames, config).repartition("device").sortWithinPartitions("device", "now_ms", "signature")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        device, state = None, START
+        device, state = None, (*START, None)
         for pdf in batches:
             for key, rows in pdf.groupby("device", sort=False):
                 if key != device:
-                    device, state = key, START
-                state, ticks = _run(rows, state, config)
+                    device, state = key, (*START, None)
+                state, ticks = _run(rows, state, config, expire_ms)
                 yield ticks
 
     return ordered.mapInPandas(walk, TICKS)
