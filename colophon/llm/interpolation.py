@@ -37,6 +37,17 @@ BUCKETS, STEP = 24, 20
 SCORE_ONLY, FIT, DELETED = 0, 1, 2  # roles of a text: counted nowhere, counted, counted and predicted for the weights
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of an array by significance, not by value: the high bytes of sorted hashes and small counts compress away."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def _plain(data: bytes, dtype) -> np.ndarray:
+    kind = np.dtype(dtype)
+    n = len(data) // kind.itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8, count=len(data)).reshape(kind.itemsize, n).T).view(kind).reshape(n) if n else np.empty(0, kind)
+
+
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of an ordered pair of hashes."""
     with np.errstate(over="ignore"):
@@ -46,60 +57,55 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def packed(docs: DataFrame, chunk_tokens: int) -> DataFrame:
-    """Chunks of (chunk, role, docs, lengths, vocab, tokens) from rows of (doc_id, role, text); arrays are little-endian bytes.
+    """Chunks of (chunk, deleted, ids, null_ids, counted, lengths, vocab, tokens) from rows of (doc_id, role, text).
 
-    ``docs`` holds the ids (8 bytes each) and ``null_ids`` a flag per text; ``tokens`` numbers every word and end in order.
+    Per text there is an id, a flag for a null one, a flag for a text that counts, and a length; ``tokens`` numbers every word
+    and end in order, ``vocab`` has the hashes by number. Deleted texts have chunks of their own. Arrays are :func:`_planes`.
     """
 
-    def chunk(role: int, ids: list, lengths: list[int], words: dict[bytes, int], tokens: list[np.ndarray]) -> pa.RecordBatch:
+    def chunk(deleted: bool, ids: list, counted: list[bool], lengths: list[int], words: dict[bytes, int], tokens: list[np.ndarray]) -> pa.RecordBatch:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
         row = {
-            "chunk": uuid.uuid4().hex, "role": role, "ids": np.array([0 if i is None else i for i in ids], dtype=np.int64).tobytes(),
-            "null_ids": np.array([i is None for i in ids], dtype=np.uint8).tobytes(), "lengths": np.array(lengths, dtype=np.int64).tobytes(),
-            "vocab": hashes.tobytes(), "tokens": np.concatenate(tokens).astype(np.int32).tobytes(),
+            "chunk": uuid.uuid4().hex, "deleted": deleted, "ids": _planes(np.array([0 if i is None else i for i in ids], dtype=np.int64)),
+            "null_ids": _planes(np.array([i is None for i in ids], dtype=np.uint8)), "counted": _planes(np.array(counted, dtype=np.uint8)),
+            "lengths": _planes(np.array(lengths, dtype=np.int64)), "vocab": _planes(hashes), "tokens": _planes(np.concatenate(tokens)),
         }
         return pa.RecordBatch.from_pylist([row], schema=CHUNK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[int, tuple] = {}
+        open_: dict[bool, tuple] = {}
         for batch in batches:
-            for doc_id, role, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "role", "text")), strict=True):
-                split = (text or "").encode().translate(_LOWER).split()
-                if role in open_ and open_[role][0] + len(split) > chunk_tokens:
-                    yield chunk(role, *open_.pop(role)[1:])
-                size, ids, lengths, words, tokens = open_.pop(role, (0, [], [], {END: 0}, []))
+            for doc_id, role, text in zip(batch.column("doc_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text"), strict=True):
+                split = (text.as_py() or "").encode().translate(_LOWER).split()
+                deleted = role == DELETED
+                if deleted in open_ and open_[deleted][0] + len(split) > chunk_tokens:
+                    yield chunk(deleted, *open_.pop(deleted)[1:])
+                size, ids, counted, lengths, words, tokens = open_.pop(deleted, (0, [], [], [], {END: 0}, []))
                 number = words.setdefault
                 tokens.append(np.array([*[number(w, len(words)) for w in split], 0], dtype=np.int32))
                 ids.append(doc_id)
+                counted.append(role != SCORE_ONLY)
                 lengths.append(len(split) + 1)
-                open_[role] = (size + len(split) + 1, ids, lengths, words, tokens)
-        for role, rest in open_.items():
-            yield chunk(role, *rest[1:])
+                open_[deleted] = (size + len(split) + 1, ids, counted, lengths, words, tokens)
+        for deleted, rest in open_.items():
+            yield chunk(deleted, *rest[1:])
 
     return docs.select("doc_id", "role", "text").mapInArrow(run, CHUNK_DDL)
 
 
-CHUNK_DDL = "chunk string, role int, ids binary, null_ids binary, lengths binary, vocab binary, tokens binary"
-CHUNK = pa.schema([("chunk", pa.string()), ("role", pa.int32()), *((c, pa.binary()) for c in ("ids", "null_ids", "lengths", "vocab", "tokens"))])
+_ARRAYS = ("ids", "null_ids", "counted", "lengths", "vocab", "tokens")
+CHUNK_DDL = "chunk string, deleted boolean, " + ", ".join(f"{c} binary" for c in _ARRAYS)
+CHUNK = pa.schema([("chunk", pa.string()), ("deleted", pa.bool_()), *((c, pa.binary()) for c in _ARRAYS)])
 
 
 def _codes(vocab: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of the chunk's tokens, those of their contexts, and the pair hashes; a text starts after an end."""
-    hashes = np.frombuffer(vocab, dtype=np.uint64)
-    numbers = np.frombuffer(tokens, dtype=np.int32)
-    words = hashes[numbers]
+    hashes = _plain(vocab, np.uint64)
+    words = hashes[_plain(tokens, np.int32)]
     contexts = np.concatenate((hashes[:1], words[:-1]))
     return words, contexts, _mix(contexts, words)
 
 
-def _asked(vocab: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted different word and pair hashes of a chunk with their counts."""
-    words, _, pairs = _codes(vocab, tokens)
-    w, wc = np.unique(words, return_counts=True)
-    p, pc = np.unique(pairs, return_counts=True)
-    return w, wc, p, pc
-
-
 def _cuts(sorted_codes: np.ndarray, parts: int) -> np.ndarray:
     """Borders of the partitions of the hash space in sorted codes."""
     width = (1 << 64) // parts + 1
@@ -108,55 +114,59 @@ def _cuts(sorted_codes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def requests(chunks: DataFrame, parts: int) -> DataFrame:
-    """(part, chunk, role, words, word_counts, pairs, pair_counts): what every chunk has in each partition of the hash space."""
-    ddl = "part int, chunk string, role int, words binary, word_counts binary, pairs binary, pair_counts binary"
+    """(part, chunk, deleted, words, word_counts, pairs, pair_counts): what a chunk has in each partition of the hash space.
+
+    Codes are sorted; counts are those in texts that count, 0 for a code of other texts only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(["chunk", "role", "vocab", "tokens"]).to_pylist():
-                w, wc, p, pc = _asked(row["vocab"], row["tokens"])
-                wb, pb = _cuts(w, parts), _cuts(p, parts)
-                out = [
-                    (i, row["chunk"], row["role"], w[wb[i] : wb[i + 1]].tobytes(), wc[wb[i] : wb[i + 1]].astype(np.uint32).tobytes(),
-                     p[pb[i] : pb[i + 1]].tobytes(), pc[pb[i] : pb[i + 1]].astype(np.uint32).tobytes())
-                    for i in range(parts)
-                ]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=[x.split()[0] for x in ddl.split(", ")]).astype({"part": "int32", "role": "int32"}), preserve_index=False)
-
-    return chunks.mapInArrow(run, ddl)
-
-
-def _added(codes: list[bytes], counts: list[bytes], roles: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted different codes with their counts in the texts that count, and in those that aren't deleted."""
-    every = np.concatenate([np.frombuffer(c, dtype=np.uint64) for c in codes])
-    n = np.concatenate([np.frombuffer(c, dtype=np.uint32) for c in counts]).astype(np.int64)
-    role = np.repeat(roles, [len(c) // 8 for c in codes])
-    unique, at = np.unique(every, return_inverse=True)
-    fit = np.bincount(at, weights=np.where(role == FIT, n, 0), minlength=len(unique)).astype(np.int64)
-    both = fit + np.bincount(at, weights=np.where(role == DELETED, n, 0), minlength=len(unique)).astype(np.int64)
-    return unique, both, fit
+            for row in batch.select(["chunk", "deleted", "counted", "lengths", "vocab", "tokens"]).to_pylist():
+                words, _, pairs = _codes(row["vocab"], row["tokens"])
+                weight = np.repeat(_plain(row["counted"], np.uint8), _plain(row["lengths"], np.int64))
+                columns: dict[str, list] = {"part": list(range(parts)), "chunk": [row["chunk"]] * parts, "deleted": [row["deleted"]] * parts}
+                for name, codes in (("word", words), ("pair", pairs)):
+                    unique, at = np.unique(codes, return_inverse=True)
+                    counts = np.bincount(at, weights=weight, minlength=len(unique)).astype(np.uint32)
+                    cuts = _cuts(unique, parts)
+                    columns[f"{name}s"] = [_planes(unique[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                    columns[f"{name}_counts"] = [_planes(counts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_pydict(columns, schema=REQUEST)
+
+    return chunks.mapInArrow(run, "part int, chunk string, deleted boolean, words binary, word_counts binary, pairs binary, pair_counts binary")
+
+
+REQUEST = pa.schema([("part", pa.int32()), ("chunk", pa.string()), ("deleted", pa.bool_()), *((c, pa.binary()) for c in ("words", "word_counts", "pairs", "pair_counts"))])
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """(chunk, role, part, words, words_fit, pairs, pairs_fit, tokens, types, tokens_fit, types_fit), one row per request.
+    """(chunk, deleted, part, words, words_fit, pairs, pairs_fit, tokens, types, tokens_fit), one row per request.
 
-    Counts are unsigned 32-bit bytes in the order of the request; the last four are sums of the partition, given once (with
-    its first chunk). A partition holds its share of the hash space; ``parts`` grows with the tokens.
+    Counts are unsigned 32-bit, in the order of the request: of all texts that count, and (for deleted chunks only) of those
+    that aren't deleted. The last three are sums of the partition, given once. A partition holds its share of the hash space,
+    and the number of partitions grows with the tokens.
     """
-    ddl = "chunk string, role int, part int, words binary, words_fit binary, pairs binary, pairs_fit binary, tokens long, types long, tokens_fit long, types_fit long"
+    ddl = "chunk string, deleted boolean, part int, words binary, words_fit binary, pairs binary, pairs_fit binary, tokens long, types long, tokens_fit long"
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         rows = part.sort_values("chunk")
-        roles = rows.role.tolist()
-        out = {"chunk": rows.chunk, "role": rows.role, "part": rows.part}
+        out = {"chunk": rows.chunk, "deleted": rows.deleted, "part": rows.part}
         sums = {}
-        for kind, n in (("words", "word_counts"), ("pairs", "pair_counts")):
-            unique, both, fit = _added(rows[kind].tolist(), rows[n].tolist(), roles)
-            at = [np.searchsorted(unique, np.frombuffer(c, dtype=np.uint64)) for c in rows[kind]]
-            out[kind] = [both[i].astype(np.uint32).tobytes() for i in at]
-            out[f"{kind}_fit"] = [fit[i].astype(np.uint32).tobytes() for i in at]
-            if kind == "words":
-                sums = {"tokens": both.sum(), "types": (both > 0).sum(), "tokens_fit": fit.sum(), "types_fit": (fit > 0).sum()}
+        for name in ("word", "pair"):
+            codes = [_plain(x, np.uint64) for x in rows[f"{name}s"]]
+            counts = [_plain(x, np.uint32) for x in rows[f"{name}_counts"]]
+            unique = np.unique(np.concatenate(codes))
+            both, fit = np.zeros(len(unique), dtype=np.uint32), np.zeros(len(unique), dtype=np.uint32)
+            for c, n, deleted in zip(codes, counts, rows.deleted, strict=True):  # the codes of one chunk are different
+                at = np.searchsorted(unique, c)
+                both[at] += n
+                if not deleted:
+                    fit[at] += n
+            found = [np.searchsorted(unique, c) for c in codes]
+            out[f"{name}s"] = [_planes(both[at]) for at in found]
+            out[f"{name}s_fit"] = [_planes(fit[at]) if d else b"" for at, d in zip(found, rows.deleted, strict=True)]
+            if name == "word":
+                sums = {"tokens": both.sum(dtype=np.int64), "types": (both > 0).sum(), "tokens_fit": fit.sum(dtype=np.int64)}
         for name, value in sums.items():
             out[name] = [int(value), *[0] * (len(rows) - 1)]
         return pd.DataFrame(out)
@@ -169,10 +179,10 @@ def _seen(chunk: pd.Series, replies: pd.DataFrame, fit: bool) -> tuple[np.ndarra
     words, contexts, pairs = _codes(chunk.vocab, chunk.tokens)
     by_part = replies.sort_values("part")
     suffix = "_fit" if fit else ""
-    w, p = np.unique(words), np.unique(pairs)
-    wc = np.frombuffer(b"".join(by_part[f"words{suffix}"]), dtype=np.uint32).astype(np.int64)
-    pc = np.frombuffer(b"".join(by_part[f"pairs{suffix}"]), dtype=np.uint32).astype(np.int64)
-    return wc[np.searchsorted(w, words)], wc[np.searchsorted(w, contexts)], pc[np.searchsorted(p, pairs)]
+    w = np.unique(words)
+    p, at = np.unique(pairs, return_inverse=True)
+    wc, pc = (np.concatenate([_plain(x, np.uint32) for x in by_part[f"{c}{suffix}"]]).astype(np.int64) for c in ("words", "pairs"))
+    return wc[np.searchsorted(w, words)], wc[np.searchsorted(w, contexts)], pc[at]
 
 
 def bucket(context_count: np.ndarray) -> np.ndarray:
@@ -215,7 +225,7 @@ def learn(deleted: DataFrame, replies: DataFrame, tokens_fit: int, rounds: int =
     return weights
 
 
-def score(docs: DataFrame, role: Column, chunk_tokens: int = 2_000_000, part_tokens: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, role: Column, chunk_tokens: int = 2_000_000, part_tokens: int = 2_000_000) -> DataFrame:
     """(doc_id, role, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text and more).
 
     ``role`` says what a text teaches: SCORE_ONLY, FIT or DELETED (in the counts, but left out of those that its own tokens are
@@ -226,19 +236,19 @@ def score(docs: DataFrame, role: Column, chunk_tokens: int = 2_000_000, part_tok
     size = chunks.agg(F.coalesce(F.sum(F.length("tokens") / 4), F.lit(0.0)).alias("n")).first().n
     parts = max(8, int(-(-size // part_tokens)))
     replies = written(answers(requests(chunks, parts).repartition(parts, "part")), "answers")
-    sums = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "tokens_fit", "types_fit")]).first()
-    weights = learn(chunks.filter(F.col("role") == DELETED), replies.filter(F.col("role") == DELETED), sums.tokens_fit)
+    sums = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "tokens_fit")]).first()
+    weights = learn(chunks.filter("deleted"), replies.filter("deleted"), sums.tokens_fit)
     n, v = int(sums.tokens), int(sums.types)
 
     def scores(chunk: pd.Series, right: pd.DataFrame) -> pd.DataFrame:
         c1, cv, c2 = _seen(chunk, right, False)
         w = weights[bucket(cv)]
         p = w[:, 0] * c2 / np.maximum(cv, 1) + w[:, 1] * c1 / max(1, n) + w[:, 2] / (v + 1)
-        lengths = np.frombuffer(chunk.lengths, dtype=np.int64)
+        lengths = _plain(chunk.lengths, np.int64)
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        ids, none = np.frombuffer(chunk.ids, dtype=np.int64), np.frombuffer(chunk.null_ids, dtype=np.uint8).astype(bool)
+        ids, none = _plain(chunk.ids, np.int64), _plain(chunk.null_ids, np.uint8).astype(bool)
         return pd.DataFrame({
-            "doc_id": pd.arrays.IntegerArray(ids.copy(), none), "n_tokens": lengths, "n_known": np.add.reduceat((c1 > 0).astype(np.int64), starts),
+            "doc_id": pd.arrays.IntegerArray(ids, none), "n_tokens": lengths, "n_known": np.add.reduceat((c1 > 0).astype(np.int64), starts),
             "base_score": np.add.reduceat(np.log10((c1 + 1.0) / (n + 1.0 * (v + 1))), starts), "score": np.add.reduceat(np.log10(np.maximum(p, 1e-300)), starts),
         })
 

@@ -18,7 +18,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
     spark: SparkSession = df.sparkSession
     path = f"{checkpoint_dir(spark)}/corpus/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
