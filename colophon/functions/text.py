@@ -53,6 +53,11 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+def first_of(items: Column, most: int | None) -> Column:
+    """The first ``most`` elements; None keeps all."""
+    return items if most is None else F.slice(items, 1, most)
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with the value computed once: inside a lambda it is a variable, not an expression."""
     return F.transform(F.array(value), body)[0]

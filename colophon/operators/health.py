@@ -48,11 +48,12 @@ def _rest(df: DataFrame, cap: int, id_: str, category: str) -> DataFrame:
 
 def health_structure(
     unreadable: DataFrame, truncations: DataFrame, tables: DataFrame, diagnostics: DataFrame | None = None,
-    scan_truncated: bool = False, whole_scope: bool = True,
+    scan_truncated: bool = False, whole_scope: bool = True, listed: int = MAX_DIAGNOSTICS,
 ) -> DataFrame:
     """unreadable: sheet; truncations: table_truncation; tables: sheet; diagnostics: pos, level, part, message.
 
-    Findings about the package as a whole are only reported when no sheet selection is active.
+    The first ``listed`` warnings are findings of their own, the rest is counted. Findings about the package as a whole are
+    only reported when no sheet selection is active.
     """
     parts = [
         _finding(unreadable, F.concat(F.lit("structure:unreadable:"), "sheet"), "STRUCTURE", "ERROR", sheet=F.col("sheet")),
@@ -68,12 +69,12 @@ def health_structure(
         one = tables.agg(F.count("*").alias("tables"))
         parts.append(_finding(one, F.lit("structure:truncated"), "STRUCTURE", "WARNING"))
     if whole_scope and diagnostics is not None:
-        listed = diagnostics.orderBy("pos").limit(MAX_DIAGNOSTICS).filter("level = 'WARNING'")
+        warnings = diagnostics.filter("level = 'WARNING'")
         parts.append(_finding(
-            listed, F.concat(F.lit("structure:diagnostic:"), F.col("pos").cast("string")), "STRUCTURE", "WARNING",
+            warnings.orderBy("pos").limit(listed), F.concat(F.lit("structure:diagnostic:"), F.col("pos").cast("string")), "STRUCTURE", "WARNING",
             field=F.col("part"), evidence=F.col("message"),
         ))
-        parts.append(_rest(diagnostics, MAX_DIAGNOSTICS, "structure:diagnostic:more", "STRUCTURE"))
+        parts.append(_rest(warnings, listed, "structure:diagnostic:more", "STRUCTURE"))
     return _union(parts)
 
 

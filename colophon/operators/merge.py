@@ -29,7 +29,7 @@ def result_rank(provider: Column) -> Column:
     return F.when(F.lower(provider).isin(MARKETPLACES), RANK_MARKETPLACE).otherwise(RANK_CATALOGUE)
 
 
-def merge_results(results: DataFrame, promoted: DataFrame | None = None, limit: int = 10) -> DataFrame:
+def merge_results(results: DataFrame, promoted: DataFrame | None = None, limit: int | None = 10) -> DataFrame:
     """One row per search and key, the best-ranked one, at the place where the key first arrived.
 
     results: search, pos, provider, source, id, url, title (more columns are carried). Promoted keys
@@ -47,7 +47,7 @@ def merge_results(results: DataFrame, promoted: DataFrame | None = None, limit:
     else:
         merged = merged.withColumn("promoted", F.lit(None).cast("int"))
     order = W.partitionBy("search").orderBy(F.coalesce("promoted", F.lit(1)), "first_pos")
-    placed = merged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    placed = merged.withColumn("place", F.row_number().over(order)).filter(F.lit(True) if limit is None else F.col("place") <= limit)
     return placed.select("search", "key", "place", "r.*")
 
 
@@ -67,7 +67,7 @@ def reverse_key(product_id: Column, url: Column, provider: Column, result_id: Co
     )
 
 
-def merge_reverse_hits(hits: DataFrame, limit: int = 20) -> DataFrame:
+def merge_reverse_hits(hits: DataFrame, limit: int | None = 20) -> DataFrame:
     """One candidate per search and identity, best first.
 
     hits: search, pos, provider, result_id, similarity, source_url, image_url, title, circle, author, product_id of
@@ -87,7 +87,7 @@ def merge_reverse_hits(hits: DataFrame, limit: int = 20) -> DataFrame:
     )
     order = W.partitionBy("search").orderBy("p.priority", "p.weak", "key")
     return (
-        merged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+        merged.withColumn("place", F.row_number().over(order)).filter(F.lit(True) if limit is None else F.col("place") <= limit)
         .select(
             "search", "key", "place", "title", "circle", "author", "product_id", "image_url", "p.provider", "p.source_url",
             F.when(-F.col("p.weak") >= 0, -F.col("p.weak")).alias("similarity"), "refs", "providers",

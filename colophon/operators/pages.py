@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colophon.functions.text import bind, strip
+from colophon.functions.text import bind, first_of, strip
 from colophon.functions.urls import is_safe_image_url, url_domain
 
 # Named entities in the order they are replaced.
@@ -151,8 +151,8 @@ def page_status(pages: DataFrame, spec: ListingSpec, html: str = "html") -> Data
     )
 
 
-def extract_listing(pages: DataFrame, spec: ListingSpec, key: str, limit: int, html: str = "html") -> DataFrame:
-    """key, pos, id and the fields of every complete item, the first ``limit`` per page."""
+def extract_listing(pages: DataFrame, spec: ListingSpec, key: str, limit: int | None = None, html: str = "html") -> DataFrame:
+    """key, pos, id and the fields of every complete item, the first ``limit`` per page (None: all)."""
     blocks = F.filter(F.split(html, f"(?={spec.item_start})"), lambda b: F.rlike(b, F.lit(f"^{spec.item_start}")))
 
     def item(block: Column, i: Column) -> Column:
@@ -191,7 +191,7 @@ def extract_listing(pages: DataFrame, spec: ListingSpec, key: str, limit: int, h
         return F.coalesce(fine, F.lit(False))
 
     items = pages.filter(F.rlike(html, F.lit(spec.guard))).select(key, F.transform(blocks, item).alias("items"))
-    kept = items.select(key, F.posexplode(F.slice(F.filter("items", complete), 1, limit)).alias("pos", "item"))
+    kept = items.select(key, F.posexplode(first_of(F.filter("items", complete), limit)).alias("pos", "item"))
     return kept.select(key, "pos", "item.*").drop("arrival")
 
 
@@ -264,7 +264,7 @@ OWN_HOST = "iqdb.org"
 IMAGE_FILE = r"(?i)\.(jpe?g|png|gif|webp)(\?.*)?$"
 
 
-def parse_similarity_tables(pages: DataFrame, key: str, html: str = "html", limit: int = 10) -> DataFrame:
+def parse_similarity_tables(pages: DataFrame, key: str, html: str = "html", limit: int | None = 10) -> DataFrame:
     """key, pos, source_url, image_url, service, similarity: one hit per table that links elsewhere."""
     tables = F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))
     full = lambda u: F.when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).otherwise(u)
@@ -285,10 +285,10 @@ def parse_similarity_tables(pages: DataFrame, key: str, html: str = "html", limi
         )
 
     hits = F.filter(F.transform(tables, hit), lambda h: h["source_url"].isNotNull())
-    return pages.select(key, F.posexplode(F.slice(hits, 1, limit)).alias("pos", "h")).select(key, "pos", "h.*")
+    return pages.select(key, F.posexplode(first_of(hits, limit)).alias("pos", "h")).select(key, "pos", "h.*")
 
 
-def parse_pasted_hits(texts: DataFrame, key: str, text: str = "text", limit: int = 10) -> DataFrame:
+def parse_pasted_hits(texts: DataFrame, key: str, text: str = "text", limit: int | None = 10) -> DataFrame:
     """key, pos, source_url, title, similarity: one hit per line with an address; the title stands before it."""
     lines = F.transform(F.split(text, r"\r\n|\n|\r"), strip)
     url = lambda l: F.regexp_extract(l, r"""(?i)\b(https?://[^\s<>"']+)""", 1)
@@ -297,4 +297,4 @@ def parse_pasted_hits(texts: DataFrame, key: str, text: str = "text", limit: int
         F.regexp_replace(strip(F.call_function("substring_index", l, url(l), F.lit(1))), r"^[\-:–—]+|[\-:–—]+$", "").alias("title"),
         F.regexp_extract(l, r"(?i)(\d{1,3})\s*%", 1).try_cast("double").alias("similarity"),
     ))
-    return texts.select(key, F.posexplode(F.slice(hits, 1, limit)).alias("pos", "h")).select(key, "pos", "h.*")
+    return texts.select(key, F.posexplode(first_of(hits, limit)).alias("pos", "h")).select(key, "pos", "h.*")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colophon.functions.text import normalize_code, strip
+from colophon.functions.text import first_of, normalize_code, strip
 
 # Fixed values of the two book catalogues and the picture search.
 OL_SCHEMA = (
@@ -40,18 +40,18 @@ def _list(raw: Column) -> Column:
     return F.when(F.startswith(raw, F.lit("[")), F.from_json(raw, "array<string>")).when(raw.isNotNull(), F.array(raw))
 
 
-def _texts(raw: Column, most: int) -> Column:
+def _texts(raw: Column, most: int | None) -> Column:
     clean = F.filter(F.transform(_list(raw), strip), lambda t: t != "")
-    return F.coalesce(F.slice(F.array_distinct(clean), 1, most), F.array().cast("array<string>"))
+    return F.coalesce(first_of(F.array_distinct(clean), most), F.array().cast("array<string>"))
 
 
-def _rows(replies: DataFrame, key: str, items: Column, keep, limit: int) -> DataFrame:
-    """First ``limit`` complete results of each reply with their position."""
-    kept = F.slice(F.filter(items, keep), 1, limit)
+def _rows(replies: DataFrame, key: str, items: Column, keep, limit: int | None) -> DataFrame:
+    """First ``limit`` (None: all) complete results of each reply with their position."""
+    kept = first_of(F.filter(items, keep), limit)
     return replies.select(key, F.posexplode(kept).alias("pos", "r")).select(key, "pos", "r.*")
 
 
-def parse_open_library(replies: DataFrame, key: str, body: str = "body", limit: int = 50) -> DataFrame:
+def parse_open_library(replies: DataFrame, key: str, body: str = "body", limit: int | None = 50) -> DataFrame:
     """key, pos, id, title, authors, year, publishers, pages, languages, cover_url, detail_url."""
 
     def book(d: Column) -> Column:
@@ -83,7 +83,7 @@ def open_library_status(replies: DataFrame, key: str, body: str = "body") -> Dat
     )
 
 
-def parse_google_books(replies: DataFrame, key: str, body: str = "body", limit: int = 50) -> DataFrame:
+def parse_google_books(replies: DataFrame, key: str, body: str = "body", limit: int | None = 50) -> DataFrame:
     """key, pos, id, title, authors, year, publisher, pages, language, cover_url, detail_url, identifier."""
     secure = lambda u: F.when(F.startswith(u, F.lit("https://")), u)
 

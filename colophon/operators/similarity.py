@@ -19,7 +19,7 @@ from colophon.functions.vectors import (
 )
 
 BLOCK_ROWS = 4096
-MAX_PAIRS = 50_000  # fixed value: above this many pairs the baseline is drawn, not enumerated
+DRAWS = 50_000  # fixed value: pairs that a sampled baseline draws
 BUCKETS = 4096
 
 
@@ -40,18 +40,17 @@ def _grid(queries: DataFrame, vectors: DataFrame, block_rows: int):
 
 
 def _best(score: np.ndarray, ids: np.ndarray, ties: np.ndarray, queries, k: int) -> pd.DataFrame:
-    """k best per row of a score block; equal scores by the tie key."""
-    parts = []
-    for i, query in enumerate(queries):
-        row = score[i]
-        if len(row) > k:
-            floor = np.partition(row, len(row) - k)[len(row) - k]
-            keep = np.flatnonzero(row >= floor)  # every tie of the k-th stays in until the order is known
-        else:
-            keep = np.arange(len(row))
-        order = sorted(keep, key=lambda j: (-row[j], ties[j]))[:k]
-        parts.append(pd.DataFrame({"query": query, "id": ids[order], "tie": ties[order], "score": row[order]}))
-    return pd.concat(parts, ignore_index=True)
+    """k best per row of a score block; equal scores by the tie key. One sort of what reaches the k-th score of its row."""
+    n = score.shape[1]
+    floor = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(score), -np.inf)
+    row, at = np.nonzero(score >= floor[:, None])  # every tie of the k-th stays in until the order is known
+    tie_rank = np.argsort(np.argsort(ties, kind="stable"), kind="stable")
+    order = np.lexsort((tie_rank[at], -score[row, at], row))
+    row, at = row[order], at[order]
+    first = np.searchsorted(row, np.arange(len(score)))
+    keep = np.arange(len(row)) - first[row] < k
+    row, at = row[keep], at[keep]
+    return pd.DataFrame({"query": np.asarray(queries)[row], "id": ids[at], "tie": ties[at], "score": score[row, at]})
 
 
 def _ranked(partial: DataFrame, k: int) -> DataFrame:
@@ -109,7 +108,7 @@ def _hash_number(*parts: Column) -> Column:
 def baseline_exact(vectors: DataFrame, group: str) -> DataFrame:
     """Median of all pair cosines per group; fewer than three vectors give the default.
 
-    Meant for groups of at most MAX_PAIRS pairs (316 vectors), which is what :func:`baselines` sends here.
+    A group is one matrix product in one task: meant for small groups. Large ones take :func:`baseline_sampled`.
     """
 
     def median(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,7 +126,7 @@ def baseline_exact(vectors: DataFrame, group: str) -> DataFrame:
     )
 
 
-def baseline_sampled(vectors: DataFrame, group: str, draws: int = MAX_PAIRS, seed: int = 7) -> DataFrame:
+def baseline_sampled(vectors: DataFrame, group: str, draws: int = DRAWS, seed: int = 7) -> DataFrame:
     """Median cosine of ``draws`` seeded ordered pairs i != j per group of (group, id, embedding)."""
     indexed = dense_index(vectors.select(group, "id", "embedding"), "id", [group])
     sizes = vectors.groupBy(group).agg(F.count("*").alias("vectors")).filter("vectors >= 3")
@@ -145,13 +144,14 @@ def baseline_sampled(vectors: DataFrame, group: str, draws: int = MAX_PAIRS, see
     )
 
 
-def baselines(vectors: DataFrame, group: str, max_pairs: int = MAX_PAIRS) -> DataFrame:
-    """Baseline per group: enumerated while the pairs are few, drawn beyond."""
-    sizes = vectors.groupBy(group).agg(F.count("*").alias("n"))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    small = vectors.join(sizes.filter(pairs <= max_pairs).select(group), group, "left_semi")
-    large = vectors.join(sizes.filter(pairs > max_pairs).select(group), group, "left_semi")
-    return baseline_exact(small, group).unionByName(baseline_sampled(large, group, max_pairs))
+def baselines(vectors: DataFrame, group: str, method: str = "sampled", draws: int = DRAWS) -> DataFrame:
+    """Baseline per group by the named method, whatever the size of the group; under three vectors it is the default."""
+    if method == "exact":
+        return baseline_exact(vectors, group)
+    if method != "sampled":
+        raise ValueError(f"unknown method {method}")
+    few = vectors.groupBy(group).agg(F.count("*").alias("vectors")).filter("vectors < 3")
+    return baseline_sampled(vectors, group, draws).unionByName(few.withColumn("baseline", F.lit(DEFAULT_BASELINE)))
 
 
 def rank_catalogue(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:

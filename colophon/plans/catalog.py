@@ -469,8 +469,8 @@ STRUCTURE = """
 , f_structure AS (
   SELECT 'structure:unreadable:' || sheet AS id, 'STRUCTURE' AS category, 'ERROR' AS severity, sheet, NULL::VARCHAR AS record_id, NULL::INT AS row, NULL::VARCHAR AS field, 1 AS n, NULL::VARCHAR AS evidence FROM declared_sheets WHERE NOT parsed
   UNION ALL SELECT 'structure:blank-row:' || sheet, 'STRUCTURE', 'WARNING', sheet, NULL, last_row + 1, NULL, count(*), min(row)::VARCHAR FROM data_rows JOIN extent USING (workbook, sheet_key, sheet) WHERE row > last_row + 1 GROUP BY sheet, last_row
-  UNION ALL SELECT 'structure:diagnostic:' || pos, 'STRUCTURE', 'WARNING', NULL, NULL, NULL, part, 1, message FROM (SELECT * FROM diagnostics ORDER BY pos LIMIT 20) WHERE level = 'WARNING'
-  UNION ALL SELECT 'structure:diagnostic:more', 'STRUCTURE', 'INFO', NULL, NULL, NULL, NULL, count(*) - 20, NULL FROM diagnostics HAVING count(*) > 20
+  UNION ALL SELECT 'structure:diagnostic:' || pos, 'STRUCTURE', 'WARNING', NULL, NULL, NULL, part, 1, message FROM (SELECT * FROM diagnostics WHERE level = 'WARNING' ORDER BY pos LIMIT 20)
+  UNION ALL SELECT 'structure:diagnostic:more', 'STRUCTURE', 'INFO', NULL, NULL, NULL, NULL, count(*) - 20, NULL FROM diagnostics WHERE level = 'WARNING' HAVING count(*) > 20
 )"""
 _ORD = " ".join(f"WHEN '{f}' THEN {n}" for n, f in enumerate(mapping.FIELD_NAMES))
 _MISSING = " UNION ALL ".join(

@@ -26,8 +26,7 @@ BASELINE = f"""
 ), base AS (
   SELECT CASE WHEN (SELECT count(*) FROM unit) < 3 THEN 0.5 ELSE least(greatest(quantile_cont(cosine, 0.5), 0.0), 0.9) END AS baseline FROM (
     SELECT list_dot_product(a.e, b.e) AS cosine FROM drawn d JOIN idx a ON a.idx = d.i JOIN idx b ON b.idx = d.j
-    WHERE (SELECT count(*) * (count(*) - 1) / 2 FROM unit) > 50000
-    UNION ALL SELECT list_dot_product(a.e, b.e) FROM unit a JOIN unit b ON a.vec_id < b.vec_id WHERE (SELECT count(*) * (count(*) - 1) / 2 FROM unit) <= 50000)
+)
 )"""
 
 
@@ -65,10 +64,10 @@ FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id < b.vec_id JOIN (SELEC
 """)
 def _(i):
     unit = _vectors(i).withColumn("embedding", l2_normalize(F.col("embedding")))
-    return similarity.baselines(unit, "label").withColumn("baseline", F.round("baseline", 6))
+    return similarity.baselines(unit, "label", method="exact").withColumn("baseline", F.round("baseline", 6))
 
 
-@query("baseline_sampled", f"WITH {UNIT}{BASELINE.replace('> 50000', '> 0').replace('<= 50000', '<= 0')} SELECT (SELECT count(*) FROM unit) AS vectors, round(baseline, 6) AS baseline FROM base")
+@query("baseline_sampled", f"WITH {UNIT}{BASELINE} SELECT (SELECT count(*) FROM unit) AS vectors, round(baseline, 6) AS baseline FROM base")
 def _(i):
     unit = _vectors(i).withColumn("embedding", l2_normalize(F.col("embedding"))).withColumn("catalogue", F.lit(1))
     return similarity.baseline_sampled(unit, "catalogue").select("vectors", F.round("baseline", 6).alias("baseline"))
