@@ -13,7 +13,8 @@ import tiktoken
 import corpus_pipeline as cp
 from colophon.llm import bpe
 
-PASSAGE = " ".join(f"shared{i}" for i in range(60))
+_fixed = random.Random(3)
+PASSAGE = " ".join("".join(_fixed.choices(["th", "er", "on", "an", "re"], k=3)) for _ in range(60))
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +26,7 @@ def sf_dir(spark, tmp_path_factory):
     for i in range(300):
         text = "\n".join(line(14) for _ in range(4))
         if i % 5 == 4:
-            text += "\nyou idiot and moron are scumbag " + line(4)
+            text += f"\nidiot {line(4)} moron {line(3)} scumbag"
         rows.append((i, text, "en", f"s{i % 3}", len(text)))
     rows += [(400 + i, rows[0][1], "en", "s0", 1) for i in range(5)]  # copies
     rows += [(500 + i, line(12) + "\n" + PASSAGE + "\n" + line(12), None, "s1", None) for i in range(4)]
