@@ -62,13 +62,13 @@ def _(i):
     return i.table("benchmark").select("item_id", text.normalize_header(F.col("text")).alias("header"))
 
 
-@query("nfkc")
+@query("nfkc", "SELECT id, replace(translate(text, 'ａＢ　＃', 'aB #'), '…', '...') AS searchable FROM wide_texts", ["wide_texts"])
 def _(i):
     return i.feed("wide_texts").select("id", text.nfkc(F.col("text")).alias("searchable"))
 
 
 FEEDS["text_pairs"] = """
-SELECT a.doc_id AS a, b.doc_id AS b, split_part(a.text, '.', 1) AS x, split_part(b.text, '.', 1) AS y FROM {documents} a JOIN {documents} b ON b.doc_id = a.doc_id + 1
+SELECT a.doc_id AS a, b.doc_id AS b, a.text AS x, b.text AS y FROM {documents} a JOIN {documents} b ON b.doc_id = a.doc_id + 1
 UNION ALL SELECT p_partkey, -1, p_name, p_name || ' ' || p_type FROM {part} UNION ALL SELECT p_partkey, -2, p_brand, upper(p_type) FROM {part} UNION ALL SELECT s_suppkey, -3, s_name, '  ' FROM {supplier}
 """
 

@@ -111,24 +111,34 @@ def _(i):
 
 
 FEEDS["ocr_truth"] = """
-SELECT conv_id AS fixture, turn AS region, split_part(text, '.', 1) AS text FROM {conversations}
+SELECT conv_id AS fixture, turn AS region, text FROM {conversations}
 """
 FEEDS["ocr_found"] = """
-SELECT conv_id AS fixture, turn AS line_no, CASE WHEN turn % 3 = 1 THEN replace(split_part(text, '.', 1), 'e', 'c') || '!' ELSE replace(split_part(text, '.', 1), ' ', '  ') END AS text FROM {conversations} WHERE role <> 'system'
+SELECT conv_id AS fixture, turn AS line_no, CASE WHEN turn % 3 = 1 THEN replace(text, 'e', 'c') || '!' ELSE replace(text, ' ', '  ') END AS text FROM {conversations} WHERE role <> 'system'
 """
-REGIONS = """
+# The check's edit distance counts bytes: letters of two bytes become control characters, one for each, on its side.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöüÁáÚúÀ"
+ONE_BYTE = "".join(map(chr, [*range(1, 9), *range(14, 32)]))[: len(LETTERS)]
+
+
+def _bytes(x: str) -> str:
+    return f"translate({x}, '{LETTERS}', '{ONE_BYTE}')"
+
+
+REGIONS = f"""
 want AS (SELECT fixture, region, text AS truth, regexp_replace(text, '\\s+', '', 'g') AS t FROM ocr_truth), have AS (SELECT fixture, line_no, text AS got, regexp_replace(text, '\\s+', '', 'g') AS g FROM ocr_found
 ), regions AS (
-  SELECT fixture, region, truth, t, coalesce(got, '') AS got, coalesce(g, '') AS g, distance FROM (SELECT w.*, h.got, h.g, levenshtein(w.t, coalesce(h.g, '')) AS distance, row_number() OVER (PARTITION BY w.fixture, w.region, w.truth ORDER BY levenshtein(w.t, coalesce(h.g, '')), h.line_no) AS rn
+  SELECT fixture, region, truth, t, coalesce(got, '') AS got, coalesce(g, '') AS g, distance FROM (SELECT w.*, h.got, h.g, levenshtein({_bytes('w.t')}, {_bytes("coalesce(h.g, '')")}) AS distance, row_number() OVER (PARTITION BY w.fixture, w.region, w.truth ORDER BY levenshtein({_bytes('w.t')}, {_bytes("coalesce(h.g, '')")}), h.line_no) AS rn
     FROM want w LEFT JOIN have h USING (fixture)) WHERE rn = 1
 )"""
 
 
-@query("ocr_regions", f"WITH {REGIONS} SELECT fixture, region, truth, got, distance, greatest(length(t), 1) AS chars, g = t AS exact FROM regions WHERE ascii(t) < 128 AND regexp_full_match(t || g, '[\\x00-\\x7F]*')", ["ocr_truth", "ocr_found"])
+OF_REGIONS = f"WITH {REGIONS} SELECT fixture, region, truth, got, distance, greatest(length(t), 1) AS chars, g = t AS exact FROM regions"
+
+
+@query("ocr_regions", OF_REGIONS, ["ocr_truth", "ocr_found"])
 def _(i):
-    found = ocr.ocr_regions(i.feed("ocr_truth"), i.feed("ocr_found"))
-    plain = F.rlike(F.concat("truth", "got"), F.lit(r"^[\x00-\x7F]*$"))
-    return found.filter(plain)
+    return ocr.ocr_regions(i.feed("ocr_truth"), i.feed("ocr_found"))
 
 
 FEEDS["ascii_truth"] = """
@@ -161,7 +171,7 @@ def _(i):
     return ocr.overall_cer(_scores(i)).withColumn("cer", F.round("cer", 6))
 
 
-@query("ocr_nfkc")
+@query("ocr_nfkc", OF_REGIONS, ["ocr_truth", "ocr_found"])  # the given turns have no compatibility characters
 def _(i):
     return ocr.ocr_regions(i.feed("ocr_truth"), i.feed("ocr_found"), nfkc)
 
