@@ -36,6 +36,7 @@ DECAY, SPAN, CODES = 0.7, 6, 64
 CLEAN = 4
 START, END = 62, 63
 CACHE_ENTRIES = 1 << 17
+LONG_WORD = 4096  # characters from which a word is summed in slices; the result is the same
 LOWEST = -2.0  # decision where a text has fewer than three words
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPLIT = re.compile(r"[^\s\"(),.;:!?|]+")
@@ -84,6 +85,9 @@ def decisions(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
     for n, members in by_length.items():
+        if n > LONG_WORD:
+            out[members] = [_long_decision(words[i], weights) + bias for i in members]
+            continue
         places, scale = subsequences(n + 2)
         step = max(1, 500_000 // max(1, len(places)))
         scale = scale.astype(np.float32)
@@ -101,6 +105,22 @@ def decisions(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
+def _long_decision(word: str, weights: np.ndarray, step: int = 1 << 14) -> float:
+    """The same sum for a word of any length, over slices of its starting places: memory stays bounded."""
+    codes = word_codes(word)
+    total, squares = 0.0, 0.0
+    for at in range(0, len(codes), step):
+        piece = codes[at : at + step + SPAN - 1]
+        first = np.arange(min(step, len(codes) - at))[:, None]
+        second, third = first + OFFSETS[:, 0], first + OFFSETS[:, 1]
+        inside = third < len(piece)
+        value = np.broadcast_to(DECAY ** (OFFSETS[:, 1] + 1.0), third.shape)[inside]
+        key = (np.broadcast_to(piece[first], third.shape)[inside] * CODES + piece[second[inside]]) * CODES + piece[third[inside]]
+        total += float(weights[key].astype(np.float64) @ value)
+        squares += float((value**2).sum())
+    return total / max(1e-12, squares**0.5)
+
+
 def kernel(left: list[str], right: list[str]) -> np.ndarray:
     out, dense = np.empty((len(left), len(right))), np.zeros(CODES**3, dtype=np.float32)
     for j, word in enumerate(right):

@@ -25,6 +25,14 @@ def test_table_gives_the_decision_of_the_landmarks():
         assert abs(toxicity.decisions([word], dense, 0.5)[0] - (dense[key] @ value + 0.5)) < 1e-4
 
 
+def test_long_words_give_the_same_sum():
+    dense = np.random.default_rng(1).normal(size=toxicity.CODES**3).astype(np.float32)
+    for word in ["ab", "idiot" * 700, "xyz" * 1000]:
+        want = toxicity.decisions([word], dense, 0.0)[0]
+        assert abs(toxicity._long_decision(word, dense, 50) - want) < 1e-3 * max(1, abs(want))
+    assert np.isfinite(toxicity.decisions(["x" * 300_000], dense, 0.0)[0])
+
+
 def sample(n, seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choices(["th", "er", "on", "an", "re", "he"], k=rng.randint(1, 4)))
