@@ -15,18 +15,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colophon.llm.shared import BLANK_RUN, bind, written
+from colophon.llm.shared import BLANK_RUN, BLANKS, bind, written
 
 SEGMENTS = 4
 # Shapes of fields that vary by nature.
 VARIABLE = r"[0-9]|^[a-z]+://|^www\.|@.+\.|^/.+/"
+TRIGGER = r"[0-9@/]|www\."  # something that every such field has
 OPEN = "<*>"
 
 
 def templates(line: Column, depth: int, min_tokens: int) -> Column:
     """array<long> of the template hashes of a line: the closed template first, then one per open stretch."""
-    tokens = F.filter(F.split(F.lower(line), BLANK_RUN), lambda w: w != "")
-    masked = F.transform(tokens, lambda w: F.when(w.rlike(VARIABLE), F.lit(OPEN)).otherwise(w))
+    trimmed = F.btrim(F.lower(line), F.lit(BLANKS))  # no empty token but that of an empty line
+    tokens = F.split(trimmed, BLANK_RUN)
+    # Most lines have nothing to mask: one look at the line spares one at every token.
+    masked = F.when(trimmed.rlike(TRIGGER), F.transform(tokens, lambda w: F.when(w.rlike(VARIABLE), F.lit(OPEN)).otherwise(w))).otherwise(tokens)
 
     def hashes(t: Column) -> Column:
         n = F.size(t)
@@ -38,7 +41,7 @@ def templates(line: Column, depth: int, min_tokens: int) -> Column:
             return F.xxhash64(n, F.lit(k + 1), lead, F.slice(t, depth + 1, cut(k) - depth), F.slice(t, cut(k + 1) + 1, n - cut(k + 1)))
 
         # An open stretch must leave most of the line closed: at least two tokens in every other stretch.
-        return F.when(n < min_tokens, F.expr("array()").cast("array<bigint>")).when(
+        return F.when(n < max(min_tokens, 2), F.expr("array()").cast("array<bigint>")).when(
             rest < 2 * SEGMENTS, F.array(F.xxhash64(n, F.lit(0), t))
         ).otherwise(F.array(F.xxhash64(n, F.lit(0), t), *[opened(k) for k in range(SEGMENTS)]))
 
