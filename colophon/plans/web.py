@@ -106,7 +106,7 @@ WITH {LINES}, title AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 SELECT id, title, CASE WHEN length(title) + 1 + length(author) <= 120 THEN author END AS author, CASE WHEN length(title) + 1 + length(author) <= 120 THEN 2 ELSE 1 END AS confidence FROM joined WHERE letters >= 2
 """, ["recognised"])
 def _(i):
-    heights = F.expr("transform(sequence(0, 5000), n -> cast((id + n * 3) % 5 AS double))")
+    heights = F.expr("transform(sequence(0, size(split(text, '\\n'))), n -> cast((id + n * 3) % 5 AS double))")
     return ocr.suggest_title_author(i.feed("recognised").withColumn("heights", heights), "id", heights="heights")
 
 
