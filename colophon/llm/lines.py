@@ -24,8 +24,11 @@ TRIGGER = r"[0-9@/]|www\."  # something that every such field has
 OPEN = "<*>"
 
 
-def templates(line: Column, depth: int, min_tokens: int) -> Column:
-    """array<long> of the template hashes of a line: the closed template first, then one per open stretch."""
+def templates(line: Column, depth: int, min_tokens: int, short: bool = False) -> Column:
+    """array<long> of the template hashes of a line: the closed template first, then one per open stretch.
+
+    A line under ``min_tokens`` has none or, with ``short``, the hash of its tokens as they are.
+    """
     trimmed = F.btrim(F.lower(line), F.lit(BLANKS))  # no empty token but that of an empty line
     tokens = F.split(trimmed, BLANK_RUN)
     # Most lines have nothing to mask: one look at the line spares one at every token.
@@ -40,19 +43,21 @@ def templates(line: Column, depth: int, min_tokens: int) -> Column:
         def opened(k: int) -> Column:
             return F.xxhash64(n, F.lit(k + 1), lead, F.slice(t, depth + 1, cut(k) - depth), F.slice(t, cut(k + 1) + 1, n - cut(k + 1)))
 
+        few = F.when(trimmed != "", F.array(F.xxhash64(n, F.lit(-1), tokens))) if short else None
+        none = F.expr("array()").cast("array<bigint>")
         # An open stretch must leave most of the line closed: at least two tokens in every other stretch.
-        return F.when(n < max(min_tokens, 2), F.expr("array()").cast("array<bigint>")).when(
+        return F.when(n < max(min_tokens, 2), none if few is None else F.coalesce(few, none)).when(
             rest < 2 * SEGMENTS, F.array(F.xxhash64(n, F.lit(0), t))
         ).otherwise(F.array(F.xxhash64(n, F.lit(0), t), *[opened(k) for k in range(SEGMENTS)]))
 
     return bind(masked, hashes)
 
 
-def recurring(docs: DataFrame, text: str, depth: int, min_tokens: int, min_docs: int) -> DataFrame:
-    """(doc, line numbers) to drop; ``docs`` has the document key ``_doc``."""
+def recurring(docs: DataFrame, text: str, depth: int, min_tokens: int, min_docs: int, short: bool = False) -> DataFrame:
+    """(doc, line numbers) that stand in an earlier document; ``docs`` has the document key ``_doc``."""
     lines = docs.select("_doc", F.posexplode(F.split(text, "\n")).alias("n", "line"))
     # Hashes are made once: they are read twice below and are much smaller than the lines.
-    hashed = written(lines.select("_doc", "n", templates(F.col("line"), depth, min_tokens).alias("ts")).filter(F.size("ts") > 0), "line_templates")
+    hashed = written(lines.select("_doc", "n", templates(F.col("line"), depth, min_tokens, short).alias("ts")).filter(F.size("ts") > 0), "line_templates")
     found = hashed.select("_doc", "n", F.explode("ts").alias("t"))
     # Partial aggregates: first and last document of each template, and for min_docs over 2 the number of different ones.
     if min_docs <= 2:
@@ -64,25 +69,37 @@ def recurring(docs: DataFrame, text: str, depth: int, min_tokens: int, min_docs:
     return later.groupBy("_doc").agg(F.collect_set("n").alias("_drop"))
 
 
-def dedup(docs: DataFrame, text: str = "text", depth: int = 3, min_tokens: int = 6, min_docs: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", depth: int = 3, min_tokens: int = 6, min_docs: int = 2, share: str | None = None) -> DataFrame:
     """``docs`` (doc_id, text and more) with ``text`` without the lines that recur, ``n_lines`` and ``dropped_lines``.
 
     A null text stays null and has no lines; an empty line is kept. A document of recurring lines only keeps an empty text.
-    No row is dropped. Columns named ``n_lines`` or ``dropped_lines`` are replaced.
+    No row is dropped. Columns named ``n_lines`` or ``dropped_lines`` are replaced. ``share`` names a further column: the share of
+    the words that stand in recurring lines, short ones included; 0 where no line was dropped.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("text"))
     keyed = docs.withColumn("_doc", key)
-    drops = recurring(keyed.filter(F.col(text).isNotNull()).select("_doc", text), text, depth, min_tokens, min_docs)
+    drops = recurring(keyed.filter(F.col(text).isNotNull()).select("_doc", text), text, depth, min_tokens, min_docs, share is not None)
     joined = keyed.join(drops, "_doc", "left")
     lines = F.split(F.col(text), "\n")
 
+    extra = {}
+    if share is not None:  # token counts are made where something recurs only
+        tokens = F.transform(lines, lambda x: bind(F.btrim(x, F.lit(BLANKS)), lambda t: F.when(t == "", 0).otherwise(F.size(F.split(t, BLANK_RUN)))))
+        joined = joined.withColumn("_n", F.when(F.col("_drop").isNotNull(), tokens))
+        total = lambda n: F.aggregate(n, F.lit(0), lambda a, x: a + x)
+        there = F.transform("_drop", lambda i: F.col("_n")[i])
+        joined = joined.withColumn("_share", total(there) / total(F.col("_n")))
+        joined = joined.withColumn("_drop", F.filter("_drop", lambda i: F.col("_n")[i] >= max(min_tokens, 2)))
+        joined = joined.withColumn("_drop", F.when(F.size("_drop") > 0, F.col("_drop")))
+        extra = {share: F.when(F.col("_drop").isNull(), 0.0).otherwise(F.col("_share"))}
+
     def kept(d: Column) -> Column:
         return F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(d, i), x)), lambda x: x.isNotNull()), "\n")
 
     cleaned = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(kept(F.col("_drop")))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    out = joined.withColumns({text: cleaned, "n_lines": n_lines, "dropped_lines": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")})
-    return out.drop("_doc", "_drop")
+    out = joined.withColumns({text: cleaned, "n_lines": n_lines, "dropped_lines": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), **extra})
+    return out.drop("_doc", "_drop", "_n", "_share")
 
 
 def oracle(depth: int = 3, min_tokens: int = 6) -> str:

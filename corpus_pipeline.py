@@ -17,6 +17,8 @@ from colophon.llm.queries import HELD_OUT, TOXIC, TOXIC_FOLDS
 from colophon.llm.shared import fold_of, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Share of a document's words in lines of earlier documents from which it is a copy and goes as a whole.
+COPY_SHARE = 0.8
 #: The mix depends on a trained machine and on hashes, so no SQL engine has the rows; tests hold them against brute force.
 ORACLE_SQL = None
 
@@ -29,9 +31,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines whose template stands in an earlier document; a document of such lines only goes."""
-    cleaned = lines.dedup(docs.select(*COLUMNS))
-    left = cleaned.filter((F.col("dropped_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Texts without the lines whose template stands in an earlier document. A document goes as a whole if at least
+    ``COPY_SHARE`` of its words stand in lines of earlier documents: a copy leaves no stub of its short lines behind."""
+    cleaned = lines.dedup(docs.select(*COLUMNS), share="_share")
+    left = cleaned.filter(F.col("_share") < COPY_SHARE)
     changed = F.when(F.col("dropped_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed).select(*COLUMNS)
 

@@ -68,3 +68,18 @@ def test_run_and_registration(spark, sf_dir):
 
     assert entry.queries()["pipeline"] is cp.run and "pipeline" not in entry.oracle_sql()
     assert cp.run(spark, sf_dir).count() > 200
+
+
+def test_copies_with_short_lines_go_whole(spark, docs_of):
+    rng = random.Random(5)
+    line = lambda k: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(k))
+    body = [line(14) for _ in range(6)]
+    copy = "\n".join(["A heading", *body, "Are."])
+    near = "\n".join(["A heading", *body[:5], line(14), "Are."])
+    poem = "\n".join([body[0], *[line(4) for _ in range(10)]])  # one recurring line over a text of its own short lines
+    shorts = "\n".join(["A heading", *[line(4) for _ in range(5)]])
+    docs = docs_of([(1, copy), (2, copy), (3, near), (4, poem), (5, shorts), (6, shorts), (None, copy), (7, None), (8, "")]).select(*cp.COLUMNS)
+    got = {r.doc_id: r for r in cp.drop_recurring_lines(spark, docs, "").collect()}
+    assert set(got) == {1, 4, 5, 6, 7, 8}  # copies of short lines only are left to the SimHash stage
+    assert got[1].text == copy and got[4].text == "\n".join(poem.split("\n")[1:]) and got[5].text == got[6].text == shorts
+    assert got[4].n_chars == len(got[4].text)
