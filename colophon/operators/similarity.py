@@ -7,6 +7,8 @@ query, so neither all pairs nor a whole side ever sits in one place.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -17,10 +19,12 @@ from colophon.functions.vectors import (
     BASELINE_CAP, DEFAULT_BASELINE, HIGH_PERCENT, MID_PERCENT, SAME_COVER_DISTANCE, SIGNATURE_BITS,
     dot, hamming, l2_normalize, match_level, score_percent,
 )
+from colophon.session import checkpoint_dir
 
 BLOCK_ROWS = 4096
 DRAWS = 50_000  # fixed value: pairs that a sampled baseline draws
 BUCKETS = 4096
+BINS, FEW, REFINED = 4096, 1 << 16, 4  # histogram of an exact baseline: bins, pairs that need no finer bins, passes at most
 
 
 def _blocks(rows: int, block_rows: int) -> int:
@@ -105,25 +109,99 @@ def _hash_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("long")
 
 
-def baseline_exact(vectors: DataFrame, group: str) -> DataFrame:
-    """Median of all pair cosines per group; fewer than three vectors give the default.
-
-    A group is one matrix product in one task: meant for small groups. Large ones take :func:`baseline_sampled`.
+def _pair_cells(vectors: DataFrame, group: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the grid cells (_g, _b, _c), b <= c, of each group; _g is the group as JSON, so null is a group too."""
+    keyed = vectors.select(F.to_json(F.struct(group)).alias("_g"), F.xxhash64("id").alias("_h"), "embedding")
+    blocks = keyed.groupBy("_g").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
+    dealt = keyed.join(blocks, "_g").withColumn("_own", F.pmod("_h", F.col("_blocks")).cast("int"))
+    left = dealt.withColumn("_c", F.explode(F.sequence("_own", F.col("_blocks") - 1))).withColumnRenamed("_own", "_b")
+    right = dealt.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_own")))).withColumnRenamed("_own", "_c")
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in ("_g", "_b", "_c", "_h", "embedding")])
+    return fresh(left), fresh(right)
+
+
+def _cosines(left: pd.DataFrame, right: pd.DataFrame, rows: int = 256) -> Iterator[np.ndarray]:
+    """The cosines of a cell in slices, each pair once and every pass alike: rows are in the order of their key."""
+    left, right = left.sort_values("_h"), right.sort_values("_h")
+    a, b = (np.stack(x["embedding"].to_numpy()).astype(np.float64) for x in (left, right))
+    same = left["_b"].iloc[0] == left["_c"].iloc[0]
+    for at in range(0, len(a), rows):
+        product = a[at : at + rows] @ b.T
+        yield product[np.arange(len(b)) > np.arange(at, at + len(product))[:, None]] if same else product.ravel()
+
+
+def _tally(left: DataFrame, right: DataFrame, bounds: DataFrame, values: bool) -> DataFrame:
+    """Pairs per group, middle rank _r and place: a bin of [lo, hi] (-1 below, BINS above) or the cosine itself (-infinity below)."""
+
+    def cell(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"_g": [], "_r": [], "place": [], "n": []})]
+        edges = [(l[f"lo{k}"].iloc[0], l[f"hi{k}"].iloc[0]) for k in (0, 1)] if len(l) and len(r) else []
+        bins, inside, below = np.zeros((2, BINS + 2), dtype=np.int64), ([], []), [0, 0]
+        for x in _cosines(l, r) if edges else ():
+            for k, (lo, hi) in enumerate(edges):
+                if values:
+                    inside[k].append(x[(x >= lo) & (x <= hi)])
+                    below[k] += int((x < lo).sum())
+                else:
+                    at = np.clip(np.floor((x - lo) * (BINS / (hi - lo))), -1, BINS).astype(np.int64)
+                    bins[k] += np.bincount(at + 1, minlength=BINS + 2)
+        for k in range(len(edges)):
+            if values:
+                place, n = np.unique(np.concatenate(inside[k]), return_counts=True)
+                place, n = np.append(place, -np.inf), np.append(n, below[k])
+            else:
+                place, n = np.arange(-1.0, BINS + 1), bins[k]
+            parts.append(pd.DataFrame({"_g": l["_g"].iloc[0], "_r": k, "place": place, "n": n})[n > 0])
+        return pd.concat(parts)
+
+    bounded = left.join(bounds.select("_g", "lo0", "hi0", "lo1", "hi1"), "_g").groupBy("_g", "_b", "_c")
+    cells = bounded.cogroup(right.join(bounds.select("_g"), "_g").groupBy("_g", "_b", "_c"))
+    return cells.applyInPandas(cell, "_g string, _r int, place double, n long").groupBy("_g", "_r", "place").agg(F.sum("n").alias("n"))
+
+
+def _at_ranks(tally: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``bounds`` with the places of the two middle ranks, p0 and p1, and the pairs there; the places of a group are few."""
+    for r in (0, 1):
+        upto = F.sum("n").over(W.partitionBy("_g").orderBy("place"))
+        one = tally.filter(F.col("_r") == r).withColumn("upto", upto).join(bounds.select("_g", f"rank{r}"), "_g")
+        found = one.filter(F.col("upto") > F.col(f"rank{r}")).groupBy("_g").agg(F.min_by(F.struct("place", "n"), "place").alias("x"))
+        bounds = bounds.join(found.select("_g", F.col("x.place").alias(f"p{r}"), F.col("x.n").alias(f"n{r}")), "_g")
+    return bounds
+
+
+def baseline_exact(vectors: DataFrame, group: str, block_rows: int = BLOCK_ROWS, few: int = FEW) -> DataFrame:
+    """Median of all pair cosines per group of (group, id, embedding); fewer than three vectors give the default.
+
+    A grid of blocks: a task multiplies two blocks of a group and returns a histogram. The bins of the two middle ranks are
+    refined, one pass over the grid each, until they hold ``few`` pairs or are about as narrow as a double; the last pass
+    returns the different values there. Groups of ``few`` pairs need the last pass only.
     """
-
-    def median(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        if n < 3:
-            value = DEFAULT_BASELINE
-        else:
-            m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            value = min(max(float(np.median((m @ m.T)[np.triu_indices(n, 1)])), 0.0), BASELINE_CAP)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "vectors": [n], "baseline": [value]})
-
-    kind = vectors.schema[group].dataType.simpleString()
-    return vectors.select(group, "embedding").groupBy(group).applyInPandas(
-        median, f"{group} {kind}, vectors long, baseline double"
+    spark = vectors.sparkSession
+    sizes = vectors.groupBy(group).agg(F.count("*").alias("vectors"), F.max(dot(F.col("embedding"), F.col("embedding"))).alias("_m"))
+    sizes = sizes.withColumn("_g", F.to_json(F.struct(group)))
+    bounds = sizes.filter("vectors >= 3").select(
+        "_g", F.expr("(vectors * (vectors - 1) div 2 - 1) div 2").alias("rank0"), F.expr("vectors * (vectors - 1) div 2 div 2").alias("rank1"),
+        *[(F.lit(sign) * (F.col("_m") + 1e-6)).alias(f"{side}{r}") for r in (0, 1) for side, sign in (("lo", -1.0), ("hi", 1.0))],
+        F.expr("vectors * (vectors - 1) div 2").alias("most"),
     )
+    left, right = _pair_cells(vectors, group, block_rows)
+    folder = f"{checkpoint_dir(spark)}/baseline/{uuid.uuid4().hex}"
+    for turn in range(REFINED + 1):  # one row per group, written so that no pass is made twice
+        bounds.write.parquet(f"{folder}/{turn}")
+        bounds = spark.read.schema(bounds.schema).parquet(f"{folder}/{turn}")
+        wide = bounds.filter(F.col("most") > few)
+        if turn == REFINED or wide.isEmpty():
+            break
+        at = _at_ranks(_tally(left, right, wide, False), wide)
+        width = lambda r: (F.col(f"hi{r}") - F.col(f"lo{r}")) / BINS
+        edge = lambda r, k: (F.col(f"lo{r}") + (F.col(f"p{r}") + k) * width(r)).alias(f"{'hi' if k else 'lo'}{r}")
+        finer = at.select("_g", "rank0", "rank1", edge(0, 0), edge(0, 1), edge(1, 0), edge(1, 1), F.greatest("n0", "n1").alias("most"))
+        bounds = bounds.filter(F.col("most") <= few).unionByName(finer)
+    # Rounding may put a pair on the other side of an edge than the pass before did.
+    padded = bounds.withColumns({f"{side}{r}": F.col(f"{side}{r}") + by for r in (0, 1) for side, by in (("lo", -1e-12), ("hi", 1e-12))})
+    middle = _at_ranks(_tally(left, right, padded, True), padded).select("_g", ((F.col("p0") + F.col("p1")) / 2).alias("_v"))
+    value = F.when(F.col("vectors") < 3, DEFAULT_BASELINE).otherwise(F.least(F.greatest("_v", F.lit(0.0)), F.lit(BASELINE_CAP)))
+    return sizes.join(middle, "_g", "left").select(group, "vectors", value.alias("baseline"))
 
 
 def baseline_sampled(vectors: DataFrame, group: str, draws: int = DRAWS, seed: int = 7) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colophon.functions.vectors import l2_normalize
-from colophon.operators import images, pages, tables
+from colophon.operators import images, pages, similarity, tables
 from colophon.sources.cells import clean_cells
 from colophon.streaming import capture
 
@@ -84,3 +84,24 @@ def test_ticks_do_not_depend_on_triggers(spark, tmp_path, triggers):
     got, want = spark.read.parquet(f"{tmp_path}/out"), capture.capture_events_batch(frames)
     assert got.count() == want.count() == len(ordered)
     assert got.select(want.columns).exceptAll(want).count() == 0
+
+
+def test_exact_baseline_is_a_grid(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    unit = lambda n: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(n, 8)) + 0.5)
+    copies = np.repeat(unit(1), 40, axis=0)
+    apart = np.vstack([np.repeat(unit(1), 6, axis=0), unit(1)])
+    groups = {"a": unit(120), "b": unit(3), "c": unit(2), None: unit(31), "copies": copies, "apart": apart}
+    rows = [(g, f"{g}{i}", [float(x) for x in v]) for g, m in groups.items() for i, v in enumerate(m)]
+    vectors = spark.createDataFrame(rows, "label string, id string, embedding array<double>")
+    exact = similarity.baseline_exact(vectors, "label", block_rows=16, few=20)
+    got = {r.label: (r.vectors, r.baseline) for r in exact.collect()}
+    for g, m in groups.items():
+        cosines = (m @ m.T)[np.triu_indices(len(m), 1)]
+        want = 0.5 if len(m) < 3 else min(max(float(np.median(cosines)), 0.0), 0.9)
+        assert got[g][0] == len(m) and abs(got[g][1] - want) < 1e-9, g
+    left, right = similarity._pair_cells(vectors, "label", 16)
+    for side in (left, right):  # no task holds a group
+        assert side.groupBy("_g", "_b", "_c").count().agg(F.max("count")).first()[0] < 40
