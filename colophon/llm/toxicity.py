@@ -16,7 +16,8 @@ more of them than chance explains (``false_words`` bounds the expected share of
 sentences are negative, weighted by their sentences, first those the machine gets wrong.
 
 **Scoring.** A text is scored by its three highest words through a logistic curve fitted on the sampled documents. Whole
-texts are read where they lie: scoring has no shuffle. Runs of single characters ("i d i o t") are read as one word too.
+texts are read where they lie: scoring has no shuffle. Runs of single characters ("i d i o t") are read as one word too,
+and so are tokens with punctuation inside ("idi.ot"), with and without it.
 """
 
 from __future__ import annotations
@@ -40,7 +41,10 @@ LONG_WORD = 4096  # characters from which a word is summed in slices; the result
 LOWEST = -2.0  # decision where a text has fewer than three words
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPLIT = re.compile(r"[^\s\"(),.;:!?|]+")
-_SPELLED = re.compile(r"(?<!\S)\S(?:[ .\-_*]\S){2,}(?!\S)")
+_SPELLED = re.compile(r"(?<![^\s\"(])[^\s\"(),.;:!?|](?:[ .\-_*][^\s\"(),.;:!?|]){2,}(?=[\"(),.;:!?|]*(?!\S))")
+_INSIDE = re.compile(r"[\"(),.;:!?|]+")
+# A word with such characters put in; every place is looked at once, however long the runs are.
+_BROKEN = re.compile(r"(?<![^\s\"(),.;:!?|])[^\s\"(),.;:!?|]++(?:[\"(),.;:!?|]++[^\s\"(),.;:!?|]++)++")
 
 
 def word_codes(word: str) -> np.ndarray:
@@ -132,9 +136,12 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct lower-case words, and runs of single characters joined."""
+    """Distinct lower-case words, blank-separated tokens that separators split (whole and without them), and runs of single characters joined."""
     text = text.encode("utf-8", "surrogatepass").translate(_PLAIN).decode("utf-8", "surrogatepass")
     found = set(_SPLIT.findall(text))
+    for token in _BROKEN.findall(text):
+        found.add(token)
+        found.add(_INSIDE.sub("", token))
     for run in _SPELLED.findall(text):
         found.add(re.sub(r"[ .\-_*]", "", run))
     return found

@@ -61,6 +61,20 @@ def test_scores_of_unseen_and_odd_texts(spark, docs_of):
     assert by[900] < 0.3 and by[901] < 0.3 and by[903] < 0.3 and by[905] >= 0.3 and by[902] > 10 * by[903]
 
 
+def test_separators_inside_words_are_read(spark, docs_of):
+    assert {"st!upid", "stupid", "mo,ron", "moron"} <= toxicity.words_of('A (St!upid) and "mo,ron".')
+    assert "idiot" in toxicity.words_of("an i.d.i.o.t, he is") and "idiot" in toxicity.words_of("(i d i o t)")
+    for long in ("a" * 300_000, "a" + "!" * 300_000, "!" * 300_000 + "a", "a!" * 150_000):  # one look at each place
+        assert toxicity.words_of(long)
+    rows = sample(400, 1)
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    machine = toxicity.fit(docs_of([(i, t) for i, t, _ in rows]), labels, landmarks=64)
+    gapped = ["idi.ot", "mo,ron", "scum!bag", "i.d.i.o.t,", "(m o r o n)", "idxiot"]
+    texts = [(i, f"the ther {w} on an here") for i, w in enumerate(gapped)] + [(100, "the ther er.on, an:here on"), (101, "he.re 3.14 th.er (on.an)")]
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(texts), machine).collect()}
+    assert all(got[i] >= 0.3 for i in range(len(gapped))) and got[100] < 0.3 and got[101] < 0.3
+
+
 def test_without_labels_nothing_is_toxic(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     machine = toxicity.fit(docs_of([(1, "idiot")]), none)
