@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from colophon.llm.shared import BLANK_RUN, BLANKS, bind, written
 
 SEGMENTS = 4
+LITERAL = 4  # literal tokens that a template with masks needs, beside half of the line
 # Shapes of fields that vary by nature.
 VARIABLE = r"[0-9]|^[a-z]+://|^www\.|@.+\.|^/.+/"
 TRIGGER = r"[0-9@/]|www\."  # something that every such field has
@@ -32,25 +33,36 @@ def templates(line: Column, depth: int, min_tokens: int, short: bool = False) ->
     trimmed = F.btrim(F.lower(line), F.lit(BLANKS))  # no empty token but that of an empty line
     tokens = F.split(trimmed, BLANK_RUN)
     # Most lines have nothing to mask: one look at the line spares one at every token.
-    masked = F.when(trimmed.rlike(TRIGGER), F.transform(tokens, lambda w: F.when(w.rlike(VARIABLE), F.lit(OPEN)).otherwise(w))).otherwise(tokens)
+    masked = F.when(trimmed.rlike(TRIGGER), F.transform(tokens, lambda w: F.when(w.rlike(VARIABLE), F.lit(OPEN)).otherwise(w)))
 
-    def hashes(t: Column) -> Column:
-        n = F.size(t)
-        lead = F.slice(t, 1, depth)
+    def hashes(x: Column) -> Column:
+        plain, t = x["plain"], F.coalesce(x["masked"], x["plain"])
+        n = F.size(plain)
         rest = n - depth
+
+        def hashed(k: int, *parts) -> Column:
+            """The hash of a template from its closed stretches, masked if enough of them is literal."""
+            over = lambda of: F.xxhash64(n, F.lit(k), *[p(of) for p in parts])
+            literal = lambda p: F.size(F.filter(p(t), lambda w: w != OPEN))
+            literals = sum((literal(p) for p in parts[1:]), literal(parts[0]))
+            enough = (literals >= LITERAL) & (2 * literals >= n)
+            return F.when(x["masked"].isNull() | enough, over(t)).otherwise(over(plain))
+
+        closed = hashed(0, lambda of: of)
         cut = lambda k: F.floor(rest * k / SEGMENTS).cast("int") + depth
 
         def opened(k: int) -> Column:
-            return F.xxhash64(n, F.lit(k + 1), lead, F.slice(t, depth + 1, cut(k) - depth), F.slice(t, cut(k + 1) + 1, n - cut(k + 1)))
+            lead, before = lambda of: F.slice(of, 1, depth), lambda of: F.slice(of, depth + 1, cut(k) - depth)
+            return hashed(k + 1, lead, before, lambda of: F.slice(of, cut(k + 1) + 1, n - cut(k + 1)))
 
-        few = F.when(trimmed != "", F.array(F.xxhash64(n, F.lit(-1), tokens))) if short else None
+        few = F.when(trimmed != "", F.array(F.xxhash64(n, F.lit(-1), plain))) if short else None
         none = F.expr("array()").cast("array<bigint>")
         # An open stretch must leave most of the line closed: at least two tokens in every other stretch.
         return F.when(n < max(min_tokens, 2), none if few is None else F.coalesce(few, none)).when(
-            rest < 2 * SEGMENTS, F.array(F.xxhash64(n, F.lit(0), t))
-        ).otherwise(F.array(F.xxhash64(n, F.lit(0), t), *[opened(k) for k in range(SEGMENTS)]))
+            rest < 2 * SEGMENTS, F.array(closed)
+        ).otherwise(F.array(closed, *[opened(k) for k in range(SEGMENTS)]))
 
-    return bind(masked, hashes)
+    return bind(F.struct(tokens.alias("plain"), masked.alias("masked")), hashes)
 
 
 def recurring(docs: DataFrame, text: str, depth: int, min_tokens: int, min_docs: int, short: bool = False) -> DataFrame:

@@ -67,3 +67,12 @@ def test_brute_force(docs_of):
     for i, text in rows:
         kept = [x for x in text.split("\n") if not any(k in many and first[k] != i for k in keys(x))]
         assert got[i].text == "\n".join(kept)
+
+
+def test_rows_of_figures_are_kept(docs_of):
+    table = lambda k: "\n".join(" ".join(str(i * j + k) for j in range(3, 3 + n)) for i, n in enumerate([6, 8, 12, 14], 1))
+    rows = [(1, table(0)), (2, table(1000)), (3, table(0)), (4, "12 of 17 at 9 or 3"), (5, "11 of 18 at 8 or 4"),
+            (6, "the price of lot 17 was 9 marks"), (7, "the price of lot 4 was 12 marks")]
+    got = run(docs_of(rows))
+    assert got[1].text == rows[0][1] and got[2].text == rows[1][1] and got[3].text == ""
+    assert got[5].dropped_lines == 0 and got[7].dropped_lines == 1
