@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colophon.llm import bpe, crosspolytope, interpolation, licenses, lines, mixing, quality, simhash, toxicity, urllists
+from colophon.llm import bpe, crosspolytope, interpolation, licenses, lines, mixing, quality, simhash, tokencounts, toxicity, urllists
 from colophon.llm.shared import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,10 @@ def deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = interpolation.score(table(spark, sf_dir, "documents"), role)
     held_out = (fold == 2).alias("held_out")
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op13_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text by the byte-level vocabulary; no SQL twin, checked against the library."""
+    counter = tokencounts.TokenCounter(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), counter)
