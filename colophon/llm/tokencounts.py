@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from colophon.llm.bpe import splitter
 
 CACHE_ENTRIES, CACHED_CHARS = 1 << 18, 64  # merged pre-tokens a task remembers, and the longest that it does
+LAST_LETTER_PLANE = 0x40000
 SLICE_CHARS = 1 << 20  # pre-tokens of a longer text are counted as they are found, not listed first
 
 
@@ -45,7 +47,7 @@ class Vocabulary:
     tokens: list[bytes]
     merges: dict[tuple[bytes, bytes], int]
     added: list[str]
-    suspects: str = ""  # characters that the library's classes treat otherwise than the matcher's
+    suspects: list[tuple[int, int]] = field(default_factory=list)  # characters of other classes in the library
     proven: frozenset = field(default_factory=frozenset)  # pre-tokens (text) that are one token
 
 
@@ -108,26 +110,30 @@ def prove(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return spark.range(len(vocabulary.tokens)).select(check("id").alias("_c")).select("_c.*")
 
 
-def unlike_characters(path: str, pattern: str) -> str:
-    """All characters that the library of the file and the matcher used here split differently next to a, 1 and !."""
+def unlike_characters(path: str, pattern: str) -> list[tuple[int, int]]:
+    """Ranges (first, last) of the characters that the file's library and the matcher used here split differently.
+
+    Each character is tried behind a letter, before a number and behind a symbol, so every class shows. Planes 4 to 16 hold
+    no letter, number or blank in any version of Unicode.
+    """
     from tokenizers import Tokenizer
 
     split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-    ours = regex.compile(pattern).findall
-
-    def differ(low: int, high: int) -> Iterator[str]:
-        chars = [chr(c) for c in range(low, high) if not 0xD800 <= c < 0xE000]
+    ours = regex.compile(pattern).finditer
+    found: list[tuple[int, int]] = []
+    for low in range(0x80, LAST_LETTER_PLANE, 4096):
+        chars = [chr(c) for c in range(low, min(low + 4096, LAST_LETTER_PLANE)) if not 0xD800 <= c < 0xE000]
         probe = "".join(f"\na{c}1!{c}" for c in chars)
-        if not chars or [b - a for _, (a, b) in split(probe)] == [len(x) for x in ours(probe)]:
-            return
-        if len(chars) == 1:
-            yield chars[0]
-        else:
-            middle = (low + high) // 2
-            yield from differ(low, middle)
-            yield from differ(middle, high)
-
-    return "".join(c for low in range(0x80, 0x110000, 4096) for c in differ(low, min(low + 4096, 0x110000)))
+        theirs, own = [b for _, (_, b) in split(probe)], [m.end() for m in ours(probe)]
+        if theirs == own:
+            continue
+        for k in sorted({(end - 1) // 6 for end in set(theirs) ^ set(own)}):  # six characters a probe
+            c = ord(chars[k])
+            if found and found[-1][1] == c - 1:
+                found[-1] = (found[-1][0], c)
+            else:
+                found.append((c, c))
+    return found
 
 
 class Counts(dict):
@@ -154,7 +160,8 @@ class TextCounter:
         self.counts = Counts(vocabulary)
         self.split, self.find = splitter(pattern), regex.compile(pattern).finditer
         self.added = regex.compile("|".join(map(regex.escape, vocabulary.added))) if vocabulary.added else None
-        self.suspect = regex.compile(f"[{regex.escape(vocabulary.suspects)}]") if vocabulary.suspects else None
+        ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in vocabulary.suspects)
+        self.suspect = re.compile(f"[{ranges}]") if ranges else None
         self.spec, self._library = path_text, None
 
     def _stretch(self, text: str) -> int:
