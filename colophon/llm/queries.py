@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colophon.llm import bpe, crosspolytope, interpolation, licenses, lines, mixing, quality, simhash, tokencounts, toxicity, urllists
+from colophon.llm import bpe, crosspolytope, interpolation, licenses, lines, mixing, prefixtrie, quality, simhash, tokencounts, toxicity, urllists, whitening
 from colophon.llm.shared import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,16 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every whole text by the byte-level vocabulary; no SQL twin, checked against the library."""
     counter = tokencounts.TokenCounter(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), counter)
+
+
+@query("op12_whitening")
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the 32 leading components of all; no SQL twin, checked against a dense solver."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op11_prefix_trie", prefixtrie.oracle())
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie over all conversations, each opened with the first turns of the first one of its group of five."""
+    turns = prefixtrie.numbered(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefixtrie.trie(*prefixtrie.with_openings(turns))
