@@ -84,9 +84,9 @@ def sheet_order_changed(left: DataFrame, right: DataFrame) -> DataFrame:
     """pair, order_changed: the sheets both sides have come in another order."""
     a, b = _sides(left, right, ["pos"])
     common = a.join(b, ["pair", "name"])
-    rank = lambda c: F.row_number().over(W.partitionBy("pair").orderBy(c))
-    ranked = common.withColumn("l", rank("pos_l")).withColumn("r", rank("pos_r"))
-    return ranked.groupBy("pair").agg(F.bool_or(F.col("l") != F.col("r")).alias("order_changed"))
+    before = F.lag("pos_r").over(W.partitionBy("pair").orderBy("pos_l"))
+    stepped = common.withColumn("before", before)
+    return stepped.groupBy("pair").agg(F.coalesce(F.bool_or(F.col("before") > F.col("pos_r")), F.lit(False)).alias("order_changed"))
 
 
 def headers_changed(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -54,6 +54,14 @@ def facet_filter(table: DataFrame, filters: DataFrame) -> DataFrame:
     return hits.join(F.broadcast(needed), F.col("met") == F.col("needed")).select(*SHEET, "row")
 
 
+def facet_filters(table: DataFrame, filters: DataFrame, selection: str) -> DataFrame:
+    """selection, SHEET, row: as :func:`facet_filter` for many selections at once; filters carry the selection they belong to."""
+    wanted = filters.select(selection, "sheet", "col", strip(F.col("value")).alias("value")).distinct()
+    needed = wanted.groupBy(selection).agg(F.count("*").alias("needed"))
+    hits = _shown(table).join(wanted, ["sheet", "col", "value"]).groupBy(selection, *SHEET, "row").agg(F.count("*").alias("met"))
+    return hits.join(needed, selection).filter("met = needed").select(selection, *SHEET, "row")
+
+
 def search_records(table: DataFrame, needle: str) -> DataFrame:
     """SHEET, row of the records with the needle in any stored or shown text; a blank needle keeps all."""
     rows = table

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colophon.functions.text import contains_ci, strip
 from colophon.functions.urls import item_fingerprint, url_domain
+from colophon.operators.numbering import free_numbers, place_in_group, place_in_order, ranked
 
-WORKBOOK, RESERVED = "WORKBOOK_MATCH", "RESERVED"
+WORKBOOK, RESERVED, PROFILE = "WORKBOOK_MATCH", "RESERVED", "PROFILE"
 # Default session titles.
 SESSION_TITLES = {"OFFLINE_MATCH": "Scan #", "ONLINE_SEARCH": "Search #", "RESULT_PROFILE": "Result profile #"}
 DASH = "—"
@@ -117,21 +118,105 @@ def save_sessions(library: Library, sessions: DataFrame, results: DataFrame) ->
         F.min("pos").alias("position"), F.min("added_at").alias("added_at"), F.count("*").alias("asked")
     )
     entries = _known(once, items).select("session_id", "item_id", F.col("position").cast("int").alias("position"), "added_at")
-    # Numbering inside a folder: a request names few sessions per folder next to what is saved already.
     before = library.sessions.groupBy("folder_id").agg(F.count("*").alias("before"))
-    number = F.coalesce("before", F.lit(0)) + F.row_number().over(W.partitionBy("folder_id").orderBy("seq"))
+    numbered = place_in_group(accepted, ["folder_id"], "seq", "nth").join(before, "folder_id", "left")
     prefix = F.when(F.lit(False), "")
     for kind, text in SESSION_TITLES.items():
         prefix = prefix.when(F.col("kind") == kind, text)
-    titled = accepted.join(before, "folder_id", "left").withColumn("number", number).withColumn(
-        "title", F.coalesce(F.nullif(strip(F.col("title")), F.lit("")), F.concat(prefix, F.col("number").cast("string")))
-    )
+    number = F.coalesce("before", F.lit(0)) + F.col("nth")
+    titled = numbered.withColumn("title", F.coalesce(F.nullif(strip(F.col("title")), F.lit("")), F.concat(prefix, number.cast("string"))))
     rows = titled.withColumn("query", F.nullif(strip(F.col("query")), F.lit(""))).select(*library.sessions.columns)
     counts = once.groupBy("session_id").agg(F.count("*").alias("added"), F.sum(F.col("asked") - 1).alias("already_there"))
     saved = replace(library, sessions=library.sessions.unionByName(rows), items=items, entries=library.entries.unionByName(entries))
     return saved, counts
 
 
+def create_folders(library: Library, requests: DataFrame, at: int) -> tuple[Library, DataFrame]:
+    """New ordinary folders, one per request (seq, name), in the order of ``seq``; a blank name becomes ``#n``, n counting
+    ordinary folders. Returns the library and the report."""
+    numbered = ranked(requests.select("seq", "name"), ["seq", "name"], "nth")
+    ordinary = library.folders.agg(F.count_if(F.col("kind") == PROFILE).alias("before")).withColumn("one", F.lit(1))
+    named = numbered.withColumn("one", F.lit(1)).join(F.broadcast(ordinary), "one").withColumn(
+        "name", F.coalesce(F.nullif(strip(F.col("name")), F.lit("")), F.concat(F.lit("#"), (F.col("before") + F.col("nth")).cast("string")))
+    )
+    rows = named.select(
+        new_id("fld", F.lit("new"), F.col("nth").cast("string"), F.col("name"), F.lit(str(at))).alias("id"), "name", F.lit(PROFILE).alias("kind"),
+        F.lit(None).cast("string").alias("reserved"), F.lit(at).cast("long").alias("created_at"),
+    )
+    outcome = report(requests.withColumn("outcome", F.lit("CHANGED")))
+    return replace(library, folders=library.folders.unionByName(rows.select(*library.folders.columns))), outcome
+
+
+def _renamed(table: DataFrame, requests: DataFrame, key: str, column: str, allowed: Column) -> tuple[DataFrame, DataFrame]:
+    """``table`` with the last non-blank name asked for each allowed id, and the report over the requests."""
+    asked = requests.select(F.col(key).alias("id"), "seq", F.nullif(strip(F.col("name")), F.lit("")).alias("asked"))
+    known = table.select("id", allowed.alias("allowed"))
+    judged = asked.join(known, "id", "left").withColumn("outcome", F.when(F.coalesce("allowed", F.lit(False)), "CHANGED").otherwise("SKIPPED"))
+    last = judged.filter("outcome = 'CHANGED' AND asked IS NOT NULL").groupBy("id").agg(F.max_by("asked", "seq").alias("asked"))
+    changed = table.join(last, "id", "left").withColumn(column, F.coalesce("asked", column)).select(*table.columns)
+    return changed, report(judged)
+
+
+def rename_folders(library: Library, requests: DataFrame) -> tuple[Library, DataFrame]:
+    """New names of ordinary folders (folder_id, name, seq), later requests last; a blank name keeps the old one."""
+    folders, outcome = _renamed(library.folders, requests, "folder_id", "name", F.col("kind") != RESERVED)
+    return replace(library, folders=folders), outcome
+
+
+def rename_sessions(library: Library, requests: DataFrame) -> tuple[Library, DataFrame]:
+    """New titles of sessions (session_id, name, seq), later requests last; a blank name keeps the old one."""
+    sessions, outcome = _renamed(library.sessions, requests, "session_id", "title", F.lit(True))
+    return replace(library, sessions=sessions), outcome
+
+
+def with_bookmarks(library: Library, at: int) -> Library:
+    """The library with its reserved folder, added where it is missing."""
+    missing = library.folders.agg(F.count_if(F.col("reserved") == "BOOKMARKS").alias("n")).filter("n = 0").select(
+        new_id("fld", F.lit("BOOKMARKS")).alias("id"), F.lit("Bookmarks").alias("name"), F.lit(RESERVED).alias("kind"),
+        F.lit("BOOKMARKS").alias("reserved"), F.lit(at).cast("long").alias("created_at"),
+    )
+    return replace(library, folders=library.folders.unionByName(missing.select(*library.folders.columns)))
+
+
+def bookmark_items(library: Library, item_ids: DataFrame, at: int) -> tuple[Library, DataFrame]:
+    """Add saved items to the reserved folder; unknown ids, workbook matches and bookmarked items are skipped."""
+    library = with_bookmarks(library, at)
+    reserved = library.folders.filter(F.col("reserved") == "BOOKMARKS").agg(F.min("id").alias("folder_id"))  # one row
+    there = bookmarked(library).select("item_id").distinct().withColumn("there", F.lit(True))
+    judged = _requested(library, item_ids).join(there, "item_id", "left")
+    refused = F.col("item_kind").isNull() | (F.col("item_kind") == WORKBOOK) | F.col("there").isNotNull()
+    judged = judged.withColumn("outcome", F.when(refused, "SKIPPED").otherwise("CHANGED"))
+    rows = judged.filter("outcome = 'CHANGED'").withColumn("one", F.lit(1)).join(F.broadcast(reserved.withColumn("one", F.lit(1))), "one")
+    rows = rows.select("item_id", "folder_id", F.lit(at).cast("long").alias("added_at")).select(*library.memberships.columns)
+    return replace(library, memberships=library.memberships.unionByName(rows)), report(judged)
+
+
+def update_bookmarks(library: Library, drafts: DataFrame) -> tuple[Library, DataFrame]:
+    """New title, url and provider of saved items from drafts (item_id, seq, title, url, provider), the last valid one each.
+
+    Id, kind, fingerprint, time and memberships stay; a blank provider keeps the old one. Unknown items and workbook matches
+    are skipped; a draft without title or with an address that may not be saved fails.
+    """
+    none = F.lit(None).cast("string")
+    checked = validate_drafts(drafts.withColumns({"kind": F.lit("MANUAL_BOOKMARK"), "provider_key": none, "cell": none}))
+    known = library.items.select(F.col("id").alias("item_id"), F.col("kind").alias("item_kind"))
+    outcome = (
+        F.when(F.col("item_kind").isNull() | (F.col("item_kind") == WORKBOOK), "SKIPPED").when(F.col("reason").isNotNull(), "FAILED").otherwise("CHANGED")
+    )
+    judged = checked.join(known, "item_id", "left").withColumn("outcome", outcome)
+    filled = lambda c: F.nullif(strip(F.col(c)), F.lit(""))
+    last = judged.filter("outcome = 'CHANGED'").groupBy(F.col("item_id").alias("id")).agg(
+        F.max_by(F.struct(strip(F.col("title")).alias("title"), filled("url").alias("url"), filled("provider").alias("provider")), "seq").alias("d")
+    )
+    joined = library.items.join(last, "id", "left")
+    given = F.col("d").isNotNull()
+    new = {
+        "title": F.when(given, F.col("d.title")).otherwise(F.col("title")), "url": F.when(given, F.col("d.url")).otherwise(F.col("url")),
+        "domain": F.when(given, url_domain(F.col("d.url"))).otherwise(F.col("domain")), "provider": F.coalesce("d.provider", "provider"),
+    }
+    return replace(library, items=joined.withColumns(new).select(*library.items.columns)), report(judged)
+
+
 def prune(library: Library) -> Library:
     """Drop the items nothing refers to any more."""
     used = library.entries.select("item_id").unionByName(library.memberships.select("item_id"))
@@ -304,19 +389,14 @@ def copy_folders(library: Library, folder_ids: DataFrame, at: int) -> tuple[Libr
     copies = judged.filter("outcome = 'CHANGED'").withColumn("new_folder", new_id("fld", F.col("id"), F.lit(at))).withColumn(
         "wanted", copied_title(F.col("name"))
     )
-    # Names taken by the saved folders: "wanted", "wanted 2", ...; the copies of one name follow each other.
-    taken = library.folders.select(F.lower("name").alias("taken"))
-    tail = F.regexp_extract("taken", r"^(.*?)(?: (\d+))?$", 2).try_cast("int")
-    highest = (
-        taken.withColumn("base", F.regexp_extract("taken", r"^(.*?\(copy\))(?: \d+)?$", 1)).filter("base <> ''")
-        .groupBy("base").agg(F.array_sort(F.collect_set(F.coalesce(tail, F.lit(1)))).alias("used"))
-    )
-    same = W.partitionBy(F.lower("wanted")).orderBy("id")
-    free = F.filter(F.sequence(F.lit(1), F.size(F.coalesce("used", F.array().cast("array<int>"))) + F.col("nth")),
-                    lambda n: ~F.array_contains(F.coalesce("used", F.array().cast("array<int>")), n))
-    named = copies.withColumn("nth", F.row_number().over(same)).join(highest, F.lower("wanted") == F.col("base"), "left").withColumn(
-        "number", F.try_element_at(free, F.col("nth"))
-    )
+    # Names taken by the saved folders: "wanted", "wanted 2", ...; the copies of one name follow each other. The plain name is number 1.
+    pattern = r"(?s)^(.*?\(copy\))(?: (\d+))?$"
+    saved = F.lower(library.folders["name"])
+    taken = library.folders.select(
+        F.regexp_extract(saved, pattern, 1).alias("base"), F.coalesce(F.nullif(F.regexp_extract(saved, pattern, 2), F.lit("")).try_cast("long"), F.lit(1)).alias("number")
+    ).filter("base <> ''")
+    wanted = place_in_order(copies.select("id", "new_folder", "kind", "wanted", F.lower("wanted").alias("base")), ["base"], ["id"], "nth")
+    named = free_numbers(wanted, taken, "base", "nth")
     folders = named.select(
         F.col("new_folder").alias("id"),
         F.when(F.col("number") == 1, F.col("wanted")).otherwise(F.concat_ws(" ", "wanted", "number")).alias("name"),

@@ -24,9 +24,9 @@ LIKELY_SCORE, POSSIBLE_SCORE, AMBIGUOUS_MARGIN = 72, 50, 8
 QUALITY = {"LIKELY_MATCH": 4, "POSSIBLE_MATCH": 3, "INSUFFICIENT_EVIDENCE": 2, "NO_MATCH": 1}
 TEXTS = ["title", "circle", "author"]
 
-# Dice >= 0.6 bounds the size ratio of two sets by 7/3 and their overlap by 3/7 of either.
-RATIO, OVERLAP = 7.0 / 3.0, 3.0 / 7.0
-LARGE_SET = 96
+# Two sets of sizes m and n at Dice >= 0.6 share at least 3(m + n)/10; whatever the other's size, at least 3/7 of either.
+DICE_NUM, DICE_DEN, SHARE = 3, 10, 3.0 / 7.0
+HOT_TOKEN = 4096  # texts under one token that a task compares
 
 
 def local_products(entries: DataFrame) -> DataFrame:
@@ -59,57 +59,67 @@ def profile_members(products: DataFrame) -> DataFrame:
     return products.select("key", F.md5(spelled).alias("profile"))
 
 
-def _size_class(n: Column) -> Column:
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(RATIO)) + 1e-9).cast("int")
+def _rare_first(values: DataFrame, frequency: DataFrame) -> DataFrame:
+    """id, n, at, token, df: the tokens of a value in the order rare to common, each with its place (from 0).
 
-
-def _prefix_keys(values: DataFrame, frequency: DataFrame, target: bool) -> DataFrame:
-    """(id, cls, x, y): what a value is looked up by.
-
-    Tokens are ordered from rare to common. Two sets that overlap by 3/7 share k tokens of their first
-    n - 3n/7 + k; with k = 2 the key is a pair of tokens. One token is enough for very small sets, where more
-    need not be shared, and for large ones, whose rare tokens are selective. ``cls`` is the size class of the
-    catalogue side: candidates ask for their own class and both neighbours.
+    Only the first n - 3n/7 + 1 are kept: two sets that overlap by 3/7 of either meet in one of them.
     """
-    rare_first = (
+    ordered = (
         values.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(frequency, "token")
         .groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ordered"))
-        .withColumn("tokens", F.transform("ordered", lambda s: s["token"]))
-    )
-    own = _size_class(F.col("n"))
-    classes = F.array(own) if target else F.array(own - 1, own, own + 1)
-    large = _size_class(F.lit(LARGE_SET))
-    tokens = rare_first.withColumn("cls", F.explode(classes)).withColumn(
-        "k", F.when((F.col("cls") <= 0) | (F.col("cls") >= large), 1).otherwise(2)
     )
-    length = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * OVERLAP - 1e-9).cast("int") + F.col("k"))
-    prefix = tokens.withColumn("prefix", F.slice("tokens", F.lit(1), length))
-    pairs = F.flatten(F.transform(
-        "prefix",
-        lambda a, i: F.transform(
-            F.filter("prefix", lambda _, j: j > i), lambda b: F.struct(a.alias("x"), b.alias("y"))
-        ),
-    ))
-    singles = F.transform("prefix", lambda a: F.struct(a.alias("x"), F.lit("").alias("y")))
-    return prefix.select("id", "cls", F.explode(F.when(F.col("k") == 1, singles).otherwise(pairs)).alias("key")).select(
-        "id", "cls", "key.x", "key.y"
+    length = F.col("n") - F.ceil(F.col("n") * SHARE - 1e-9).cast("int") + 1
+    prefix = ordered.select("id", "n", F.posexplode(F.slice("ordered", F.lit(1), F.least("n", length))).alias("at", "t"))
+    return prefix.select("id", "n", "at", "t.token", "t.df")
+
+
+def _spread(asked: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``token`` with a cell (u, v): a token of many texts is a grid of parts of about HOT_TOKEN.
+
+    A row lies in one part of its own side and goes to every part of the other, so each pair still meets once.
+    """
+    count = lambda df, name: df.groupBy("token").agg(F.ceil(F.count("*") / HOT_TOKEN).cast("int").alias(name))
+    parts = count(asked, "us").join(count(held, "vs"), "token").filter("us > 1 OR vs > 1")
+    of = lambda df: df.join(parts, "token", "left").fillna(1, ["us", "vs"])
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda df, u, v: of(df).withColumn("u", u).withColumn("v", v).drop("us", "vs")
+    return dealt(asked, own("us"), every("vs")), dealt(held, every("us"), own("vs"))
+
+
+def _near(a: DataFrame, b: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(a, b) whose token sets may reach the Dice threshold.
+
+    A pair meets at a token only if, by both places there, enough tokens are left for the overlap that its two sizes ask for;
+    that bounds sizes, places and prefixes at once. The shared tokens of a pair are then counted, and the count plus what
+    follows the last of them must still reach the overlap.
+    """
+    x, y = _rare_first(a, frequency), _rare_first(b, frequency)
+    x, y = _spread(x.drop("df"), y.drop("df"))
+    met = x.toDF("token", "a", "m", "p", "u", "v").join(y.toDF("token", "b", "n", "q", "u", "v"), ["token", "u", "v"])
+    rest = lambda p, q: F.least(F.col("m") - p, F.col("n") - q) * DICE_DEN
+    need = (F.col("m") + F.col("n")) * DICE_NUM
+    counted = met.filter(rest(F.col("p"), F.col("q")) >= need).groupBy("a", "b", "m", "n").agg(
+        F.count("*").alias("shared"), F.max("p").alias("p"), F.max("q").alias("q")
     )
+    return counted.filter(F.col("shared") * DICE_DEN + rest(F.col("p") + 1, F.col("q") + 1) >= need).select("a", "b")
 
 
 def _containment(short: DataFrame, long: DataFrame, frequency: DataFrame) -> DataFrame:
     """(short_id, long_id) that agree on the rarest trigram of the shorter text."""
-    tri = lambda df: df.select("id", F.explode("trigrams").alias("token"))
-    rarest = tri(short).join(frequency, "token").groupBy("id").agg(F.min(F.struct("df", "token"))["token"].alias("token"))
-    return rarest.withColumnRenamed("id", "short_id").join(tri(long).withColumnRenamed("id", "long_id"), "token").select(
-        "short_id", "long_id"
-    )
+    tri = lambda df: df.select("id", F.length("value").alias("n"), F.explode("trigrams").alias("token"))
+    rarest = tri(short).join(frequency, "token").groupBy("id", "n").agg(F.min(F.struct("df", "token"))["token"].alias("token"))
+    asked, held = _spread(rarest.select("token", "id", "n"), tri(long).join(rarest.select("token").distinct(), "token", "left_semi").select("token", "id", "n"))
+    met = asked.toDF("token", "short_id", "m", "u", "v").join(held.toDF("token", "long_id", "n", "u", "v"), ["token", "u", "v"])
+    return met.filter("m <= n").select("short_id", "long_id")
 
 
 def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     """kind, left_value, right_value, similarity of all pairs of distinct normalised texts at or above 0.6.
 
     Inputs are (kind, value); only values of one kind are compared, so several columns go through one pass.
-    Exact: equality by join, containment through the rarest trigram of the shorter text, Dice by prefix keys.
+    Exact: equality by join, containment through the rarest trigram of the shorter text, Dice by single rare tokens with
+    bounds on sizes and places.
     """
 
     def side(df: DataFrame) -> DataFrame:
@@ -123,9 +133,7 @@ def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     both = a.select("tokens", "trigrams").unionByName(b.select("tokens", "trigrams"))
     counted = lambda c: both.select(F.explode(c).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     two, three = counted("tokens"), counted("trigrams")
-    near = _prefix_keys(a, two, False).withColumnRenamed("id", "a").join(
-        _prefix_keys(b, two, True).withColumnRenamed("id", "b"), ["cls", "x", "y"]
-    ).select("a", "b")
+    near = _near(a, b, two)
     inside = _containment(a, b, three).toDF("a", "b")
     around = _containment(b, a, three).toDF("b", "a").select("a", "b")
     equal = a.select(F.col("id").alias("a")).join(b.select(F.col("id").alias("b")), F.col("a") == F.col("b"))
@@ -140,19 +148,29 @@ def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def _comparable(df: DataFrame, key: str, side: str) -> DataFrame:
-    """(key, kind, value, way): the texts a profile may be found by.
+def _comparable(df: DataFrame, key: str, side: str, *carried: str) -> DataFrame:
+    """(key, kind, value, way, carried): the texts a profile may be found by.
 
     A circle is only asked when no title can be compared, an author when neither can. ``way`` spells for each
-    earlier text whose blank (c or l) is to blame; a side takes part in the ways its own blanks allow.
+    earlier text whose blank is to blame: the candidate's (c), or the local's alone (l). A pair has one way.
     """
     found = []
     for depth, text in enumerate(TEXTS):
         for way in ("".join(w) for w in product("cl", repeat=depth)):
-            blank = [F.col(TEXTS[n]).isNull() for n, s in enumerate(way) if s == side]
-            allowed = reduce(lambda p, q: p & q, blank, F.col(text).isNotNull())
+            allowed = F.col(text).isNotNull()
+            for earlier, blame in zip(TEXTS, way):
+                if side == "c":
+                    allowed &= F.col(earlier).isNull() if blame == "c" else F.col(earlier).isNotNull()
+                elif blame == "l":
+                    allowed &= F.col(earlier).isNull()
             found.append(F.when(allowed, F.struct(F.lit(text).alias("kind"), F.col(text).alias("value"), F.lit(way).alias("way"))))
-    return df.select(F.col("profile").alias(key), F.explode(F.array_compact(F.array(*found))).alias("f")).select(key, "f.*")
+    return df.select(F.col("profile").alias(key), F.explode(F.array_compact(F.array(*found))).alias("f"), *carried).select(key, "f.*", *carried)
+
+
+def _values(df: DataFrame) -> DataFrame:
+    """kind, value of all texts."""
+    given = F.array_compact(F.array(*[F.when(F.col(t).isNotNull(), F.struct(F.lit(t).alias("kind"), F.col(t).alias("value"))) for t in TEXTS]))
+    return df.select(F.explode(given).alias("f")).select("f.*").distinct()
 
 
 def block_pairs(candidates: DataFrame, locals_: DataFrame, covers: DataFrame | None = None) -> DataFrame:
@@ -161,18 +179,20 @@ def block_pairs(candidates: DataFrame, locals_: DataFrame, covers: DataFrame | N
     Equal codes; similar titles; where no title can be compared, similar circles; where neither can, similar
     authors; and every pair with a supplied cover similarity.
     """
-    coded = lambda df, key: df.filter("code IS NOT NULL").select(F.col("profile").alias(key), "code")
-    same_code = coded(candidates, "c").join(coded(locals_, "l"), "code").select("c", "l")
     x, y = _comparable(candidates, "c", "c"), _comparable(locals_, "l", "l")
     near = similar_texts(x, y).select("kind", "left_value", "right_value")
     same_text = (
         x.withColumnRenamed("value", "left_value").join(near, ["kind", "left_value"])
         .join(y.withColumnRenamed("value", "right_value"), ["kind", "right_value", "way"]).select("c", "l")
     )
-    pairs = same_code.unionByName(same_text)
-    if covers is not None:
-        pairs = pairs.unionByName(covers.select("c", "l"))
-    return pairs.distinct()
+    return same_text.unionByName(_named_pairs(candidates, locals_, covers)).distinct()
+
+
+def _named_pairs(candidates: DataFrame, locals_: DataFrame, covers: DataFrame | None) -> DataFrame:
+    """c, l of equal codes or with a supplied cover similarity."""
+    coded = lambda df, key: df.filter("code IS NOT NULL").select(F.col("profile").alias(key), "code")
+    same_code = coded(candidates, "c").join(coded(locals_, "l"), "code").select("c", "l")
+    return same_code if covers is None else same_code.unionByName(covers.select("c", "l")).distinct()
 
 
 def pair_evidence(
@@ -201,19 +221,21 @@ def pair_evidence(
         )
     scores["cover"] = F.least(F.greatest(F.col("cover_similarity"), F.lit(0.0)), F.lit(1.0))
     scores["cover"] = F.when(F.col("cover_similarity").isNotNull(), scores["cover"])
-    scored = joined.select("c", "l", *[s.alias(f"s_{d}") for d, s in scores.items()])
+    return joined.select("c", "l", _evidence(scores).alias("evidence"))
+
+
+def _evidence(scores: dict[str, Column]) -> Column:
+    """Array of struct<dimension,state,weight,similarity> from a similarity (or null) per dimension."""
 
     def state(d: str) -> Column:
-        s = F.col(f"s_{d}")
         match, partial = {"identifier": (1.0, 1.0), "cover": (COVER_MATCH, COVER_PARTIAL)}.get(d, (TEXT_MATCH, TEXT_PARTIAL))
-        return (
-            F.when(s.isNull(), "UNKNOWN").when(s >= match, "MATCH").when(s >= partial, "PARTIAL").otherwise("MISMATCH")
-        )
+        s = scores[d]
+        return F.when(s.isNull(), "UNKNOWN").when(s >= match, "MATCH").when(s >= partial, "PARTIAL").otherwise("MISMATCH")
 
-    return scored.select("c", "l", F.array(*[
-        F.struct(F.lit(d).alias("dimension"), state(d).alias("state"), F.lit(w).alias("weight"), F.col(f"s_{d}").alias("similarity"))
+    return F.array(*[
+        F.struct(F.lit(d).alias("dimension"), state(d).alias("state"), F.lit(w).alias("weight"), scores[d].alias("similarity"))
         for d, w in WEIGHTS.items()
-    ]).alias("evidence"))
+    ])
 
 
 def pair_verdict(evidence: DataFrame) -> DataFrame:
@@ -243,17 +265,83 @@ def quality(verdict: Column) -> Column:
     return reduce(lambda acc, kv: acc.when(verdict == kv[0], kv[1]), QUALITY.items(), F.when(F.lit(False), 0))
 
 
+def text_views(locals_: DataFrame) -> DataFrame:
+    """profile -> view: local profiles that differ in their code only are one view to a candidate without that code."""
+    coded = F.col("code").isNotNull()
+    spelled = F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in TEXTS], coded.cast("string"))
+    return locals_.select("profile", *TEXTS, coded.alias("coded"), "copies", "first_key", F.md5(spelled).alias("view"))
+
+
+def match_views(candidates: DataFrame, locals_: DataFrame, covers: DataFrame | None = None) -> DataFrame:
+    """c, view, l, score, verdict, n, copies, first_key: all matches, those by text alone folded to views of ``n`` profiles.
+
+    A candidate meets every view once, by the similarities of distinct texts, which are found once for all. Where both have a
+    code the pair is decided by it and meets by it. Pairs of equal codes or with a cover similarity are rows of their own
+    (``l`` instead of ``view``) and are taken off their view. covers: c, l, cover_similarity, one row per pair.
+    """
+    members = text_views(locals_)
+    views = members.groupBy("view", *TEXTS, "coded").agg(
+        F.count("*").alias("n"), F.sum("copies").alias("copies"), F.min("first_key").alias("first_key")
+    )
+    near = similar_texts(_values(candidates), _values(locals_))
+    x = _comparable(candidates.withColumn("c_coded", F.col("code").isNotNull()), "c", "c", "circle", "author", "c_coded")
+    y = _comparable(views.withColumnRenamed("view", "profile"), "view", "l", "circle", "author", "coded", "n", "copies", "first_key")
+    x = x.select("c", "kind", "way", F.col("value").alias("left_value"), F.col("circle").alias("c_circle"), F.col("author").alias("c_author"), "c_coded")
+    y = y.withColumnRenamed("value", "right_value").withColumnsRenamed({"circle": "l_circle", "author": "l_author"})
+    met = x.join(near, ["kind", "left_value"]).join(y, ["kind", "right_value", "way"]).filter(~(F.col("c_coded") & F.col("coded")))
+    for text in ("circle", "author"):
+        known = near.filter(F.col("kind") == text).select(
+            F.col("left_value").alias(f"c_{text}"), F.col("right_value").alias(f"l_{text}"), F.col("similarity").alias(f"s_{text}")
+        )
+        both = F.col(f"c_{text}").isNotNull() & F.col(f"l_{text}").isNotNull()
+        met = met.join(known, [f"c_{text}", f"l_{text}"], "left").filter(~both | F.col(f"s_{text}").isNotNull())
+    none = F.lit(None).cast("double")
+    scores = {"identifier": none, "title": F.when(F.col("kind") == "title", F.col("similarity")), "circle": F.col("s_circle"), "author": F.col("s_author"), "cover": none}
+    columns = ["c", "view", "l", "score", "verdict", "n", "copies", "first_key"]
+    is_match = F.col("verdict").isin("LIKELY_MATCH", "POSSIBLE_MATCH")
+    by_text = pair_verdict(met.withColumn("evidence", _evidence(scores))).filter(is_match).withColumn("l", F.lit(None).cast("string"))
+    if covers is not None:
+        by_text = _without_covered(by_text, members, covers)
+    named = _named_pairs(candidates, locals_, covers)
+    own = pair_verdict(pair_evidence(named, candidates, locals_, covers)).filter(is_match)
+    own = own.join(locals_.select(F.col("profile").alias("l"), "copies", "first_key"), "l").withColumns(
+        {"n": F.lit(1).cast("long"), "view": F.lit(None).cast("string")}
+    )
+    return by_text.select(columns).unionByName(own.select(columns))
+
+
+def _without_covered(by_text: DataFrame, members: DataFrame, covers: DataFrame) -> DataFrame:
+    """Views less the profiles that a candidate has a cover similarity for; only where its first key goes is it sought anew."""
+    pairs = covers.select("c", "l").join(members.select(F.col("profile").alias("l"), "view", F.col("copies").alias("k"), F.col("first_key").alias("f")), "l")
+    gone = pairs.groupBy("c", "view").agg(F.count("*").alias("gone"), F.sum("k").alias("gone_copies"), F.min("f").alias("gone_key"))
+    left = by_text.join(gone, ["c", "view"], "left").filter(F.col("gone").isNull() | (F.col("n") > F.col("gone")))
+    first_gone = left.filter(F.col("gone_key") == F.col("first_key")).select("c", "view")
+    anew = (
+        first_gone.join(members.select("view", F.col("profile").alias("l"), F.col("first_key").alias("f")), "view")
+        .join(covers.select("c", "l"), ["c", "l"], "left_anti").groupBy("c", "view").agg(F.min("f").alias("next_key"))
+    )
+    return left.join(anew, ["c", "view"], "left").withColumns({
+        "n": F.col("n") - F.coalesce("gone", F.lit(0)), "copies": F.col("copies") - F.coalesce("gone_copies", F.lit(0)),
+        "first_key": F.coalesce("next_key", "first_key"),
+    })
+
+
+def spelled_out(matches: DataFrame, locals_: DataFrame, covers: DataFrame | None = None) -> DataFrame:
+    """c, l, score, verdict, copies, first_key: the profiles of rows as from :func:`match_views`, one row each."""
+    columns = ["c", "l", "score", "verdict", "copies", "first_key"]
+    members = text_views(locals_).select("view", F.col("profile").alias("l"), "copies", "first_key")
+    by_text = matches.filter("view IS NOT NULL").select("c", "view", "score", "verdict").join(members, "view")
+    if covers is not None:
+        by_text = by_text.join(covers.select("c", "l"), ["c", "l"], "left_anti")
+    return by_text.select(columns).unionByName(matches.filter("l IS NOT NULL").select(columns))
+
+
 def match_profiles(candidates: DataFrame, locals_: DataFrame, covers: DataFrame | None = None) -> DataFrame:
     """Blocking, evidence and verdict of two product tables' profiles; keeps the matches.
 
-    c, l, score, verdict, copies, first_key.
+    c, l, score, verdict, copies, first_key. Every match is a row; :func:`match_states` has one row per candidate.
     """
-    pairs = block_pairs(candidates, locals_, covers)
-    judged = pair_verdict(pair_evidence(pairs, candidates, locals_, covers))
-    counts = locals_.select(F.col("profile").alias("l"), "copies", "first_key")
-    return judged.filter(F.col("verdict").isin("LIKELY_MATCH", "POSSIBLE_MATCH")).join(counts, "l").select(
-        "c", "l", "score", "verdict", "copies", "first_key"
-    )
+    return spelled_out(match_views(candidates, locals_, covers), locals_, covers)
 
 
 def rank_matches(matches: DataFrame) -> DataFrame:
@@ -261,16 +349,38 @@ def rank_matches(matches: DataFrame) -> DataFrame:
     return matches.orderBy("c", F.desc(quality(F.col("verdict"))), F.desc("score"), "first_key")
 
 
-def best_matches(matches: DataFrame) -> DataFrame:
+def match_states(views: DataFrame, margin: int = AMBIGUOUS_MARGIN) -> DataFrame:
+    """c, verdict, score, first_key of the first-ranked match, near and near_copies within ``margin`` points of its score, rest.
+
+    Mergeable and bounded: partial results are counts per verdict and whole score, at most 202 a candidate, whatever the
+    number of its matches. ``near`` counts profiles, ``near_copies`` records, ``rest`` the profiles further off.
+    """
+    counts = views.groupBy("c", "verdict", "score").agg(
+        F.sum("n").alias("n"), F.sum("copies").alias("copies"), F.min("first_key").alias("first_key")
+    )
+    place = F.struct((-quality(F.col("verdict"))).alias("q"), (-F.col("score")).alias("s"), "first_key", "verdict", "score", "n", "copies")
+    state = counts.groupBy("c").agg(F.collect_list(place).alias("all"))
+    best = state.select("c", "all", F.array_min("all").alias("b"))
+    close = F.filter("all", lambda m: F.col("b.score") - m["score"] <= margin)
+    far = F.filter("all", lambda m: F.col("b.score") - m["score"] > margin)
+    total = lambda found, f: F.aggregate(found, F.lit(0).cast("long"), lambda acc, m: acc + m[f])
+    return best.select(
+        "c", "b.verdict", "b.score", "b.first_key", total(close, "n").alias("near"), total(close, "copies").alias("near_copies"), total(far, "n").alias("rest")
+    )
+
+
+def best_matches(states: DataFrame) -> DataFrame:
     """c, verdict, score, first_key of the first-ranked match of each candidate profile."""
-    order = F.struct((-quality(F.col("verdict"))).alias("q"), (-F.col("score")).alias("s"), "first_key")
-    return matches.groupBy("c").agg(F.min_by(F.struct("verdict", "score", "first_key"), order).alias("b")).select("c", "b.*")
+    return states.select("c", "verdict", "score", "first_key")
 
 
-def ambiguous_matches(matches: DataFrame, margin: int = AMBIGUOUS_MARGIN) -> DataFrame:
-    """Matches within ``margin`` points of their candidate's first-ranked one."""
-    best = best_matches(matches).select("c", F.col("score").alias("best_score"))
-    return matches.join(best, "c").filter(F.col("best_score") - F.col("score") <= margin).drop("best_score")
+def ambiguous_matches(
+    views: DataFrame, states: DataFrame, locals_: DataFrame, covers: DataFrame | None = None, margin: int = AMBIGUOUS_MARGIN
+) -> DataFrame:
+    """Matches within ``margin`` points of their candidate's first-ranked one, one row each; views further off are never spelled out."""
+    best = states.select("c", F.col("score").alias("best_score"))
+    close = views.join(best, "c").filter(F.col("best_score") - F.col("score") <= margin)
+    return spelled_out(close, locals_, covers)
 
 
 def _mask(df: DataFrame) -> Column:
@@ -278,25 +388,21 @@ def _mask(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, bits)
 
 
-def collection_status(
-    candidates: DataFrame, locals_: DataFrame, matches: DataFrame, margin: int = AMBIGUOUS_MARGIN
-) -> DataFrame:
-    """profile, catalogued MATCHED|AMBIGUOUS|ABSENT|UNKNOWN per candidate profile.
+def collection_status(candidates: DataFrame, locals_: DataFrame, states: DataFrame) -> DataFrame:
+    """profile, catalogued MATCHED|AMBIGUOUS|ABSENT|UNKNOWN per candidate profile, from its match state.
 
     Without a match the answer depends on what is blank: a record nothing can be compared with leaves the
     question open, otherwise the product is absent. An empty catalogue knows nothing.
     """
-    near = ambiguous_matches(matches, margin).groupBy("c").agg(F.sum("copies").alias("near"))
-    best = best_matches(matches).select("c", "verdict").join(near, "c")
     masks = locals_.select(_mask(locals_).alias("mask")).distinct()  # at most sixteen rows
     masks = masks.agg(F.collect_set("mask").alias("masks")).withColumn("one", F.lit(1))
     joined = candidates.withColumn("mask", _mask(candidates)).withColumn("one", F.lit(1)).join(
-        best, F.col("profile") == F.col("c"), "left"
+        states.select("c", "verdict", "near_copies"), F.col("profile") == F.col("c"), "left"
     ).join(F.broadcast(masks), "one")
     open_ = F.exists("masks", lambda m: m.bitwiseAND(F.col("mask")) == 0)
     return joined.select(
         "profile",
-        F.when(F.size("masks") == 0, "UNKNOWN").when(F.col("near") > 1, "AMBIGUOUS")
+        F.when(F.size("masks") == 0, "UNKNOWN").when(F.col("near_copies") > 1, "AMBIGUOUS")
         .when(F.col("verdict") == "LIKELY_MATCH", "MATCHED").when(F.col("verdict") == "POSSIBLE_MATCH", "AMBIGUOUS")
         .when(open_, "UNKNOWN").otherwise("ABSENT").alias("catalogued"),
     )

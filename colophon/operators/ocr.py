@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from colophon.functions.text import nfkc, strip
+
 # Fixed values of line selection.
 MIN_LINE, MAX_LINE, MAX_QUERY, TITLE_LINES = 3, 90, 120, 3
 HEIGHT_WEIGHT = 1000.0
@@ -97,6 +99,17 @@ def suggest_title_author(texts: DataFrame, key: str, text: str = "text", heights
     )
 
 
+def search_form(c: Column) -> Column:
+    """A recognised text as it is searched: compatibility characters folded, ends stripped; a blank text is empty."""
+    return F.when(c.isNotNull(), strip(F.regexp_replace(nfkc(c), r"[\t\u3000]", " ")))
+
+
+def with_search_text(suggestions: DataFrame) -> DataFrame:
+    """Adds search_title, search_author and query (both, or the title alone); title and author stay as recognised."""
+    folded = suggestions.withColumns({"search_title": search_form(F.col("title")), "search_author": search_form(F.col("author"))})
+    return folded.withColumn("query", F.concat_ws(" ", "search_title", "search_author"))
+
+
 def _squeezed(c: Column, normal_form) -> Column:
     return F.regexp_replace(normal_form(c), r"\s+", "")
 

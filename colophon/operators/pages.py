@@ -151,8 +151,10 @@ def page_status(pages: DataFrame, spec: ListingSpec, html: str = "html") -> Data
     )
 
 
-def extract_listing(pages: DataFrame, spec: ListingSpec, key: str, limit: int | None = None, html: str = "html") -> DataFrame:
-    """key, pos, id and the fields of every complete item, the first ``limit`` per page (None: all)."""
+def extract_listing(
+    pages: DataFrame, spec: ListingSpec, key: str, limit: int | None = None, html: str = "html", people: int | None = 2
+) -> DataFrame:
+    """key, pos, id and the fields of every complete item, the first ``limit`` per page and ``people`` per item (None: all)."""
     blocks = F.filter(F.split(html, f"(?={spec.item_start})"), lambda b: F.rlike(b, F.lit(f"^{spec.item_start}")))
 
     def item(block: Column, i: Column) -> Column:
@@ -170,7 +172,7 @@ def extract_listing(pages: DataFrame, spec: ListingSpec, key: str, limit: int |
         if spec.people is not None:
             names = F.regexp_extract_all(block, F.lit(spec.people.patterns[0]), F.lit(1))
             cleaned = F.transform(names, html_text)
-            values["author"] = F.array_join(F.slice(F.array_distinct(F.filter(cleaned, lambda n: n != "")), 1, 2), ", ")
+            values["author"] = F.array_join(first_of(F.array_distinct(F.filter(cleaned, lambda n: n != "")), people), ", ")
         return F.struct(
             i.alias("arrival"), (F.upper(ident) if spec.upper_id else ident).alias("id"),
             *[v.alias(n) for n, v in values.items()],

@@ -28,6 +28,7 @@ REVERSE_SCHEMA = (
     "header struct<status string, short_remaining string, long_remaining string>, "
     "results array<struct<header map<string,string>, data map<string,string>>>"
 )
+PEOPLE, PUBLISHERS, LANGUAGES = 4, 2, 3  # names of a book that are listed unless asked otherwise
 RJ_CODE = r"(?i)\bRJ[\s_-]?(\d{6,8})\b"
 
 
@@ -51,8 +52,11 @@ def _rows(replies: DataFrame, key: str, items: Column, keep, limit: int | None)
     return replies.select(key, F.posexplode(kept).alias("pos", "r")).select(key, "pos", "r.*")
 
 
-def parse_open_library(replies: DataFrame, key: str, body: str = "body", limit: int | None = 50) -> DataFrame:
-    """key, pos, id, title, authors, year, publishers, pages, languages, cover_url, detail_url."""
+def parse_open_library(
+    replies: DataFrame, key: str, body: str = "body", limit: int | None = 50, people: int | None = PEOPLE,
+    publishers: int | None = PUBLISHERS, languages: int | None = LANGUAGES,
+) -> DataFrame:
+    """key, pos, id, title, authors, year, publishers, pages, languages, cover_url, detail_url; a limit of None lists all."""
 
     def book(d: Column) -> Column:
         name = strip(d["key"])
@@ -63,10 +67,10 @@ def parse_open_library(replies: DataFrame, key: str, body: str = "body", limit:
         )
         return F.struct(
             F.nullif(F.regexp_extract(name, OL_KEY, 2), F.lit("")).alias("id"), _filled(d["title"]).alias("title"),
-            _texts(d["author_name"], 4).alias("authors"), d["first_publish_year"].cast("int").alias("year"),
-            _texts(d["publisher"], 2).alias("publishers"),
+            _texts(d["author_name"], people).alias("authors"), d["first_publish_year"].cast("int").alias("year"),
+            _texts(d["publisher"], publishers).alias("publishers"),
             F.when(d["number_of_pages"] > 0, d["number_of_pages"].cast("int")).alias("pages"),
-            _texts(d["language"], 3).alias("languages"),
+            _texts(d["language"], languages).alias("languages"),
             F.concat(F.lit(f"{OL_COVERS}/b/id/"), cover_id, F.lit("-M.jpg")).alias("cover_url"),
             F.concat(F.lit(OL_SITE), name).alias("detail_url"),
         )
@@ -83,8 +87,8 @@ def open_library_status(replies: DataFrame, key: str, body: str = "body") -> Dat
     )
 
 
-def parse_google_books(replies: DataFrame, key: str, body: str = "body", limit: int | None = 50) -> DataFrame:
-    """key, pos, id, title, authors, year, publisher, pages, language, cover_url, detail_url, identifier."""
+def parse_google_books(replies: DataFrame, key: str, body: str = "body", limit: int | None = 50, people: int | None = PEOPLE) -> DataFrame:
+    """key, pos, id, title, authors, year, publisher, pages, language, cover_url, detail_url, identifier; a limit of None lists all."""
     secure = lambda u: F.when(F.startswith(u, F.lit("https://")), u)
 
     def volume(v: Column) -> Column:
@@ -95,7 +99,7 @@ def parse_google_books(replies: DataFrame, key: str, body: str = "body", limit:
         numbers = F.filter(F.transform(info["industryIdentifiers"], lambda i: strip(i["identifier"])), lambda t: t != "")
         return F.struct(
             F.when(F.rlike(ident, F.lit(GB_ID)), ident).alias("id"), _filled(info["title"]).alias("title"),
-            _texts(info["authors"], 4).alias("authors"), F.when(year.between(1000, 2100), year).alias("year"),
+            _texts(info["authors"], people).alias("authors"), F.when(year.between(1000, 2100), year).alias("year"),
             _filled(info["publisher"]).alias("publisher"), F.when(pages > 0, pages).alias("pages"),
             _filled(info["language"]).alias("language"),
             secure(F.regexp_replace(cover, "^http://", "https://")).alias("cover_url"),

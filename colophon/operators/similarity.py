@@ -7,6 +7,7 @@ query, so neither all pairs nor a whole side ever sits in one place.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from itertools import combinations
@@ -19,28 +20,31 @@ from colophon.functions.vectors import (
     BASELINE_CAP, DEFAULT_BASELINE, HIGH_PERCENT, MID_PERCENT, SAME_COVER_DISTANCE, SIGNATURE_BITS,
     dot, hamming, l2_normalize, match_level, score_percent,
 )
+from colophon.operators.numbering import written
 from colophon.session import checkpoint_dir
 
 BLOCK_ROWS = 4096
 DRAWS = 50_000  # fixed value: pairs that a sampled baseline draws
 BUCKETS = 4096
+HOT_ROWS = 2048  # signatures under one pair of bands that a task compares
 BINS, FEW, REFINED = 4096, 1 << 16, 4  # histogram of an exact baseline: bins, pairs that need no finer bins, passes at most
 
 
-def _blocks(rows: int, block_rows: int) -> int:
-    return max(1, -(-rows // block_rows))
-
-
 def _grid(queries: DataFrame, vectors: DataFrame, block_rows: int):
-    """Both sides with their grid cell; only block counts are decided from the row counts.
+    """Both sides with their grid cell; the numbers of blocks are counted inside the same job, as one row.
 
     A block is a hash slice of the key, so its size is about block_rows whatever the keys look like.
     """
-    nq, nv = _blocks(queries.count(), block_rows), _blocks(vectors.count(), block_rows)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int")).withColumn("vb", every(nv))
-    v = vectors.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int")).withColumn("qb", every(nq))
-    return q.groupBy("qb", "vb"), v.groupBy("qb", "vb")
+    blocks = lambda df, name: df.agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int").alias(name), F.lit(1).alias("_one"))
+    counts = F.broadcast(blocks(queries, "_nq").join(blocks(vectors, "_nv"), "_one"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    of = lambda df: df.withColumn("_one", F.lit(1)).join(counts, "_one")
+    # Columns of their own on both sides: queries and vectors may be the same table.
+    fresh = lambda df, columns: df.select(*[F.col(c).alias(c) for c in (*columns, "qb", "vb")]).groupBy("qb", "vb")
+    q = of(queries).withColumn("qb", own("query", "_nq")).withColumn("vb", every("_nv"))
+    v = of(vectors).withColumn("vb", own("id", "_nv")).withColumn("qb", every("_nq"))
+    return fresh(q, queries.columns), fresh(v, vectors.columns)
 
 
 def _best(score: np.ndarray, ids: np.ndarray, ties: np.ndarray, queries, k: int) -> pd.DataFrame:
@@ -205,21 +209,33 @@ def baseline_exact(vectors: DataFrame, group: str, block_rows: int = BLOCK_ROWS,
 
 
 def baseline_sampled(vectors: DataFrame, group: str, draws: int = DRAWS, seed: int = 7) -> DataFrame:
-    """Median cosine of ``draws`` seeded ordered pairs i != j per group of (group, id, embedding)."""
-    indexed = dense_index(vectors.select(group, "id", "embedding"), "id", [group])
+    """Median cosine of ``draws`` seeded ordered pairs i != j per group of (group, id, embedding).
+
+    At most about 2 x ``draws`` rows of a group can be drawn, so only rows whose hash lies below that share of their group are
+    numbered, and only drawn rows move their vectors: past the scan the work does not grow with the catalogue. A group of up
+    to 2 x ``draws`` rows is numbered whole.
+    """
     sizes = vectors.groupBy(group).agg(F.count("*").alias("vectors")).filter("vectors >= 3")
-    drawn = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select(
-        group, "vectors", "draw",
-        F.pmod(_hash_number(F.lit(seed), F.col("draw"), F.lit("i")), F.col("vectors")).alias("i"),
-        F.pmod(_hash_number(F.lit(seed), F.col("draw"), F.lit("j")), F.col("vectors") - 1).alias("step"),
-    ).withColumn("j", F.pmod(F.col("i") + 1 + F.col("step"), F.col("vectors")))
-    side = lambda name, vec: indexed.select(group, F.col("idx").alias(name), F.col("embedding").alias(vec))
+    sizes = written(sizes, "sizes")  # one row per group, of known size when it is joined
+    most = 2 * draws
+    share = F.lit(float(most + 8 * math.isqrt(most))) / F.col("vectors")
+    spot = F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), F.col("id")), F.lit(11)).cast("double") / 2.0**53
+    picked = vectors.select(group, "id", "embedding").join(sizes, group).filter((F.col("vectors") <= most) | (spot < share))
+    indexed = written(dense_index(picked.select(group, "id", "vectors"), "id", [group]).select(group, "id", "idx"), "numbers")
+    among = indexed.groupBy(group).agg(F.count("*").alias("n"))
+    drawn = among.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select(
+        group, "n", "draw",
+        F.pmod(_hash_number(F.lit(seed), F.col("draw"), F.lit("i")), F.col("n")).alias("i"),
+        F.pmod(_hash_number(F.lit(seed), F.col("draw"), F.lit("j")), F.col("n") - 1).alias("step"),
+    ).withColumn("j", F.pmod(F.col("i") + 1 + F.col("step"), F.col("n"))).select(group, "draw", "i", "j")
+    drawn = written(drawn, "draws")
+    wanted = drawn.select(group, F.col("i").alias("idx")).unionByName(drawn.select(group, F.col("j").alias("idx"))).distinct()
+    rows = picked.select(group, "id", "embedding").join(indexed.join(wanted, [group, "idx"], "left_semi"), [group, "id"])
+    side = lambda name, vec: rows.select(group, F.col("idx").alias(name), F.col("embedding").alias(vec))
     cosines = drawn.join(side("i", "a"), [group, "i"]).join(side("j", "b"), [group, "j"])
     clamp = F.least(F.greatest(F.percentile("cosine", F.lit(0.5)), F.lit(0.0)), F.lit(BASELINE_CAP))
-    return (
-        cosines.select(group, "vectors", dot(F.col("a"), F.col("b")).alias("cosine"))
-        .groupBy(group, "vectors").agg(clamp.alias("baseline"))
-    )
+    found = cosines.select(group, dot(F.col("a"), F.col("b")).alias("cosine")).groupBy(group).agg(clamp.alias("baseline"))
+    return sizes.join(found, group).select(group, "vectors", "baseline")
 
 
 def baselines(vectors: DataFrame, group: str, method: str = "sampled", draws: int = DRAWS) -> DataFrame:
@@ -258,32 +274,42 @@ def _bands(count: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
 
 
-def hamming_pairs(signatures: DataFrame, max_distance: int = SAME_COVER_DISTANCE) -> DataFrame:
+def hamming_pairs(signatures: DataFrame, max_distance: int = SAME_COVER_DISTANCE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pairs of distinct signatures within ``max_distance`` bits, each with its number of copies.
 
     With max_distance + 2 bands at least two bands of a qualifying pair are equal, so joining on every
-    pair of bands loses nothing. Copies are folded before the join: a signature shared by a third of all
-    rows is one row here, and its inner pairs are the ``copies`` count of its group.
+    pair of bands loses nothing. A pair counts only where the joined bands are the first two it shares, so it is found once
+    and nothing is de-duplicated. Copies are folded before the join; a band value of more than ``hot_rows`` signatures is a
+    grid of parts of that size, each cell a task of its own.
     """
     groups = signature_groups(signatures)
-    bands = [
-        F.call_function("shiftrightunsigned", F.col("signature"), F.lit(lo)).bitwiseAND(F.lit((1 << width) - 1))
-        for lo, width in _bands(max_distance + 2)
-    ]
+    cuts = _bands(max_distance + 2)
+    band = lambda c, lo, width: F.call_function("shiftrightunsigned", c, F.lit(lo)).bitwiseAND(F.lit((1 << width) - 1))
+    bands = [band(F.col("signature"), *cut) for cut in cuts]
     keys = F.array(*[
-        F.struct(F.lit(n).alias("pair"), bands[i].alias("x"), bands[j].alias("y"))
-        for n, (i, j) in enumerate(combinations(range(len(bands)), 2))
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), bands[i].alias("x"), bands[j].alias("y"))
+        for i, j in combinations(range(len(bands)), 2)
     ])
+    key = ["i", "j", "x", "y"]
     keyed = groups.withColumn("key", F.explode(keys)).select("key.*", "signature", "copies", "first_id")
-    rename = lambda side: keyed.select(
-        "pair", "x", "y", *[F.col(c).alias(f"{c}_{side}") for c in ("signature", "copies", "first_id")]
+    hot = keyed.groupBy(*key).agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("parts")).filter("parts > 1")
+    dealt = keyed.join(hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("signature"), F.col("parts")).cast("int")
+    # a cell (u, v), u <= v, holds the pairs of parts u and v; the left side lies in part u, the right one in part v
+    side = lambda df, name: df.select(*key, "u", "v", *[F.col(c).alias(f"{c}_{name}") for c in ("signature", "copies", "first_id")])
+    a = side(dealt.withColumn("u", own).withColumn("v", F.explode(F.sequence("u", F.col("parts") - 1))), "p")
+    b = side(dealt.withColumn("v", own).withColumn("u", F.explode(F.sequence(F.lit(0), "v"))), "q")
+    differ = F.col("signature_p").bitwiseXOR(F.col("signature_q"))
+    equal = F.array_compact(F.array(*[F.when(band(differ, *cut) == 0, F.lit(n)) for n, cut in enumerate(cuts)]))
+    met = a.join(b, [*key, "u", "v"]).filter(
+        F.when(F.col("u") == F.col("v"), F.col("signature_p") < F.col("signature_q")).otherwise(True)
     )
-    a, b = rename("a"), rename("b")
-    distance = hamming(F.col("signature_a"), F.col("signature_b"))
-    return (
-        a.join(b, ["pair", "x", "y"]).filter(F.col("signature_a") < F.col("signature_b"))
-        .withColumn("distance", distance).filter(F.col("distance") <= max_distance)
-        .drop("pair", "x", "y").dropDuplicates(["signature_a", "signature_b"])
+    near = met.withColumn("distance", hamming(F.col("signature_p"), F.col("signature_q"))).filter(F.col("distance") <= max_distance)
+    once = near.filter((F.get(equal, F.lit(0)) == F.col("i")) & (F.get(equal, F.lit(1)) == F.col("j")))
+    first = F.col("signature_p") < F.col("signature_q")
+    pick = lambda c, low: F.when(first == low, F.col(f"{c}_p")).otherwise(F.col(f"{c}_q"))
+    return once.select(
+        *[pick(c, low).alias(f"{c}_{name}") for name, low in (("a", True), ("b", False)) for c in ("signature", "copies", "first_id")], "distance"
     )
 
 

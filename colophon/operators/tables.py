@@ -16,8 +16,8 @@ from colophon.sources.cells import SHEET
 
 # Fixed values of table detection.
 HEADER_SCAN_ROWS, MIN_HEADER_CELLS, MAX_HEADER_CHARS = 12, 3, 40
-MAX_LINK_CELLS = 1024
 CONTEXT_ROWS, MAX_WINDOW_COLUMNS = 6, 96
+ROW_LEVELS = 5  # stretches of up to 64^4 rows, more than a reference can name
 
 
 def detect_header(cells: DataFrame) -> DataFrame:
@@ -99,15 +99,24 @@ def table_cells(
     return kept.select(*SHEET, "row", "idx", "col", "name", "text", "shown")
 
 
-def table_records(table: DataFrame, columns: DataFrame) -> DataFrame:
-    """SHEET, row, values, shown: one array per record in field order, blanks as empty text."""
+def table_records(table: DataFrame, columns: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """SHEET, row, values, shown: one array per record in field order, blanks as empty text.
+
+    With ``links`` (as from :func:`record_links`) each record also has its links by sheet column, empty where it has none.
+    """
     width = columns.groupBy(*SHEET).agg(F.count("*").alias("width"))
     packed = table.groupBy(*SHEET, "row").agg(
         F.map_from_entries(F.collect_list(F.struct("idx", F.struct("text", "shown")))).alias("at")
     )
     every = F.sequence(F.lit(0), (F.col("width") - 1).cast("int"))
     pick = lambda part: F.transform(every, lambda i: F.coalesce(F.col("at")[i][part], F.lit("")))
-    return packed.join(width, SHEET).select(*SHEET, "row", pick("text").alias("values"), pick("shown").alias("shown"))
+    joined = packed.join(width, SHEET)
+    if links is None:
+        return joined.select(*SHEET, "row", pick("text").alias("values"), pick("shown").alias("shown"))
+    none = F.create_map().cast(links.schema["links"].dataType)
+    return joined.join(links, [*SHEET, "row"], "left").select(
+        *SHEET, "row", pick("text").alias("values"), pick("shown").alias("shown"), F.coalesce("links", none).alias("links")
+    )
 
 
 def table_truncation(cells: DataFrame, columns: DataFrame, max_records: int | None = None) -> DataFrame:
@@ -145,36 +154,113 @@ def display_cells(cells: DataFrame, styles: DataFrame) -> DataFrame:
     return joined.withColumn("shown", shown).drop("kind", "date1904")
 
 
-def expand_links(links: DataFrame, relationships: DataFrame) -> DataFrame:
-    """SHEET, row, col, target, internal, label: one link per covered cell, the later link wins.
+def link_ranges(links: DataFrame, relationships: DataFrame, max_cells: int | None = None) -> DataFrame:
+    """SHEET, ord, row_from, row_to, col_from, col_to, target, internal, label of the links that can be followed.
 
     links: SHEET, ord, ref, location, rel_id, display; relationships: workbook, sheet_key, rel_id, target,
-    external. A range of more than 1024 cells links its first cell only, which bounds what a row expands to.
+    external. A location wins over a relationship; without either, or with an unreadable reference, a link is none.
+    With ``max_cells`` a larger range is reduced to the cell its reference starts with.
     """
     rels = relationships.select("workbook", "sheet_key", "rel_id", F.col("target").alias("rel_target"), "external")
     location = F.nullif(strip(F.col("location")), F.lit(""))
     start = F.split_part("ref", F.lit(":"), F.lit(1))
-    cells = (F.col("a.row_to") - F.col("a.row_from") + 1) * (F.col("a.col_to") - F.col("a.col_from") + 1)
-    span = lambda lo, hi, one: F.explode(
-        F.when(F.col("small"), F.sequence(F.col(lo), F.col(hi))).otherwise(F.array(F.col(one)))
-    )
-    resolved = (
+    one = F.struct(
+        F.col("start.row").alias("row_from"), F.col("start.row").alias("row_to"),
+        F.col("start.col").alias("col_from"), F.col("start.col").alias("col_to"),
+    )
+    covered = (F.col("a.row_to") - F.col("a.row_from") + 1).cast("long") * (F.col("a.col_to") - F.col("a.col_from") + 1)
+    whole = F.coalesce(parse_range(F.col("ref")), one)
+    return (
         links.join(rels, ["workbook", "sheet_key", "rel_id"], "left")
         .withColumn("target", F.coalesce(location, F.col("rel_target")))
         .withColumn("internal", F.when(location.isNotNull(), True).otherwise(~F.col("external")))
         .withColumn("start", a1_parse(start))
         .filter(F.col("target").isNotNull() & F.col("start").isNotNull())
-        .withColumn("a", F.coalesce(parse_range(F.col("ref")), parse_range(start)))
-        .withColumn("small", cells <= MAX_LINK_CELLS)
+        .withColumn("a", whole)
+        .withColumn("a", F.col("a") if max_cells is None else F.when(covered <= max_cells, F.col("a")).otherwise(one))
+        .select(*SHEET, "ord", "a.*", "target", "internal", F.nullif(strip(F.col("display")), F.lit("")).alias("label"))
     )
-    label = F.nullif(strip(F.col("display")), F.lit("")).alias("label")
+
+
+def _on_level(slots: Column, level: int) -> Column:
+    return F.transform(slots, lambda s: F.struct(F.lit(level).alias("level"), s.alias("slot")))
+
+
+def _range_keys(low: Column, high: Column) -> Column:
+    """array<struct<level,slot>>: the aligned stretches of 64^level rows that make up low..high, at most 126 of a level."""
+    keys, end = [], high.cast("long") + 1
+    lows = [F.ceil(low / 64**k).cast("long") for k in range(ROW_LEVELS + 1)]
+    highs = [F.floor(end / 64**k).cast("long") for k in range(ROW_LEVELS + 1)]
+    none = F.array().cast("array<bigint>")
+    steps = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+    for k in range(ROW_LEVELS):
+        a, b, c, d = lows[k], highs[k], lows[k + 1] * 64, highs[k + 1] * 64
+        inner = F.lit(k + 1 < ROW_LEVELS) & (c < d)  # what longer stretches cover is left to them
+        slots = F.when(inner, F.concat(steps(a, c), steps(d, b))).otherwise(steps(a, b))
+        keys.append(_on_level(slots, k))
+    return F.concat(*keys)
+
+
+def rows_in_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows (SHEET, row) with each range (SHEET, row_from, row_to, ...) that holds them.
+
+    A range is cut into aligned stretches of 1, 64, 4096, ... rows, a row asks for the stretch of each length around it; they
+    meet by equality, exactly once. A range of a million rows is a few hundred keys, and small ranges side by side never
+    meet each other's rows.
+    """
+    cut = ranges.withColumn("_k", F.explode(_range_keys(F.col("row_from"), F.col("row_to")))).select("*", "_k.*").drop("_k")
+    around = F.array(*[
+        F.struct(F.lit(k).alias("level"), F.floor(F.col("row") / 64**k).cast("long").alias("slot")) for k in range(ROW_LEVELS)
+    ])
+    asked = rows.select(*SHEET, "row", F.explode(around).alias("_k")).select(*SHEET, "row", "_k.*")
+    return asked.join(cut, [*SHEET, "level", "slot"]).drop("level", "slot")
+
+
+def expand_links(cells: DataFrame, ranges: DataFrame) -> DataFrame:
+    """SHEET, row, col, target, internal, label: the link of each given cell, the later one where links overlap.
+
+    cells: SHEET, row, col; ranges as from :func:`link_ranges`. Ranges are never spelled out cell by cell.
+    """
+    at = cells.select(*SHEET, "row", "col").distinct()
+    over = rows_in_ranges(at.select(*SHEET, "row").distinct(), ranges)
+    inside = F.col("col").between(F.col("col_from"), F.col("col_to"))
     return (
-        resolved.withColumn("row", span("a.row_from", "a.row_to", "start.row"))
-        .withColumn("col", span("a.col_from", "a.col_to", "start.col"))
-        .groupBy(*SHEET, "row", "col")
-        .agg(F.max_by(F.struct("target", "internal", label), "ord").alias("l"))
-        .select(*SHEET, "row", "col", "l.*")
+        at.join(over, [*SHEET, "row"]).filter(inside).groupBy(*SHEET, "row", "col")
+        .agg(F.max_by(F.struct("target", "internal", "label"), "ord").alias("l")).select(*SHEET, "row", "col", "l.*")
+    )
+
+
+def record_links(table: DataFrame, columns: DataFrame, ranges: DataFrame) -> DataFrame:
+    """SHEET, row, links map<col, struct<target,internal,label>> of records with a link in any table column, blank cells too.
+
+    The record's rows meet the ranges first; only rows under a range are paired with the columns of their sheet.
+    """
+    over = rows_in_ranges(table.select(*SHEET, "row").distinct(), ranges)
+    inside = F.col("col").between(F.col("col_from"), F.col("col_to"))
+    last = (
+        over.join(columns.select(*SHEET, "col"), SHEET).filter(inside).groupBy(*SHEET, "row", "col")
+        .agg(F.max_by(F.struct("target", "internal", "label"), "ord").alias("link"))
     )
+    return last.groupBy(*SHEET, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "link"))).alias("links"))
+
+
+def link_label(link: Column) -> Column:
+    """What is shown for a link: its own display text, else where it leads."""
+    return F.coalesce(link["label"], link["target"])
+
+
+def link_is_openable(link: Column) -> Column:
+    """A web or mail address, or any place inside the workbook."""
+    web = F.rlike(link["target"], F.lit(r"(?i)^(https?://|mailto:)"))
+    return F.when(link["internal"], strip(link["target"]) != "").otherwise(web)
+
+
+def internal_target(link: Column) -> Column:
+    """struct<sheet,cell> of an internal link that names a sheet; null for outside links, bare cells and defined names."""
+    text = strip(link["target"])
+    at = lambda group: strip(F.regexp_extract(text, r"(?s)^#?(.+)!([^!]+)$", group))
+    sheet = F.regexp_replace(at(1), r"(?s)^'(.*)'$", "$1")
+    return F.when(link["internal"] & (sheet != "") & (at(2) != ""), F.struct(sheet.alias("sheet"), at(2).alias("cell")))
 
 
 def window_cells(cells: DataFrame, targets: DataFrame, context: int = CONTEXT_ROWS) -> DataFrame:

@@ -269,7 +269,7 @@ def _(i):
 
 @catalog_query("missing_metadata_count", f"SELECT id, {OPTIONAL_MISSING} AS missing FROM covered")
 def _(i):
-    return Catalog(i).covered().select("id", facets.missing_metadata_count().alias("missing"))
+    return Workbook(i).entries().select("id", facets.missing_metadata_count().alias("missing"))
 
 
 # Dates: the chosen column of a sheet, read at the precision it is written in.
@@ -413,21 +413,21 @@ for _field in ("circle", "artist"):
 SELECT * FROM (SELECT {_field}_text AS value, count(*) AS records FROM covered WHERE {_field}_text IS NOT NULL GROUP BY 1) ORDER BY records DESC, lower(value), value LIMIT 50
 """)
     def _(i, field=_field):
-        return analytics.top_values(Catalog(i).covered(), field)
+        return analytics.top_values(Workbook(i).entries(), field)
 
 
 @catalog_query("tag_counts", """
 SELECT * FROM (SELECT tag AS value, count(*) AS records FROM (SELECT trim(unnest(regexp_split_to_array(tags_text, '[,、;；]'))) AS tag FROM covered) WHERE tag <> '' GROUP BY 1) ORDER BY records DESC, lower(value), value LIMIT 50
 """)
 def _(i):
-    return analytics.tag_counts(Catalog(i).covered())
+    return analytics.tag_counts(Workbook(i).entries())
 
 
 @catalog_query("year_histogram", f"""
 SELECT y // 10000 AS year, count(*) AS records FROM (SELECT {date_sql('published_text')} AS y FROM covered WHERE published_text IS NOT NULL) GROUP BY ALL
 """)
 def _(i):
-    return analytics.year_histogram(Catalog(i).covered())
+    return analytics.year_histogram(Workbook(i).entries())
 
 
 GROUPS = """
@@ -445,17 +445,17 @@ GROUPS = """
 
 @catalog_query("duplicate_identifiers", GROUPS + " SELECT * FROM id_groups")
 def _(i):
-    return analytics.duplicate_identifiers(Catalog(i).covered())
+    return analytics.duplicate_identifiers(Workbook(i).entries())
 
 
 @catalog_query("possible_duplicates", GROUPS + " SELECT * FROM text_groups")
 def _(i):
-    return analytics.possible_duplicates(Catalog(i).covered())
+    return analytics.possible_duplicates(Workbook(i).entries())
 
 
 @catalog_query("duplicate_totals", GROUPS + " SELECT count(*) AS groups, coalesce(sum(records), 0) AS records FROM text_groups")
 def _(i):
-    return analytics.duplicate_totals(analytics.possible_duplicates(Catalog(i).covered()))
+    return analytics.duplicate_totals(analytics.possible_duplicates(Workbook(i).entries()))
 
 
 # Health.
@@ -520,9 +520,9 @@ def _issues(c):
 
 def _findings(i):
     c = Catalog(i)
-    entries = c.covered()
+    entries = c.entries()  # only the findings about images need the covers
     return health.health_report([
-        _structure(c), health.health_records(entries), health.health_images(entries, c.images()),
+        _structure(c), health.health_records(entries), health.health_images(c.covered(), c.images()),
         health.health_duplicates(entries), health.health_mapping(_issues(c)),
     ])
 
@@ -534,7 +534,7 @@ def _(i):
 
 @catalog_query("health_records", RECORDS + " SELECT * FROM f_records")
 def _(i):
-    return health.health_records(Catalog(i).covered())
+    return health.health_records(Workbook(i).entries())
 
 
 @catalog_query("health_images", IMAGE_FINDINGS + " SELECT * FROM f_images")
@@ -545,7 +545,7 @@ def _(i):
 
 @catalog_query("health_duplicates", CONSISTENCY + " SELECT * FROM f_duplicates")
 def _(i):
-    return health.health_duplicates(Catalog(i).covered())
+    return health.health_duplicates(Workbook(i).entries())
 
 
 @catalog_query("health_mapping", CONSISTENCY + " SELECT * FROM f_mapping")

@@ -79,9 +79,9 @@ def query(name: str, oracle: str | None = None, feeds: list[str] | None = None):
         if oracle is not None:
             ctes = [f"{f} AS ({plain(FEEDS[f])})" for f in feeds or []]
             body = oracle.strip()
-            if body.upper().startswith("WITH "):
-                body = body[5:]
-                ORACLES[name] = "WITH " + ",\n".join([*ctes, body])
+            head = next((h for h in ("WITH RECURSIVE ", "WITH ") if body.upper().startswith(h)), None)
+            if head is not None:
+                ORACLES[name] = head + ",\n".join([*ctes, body[len(head) :]])
             else:
                 ORACLES[name] = ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
         return build

@@ -241,6 +241,73 @@ def _(i):
     return rows.join(counts, rows["id"] == counts["session_id"]).select("id", "folder_id", "title", "added", "already_there")
 
 
+@library_query("create_folders", """
+WITH r AS (SELECT p_partkey AS seq, CASE WHEN p_size % 3 = 0 THEN ' ' ELSE p_name END AS name FROM part), o AS (SELECT count(*) AS n FROM folders WHERE kind = 'PROFILE')
+SELECT CASE WHEN trim(name) = '' THEN '#' || (o.n + row_number() OVER (ORDER BY seq)) ELSE trim(name) END AS name, 'PROFILE' AS kind FROM r, o
+""")
+def _(i):
+    base = _library(i)
+    asked = i.table("part").select(F.col("p_partkey").alias("seq"), F.when(F.col("p_size") % 3 == 0, " ").otherwise(F.col("p_name")).alias("name"))
+    made, _ = lib.create_folders(base, asked, 77)
+    return made.folders.filter("created_at = 77 AND id LIKE 'fld%'").select("name", "kind")
+
+
+@library_query("rename_folders", """
+WITH r AS (SELECT 'f' || s_nationkey AS id, max_by(s_name, s_suppkey) FILTER (s_suppkey % 2 = 0) AS name FROM supplier GROUP BY ALL)
+SELECT f.id, CASE WHEN f.kind <> 'RESERVED' THEN coalesce(r.name, f.name) ELSE f.name END AS name FROM folders f LEFT JOIN r USING (id)
+""")
+def _(i):
+    return lib.rename_folders(_library(i), _new_names(i))[0].folders.select("id", "name")
+
+
+@query("rename_folders_report", "SELECT count(*) AS requested, count(*) FILTER (s_nationkey > 0) AS changed, count(*) FILTER (s_nationkey = 0) AS skipped, 0 AS failed FROM supplier")
+def _(i):
+    return lib.rename_folders(_library(i), _new_names(i))[1]
+
+
+def _new_names(i):
+    return i.table("supplier").select(
+        F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("folder_id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(" ").alias("name"), F.col("s_suppkey").alias("seq"))
+
+
+@library_query("rename_sessions", """
+SELECT s.id, coalesce(o.name, s.title) AS title FROM sessions s LEFT JOIN (SELECT 's' || (o_custkey % 300) AS id, max_by(o_orderpriority, o_orderkey) AS name FROM orders GROUP BY ALL) o USING (id)
+""")
+def _(i):
+    asked = i.table("orders").select(F.concat(F.lit("s"), (F.col("o_custkey") % 300).cast("string")).alias("session_id"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").alias("seq"))
+    return lib.rename_sessions(_library(i), asked)[0].sessions.select("id", "title")
+
+
+@library_query("bookmark_items", """
+SELECT item_id FROM memberships WHERE folder_id = 'f0' UNION SELECT w.item_id FROM wanted_items w JOIN items i ON i.id = w.item_id WHERE i.kind <> 'WORKBOOK_MATCH'
+""", ["wanted_items"])
+def _(i):
+    return lib.bookmark_items(_library(i), i.feed("wanted_items"), 9)[0].memberships.filter("folder_id = 'f0'").select("item_id")
+
+
+FEEDS["bookmark_edits"] = """
+SELECT 'd' || cast(p_partkey AS string) AS item_id, p_partkey + p_size AS seq, CASE WHEN p_size % 9 = 0 THEN ' ' ELSE ' ' || p_name || ' ' END AS title, CASE WHEN p_size % 4 = 1 THEN 'http://plain.example' ELSE 'https://shop.example/' || cast(p_size AS string) END AS url, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE ' ' END AS provider FROM {part}
+"""
+
+
+@library_query("update_bookmarks", """
+WITH e AS (SELECT * FROM bookmark_edits WHERE trim(title) <> '' AND url LIKE 'https://%')
+SELECT i.id, CASE WHEN e.item_id IS NOT NULL AND i.kind <> 'WORKBOOK_MATCH' THEN trim(e.title) ELSE i.title END AS title, CASE WHEN e.item_id IS NOT NULL AND i.kind <> 'WORKBOOK_MATCH' THEN e.url ELSE i.url END AS url,
+  CASE WHEN e.item_id IS NOT NULL AND i.kind <> 'WORKBOOK_MATCH' THEN 'shop.example' ELSE i.domain END AS domain, CASE WHEN i.kind <> 'WORKBOOK_MATCH' THEN coalesce(nullif(trim(e.provider), ''), i.provider) ELSE i.provider END AS provider, i.fingerprint
+FROM items i LEFT JOIN e ON e.item_id = i.id
+""", ["bookmark_edits"])
+def _(i):
+    return lib.update_bookmarks(_library(i), i.feed("bookmark_edits"))[0].items.select("id", "title", "url", "domain", "provider", "fingerprint")
+
+
+@library_query("update_bookmarks_report", """
+SELECT count(*) AS requested, count(*) FILTER (o = 'C') AS changed, count(*) FILTER (o = 'S') AS skipped, count(*) FILTER (o = 'F') AS failed
+FROM (SELECT CASE WHEN i.id IS NULL OR i.kind = 'WORKBOOK_MATCH' THEN 'S' WHEN trim(e.title) = '' OR e.url NOT LIKE 'https://%' THEN 'F' ELSE 'C' END AS o FROM bookmark_edits e LEFT JOIN items i ON i.id = e.item_id)
+""", ["bookmark_edits"])
+def _(i):
+    return lib.update_bookmarks(_library(i), i.feed("bookmark_edits"))[1]
+
+
 FEEDS["shown_items"] = """
 SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS author, p_type AS circle, CASE WHEN p_size % 2 = 0 THEN cast(p_retailprice AS string) ELSE ' ' END AS price, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END AS identifier,
   CASE WHEN p_size % 4 = 0 THEN '' ELSE 'shop' END AS provider, CASE WHEN p_size % 8 = 0 THEN '' ELSE 'd.example' END AS domain, 'Saved' AS kind, CASE p_partkey % 4 WHEN 0 THEN 'WORKBOOK' WHEN 1 THEN 'TEXT_QUERY' WHEN 2 THEN 'VISUAL' ELSE 'MANUAL' END AS match_type, p_size > 20 AS verified FROM {part}
@@ -311,26 +378,36 @@ SELECT conv_id AS snapshot, '~"version":3,"folders":[~"id":"f","name":"F","creat
 """
 FEEDS["snapshot_json"] = FEEDS["snapshot_json"].replace("~", "{{").replace("!", "}}")
 ROWS = """
-SELECT 'session' AS what, 's' || conv_id AS id, 'OFFLINE_MATCH' AS detail, 0 AS n FROM conversations GROUP BY conv_id UNION ALL SELECT 'item', 'i' || conv_id, 'MANUAL_BOOKMARK', count(*) FROM conversations GROUP BY conv_id
-UNION ALL SELECT 'entry', 'i' || conv_id, 's' || conv_id, max(turn) FROM conversations GROUP BY conv_id UNION ALL SELECT 'member', 'm' || conv_id, 'f', 2 FROM conversations GROUP BY conv_id
+SELECT conv_id AS snapshot, 'session' AS what, 's' || conv_id AS id, 'OFFLINE_MATCH' AS detail, 0 AS n FROM conversations GROUP BY conv_id UNION ALL SELECT conv_id, 'item', 'i' || conv_id, 'MANUAL_BOOKMARK', count(*) FROM conversations GROUP BY conv_id
+UNION ALL SELECT conv_id, 'entry', 'i' || conv_id, 's' || conv_id, max(turn) FROM conversations GROUP BY conv_id UNION ALL SELECT conv_id, 'member', 'm' || conv_id, 'f', 2 FROM conversations GROUP BY conv_id
+UNION ALL SELECT conv_id, 'folder', unnest(['f', 'b']), unnest(['PROFILE', 'RESERVED']), unnest([1, 0]) FROM conversations GROUP BY conv_id
 """
 
 
-def _flat(library):
-    rows = lambda df, what, id_, detail, n: df.select(F.lit(what).alias("what"), F.col(id_).alias("id"), F.col(detail).alias("detail"), n.cast("long").alias("n"))
+def _flat(library, key: str):
+    rows = lambda df, what, id_, detail, n: df.select(F.col(key).alias("snapshot"), F.lit(what).alias("what"), F.col(id_).alias("id"), F.col(detail).alias("detail"), n.cast("long").alias("n"))
     return (
         rows(library.sessions, "session", "id", "kind", F.lit(0)).unionByName(rows(library.items, "item", "id", "kind", F.col("created_at")))
         .unionByName(rows(library.entries, "entry", "item_id", "session_id", F.col("position")))
         .unionByName(rows(library.memberships, "member", "item_id", "folder_id", F.col("added_at")))
+        .unionByName(rows(library.folders, "folder", "id", "kind", F.col("created_at")))
     )
 
 
 @query("read_library", ROWS)
 def _(i):
-    parsed = i.feed("snapshot_json").select(F.from_json("body", store.SNAPSHOT_DDL).alias("j")).select("j.*")
-    library = store.decode_library(parsed)
-    # Every snapshot of this feed repeats the folders; entries and members join to each of them once.
-    return _flat(library).distinct()
+    """Every snapshot is a library of its own; all of them use the same folder ids."""
+    parsed = i.feed("snapshot_json").select("snapshot", F.from_json("body", store.SNAPSHOT_DDL).alias("j")).select("snapshot", "j.*")
+    return _flat(store.decode_library(parsed, "snapshot"), "snapshot")
+
+
+@query("read_libraries", ROWS)
+def _(i):
+    """The same snapshots as JSON files, one each, read from their folder."""
+    base = f"{checkpoint_dir(i.spark)}/snapshots-{i.spark.range(1).select(F.uuid()).first()[0]}"
+    i.feed("snapshot_json").repartition(4, "snapshot").select("snapshot", F.col("body").alias("value")).write.partitionBy("snapshot").text(base)
+    rows = _flat(store.read_libraries(i.spark, base), "library")
+    return rows.withColumn("snapshot", F.regexp_extract("snapshot", r"snapshot=(\d+)", 1).cast("long"))
 
 
 @query("write_library", f"SELECT folder_id AS what, count(*) AS n FROM memberships GROUP BY ALL", ["memberships"])
@@ -418,6 +495,30 @@ def _(i):
     return workbooks.register_workbooks(i.feed("offered_files"), registry, 1).select("path", "outcome")
 
 
+@query("import_workbooks", """
+WITH n AS (SELECT s_nationkey AS nation, sum(octet_length(encode('PK ' || s_name)) + 1)::BIGINT AS size, sha256(string_agg('PK ' || s_name || chr(10), '' ORDER BY s_suppkey)) AS sha FROM supplier GROUP BY ALL)
+SELECT 'a' AS folder, nation, size, sha AS sha256, 'ADDED' AS outcome, 1 AS imported_at FROM n WHERE nation % 2 = 0
+UNION ALL SELECT 'b', nation, size, sha, CASE WHEN nation % 2 = 0 THEN 'ALREADY_SAVED' ELSE 'ADDED' END, 2 FROM n UNION ALL SELECT 'c', nation, size, sha, 'UNSUPPORTED', 2 FROM n WHERE nation % 3 = 0
+""")
+def _(i):
+    """Files of suppliers' names by nation: a first pass over some nations, a second one over all, some with another suffix."""
+    base = f"{checkpoint_dir(i.spark)}/books-{i.spark.range(1).select(F.uuid()).first()[0]}"
+    lines = i.table("supplier").select("s_nationkey", "s_suppkey", F.concat(F.lit("PK "), "s_name").alias("line"))
+
+    def save(rows, folder: str, suffix: str) -> None:
+        ordered = rows.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").drop("s_suppkey")
+        ordered.write.partitionBy("s_nationkey").option("extension", suffix).csv(f"{base}/in/{folder}")
+
+    where = [f"{base}/in", f"{base}/registry", f"{base}/state"]
+    save(lines.filter("s_nationkey % 2 = 0"), "a", "xlsx")
+    workbooks.import_workbooks(i.spark, *where, at=1, files_per_batch=5)
+    save(lines, "b", "xlsx")
+    save(lines.filter("s_nationkey % 3 = 0"), "c", "txt")
+    found = workbooks.import_workbooks(i.spark, *where, at=2)
+    part = lambda pattern: F.regexp_extract("path", pattern, 1)
+    return found.select(part("/in/([abc])/").alias("folder"), part("s_nationkey=(\\d+)").cast("int").alias("nation"), "size", "sha256", "outcome", F.col("imported_at").cast("int").alias("imported_at"))
+
+
 @query("list_workbooks", "SELECT c_custkey AS id FROM customer")
 def _(i):
     books = i.table("customer").select(
@@ -465,7 +566,7 @@ def _(i):
 
 # The capture stream: events as frames of the user's device.
 FEEDS["frames"] = """
-SELECT user_id AS device, ts, event_id, CASE WHEN value < 8 THEN 20.0 ELSE 60.0 END AS blur, CASE event_type WHEN 'error' THEN CASE WHEN value > 60 THEN 10.0 ELSE 120.0 END WHEN 'signup' THEN CASE WHEN value > 80 THEN 250.0 ELSE 120.0 END ELSE 120.0 END AS mean_lum,
+SELECT CASE WHEN user_id % 40 <> 7 THEN user_id END AS device, ts, event_id, CASE WHEN value < 8 THEN 20.0 ELSE 60.0 END AS blur, CASE event_type WHEN 'error' THEN CASE WHEN value > 60 THEN 10.0 ELSE 120.0 END WHEN 'signup' THEN CASE WHEN value > 80 THEN 250.0 ELSE 120.0 END ELSE 120.0 END AS mean_lum,
   CASE WHEN value > 150 THEN event_id * 2654435761 ELSE cast(floor(event_id / 4000) AS bigint) * 1023 + event_id % 4 END AS signature FROM {events}
 """
 
@@ -478,12 +579,45 @@ def _(i):
     return gates.select("event_id", "sharp", "too_dark", "too_bright", "lit", F.round("sharpness", 6).alias("sharpness"), F.round("brightness", 6).alias("brightness"))
 
 
-@query("capture_events_batch")
+# The state machine step by step: one recursion per frame of a device.
+TICKS_SQL = """
+WITH RECURSIVE f AS (
+  SELECT device, epoch_us(ts) AS ts_us, epoch_ms(ts) AS now, signature AS sig, row_number() OVER (PARTITION BY device ORDER BY epoch_ms(ts), signature) AS rn,
+    CASE WHEN blur >= 40 THEN CASE WHEN mean_lum < 45 THEN 'TOO_DARK' WHEN mean_lum > 215 THEN 'TOO_BRIGHT' ELSE 'OK' END ELSE 'HOLD_STILL' END AS gate FROM frames
+), run AS (
+  SELECT device, 0::BIGINT AS rn, NULL::BIGINT AS ts_us, NULL::BIGINT AS last_seen, NULL::BIGINT AS previous, 0 AS stable, 0::BIGINT AS cooldown, NULL::BIGINT AS accepted, 0 AS bad, 0 AS streak, 'CAPTURED' AS outcome, false AS steady,
+    ''::VARCHAR AS t_phase, 0 AS t_stable, false AS t_capture, false AS t_steady, NULL::BIGINT AS t_signature FROM (SELECT DISTINCT device FROM f)
+  UNION ALL
+  SELECT device, rn, ts_us, now, CASE WHEN cool THEN previous WHEN gate <> 'OK' THEN CASE WHEN streak + 1 > 1 THEN NULL ELSE previous END WHEN up < 3 THEN sig END,
+    CASE WHEN cool THEN stable WHEN gate <> 'OK' THEN CASE WHEN streak + 1 > 1 THEN 0 ELSE stable END WHEN up < 3 THEN up ELSE 0 END,
+    CASE WHEN NOT cool AND gate = 'OK' AND up >= 3 THEN now + 1500 ELSE cooldown END,
+    CASE WHEN cool THEN accepted WHEN gate <> 'OK' THEN CASE WHEN bad + 1 >= 5 THEN NULL ELSE accepted END WHEN up < 3 OR known THEN accepted ELSE sig END,
+    CASE WHEN cool THEN bad WHEN gate <> 'OK' THEN CASE WHEN bad + 1 >= 5 THEN 0 ELSE bad + 1 END ELSE 0 END, CASE WHEN cool THEN streak WHEN gate <> 'OK' THEN streak + 1 ELSE 0 END,
+    CASE WHEN NOT cool AND gate = 'OK' AND up >= 3 THEN CASE WHEN known THEN 'SAME_COVER' ELSE 'CAPTURED' END ELSE outcome END, CASE WHEN cool THEN steady WHEN gate <> 'OK' THEN false ELSE still END,
+    CASE WHEN cool THEN outcome WHEN gate <> 'OK' THEN gate WHEN up < 3 THEN 'STABILIZING' WHEN known THEN 'SAME_COVER' ELSE 'CAPTURED' END,
+    CASE WHEN cool THEN 0 WHEN gate <> 'OK' THEN CASE WHEN streak + 1 > 1 THEN 0 ELSE stable END WHEN up < 3 THEN up WHEN known THEN 0 ELSE 3 END,
+    NOT cool AND gate = 'OK' AND up >= 3 AND NOT known, CASE WHEN cool THEN steady WHEN gate <> 'OK' THEN false ELSE still END, CASE WHEN NOT cool AND gate = 'OK' THEN sig END
+  FROM (SELECT *, now < cooldown AS cool, CASE WHEN still THEN stable + 1 ELSE 0 END AS up, coalesce(bit_count(xor(accepted, sig)) <= 8, false) AS known
+    FROM (SELECT *, coalesce(bit_count(xor(previous, sig)) <= 4, false) AS still FROM (
+      SELECT f.device, f.rn, f.ts_us, f.now, f.sig, f.gate, CASE WHEN gone THEN NULL ELSE previous END AS previous, CASE WHEN gone THEN 0 ELSE stable END AS stable, CASE WHEN gone THEN 0 ELSE cooldown END AS cooldown,
+        CASE WHEN gone THEN NULL ELSE accepted END AS accepted, CASE WHEN gone THEN 0 ELSE bad END AS bad, CASE WHEN gone THEN 0 ELSE streak END AS streak, CASE WHEN gone THEN 'CAPTURED' ELSE outcome END AS outcome, NOT gone AND steady AS steady
+      FROM (SELECT r.*, n.now - r.last_seen > 600000 AND r.last_seen IS NOT NULL AS gone FROM run r JOIN f n ON n.device IS NOT DISTINCT FROM r.device AND n.rn = r.rn + 1) r
+      JOIN f ON f.device IS NOT DISTINCT FROM r.device AND f.rn = r.rn + 1)))
+)
+SELECT device, ts_us, t_phase AS phase, t_stable AS stable_count, t_capture AS capture, t_steady AS steady, t_signature AS signature FROM run WHERE rn > 0
+"""
+
+
+def _ticks(ticks):
+    return ticks.select("device", F.unix_micros("ts").alias("ts_us"), "phase", "stable_count", "capture", "steady", "signature")
+
+
+@query("capture_events_batch", TICKS_SQL, ["frames"])
 def _(i):
-    return capture.capture_events_batch(i.feed("frames"))
+    return _ticks(capture.capture_events_batch(i.feed("frames")))
 
 
-@query("capture_events")
+@query("capture_events", TICKS_SQL, ["frames"])
 def _(i):
     """The frames as a file stream, run to its end; equals the batch twin."""
     spark, mark = i.spark, i.spark.range(1).select(F.uuid()).first()[0]
@@ -497,4 +631,4 @@ def _(i):
         .outputMode("append").trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    return spark.read.schema(ticks.schema).parquet(f"{base}/out")
+    return _ticks(spark.read.schema(ticks.schema).parquet(f"{base}/out"))

@@ -113,6 +113,45 @@ def _(i):
     )
 
 
+FEEDS["sheet_links"] = """
+SELECT 'book' AS workbook, 'xl/parts' || cast(cast(floor(p_partkey / 400) AS bigint) AS string) || '.xml' AS sheet_key,
+  'Parts ' || cast(cast(floor(p_partkey / 400) AS bigint) AS string) AS sheet, p_partkey AS ord,
+  CASE p_partkey % 50 WHEN 0 THEN 'A1:B1000000' WHEN 7 THEN 'D' || cast(1 + p_partkey % 400 AS string) || ':C' || cast(3 + p_partkey % 90 AS string)
+    ELSE 'E' || cast(1 + p_partkey % 400 AS string) END AS ref,
+  CASE WHEN p_partkey % 10 = 3 THEN '#''Parts 0''!A' || cast(p_size AS string) END AS location, 'rId' || cast(p_partkey % 3 AS string) AS rel_id, p_brand AS display
+FROM {part}
+"""
+FEEDS["sheet_rels"] = """
+SELECT DISTINCT 'book' AS workbook, 'xl/parts' || cast(cast(floor(p_partkey / 400) AS bigint) AS string) || '.xml' AS sheet_key, 'rId' || cast(p_partkey % 2 AS string) AS rel_id,
+  'https://x.example/' || cast(p_partkey % 2 AS string) AS target, p_partkey % 2 = 0 AS external FROM {part}
+"""
+
+
+@query("record_links", f"""WITH {GRID}, l AS (
+  SELECT k.sheet_key, k.ord, coalesce(nullif(k.location, ''), r.target) AS target, coalesce(k.location, '') <> '' OR NOT r.external AS internal, k.display,
+    CASE k.ord % 50 WHEN 0 THEN 0 WHEN 7 THEN least(k.ord % 400, 2 + k.ord % 90) ELSE k.ord % 400 END AS r0,
+    CASE k.ord % 50 WHEN 0 THEN 999999 WHEN 7 THEN greatest(k.ord % 400, 2 + k.ord % 90) ELSE k.ord % 400 END AS r1,
+    CASE k.ord % 50 WHEN 0 THEN 0 WHEN 7 THEN 2 ELSE 4 END AS c0, CASE k.ord % 50 WHEN 0 THEN 1 WHEN 7 THEN 3 ELSE 4 END AS c1
+  FROM sheet_links k LEFT JOIN sheet_rels r USING (sheet_key, rel_id)
+), records AS (SELECT DISTINCT sheet_key, row FROM tcells), found AS (
+  SELECT d.sheet_key, d.row, c.col, max_by(l.target, l.ord) AS target, max_by(l.internal, l.ord) AS internal, max_by(l.display, l.ord) AS display
+  FROM records d JOIN cols c USING (sheet_key) JOIN l ON l.sheet_key = d.sheet_key AND d.row BETWEEN l.r0 AND l.r1 AND c.col BETWEEN l.c0 AND l.c1
+  WHERE l.target IS NOT NULL GROUP BY ALL
+)
+SELECT d.sheet_key, d.row, count(f.col) AS n_links, count(f.col) FILTER (f.internal AND f.target LIKE '#%') AS n_sheets,
+  coalesce(string_agg(f.col || '>' || f.target || '>' || f.internal || '>' || f.display, '|' ORDER BY f.col), '') AS links
+FROM records d LEFT JOIN found f USING (sheet_key, row) GROUP BY d.sheet_key, d.row
+""", ["cells", "styles", "sheet_links", "sheet_rels"])
+def _(i):
+    g = Grid(i)
+    found = tables.record_links(g.table, g.columns, tables.link_ranges(i.feed("sheet_links"), i.feed("sheet_rels")))
+    records = tables.table_records(g.table, g.columns, found)
+    each = F.array_sort(F.map_entries("links"))
+    spelled = F.transform(each, lambda e: F.concat_ws(">", e["key"], e["value"]["target"], e["value"]["internal"], tables.link_label(e["value"])))
+    sheets = F.size(F.filter(F.map_values("links"), lambda v: tables.internal_target(v)["sheet"] == "Parts 0"))
+    return records.select("sheet_key", "row", F.size("links").alias("n_links"), sheets.alias("n_sheets"), F.array_join(spelled, "|").alias("links"))
+
+
 @grid_query("table_truncation", """
 SELECT d.sheet_key, e.last_row + 1 AS blank_row, count(*) AS skipped_rows, min(d.row) AS first_skipped_row
 FROM data_rows d JOIN extent e USING (workbook, sheet_key, sheet) WHERE d.row > e.last_row + 1 GROUP BY d.sheet_key, e.last_row
@@ -321,16 +360,18 @@ def _(i):
 
 FEEDS["facet_choice"] = """
 SELECT 'Parts ' || cast(cast(floor(p_partkey / 400) AS bigint) AS string) AS sheet, 3 AS col, max(p_type) AS value FROM {part} GROUP BY 1
+UNION ALL SELECT 'Parts ' || cast(cast(floor(p_partkey / 400) AS bigint) AS string), 8, 'shelf ' || cast(min(p_size) AS string) FROM {part} GROUP BY 1
 """
 
 
 @book_query("facet_filter", """
-, last AS (SELECT * FROM facet_choice ORDER BY sheet DESC LIMIT 1)
-SELECT t.sheet_key, t.row FROM tcells t JOIN last c ON t.sheet = c.sheet AND t.col = c.col AND t.shown = c.value
+, met AS (SELECT t.sheet_key, t.sheet, t.row, count(DISTINCT t.col) AS met FROM tcells t JOIN (SELECT sheet, col, value FROM facet_choice WHERE value IS NOT NULL) c ON t.sheet = c.sheet AND t.col = c.col AND t.shown = c.value GROUP BY ALL)
+SELECT f.sheet AS chosen, m.sheet_key, m.row FROM (SELECT DISTINCT sheet FROM facet_choice) f JOIN met m ON m.sheet = f.sheet WHERE m.met = 2
 """, ["facet_choice"])
 def _(i):
-    chosen = i.feed("facet_choice").orderBy(F.desc("sheet")).limit(1)
-    return facets.facet_filter(Workbook(i).table, chosen).select("sheet_key", "row")
+    """For every sheet the records that satisfy both of its filters; a selection is one sheet's choice."""
+    table, choices = Workbook(i).table, i.feed("facet_choice")
+    return facets.facet_filters(table, choices.withColumn("selection", F.col("sheet")), "selection").select(F.col("selection").alias("chosen"), "sheet_key", "row")
 
 
 @book_query("search_records", """

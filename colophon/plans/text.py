@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from colophon.functions import cellref, dates, formats, text, urls
-from colophon.operators import linkage
+from colophon.operators import linkage, tables
+from colophon.operators.numbering import ranked
 from colophon.plans.catalog import date_sql
 from colophon.plans.inputs import FEEDS, query
 from colophon.plans.tables import strip_sql
@@ -81,23 +84,20 @@ def _(i):
     return i.feed("text_pairs").select("a", "b", F.round(text.text_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
-FEEDS["sentences"] = """
-SELECT DISTINCT split_part(text, '.', 1) AS text FROM {documents}
-"""
-FEEDS["passages"] = """
-SELECT split_part(text, '.', 1) AS text FROM {benchmark} UNION SELECT split_part(text, '.', 2) FROM {conversations}
-"""
-
-
 @query("similar_texts", f"""
-WITH l AS (SELECT DISTINCT {norm_sql('text')} AS v FROM passages WHERE trim(text) <> ''), r AS (SELECT DISTINCT {norm_sql('text')} AS v FROM sentences WHERE trim(text) <> ''),
-lg AS (SELECT v, {grams_sql('v')} AS g FROM l), rg AS (SELECT v, {grams_sql('v')} AS g FROM r)
+WITH s AS (SELECT DISTINCT {norm_sql('text')} AS v FROM (SELECT unnest(string_split(text, '.')) AS text FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) WHERE trim(text) <> ''),
+p AS (SELECT DISTINCT {norm_sql('text')} AS v FROM (SELECT unnest(string_split(text, '.')) AS text FROM benchmark) WHERE trim(text) <> ''),
+lg AS MATERIALIZED (SELECT v, {grams_sql('v')} AS g, length(v) AS n FROM p), rg AS MATERIALIZED (SELECT v, {grams_sql('v')} AS g, length(v) AS n FROM s)
 SELECT md5(left_value) AS a, md5(right_value) AS b, round(similarity, 6) AS similarity FROM (
-  SELECT lg.v AS left_value, rg.v AS right_value, {similarity_sql('lg.v', 'rg.v', 'lg.g', 'rg.g')} AS similarity FROM lg CROSS JOIN rg) WHERE similarity >= 0.6
-""", ["passages", "sentences"])
+  SELECT lg.v AS left_value, rg.v AS right_value, {similarity_sql('lg.v', 'rg.v', 'lg.g', 'rg.g')} AS similarity FROM lg CROSS JOIN rg
+  WHERE 3 * (len(lg.g) + len(rg.g)) <= 10 * least(len(lg.g), len(rg.g)) OR contains(lg.v, rg.v) OR contains(rg.v, lg.v)) WHERE similarity >= 0.6
+""")
 def _(i):
-    side = lambda n: i.feed(n).filter("trim(text) <> ''").select(F.lit("t").alias("kind"), text.normalize_text(F.col("text")).alias("value"))
-    found = linkage.similar_texts(side("passages"), side("sentences"))
+    """Every sentence of the benchmark against every sentence of all documents and turns."""
+    sentences = lambda *names: reduce(lambda a, b: a.unionByName(b), [i.table(n).select("text") for n in names]).select(
+        F.explode(F.split("text", r"\.")).alias("text")
+    ).filter("trim(text) <> ''").select(F.lit("t").alias("kind"), text.normalize_text(F.col("text")).alias("value"))
+    found = linkage.similar_texts(sentences("benchmark"), sentences("documents", "conversations"))
     return found.select(F.md5("left_value").alias("a"), F.md5("right_value").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
@@ -112,20 +112,7 @@ SELECT name, row_number() OVER (ORDER BY cast(regexp_extract(name, '(\\d+)', 1)
 """, ["file_names"])
 def _(i):
     names = i.feed("file_names").withColumn("key", text.natural_sort_key(F.col("name")))
-    # Place within the leading number first, then the numbers' own places: no window over all names.
-    from pyspark.sql import Window as W
-
-    head = F.regexp_extract("key", r"^(\D*0\d{3}\d*)", 1)
-    lead = names.withColumn("n", F.regexp_extract("name", r"(\d+)", 1).cast("int")).withColumn("head", head)
-    inside = lead.withColumn("at", F.row_number().over(W.partitionBy("n").orderBy("key", "name")))
-    sizes = lead.groupBy("n").agg(F.count("*").alias("size"))
-    blocks = sizes.withColumn("block", F.floor(F.col("n") / 1000))
-    before_block = blocks.groupBy("block").agg(F.sum("size").alias("total"))
-    running = before_block.select("block", (F.sum("total").over(W.partitionBy(F.lit(0)).orderBy("block")) - F.col("total")).alias("base"))
-    within = blocks.withColumn("offset", F.sum("size").over(W.partitionBy("block").orderBy("n")) - F.col("size"))
-    return inside.join(within.join(running, "block"), "n").select(
-        "name", (F.col("base") + F.col("offset") + F.col("at")).alias("place")
-    )
+    return ranked(names, ["key", "name"], "place").select("name", "place")
 
 
 @query("default_order_key", """
@@ -199,7 +186,7 @@ def _(i):
 
 FEEDS["links"] = """
 SELECT 'book' AS workbook, 'xl/s' || cast(s_nationkey AS string) || '.xml' AS sheet_key, 's' || cast(s_nationkey AS string) AS sheet, s_suppkey AS ord,
-  CASE s_suppkey % 4 WHEN 0 THEN 'B' || cast(1 + s_suppkey % 9 AS string) WHEN 1 THEN 'D9:$B$' || cast(1 + s_suppkey % 9 AS string) WHEN 2 THEN 'A1:ZZ' || cast(1 + s_suppkey AS string) ELSE 'not a cell' END AS ref,
+  CASE s_suppkey % 4 WHEN 0 THEN 'B' || cast(1 + s_suppkey % 9 AS string) WHEN 1 THEN 'D9:$B$' || cast(1 + s_suppkey % 9 AS string) WHEN 2 THEN 'A1:ZZ' || cast(1 + 200 * s_suppkey AS string) ELSE 'not a cell' END AS ref,
   CASE WHEN s_suppkey % 3 = 0 THEN ' Sheet1!A1 ' ELSE '' END AS location, 'rId' || cast(s_suppkey % 5 AS string) AS rel_id, CASE WHEN s_acctbal > 5000 THEN s_name END AS display
 FROM {supplier}
 """
@@ -208,19 +195,39 @@ SELECT 'book' AS workbook, 'xl/s' || cast(n_nationkey AS string) || '.xml' AS sh
 """
 
 
-@query("expand_links", """
+FEEDS["link_cells"] = """
+SELECT 'book' AS workbook, 'xl/s' || cast(c_nationkey AS string) || '.xml' AS sheet_key, 's' || cast(c_nationkey AS string) AS sheet,
+  cast(c_custkey * 7 AS int) AS row, cast(c_custkey % 5 AS int) AS col FROM {customer}
+UNION ALL
+SELECT 'book', 'xl/s' || cast(s_nationkey AS string) || '.xml', 's' || cast(s_nationkey AS string), cast(s_suppkey % 9 AS int), 1 FROM {supplier}
+"""
+RANGES = """
 WITH l AS (
   SELECT k.sheet_key, k.ord, coalesce(nullif(trim(k.location), ''), r.target) AS target, CASE WHEN trim(k.location) <> '' THEN true ELSE NOT r.external END AS internal, k.display AS label,
-    CASE k.ord % 4 WHEN 0 THEN k.ord % 9 WHEN 1 THEN least(8, k.ord % 9) ELSE 0 END AS r0, CASE k.ord % 4 WHEN 0 THEN k.ord % 9 WHEN 1 THEN greatest(8, k.ord % 9) WHEN 2 THEN CASE WHEN (k.ord + 1) * 702 > 1024 THEN 0 ELSE k.ord END END AS r1,
-    CASE k.ord % 4 WHEN 2 THEN 0 ELSE 1 END AS c0, CASE k.ord % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE CASE WHEN (k.ord + 1) * 702 > 1024 THEN 0 ELSE 701 END END AS c1
+    CASE k.ord % 4 WHEN 0 THEN k.ord % 9 WHEN 1 THEN least(8, k.ord % 9) ELSE 0 END AS row_from, CASE k.ord % 4 WHEN 0 THEN k.ord % 9 WHEN 1 THEN greatest(8, k.ord % 9) ELSE 200 * k.ord END AS row_to,
+    CASE k.ord % 4 WHEN 2 THEN 0 ELSE 1 END AS col_from, CASE k.ord % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 701 END AS col_to
   FROM links k LEFT JOIN link_rels r USING (sheet_key, rel_id) WHERE k.ord % 4 <> 3
-), cells AS (SELECT sheet_key, ord, target, internal, label, row, unnest(range(c0, c1 + 1)) AS col FROM (SELECT *, unnest(range(r0, r1 + 1)) AS row FROM l WHERE target IS NOT NULL))
-SELECT sheet_key, row, col, target, internal, label FROM (SELECT *, row_number() OVER (PARTITION BY sheet_key, row, col ORDER BY ord DESC) AS rn FROM cells) WHERE rn = 1
+)
+"""
+
+
+@query("link_ranges", RANGES + """
+SELECT sheet_key, ord, row_from, CASE WHEN (row_to - row_from + 1) * (col_to - col_from + 1) > 1024 THEN row_from ELSE row_to END AS row_to, col_from,
+  CASE WHEN (row_to - row_from + 1) * (col_to - col_from + 1) > 1024 THEN col_from ELSE col_to END AS col_to, target, internal, label FROM l WHERE target IS NOT NULL
 """, ["links", "link_rels"])
 def _(i):
-    from colophon.operators.tables import expand_links
+    return tables.link_ranges(i.feed("links"), i.feed("link_rels"), max_cells=1024).drop("workbook", "sheet")
 
-    return expand_links(i.feed("links"), i.feed("link_rels")).select("sheet_key", "row", "col", "target", "internal", "label")
+
+@query("expand_links", RANGES + """
+SELECT sheet_key, row, col, target, internal, label FROM (
+  SELECT c.sheet_key, c.row, c.col, l.target, l.internal, l.label, row_number() OVER (PARTITION BY c.sheet_key, c.row, c.col ORDER BY l.ord DESC) AS rn
+  FROM (SELECT DISTINCT sheet_key, row, col FROM link_cells) c
+  JOIN l ON l.sheet_key = c.sheet_key AND c.row BETWEEN l.row_from AND l.row_to AND c.col BETWEEN l.col_from AND l.col_to WHERE l.target IS NOT NULL) WHERE rn = 1
+""", ["links", "link_rels", "link_cells"])
+def _(i):
+    ranges = tables.link_ranges(i.feed("links"), i.feed("link_rels"))
+    return tables.expand_links(i.feed("link_cells"), ranges).select("sheet_key", "row", "col", "target", "internal", "label")
 
 
 @query("exclude_pivot_sheets", """
@@ -354,11 +361,11 @@ sims AS (
     {" + ".join(f"CASE WHEN s_{d} IS NULL THEN 0.0::DOUBLE ELSE {w}::DOUBLE * s_{d} END" for d, w in linkage.WEIGHTS.items())} AS weighted,
     {" + ".join(f"CASE WHEN s_{d} IS NULL THEN 0.0::DOUBLE ELSE {w}::DOUBLE END" for d, w in linkage.WEIGHTS.items())} AS total FROM sims
 ), scored AS (SELECT *, CASE WHEN total > 0 THEN floor(weighted / total * 100)::INT ELSE 0 END AS score FROM states
-), judged AS (
+), judged AS MATERIALIZED (
   SELECT *, CASE WHEN total = 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN e_identifier = 'MATCH' THEN 'LIKELY_MATCH'
     WHEN 'MISMATCH' IN (e_identifier, e_title, e_circle, e_author, e_cover) THEN 'NO_MATCH' WHEN score >= 72 AND e_title = 'MATCH' AND 'MATCH' IN (e_circle, e_author, e_cover) THEN 'LIKELY_MATCH'
     WHEN score >= 50 THEN 'POSSIBLE_MATCH' ELSE 'NO_MATCH' END AS verdict FROM scored
-), matches AS (SELECT *, CASE verdict WHEN 'LIKELY_MATCH' THEN 4 ELSE 3 END AS quality FROM judged WHERE verdict IN ('LIKELY_MATCH', 'POSSIBLE_MATCH')
+), matches AS MATERIALIZED (SELECT *, CASE verdict WHEN 'LIKELY_MATCH' THEN 4 ELSE 3 END AS quality FROM judged WHERE verdict IN ('LIKELY_MATCH', 'POSSIBLE_MATCH')
 ), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY offer ORDER BY quality DESC, score DESC, product) AS rn FROM matches) WHERE rn = 1
 ), near AS (SELECT m.* FROM matches m JOIN best b ON b.offer = m.offer WHERE b.score - m.score <= 8)
 """
@@ -376,8 +383,11 @@ class Linked:
         ).drop("n")
         self.i = i
 
-    def matches(self):
-        return self.i.keep("matches", lambda: linkage.match_profiles(self.c, self.l, self.covers))
+    def views(self):
+        return self.i.keep("match_views", lambda: linkage.match_views(self.c, self.l, self.covers))
+
+    def states(self):
+        return self.i.keep("match_states", lambda: linkage.match_states(self.views()))
 
     def named(self, df):
         return df.join(self.c.select(F.col("profile").alias("c"), F.col("first_key").alias("offer")), "c")
@@ -409,19 +419,28 @@ def _(i):
 @query("rank_matches", LINKED + " SELECT offer, product, verdict, score FROM matches", LINK_FEEDS)
 def _(i):
     k = Linked(i)
-    return k.named(linkage.rank_matches(k.matches())).select("offer", F.col("first_key").alias("product"), "verdict", "score")
+    return k.named(linkage.rank_matches(linkage.spelled_out(k.views(), k.l, k.covers))).select("offer", F.col("first_key").alias("product"), "verdict", "score")
 
 
 @query("best_matches", LINKED + " SELECT offer, product, verdict, score FROM best", LINK_FEEDS)
 def _(i):
     k = Linked(i)
-    return k.named(linkage.best_matches(k.matches())).select("offer", F.col("first_key").alias("product"), "verdict", "score")
+    return k.named(linkage.best_matches(k.states())).select("offer", F.col("first_key").alias("product"), "verdict", "score")
 
 
 @query("ambiguous_matches", LINKED + " SELECT offer, product, score FROM near", LINK_FEEDS)
 def _(i):
     k = Linked(i)
-    return k.named(linkage.ambiguous_matches(k.matches())).select("offer", F.col("first_key").alias("product"), "score")
+    return k.named(linkage.ambiguous_matches(k.views(), k.states(), k.l, k.covers)).select("offer", F.col("first_key").alias("product"), "score")
+
+
+@query("match_states", LINKED + """
+, n AS (SELECT offer, count(*) AS near, sum(copies)::BIGINT AS near_copies FROM near GROUP BY ALL), t AS (SELECT offer, count(*) AS total FROM matches GROUP BY ALL)
+SELECT b.offer, b.product, b.verdict, b.score, n.near, n.near_copies, t.total - n.near AS rest FROM best b JOIN n USING (offer) JOIN t USING (offer)
+""", LINK_FEEDS)
+def _(i):
+    k = Linked(i)
+    return k.named(k.states()).select("offer", F.col("first_key").alias("product"), "verdict", "score", "near", "near_copies", "rest")
 
 
 @query("collection_status", LINKED + """
@@ -433,7 +452,7 @@ LEFT JOIN best b ON b.offer = o.first_key LEFT JOIN members m ON m.offer = o.fir
 """, LINK_FEEDS)
 def _(i):
     k = Linked(i)
-    status = linkage.collection_status(k.c, k.l, k.matches())
+    status = linkage.collection_status(k.c, k.l, k.states())
     n = F.expr("cast(substr(key, 2) AS int)")
     flags = k.offers.filter(n % 3 == 0).select("key", (n % 2 == 0).alias("owned"), F.lit(True).alias("wanted"))
     return linkage.with_ownership(linkage.profile_members(k.offers), status, flags)

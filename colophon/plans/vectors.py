@@ -8,7 +8,7 @@ from colophon.functions.cellref import a1_format
 from colophon.functions.vectors import hamming, l2_normalize, match_level, median_signature, score_percent
 from colophon.operators import similarity
 from colophon.plans.inputs import Inputs, query
-from colophon.sources.vectors import cache_key, read_vector_index, write_vector_index
+from colophon.sources.vectors import cache_key, read_vector_index, search_vector_index, write_vector_index
 from colophon.session import checkpoint_dir
 
 CELL_SQL = "CASE WHEN vec_id % 30 < 26 THEN chr(cast(65 + vec_id % 30 AS int)) ELSE 'A' || chr(cast(65 + vec_id % 30 - 26 AS int)) END || (vec_id // 30 + 1)"
@@ -224,11 +224,27 @@ def _(i):
 WITH {UNIT} SELECT label, count(*) AS vectors, round(sum(list_sum(e)), 4) AS total FROM unit WHERE label IN (SELECT label FROM (SELECT DISTINCT label FROM unit) ORDER BY sha256('v1|' || label || '|A1:Z99|m|floating=true') LIMIT 8) GROUP BY ALL
 """)
 def _(i):
+    """Every label's index, written twice: the second writing replaces the first."""
     key = cache_key(F.col("label").cast("string"), F.lit("A1:Z99"), F.lit("m"), F.lit(True))
     unit = _vectors(i).withColumn("cache_key", key).withColumn("embedding", l2_normalize(F.col("embedding")))
     path = f"{checkpoint_dir(i.spark)}/index-{i.spark.range(1).select(F.uuid()).first()[0]}"
     write_vector_index(unit, path, at=1)
+    write_vector_index(unit, path, at=1)
     labels = unit.select("id", "label")
     rows = read_vector_index(i.spark, path).join(labels, "id")
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return rows.groupBy("label").agg(F.count("*").alias("vectors"), F.round(F.sum(total), 4).alias("total"))
+
+
+@query("search_vector_index", f"""
+WITH {UNIT} SELECT query, id, round(score, 6) AS score, rank FROM (
+  SELECT q.vec_id AS query, v.vec_id AS id, list_dot_product(q.e, v.e) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, v.e) DESC, v.vec_id) AS rank
+  FROM unit q CROSS JOIN unit v WHERE q.vec_id % 50 = 0) WHERE rank <= 5
+""")
+def _(i):
+    """Every vector is indexed; queries are those whose id is divisible by 50."""
+    unit = _vectors(i).withColumns({"cache_key": F.lit("all"), "embedding": l2_normalize(F.col("embedding"))})
+    path = f"{checkpoint_dir(i.spark)}/index-{i.spark.range(1).select(F.uuid()).first()[0]}"
+    write_vector_index(unit, path, at=1)
+    found = search_vector_index(i.spark, path, "all", _queries(unit.filter("id % 50 = 0")), 5)
+    return found.withColumn("score", F.round("score", 6))

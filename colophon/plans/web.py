@@ -103,11 +103,13 @@ WITH {LINES}, title AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 ), people AS (SELECT * FROM kept WHERE len(string_split(line, ' ')) BETWEEN 2 AND 4 AND NOT (line = upper(line) AND NOT regexp_matches(line, '[A-Z]\\.')) AND letters >= 4
   AND len(list_filter(string_split(line, ' '), lambda w: NOT regexp_matches({CORE}, '^\\p{{Lu}}[\\p{{L}}.]*$'))) = 0
 ), joined AS (SELECT t.id, t.line AS title, t.letters, coalesce((SELECT arg_min(p.line, p.i) FROM people p WHERE p.id = t.id AND p.i > t.i), (SELECT arg_max(p.line, p.i) FROM people p WHERE p.id = t.id AND p.i < t.i)) AS author FROM title t)
-SELECT id, title, CASE WHEN length(title) + 1 + length(author) <= 120 THEN author END AS author, CASE WHEN length(title) + 1 + length(author) <= 120 THEN 2 ELSE 1 END AS confidence FROM joined WHERE letters >= 2
+SELECT id, title, CASE WHEN length(title) + 1 + length(author) <= 120 THEN author END AS author, CASE WHEN length(title) + 1 + length(author) <= 120 THEN 2 ELSE 1 END AS confidence,
+  title || CASE WHEN length(title) + 1 + length(author) <= 120 THEN ' ' || author ELSE '' END AS query FROM joined WHERE letters >= 2
 """, ["recognised"])
 def _(i):
     heights = F.expr("transform(sequence(0, size(split(text, '\\n'))), n -> cast((id + n * 3) % 5 AS double))")
-    return ocr.suggest_title_author(i.feed("recognised").withColumn("heights", heights), "id", heights="heights")
+    found = ocr.suggest_title_author(i.feed("recognised").withColumn("heights", heights), "id", heights="heights")
+    return ocr.with_search_text(found).drop("search_title", "search_author")
 
 
 FEEDS["ocr_truth"] = """

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colophon.functions.text import strip
+from colophon.operators.numbering import free_numbers, place_in_group, written
 
 # The columns of the manifest and the longest file name.
 MANIFEST = [
@@ -26,46 +27,23 @@ def safe_file_name(c: Column, fallback: str = "image") -> Column:
     )
 
 
-SLICE = 65_536
-
-
-def _occurrence(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Adds ``occurrence``, the 0-based occurrence of a name by arrival.
-
-    Arrival numbers are cut into slices; rows are counted inside a slice and slices are summed up, so a name
-    that a third of all files share is not numbered in one task.
-    """
-    sliced = df.withColumn("slice", F.floor(F.col(order) / SLICE))
-    sizes = sliced.groupBy(name, "slice").agg(F.count("*").alias("size"))
-    earlier = W.partitionBy(name).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(name, "slice", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
-    inside = W.partitionBy(name, "slice").orderBy(order)
-    return (
-        sliced.withColumn("at", F.row_number().over(inside)).join(offsets, [name, "slice"])
-        .withColumn("occurrence", F.col("offset") + F.col("at") - 1).drop("slice", "at", "offset")
-    )
-
-
 def export_names(df: DataFrame, name: str, order: str) -> DataFrame:
     """Adds ``exported_file``: safe names, ``stem (n).ext`` from the second occurrence on.
 
-    ``order`` is the arrival number. Numbers that some given name already spells out are passed over.
+    ``order`` is the arrival number. Numbers that some given name already spells out are passed over. Places and free numbers
+    are found by ranges, so a name that a third of all files share is spread over tasks.
     """
-    numbered = _occurrence(df.withColumn("safe", safe_file_name(F.col(name))), "safe", order)
-    parts = r"^([\s\S]+?)(\.[^.]*)?$"
-    spelled = numbered.select("safe").distinct().select(
-        F.concat(F.regexp_extract("safe", r"^([\s\S]*) \(([1-9]\d{0,8})\)(\.[^.]*)?$", 1),
-                 F.regexp_extract("safe", r"^([\s\S]*) \(([1-9]\d{0,8})\)(\.[^.]*)?$", 3)).alias("safe"),
-        F.regexp_extract("safe", r" \(([1-9]\d{0,8})\)(\.[^.]*)?$", 1).try_cast("long").alias("number"),
-    ).filter("number IS NOT NULL")
-    taken = spelled.groupBy("safe").agg(F.array_sort(F.collect_set("number")).alias("taken"))
-    skipped = F.size(F.filter(F.transform("taken", lambda t, i: t - i), lambda gap: gap <= F.col("occurrence")))
-    number = F.col("occurrence") + F.coalesce(F.when(F.col("taken").isNotNull(), skipped), F.lit(0))
+    named = written(df.withColumn("safe", safe_file_name(F.col(name))), "names")  # read by every step below
+    numbered = place_in_group(named, ["safe"], order, "_at")
+    parts, spelled = r"^([\s\S]+?)(\.[^.]*)?$", r"^([\s\S]*) \(([1-9]\d{0,8})\)(\.[^.]*)?$"
+    part = lambda group: F.regexp_extract("safe", spelled, group)
+    taken = numbered.select(F.concat(part(1), part(3)).alias("safe"), part(2).try_cast("long").alias("number")).filter("number IS NOT NULL")
+    later = numbered.filter("_at > 1").withColumn("_nth", F.col("_at") - 1)
     stem, suffix = F.regexp_extract("safe", parts, 1), F.regexp_extract("safe", parts, 2)
-    renamed = F.concat(stem, F.lit(" ("), number.cast("string"), F.lit(")"), suffix)
-    return numbered.join(taken, "safe", "left").withColumn(
-        "exported_file", F.when(F.col("occurrence") == 0, F.col("safe")).otherwise(renamed)
-    ).drop("safe", "occurrence", "taken")
+    renamed = F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), suffix)
+    more = free_numbers(later, taken, "safe", "_nth", "_n").withColumn("exported_file", renamed)
+    first = numbered.filter("_at = 1").withColumn("exported_file", F.col("safe"))
+    return first.select(*df.columns, "exported_file").unionByName(more.select(*df.columns, "exported_file"))
 
 
 def image_manifest(images: DataFrame, hits: DataFrame) -> DataFrame:

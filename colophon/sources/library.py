@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colophon.functions.text import strip
 from colophon.operators.library import Library
+from colophon.operators.numbering import place_in_group
 
 _MATCH = "struct<cell string, cosine double, percent double, source string, thumb string>"
 _RECORD = f"struct<id string, name string, createdAt double, scanThumb string, matches array<{_MATCH}>>"
@@ -36,59 +37,77 @@ def _time(c: str):
     return F.coalesce(F.col(c).cast("long"), F.lit(0))
 
 
-def _rows(snapshots: DataFrame, field: str) -> DataFrame:
-    return snapshots.select(F.explode(field).alias("r")).select("r.*")
+def _rows(snapshots: DataFrame, field: str, key: list[str]) -> DataFrame:
+    return snapshots.select(*key, F.explode(field).alias("r")).select(*key, "r.*")
 
 
-def _folders(rows: DataFrame) -> DataFrame:
+def _folders(rows: DataFrame, key: list[str]) -> DataFrame:
     reserved = F.when(F.col("reserved") == "BOOKMARKS", F.col("reserved"))
     kind = F.when(F.col("kind").isin("RESERVED", "PROFILE"), F.col("kind")).when(reserved.isNotNull(), "RESERVED").otherwise("PROFILE")
     return rows.filter("id IS NOT NULL").select(
-        "id", F.coalesce("name", F.lit("")).alias("name"), kind.alias("kind"), reserved.alias("reserved"), _time("createdAt").alias("created_at")
+        *key, "id", F.coalesce("name", F.lit("")).alias("name"), kind.alias("kind"), reserved.alias("reserved"), _time("createdAt").alias("created_at")
     )
 
 
-def _items(rows: DataFrame) -> DataFrame:
+def _items(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.filter("id IS NOT NULL AND title IS NOT NULL").select(
-        "id", _one_of("kind", ITEM_KINDS).alias("kind"), "title", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"),
+        *key, "id", _one_of("kind", ITEM_KINDS).alias("kind"), "title", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"),
         "url", "domain", "provider", "cell", _time("createdAt").alias("created_at"),
     )
 
 
-def _memberships(rows: DataFrame) -> DataFrame:
+def _memberships(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(
-        F.col("itemId").alias("item_id"), F.coalesce("folderId", "collectionId").alias("folder_id"), _time("addedAt").alias("added_at")
+        *key, F.col("itemId").alias("item_id"), F.coalesce("folderId", "collectionId").alias("folder_id"), _time("addedAt").alias("added_at")
     ).filter("item_id IS NOT NULL AND folder_id IS NOT NULL")
 
 
-def decode_library(snapshots: DataFrame) -> Library:
-    """Five tables of current snapshots; rows that are not usable are dropped one by one."""
-    folders, items = _folders(_rows(snapshots, "folders")), _items(_rows(snapshots, "items"))
-    sessions = _rows(snapshots, "sessions").filter("id IS NOT NULL").select(
-        "id", F.col("folderId").alias("folder_id"), _one_of("kind", SESSION_KINDS).alias("kind"),
+def decode_library(snapshots: DataFrame, key: str | None = None) -> Library:
+    """Five tables of current snapshots; rows that are not usable are dropped one by one.
+
+    ``key`` names the column that tells libraries apart: every table carries it, and rows refer to each other inside their own
+    library only, whatever ids others use. Without it all snapshots are one library.
+    """
+    own = [key] if key else []
+    folders, items = _folders(_rows(snapshots, "folders", own), own), _items(_rows(snapshots, "items", own), own)
+    sessions = _rows(snapshots, "sessions", own).filter("id IS NOT NULL").select(
+        *own, "id", F.col("folderId").alias("folder_id"), _one_of("kind", SESSION_KINDS).alias("kind"),
         F.coalesce("title", F.lit("Session")).alias("title"), "query", _time("createdAt").alias("created_at"),
     )
-    entries = _rows(snapshots, "entries").select(
-        F.col("sessionId").alias("session_id"), F.col("itemId").alias("item_id"),
+    entries = _rows(snapshots, "entries", own).select(
+        *own, F.col("sessionId").alias("session_id"), F.col("itemId").alias("item_id"),
         F.coalesce(F.col("position").cast("int"), F.lit(0)).alias("position"), _time("addedAt").alias("added_at"),
     )
-    entries = entries.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi").join(
-        items.select(F.col("id").alias("item_id")), "item_id", "left_semi"
-    ).select("session_id", "item_id", "position", "added_at")
-    members = _memberships(_rows(snapshots, "memberships")).join(
-        folders.select(F.col("id").alias("folder_id")), "folder_id", "left_semi"
-    ).select("item_id", "folder_id", "added_at")
-    return Library(folders, sessions, items, entries, members)
+    named = lambda df, c: df.select(*own, F.col("id").alias(c))
+    entries = entries.join(named(sessions, "session_id"), [*own, "session_id"], "left_semi").join(
+        named(items, "item_id"), [*own, "item_id"], "left_semi"
+    ).select(*own, "session_id", "item_id", "position", "added_at")
+    members = _memberships(_rows(snapshots, "memberships", own), own).join(named(folders, "folder_id"), [*own, "folder_id"], "left_semi")
+    return Library(folders, sessions, items, entries, members.select(*own, "item_id", "folder_id", "added_at"))
+
+
+def one_library(library: Library, key: str, value: object) -> Library:
+    """The tables of one library of many, without the key: what the operations on a library take."""
+    pick = lambda df: df.filter(F.col(key) == F.lit(value)).drop(key)
+    return Library(*[pick(getattr(library, name)) for name in TABLES])
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SNAPSHOT_DDL).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    """Snapshots with ``library``, the file each comes from."""
+    rows = spark.read.schema(SNAPSHOT_DDL).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return rows.withColumn("library", F.input_file_name())
 
 
 def read_library(spark: SparkSession, path: str) -> Library:
+    """The library of one snapshot file."""
     return decode_library(read_snapshots(spark, path))
 
 
+def read_libraries(spark: SparkSession, path: str) -> Library:
+    """The libraries of all snapshot files under a path, told apart by ``library``."""
+    return decode_library(read_snapshots(spark, path), "library")
+
+
 def write_library(library: Library, path: str) -> None:
     """Every table once; the whole snapshot replaces the previous one."""
     for name in TABLES:
@@ -148,9 +167,7 @@ def migrate_library_v2(library: Library, legacy: DataFrame) -> Library:
         imported_id.alias("id"), "folder_id", F.lit("OFFLINE_MATCH").alias("kind"), F.lit("Imported scan").alias("title"),
         text.alias("query"), "created_at",
     )
-    # A folder of the old layout is a user's list; its position numbers need one order per folder.
-    order = W.partitionBy("folder_id").orderBy("added_at", "item_id")
-    numbered = placed.withColumn("position", F.row_number().over(order) - 1)
+    numbered = place_in_group(placed, ["folder_id"], "added_at", "_place", ["item_id"]).withColumn("position", (F.col("_place") - 1).cast("int"))
     entries = numbered.join(records.select("folder_id", "created_at"), "folder_id", "left").select(
         F.when(F.col("created_at").isNotNull(), F.col("folder_id")).otherwise(imported_id).alias("session_id"), "item_id",
         "position", F.coalesce("created_at", "added_at").alias("added_at"),

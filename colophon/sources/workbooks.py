@@ -3,21 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.utils import AnalysisException
 
 from colophon.functions.text import strip
 
 SUPPORTED = ["xlsx", "xlsm"]  # fixed value: accepted file extensions
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, sha256, zip_magic of stored files; the bytes stay inside the scan's own projection."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+FILE = "path string, modificationTime timestamp, length long, content binary"
+REGISTRY = "batch long, path string, name string, format string, size long, sha256 string, outcome string, imported_at long"
+
+
+def _facts(files: DataFrame) -> DataFrame:
     return files.select(
         "path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
         (F.hex(F.substring("content", 1, 2)) == "504B").alias("zip_magic"),
     )
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, size, sha256, zip_magic of stored files; the bytes stay inside the scan's own projection."""
+    return _facts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def read_registry(spark: SparkSession, registry: str) -> DataFrame:
+    """All outcomes so far, one row per offered file (``REGISTRY``); a registry that does not exist yet is empty."""
+    try:
+        return spark.read.schema(REGISTRY).parquet(registry)
+    except AnalysisException:
+        return spark.createDataFrame([], REGISTRY)
+
+
+def import_workbooks(spark: SparkSession, folder: str, registry: str, checkpoint: str, at: int, files_per_batch: int = 10_000) -> DataFrame:
+    """Register the files of a folder that no earlier pass has seen; returns the registry.
+
+    A file stream remembers which files it has read, so a pass costs what is new. Each batch is judged against the contents
+    registered by earlier batches and written as a partition of its own: a batch that is run again after a failure replaces
+    what it wrote and never finds itself. Two batches of one pass follow each other, so a content is registered once. A file of
+    no bytes has no row in Spark's file readers and gets none here.
+    """
+
+    def judge(files: DataFrame, batch: int) -> None:
+        known = read_registry(spark, registry).filter((F.col("batch") < batch) & (F.col("outcome") == "ADDED"))
+        rows = register_workbooks(_facts(files), known.select("sha256"), at)
+        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("batch").parquet(registry)
+
+    stream = (
+        spark.readStream.schema(FILE).format("binaryFile").option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch).load(folder)
+    )
+    run = stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return read_registry(spark, registry)
+
+
 def register_workbooks(files: DataFrame, registry: DataFrame, at: int) -> DataFrame:
     """path, name, format, size, sha256, outcome of every offered file.
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,7 @@ STATE = (
     "previous long, stable int, cooldown_until long, accepted long, bad int, streak int, outcome string, steady boolean, last_seen long"
 )
 EXPIRE_MS = 600_000
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # fixed value: the store that keeps timers
 START = (None, 0, 0, None, 0, 0, "CAPTURED", False)
 
 
@@ -81,15 +82,26 @@ def step(state: tuple, now_ms: int, gate: str, signature: int, config: CaptureCo
 
 
 def gate(config: CaptureConfig = DEFAULT) -> Column:
+    """OK, or why a frame cannot be used; a frame without a figure or a signature is not held still."""
+    usable = (F.col("blur") >= config.blur_threshold) & F.col("mean_lum").isNotNull() & F.col("signature").isNotNull()
     return (
-        F.when(~(F.col("blur") >= config.blur_threshold), "HOLD_STILL").when(F.col("mean_lum") < config.dark_threshold, "TOO_DARK")
+        F.when(~F.coalesce(usable, F.lit(False)), "HOLD_STILL").when(F.col("mean_lum") < config.dark_threshold, "TOO_DARK")
         .when(F.col("mean_lum") > config.bright_threshold, "TOO_BRIGHT").otherwise("OK")
     )
 
 
 def _prepared(frames: DataFrame, config: CaptureConfig) -> DataFrame:
-    ts = F.col("ts").cast("timestamp")
-    return frames.select("device", ts.alias("ts"), F.unix_millis(ts).alias("now_ms"), gate(config).alias("gate"), "signature")
+    """Frames keyed by (known, device), so that frames without a device are one device of their own; frames without a time
+    have no place in any order and are left out."""
+    ts, number = F.col("ts").cast("timestamp"), lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
+    return frames.filter(ts.isNotNull()).select(
+        F.col("device").isNotNull().alias("known"), number("device"), ts.alias("ts"), F.unix_millis(ts).alias("now_ms"),
+        gate(config).alias("gate"), number("signature"),
+    )
+
+
+def _named(ticks: DataFrame) -> DataFrame:
+    return ticks.withColumn("device", F.when(F.col("known"), F.col("device"))).drop("known")
 
 
 def _run(pdf: pd.DataFrame, state: tuple, config: CaptureConfig, expire_ms: int) -> tuple[tuple, pd.DataFrame]:
@@ -103,40 +115,59 @@ def _run(pdf: pd.DataFrame, state: tuple, config: CaptureConfig, expire_ms: int)
             state = START
         last_seen = now
         state, tick = step(state, now, row.gate, int(row.signature), config)
-        out.append((row.device, row.ts, *tick))
-    names = ["device", "ts", "phase", "stable_count", "capture", "steady", "signature"]
+        out.append((row.known, row.device, row.ts, *tick))
+    names = ["known", "device", "ts", "phase", "stable_count", "capture", "steady", "signature"]
     ticks = pd.DataFrame(out, columns=names)
     ticks["signature"] = ticks["signature"].astype("Int64")
     return (*state, last_seen), ticks
 
 
+class Device(StatefulProcessor):
+    """The state of one device: one row of numbers, and one timer that forgets it when it has been silent long enough."""
+
+    def __init__(self, config: CaptureConfig, expire_ms: int):
+        self.config, self.expire_ms = config, expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("device", STATE)
+
+    def _forget_at(self, last_seen: int) -> int:
+        return last_seen + self.expire_ms + 1
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        current = self.state.get() if self.state.exists() else (*START, None)
+        before = current[-1]
+        current, ticks = _run(pd.concat(list(rows), ignore_index=True), tuple(current), self.config, self.expire_ms)
+        self.state.update(current)
+        if before is not None:
+            self.handle.deleteTimer(self._forget_at(before))
+        self.handle.registerTimer(self._forget_at(current[-1]))
+        yield ticks
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def capture_events(
     frames: DataFrame, config: CaptureConfig = DEFAULT, delay: str = "10 seconds", expire_ms: int = EXPIRE_MS
 ) -> DataFrame:
     """Ticks of a frame stream, keyed by device. How the frames fall into triggers makes no difference: a silent device starts
-    anew by its own frames' times, and the timeout by watermark only frees its memory after that.
+    anew by its own frames' times, and its event-time timer only frees its memory after that.
 
     Rows later than the watermark are dropped before they reach the state; count them with the query's progress
     (numRowsDroppedByWatermark). The frames of one device in one trigger are sorted together, so bound the trigger
-    (maxFilesPerTrigger, maxOffsetsPerTrigger), not the device.
+    (maxFilesPerTrigger, maxOffsetsPerTrigger), not the device. The state store must be RocksDB (``STORE``).
     """
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        current = tuple(state.get) if state.exists else (*START, None)
-        rows = pd.concat(list(batches), ignore_index=True)
-        latest = int(rows["now_ms"].max())
-        current, ticks = _run(rows, current, config, expire_ms)
-        state.update(current)
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + expire_ms)
-        yield ticks
-
+    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     watermarked = _prepared(frames, config).withWatermark("ts", delay)
-    return watermarked.groupBy("device").applyInPandasWithState(
-        advance, TICKS, STATE, "append", GroupStateTimeout.EventTimeTimeout
+    ticks = watermarked.groupBy("known", "device").transformWithStateInPandas(
+        statefulProcessor=Device(config, expire_ms), outputStructType=f"known boolean, {TICKS}", outputMode="Append", timeMode="EventTime"
     )
+    return _named(ticks)
 
 
 def capture_events_batch(frames: DataFrame, config: CaptureConfig = DEFAULT, expire_ms: int = EXPIRE_MS) -> DataFrame:
@@ -145,18 +176,19 @@ def capture_events_batch(frames: DataFrame, config: CaptureConfig = DEFAULT, exp
     The rows of a device arrive sorted and in Arrow batches, and only the small state is kept between them, so a
     device with any number of frames fits; devices are spread by hash.
     """
-    ordered = _prepared(frames, config).repartition("device").sortWithinPartitions("device", "now_ms", "signature")
+    keys = ["known", "device"]
+    ordered = _prepared(frames, config).repartition(*keys).sortWithinPartitions(*keys, "now_ms", "signature")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         device, state = None, (*START, None)
         for pdf in batches:
-            for key, rows in pdf.groupby("device", sort=False):
+            for key, rows in pdf.groupby(keys, sort=False):
                 if key != device:
                     device, state = key, (*START, None)
                 state, ticks = _run(rows, state, config, expire_ms)
                 yield ticks
 
-    return ordered.mapInPandas(walk, TICKS)
+    return _named(ordered.mapInPandas(walk, f"known boolean, {TICKS}"))
 
 
 def captures(ticks: DataFrame) -> DataFrame:

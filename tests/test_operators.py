@@ -113,7 +113,7 @@ def test_stream_equals_batch(spark):
 
     sf = "/root/testdata/sf0.001"
     stream, batch = (QUERIES[n](spark, sf) for n in ("capture_events", "capture_events_batch"))
-    columns = ["device", "ts", "phase", "stable_count", "capture", "steady", "signature"]
+    columns = ["device", "ts_us", "phase", "stable_count", "capture", "steady", "signature"]
     a, b = stream.select(columns), batch.select(columns)
     assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
 
