@@ -28,41 +28,66 @@ OPEN = "<*>"
 def templates(line: Column, depth: int, min_tokens: int, short: bool = False) -> Column:
     """array<long> of the template hashes of a line: the closed template first, then one per open stretch.
 
-    A line under ``min_tokens`` has none or, with ``short``, the hash of its tokens as they are.
+    A line under ``min_tokens`` has none or, with ``short``, the hash of its tokens as they are. Tokens are hashed once per
+    stretch; the templates are made of the hashes of their closed stretches.
     """
-    trimmed = F.btrim(F.lower(line), F.lit(BLANKS))  # no empty token but that of an empty line
-    tokens = F.split(trimmed, BLANK_RUN)
+    trimmed = _blank_trimmed(F.lower(line))
     # Most lines have nothing to mask: one look at the line spares one at every token.
-    masked = F.when(trimmed.rlike(TRIGGER), F.transform(tokens, lambda w: F.when(w.rlike(VARIABLE), F.lit(OPEN)).otherwise(w)))
-
-    def hashes(x: Column) -> Column:
-        plain, t = x["plain"], F.coalesce(x["masked"], x["plain"])
-        n = F.size(plain)
-        rest = n - depth
-
-        def hashed(k: int, *parts) -> Column:
-            """The hash of a template from its closed stretches, masked if enough of them is literal."""
-            over = lambda of: F.xxhash64(n, F.lit(k), *[p(of) for p in parts])
-            literal = lambda p: F.size(F.filter(p(t), lambda w: w != OPEN))
-            literals = sum((literal(p) for p in parts[1:]), literal(parts[0]))
-            enough = (literals >= LITERAL) & (2 * literals >= n)
-            return F.when(x["masked"].isNull() | enough, over(t)).otherwise(over(plain))
-
-        closed = hashed(0, lambda of: of)
-        cut = lambda k: F.floor(rest * k / SEGMENTS).cast("int") + depth
+    masked = F.when(trimmed.rlike(TRIGGER), F.transform(_tokens(trimmed), lambda w: F.when(w.rlike(VARIABLE), F.lit(OPEN)).otherwise(w)))
+    none = F.expr("array()").cast("array<bigint>")
 
-        def opened(k: int) -> Column:
-            lead, before = lambda of: F.slice(of, 1, depth), lambda of: F.slice(of, depth + 1, cut(k) - depth)
-            return hashed(k + 1, lead, before, lambda of: F.slice(of, cut(k + 1) + 1, n - cut(k + 1)))
+    def stretches(x: Column) -> Column:
+        """struct<plain, masked, literal> per stretch (the leading tokens, then SEGMENTS); masked and literal only where masked."""
+        n, rest = F.size(x["plain"]), F.size(x["plain"]) - depth
+        cut = lambda k: F.floor(rest * k / SEGMENTS).cast("int") + depth
+        segments = F.when(rest >= 2 * SEGMENTS, F.lit(SEGMENTS)).otherwise(1)  # closed lines are one stretch behind the lead
+        bounds = [(F.lit(0), F.least(n, F.lit(depth)))] + [
+            (cut(k) if k else F.lit(depth), F.when(segments == 1, n).otherwise(cut(k + 1)) if k == 0 else cut(k + 1)) for k in range(SEGMENTS)
+        ]
+
+        def each(of: Column, body) -> Column:
+            first = [body(F.slice(of, lo + 1, F.greatest(hi - lo, F.lit(0)))) for lo, hi in bounds]
+            return F.when(segments == 1, F.array(*first[:2])).otherwise(F.array(*first))
+
+        literal = lambda part: F.size(F.filter(part, lambda w: w != OPEN))
+        many = x["masked"].isNotNull()
+        return F.struct(
+            n.alias("n"), each(x["plain"], F.xxhash64).alias("plain"), F.when(many, each(x["masked"], F.xxhash64)).alias("masked"),
+            F.when(many, each(x["masked"], literal)).alias("literal"),
+        )
+
+    def hashes(h: Column) -> Column:
+        n = h["n"]
+
+        def hashed(k: int, parts: int) -> Column:
+            """The template with stretch ``k`` open (0: none), masked if enough of what is closed is literal."""
+            closed = [j for j in range(parts) if j != k or k == 0]
+            over = lambda of: F.xxhash64(n, F.lit(k), *[F.get(of, F.lit(j)) for j in closed])
+            literals = sum((F.get(h["literal"], F.lit(j)) for j in closed[1:]), F.get(h["literal"], F.lit(closed[0])))
+            enough = bind(literals, lambda m: (m >= LITERAL) & (2 * m >= n))
+            return F.when(h["masked"].isNotNull() & enough, over(h["masked"])).otherwise(over(h["plain"]))
 
-        few = F.when(trimmed != "", F.array(F.xxhash64(n, F.lit(-1), plain))) if short else None
-        none = F.expr("array()").cast("array<bigint>")
         # An open stretch must leave most of the line closed: at least two tokens in every other stretch.
-        return F.when(n < max(min_tokens, 2), none if few is None else F.coalesce(few, none)).when(
-            rest < 2 * SEGMENTS, F.array(closed)
-        ).otherwise(F.array(closed, *[opened(k) for k in range(SEGMENTS)]))
+        few, many = F.array(hashed(0, 2)), F.array(*[hashed(k, SEGMENTS + 1) for k in range(SEGMENTS + 1)])
+        return F.when(F.size(h["plain"]) == 2, few).otherwise(many)
+
+    def of_tokens(x: Column) -> Column:
+        n = F.size(x["plain"])
+        few = F.when(trimmed != "", F.array(F.xxhash64(n, F.lit(-1), x["plain"]))).otherwise(none) if short else none
+        return F.when(n < max(min_tokens, 2), few).otherwise(bind(stretches(x), hashes))
+
+    return bind(F.struct(_tokens(trimmed).alias("plain"), masked.alias("masked")), of_tokens)
+
+
+def _blank_trimmed(text: Column) -> Column:
+    """All blanks as spaces, none at the ends."""
+    return F.btrim(F.translate(text, BLANKS, " " * len(BLANKS)))
 
-    return bind(F.struct(tokens.alias("plain"), masked.alias("masked")), hashes)
+
+def _tokens(trimmed: Column) -> Column:
+    """Tokens of a text as from :func:`_blank_trimmed`; an empty one has one empty token."""
+    parts = F.split(trimmed, " ")
+    return F.when(F.contains(trimmed, F.lit("  ")), F.filter(parts, lambda w: w != "")).otherwise(parts)
 
 
 def recurring(docs: DataFrame, text: str, depth: int, min_tokens: int, min_docs: int, short: bool = False) -> DataFrame:
@@ -81,60 +106,70 @@ def recurring(docs: DataFrame, text: str, depth: int, min_tokens: int, min_docs:
     return later.groupBy("_doc").agg(F.collect_set("n").alias("_drop"))
 
 
-def dedup(docs: DataFrame, text: str = "text", depth: int = 3, min_tokens: int = 6, min_docs: int = 2, share: str | None = None) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", depth: int = 3, min_tokens: int = 6, min_docs: int = 2, copies: float | None = None) -> DataFrame:
     """``docs`` (doc_id, text and more) with ``text`` without the lines that recur, ``n_lines`` and ``dropped_lines``.
 
     A null text stays null and has no lines; an empty line is kept. A document of recurring lines only keeps an empty text.
-    No row is dropped. Columns named ``n_lines`` or ``dropped_lines`` are replaced. ``share`` names a further column: the share of
-    the words that stand in recurring lines, short ones included; 0 where no line was dropped.
+    No row is dropped. Columns named ``n_lines`` or ``dropped_lines`` are replaced. With ``copies``, a document with at least this
+    share of its words in lines that recur, short ones included and a longer one among them, loses its recurring short lines
+    too; every line keeps its first document, so no line is lost with a copy, and what is a copy's own stays.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("text"))
     keyed = docs.withColumn("_doc", key)
-    drops = recurring(keyed.filter(F.col(text).isNotNull()).select("_doc", text), text, depth, min_tokens, min_docs, share is not None)
+    drops = recurring(keyed.filter(F.col(text).isNotNull()).select("_doc", text), text, depth, min_tokens, min_docs, copies is not None)
     joined = keyed.join(drops, "_doc", "left")
-    lines = F.split(F.col(text), "\n")
+    result = F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).alias("n"), F.lit(0).alias("gone"))
+    whole = lambda lines: F.struct(F.col(text).alias("text"), F.size(lines).alias("n"), F.lit(0).alias("gone"))
+
+    def cleaned(lines: Column, gone: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)  # by hash: linear in the lines
+        kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+        return F.struct(kept.alias("text"), F.size(lines).alias("n"), F.size(gone).alias("gone"))
 
-    extra = {}
-    if share is not None:  # token counts are made where something recurs only
-        tokens = F.transform(lines, lambda x: bind(F.btrim(x, F.lit(BLANKS)), lambda t: F.when(t == "", 0).otherwise(F.size(F.split(t, BLANK_RUN)))))
-        joined = joined.withColumn("_n", F.when(F.col("_drop").isNotNull(), tokens))
-        total = lambda n: F.aggregate(n, F.lit(0), lambda a, x: a + x)
-        there = F.transform("_drop", lambda i: F.col("_n")[i])
-        joined = joined.withColumn("_share", total(there) / total(F.col("_n")))
-        joined = joined.withColumn("_drop", F.filter("_drop", lambda i: F.col("_n")[i] >= max(min_tokens, 2)))
-        joined = joined.withColumn("_drop", F.when(F.size("_drop") > 0, F.col("_drop")))
-        extra = {share: F.when(F.col("_drop").isNull(), 0.0).otherwise(F.col("_share"))}
+    def judged(lines: Column) -> Column:
+        if copies is None:
+            return cleaned(lines, F.col("_drop"))
+        words = F.transform(lines, lambda x: bind(_blank_trimmed(x), lambda t: F.when(t == "", 0).otherwise(F.size(_tokens(t)))))
+        total = lambda n: F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def kept(d: Column) -> Column:
-        return F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(d, i), x)), lambda x: x.isNotNull()), "\n")
+        def by_words(n: Column) -> Column:
+            copied = total(F.transform("_drop", lambda i: F.get(n, i))) >= copies * total(n)
+            long_ones = F.filter("_drop", lambda i: F.get(n, i) >= max(min_tokens, 2))
+            return bind(long_ones, lambda some: bind(F.when(copied & (F.size(some) > 0), F.col("_drop")).otherwise(some), lambda gone: cleaned(lines, gone)))
 
-    cleaned = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(kept(F.col("_drop")))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    out = joined.withColumns({text: cleaned, "n_lines": n_lines, "dropped_lines": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), **extra})
-    return out.drop("_doc", "_drop", "_n", "_share")
+        return bind(words, by_words)
+
+    lines = F.split(F.col(text), "\n")
+    of_lines = bind(lines, lambda x: F.when(F.col("_drop").isNull(), whole(x)).otherwise(judged(x)))
+    # A generated row: later filters on the result stay above it, so it is made once.
+    made = joined.withColumn("_made", F.explode(F.array(F.when(F.col(text).isNull(), result).otherwise(of_lines))))
+    columns = {text: F.col("_made.text"), "n_lines": F.col("_made.n").cast("long"), "dropped_lines": F.col("_made.gone").cast("long")}
+    return made.withColumns(columns).drop("_doc", "_drop", "_made")
 
 
 def oracle(depth: int = 3, min_tokens: int = 6) -> str:
     """The same rows with templates spelled out as text (two documents or more)."""
     # Token lists are compared as text with a separator that no token has.
-    part = lambda a, b: f"array_to_string(t[{a}:{b}], ' ')"
-    opened = ", ".join(
-        f"'{k + 1} ' || n || ' ' || {part(1, depth)} || chr(10) || {part(depth + 1, cut(k, depth))} || chr(10) || {part(cut(k + 1, depth) + '+1', 'n')}"
-        for k in range(SEGMENTS)
-    )
+    pieces = lambda of, k: " || chr(10) || ".join(
+        f"array_to_string({of}[{lo}:{hi}], ' ')" for lo, hi in ([("1", str(depth)), (str(depth + 1), cut(k, depth)), (cut(k + 1, depth) + "+1", "n")] if k >= 0 else [("1", "n")])
+    )
+    literal = lambda k: "(len(list_filter(t, lambda x: x <> '" + OPEN + "'))" + (
+        f" - len(list_filter(t[{cut(k, depth)}+1:{cut(k + 1, depth)}], lambda x: x <> '{OPEN}')))" if k >= 0 else ")")
+    template = lambda k: f"CASE WHEN {literal(k)} >= {LITERAL} AND 2 * {literal(k)} >= n THEN {pieces('t', k)} ELSE {pieces('p', k)} END"
+    opened = ", ".join(f"'{k + 1} ' || n || ' ' || {template(k)}" for k in range(SEGMENTS))
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 numbered AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM docs),
-tokens AS (SELECT rid, doc_id, k, list_transform(list_filter(regexp_split_to_array(lower(line), '{BLANK_RUN}'), lambda x: x <> ''),
-  lambda w: CASE WHEN regexp_matches(w, '{VARIABLE}') THEN '{OPEN}' ELSE w END) AS t FROM numbered),
+plain AS (SELECT rid, doc_id, k, list_filter(regexp_split_to_array(lower(line), '{BLANK_RUN}'), lambda x: x <> '') AS p FROM numbered),
+tokens AS (SELECT *, list_transform(p, lambda w: CASE WHEN regexp_matches(w, '{VARIABLE}') THEN '{OPEN}' ELSE w END) AS t FROM plain),
 sized AS (SELECT *, len(t) AS n FROM tokens WHERE len(t) >= {min_tokens}),
-found AS (SELECT rid, doc_id, k, '0 ' || array_to_string(t, ' ') AS template FROM sized
+found AS (SELECT rid, doc_id, k, '0 ' || {template(-1)} AS template FROM sized
   UNION ALL SELECT rid, doc_id, k, unnest([{opened}]) FROM sized WHERE n - {depth} >= {2 * SEGMENTS}),
 firsts AS (SELECT template, min(doc_id) AS first FROM found GROUP BY template HAVING min(doc_id) <> max(doc_id)),
 dropped AS (SELECT DISTINCT rid, k FROM found JOIN firsts USING (template) WHERE doc_id <> first),
-cleaned AS (SELECT d.rid, any_value(d.doc_id) AS doc_id, count(*) AS n_lines, count(x.k) AS dropped_lines,
+cleaned AS (SELECT d.rid, any_value(d.doc_id) AS doc_id, count(n.k) AS n_lines, count(x.k) AS dropped_lines,
     string_agg(n.line, chr(10) ORDER BY n.k) FILTER (WHERE x.k IS NULL) AS text
-  FROM docs d JOIN numbered n ON n.rid = d.rid LEFT JOIN dropped x ON x.rid = n.rid AND x.k = n.k GROUP BY d.rid)
+  FROM docs d LEFT JOIN numbered n ON n.rid = d.rid LEFT JOIN dropped x ON x.rid = n.rid AND x.k = n.k GROUP BY d.rid)
 SELECT doc_id, n_lines, dropped_lines, sha256(coalesce(text, '')) AS text_sha256 FROM cleaned
 """
 

@@ -45,16 +45,22 @@ def test_long_text_and_empty_table(docs_of):
 
 def test_brute_force(docs_of):
     rng = random.Random(2)
-    pool = ["a", "b", "cc", "d1"]
+    pool = ["a", "b", "cc", "d1", "2"]
     rows = [(i, "\n".join(" ".join(rng.choices(pool, k=rng.randint(10, 12))) for _ in range(40))) for i in range(40)]
 
     def keys(line):
-        t = ["<*>" if any(c.isdigit() for c in w) else w for w in line.split()]
+        p = line.split()
+        t = ["<*>" if any(c.isdigit() for c in w) else w for w in p]
         n, d = len(t), 3
-        out = [(0, *t)]
+
+        def closed(a, b):
+            literal = sum(w != "<*>" for w in t[:a] + t[b:])
+            of = t if literal >= 4 and 2 * literal >= n else p
+            return n, *of[:a], "|", *of[b:]
+
+        out = [(0, *closed(n, n))]
         for k in range(lines.SEGMENTS) if n - d >= 2 * lines.SEGMENTS else ():
-            a, b = d + (n - d) * k // lines.SEGMENTS, d + (n - d) * (k + 1) // lines.SEGMENTS
-            out.append((k + 1, n, *t[:a], "|", *t[b:]))
+            out.append((k + 1, *closed(d + (n - d) * k // lines.SEGMENTS, d + (n - d) * (k + 1) // lines.SEGMENTS)))
         return out
 
     first, many = {}, set()
@@ -76,3 +82,40 @@ def test_rows_of_figures_are_kept(docs_of):
     got = run(docs_of(rows))
     assert got[1].text == rows[0][1] and got[2].text == rows[1][1] and got[3].text == ""
     assert got[5].dropped_lines == 0 and got[7].dropped_lines == 1
+
+
+def test_sql_twin_has_the_same_rules(docs_of):
+    import duckdb
+
+    rng = random.Random(8)
+    word = lambda: rng.choice(["alpha", "beta", "12", "7", "x@y.z", "3%", "gamma", "Delta"])
+    pool = [[word() for _ in range(rng.randint(4, 16))] for _ in range(150)]
+    varied = lambda line: [rng.choice([w, w, w, w, w, word()]) for w in line]
+    rows = [(i, "\n".join(rng.choice([" ", "  ", "\t"]).join(varied(rng.choice(pool))) for _ in range(12))) for i in range(60)]
+    rows += [(100, "1 2 3 4 5 6 7 8"), (101, "9 8 7 6 5 4 3 2"), (102, None), (103, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {r[0]: r[1:] for r in con.execute(lines.oracle()).fetchall()}
+    got = {r.doc_id: (r.n_lines, r.dropped_lines, r.text_sha256) for r in lines.digests(lines.dedup(docs_of(rows))).collect()}
+    assert want == got and got[102][:2] == (0, 0) and sum(v[1] for v in got.values()) > 20 and got[101][1] == 0
+
+
+def test_many_lines_take_seconds(docs_of):
+    import time
+
+    text = "\n".join(f"line {i} {'abcdefghij'[i % 10] * (1 + i % 97)} of a very long text here and {chr(97 + i % 26) * (1 + i // 500)}" for i in range(50_000))
+    started = time.monotonic()
+    got = run(docs_of([(1, text), (2, text), (3, "short\n" + text)]), copies=0.8)
+    assert got[1].dropped_lines < 50_000 and got[2].text == "" and got[3].text == "short" and got[2].dropped_lines == 50_000
+    assert time.monotonic() - started < 90
+
+
+def test_nothing_unique_goes_with_a_copy(docs_of):
+    """The first holder of a line keeps it even if the rest of its text is a copy."""
+    rng = random.Random(4)
+    line = lambda k=12: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(k))
+    body, x, own = [line() for _ in range(9)], line(), line()
+    rows = [(1, "\n".join(body)), (2, "\n".join(["Head", *body, x])), (3, f"{x}\n{own}"), (4, "\n".join(["Head", *body]))]
+    got = run(docs_of(rows), copies=0.8)
+    assert got[1].text == rows[0][1] and got[2].text == f"Head\n{x}" and got[3].text == own and got[4].text == ""
