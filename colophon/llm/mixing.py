@@ -16,31 +16,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from colophon.llm.shared import words, written
+from colophon.operators.numbering import ranked, running_totals
 
 WEIGHTS = (1, 2, 3)
 BUCKETS = 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """(source, source_size, target) from rows with source and size. The windows below run over one row per source."""
+    """(source, source_size, target) from rows with source and size. Sources may be many: their places and running sums are
+    found by ranges, never in one task."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
+    named = per.withColumn("none", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
+    placed = ranked(named, ["none", "name"], "place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
     # A source stops once the level (words per weight) reaches its stop; below that, target = level * weight.
-    stops = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most).withColumn("stop", F.col("cap") / F.col("weight"))
-    upto = W.orderBy("stop", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    every = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    summed = stops.withColumns({
-        "words": F.sum("source_size").over(every), "all_weight": F.sum("weight").over(every),
-        "capped": F.sum("cap").over(upto), "spent": F.sum("weight").over(upto),
-    })
+    stops = placed.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most).withColumn("stop", F.col("cap") / F.col("weight"))
+    summed = running_totals(stops, ["stop", "place"], {"capped": F.col("cap"), "spent": F.col("weight")})
+    summed = written(summed, "mixing_sources")
+    one = F.lit(1).alias("_one")
+    every = summed.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("all_weight"), one)
     before = F.col("capped") - F.col("cap") + F.col("stop") * (F.col("all_weight") - F.col("spent") + F.col("weight"))
     # Sources that are full at the common level: those whose stop needs no more than all words.
-    marked = summed.withColumn("full", before <= F.col("words"))
-    level = marked.withColumns({
-        "_c": F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(every),
-        "_w": F.sum(F.when(F.col("full"), F.lit(0)).otherwise(F.col("weight"))).over(every),
-    })
+    marked = summed.withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one").withColumn("full", before <= F.col("words"))
+    rest = marked.agg(
+        F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).alias("_c"), F.sum(F.when(F.col("full"), F.lit(0)).otherwise(F.col("weight"))).alias("_w"), one
+    )
+    level = marked.join(F.broadcast(rest), "_one")  # one row
     target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise((F.col("words") - F.col("_c")) * F.col("weight") / F.col("_w"))
     return level.select("source", "source_size", target.alias("target"))
 
@@ -49,10 +50,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, buck
     """``docs`` (doc_id, source, text and more) with size, source_size, target, taken (words, repeats counted).
 
     Sizes are words between ASCII blanks; a null text has none and takes none. Null sources are a source of their own. Rows
-    that are equal in id, source and text have equal keys; which comes first makes no difference between them. ``docs`` may
-    not have columns of these names other than size, which is replaced; other columns come along.
+    that are equal in id, source and text have equal keys; which comes first makes no difference between them. Columns of the
+    new names are replaced, other columns come along.
     """
-    sized = docs.withColumn("size", F.size(words(F.col(text))).cast("long"))
+    sized = docs.drop("source_size", "target", "taken").withColumn("size", F.size(words(F.col(text))).cast("long"))
     key = F.xxhash64(F.col("doc_id"), F.col("source"), F.coalesce(F.xxhash64(text), F.lit(0)))
     keyed = sized.withColumn("_key", key).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_key", 40), F.lit(buckets)).cast("int"))
     return _taken(keyed, weights, most)

@@ -16,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 PERIOD = 32
-ADDRESS = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?(/[^/?#]*/)?"
+SALTS = 16  # parts of the captures under one domain, so that a suffix of most hosts is not one task
+# A host is a name, or an address in brackets.
+ADDRESS = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]+)(?::[0-9]*)?(/[^/?#]*/)?"
 
 
 def place(url: Column) -> dict[str, Column]:
@@ -49,7 +51,12 @@ def judge(captures: DataFrame, log: DataFrame, url: str = "url", day: str = "fet
     labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keys = F.when(F.col("_segment") == "", domains).otherwise(F.concat(domains, F.array(F.concat("host", "_segment"))))
-    keyed = known.select("*", F.explode(F.array_distinct(keys)).alias("pattern"), F.floor(F.col("_day") / period).alias("period"))
+    asked = known.select("*", F.explode(F.array_distinct(keys)).alias("pattern"), F.floor(F.col("_day") / period).alias("period"))
+    # Every host asks for its top domain, which hardly a list names: what no list names goes first, in salted parts.
+    salted = asked.withColumn("_salt", F.pmod(F.xxhash64("host", "_day"), F.lit(SALTS)))
+    listed = log.select(F.lower("pattern").alias("pattern")).filter("pattern IS NOT NULL").distinct()
+    listed = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    keyed = salted.join(listed, ["pattern", "_salt"], "left_semi").drop("_salt")
     horizon = known.agg(F.max("_day").alias("end"))  # one row
     active = intervals(log).join(F.broadcast(horizon), F.col("from") <= F.col("end"))
     upto = F.least(F.coalesce(F.col("until") - 1, F.col("end")), F.col("end"))

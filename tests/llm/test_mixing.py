@@ -59,3 +59,23 @@ def test_epochs_never_differ_by_more_than_one(docs_of, rows):
 
 def test_empty_table(docs_of):
     assert mixing.mix(docs_of([])).count() == 0
+
+
+def test_clashing_names_are_replaced(docs_of, rows):
+    docs = docs_of(rows[:60])
+    for name in ("target", "taken", "source_size", "size", "place", "name", "weight"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    got = mixing.mix(docs, buckets=4)
+    plain = mixing.mix(docs_of(rows[:60]), buckets=4)
+    pick = lambda df: sorted(str(r) for r in df.select("doc_id", "size", "source_size", "target", "taken").collect())
+    assert pick(got) == pick(plain) and {r.weight for r in got.collect()} == {"clash"}
+
+
+def test_many_sources(spark):
+    """A source per host: places, levels and caps as by resharing."""
+    sizes = {f"s{i:05}": (i * 7919) % 97 + 1 for i in range(3000)} | {"big": 40_000, None: 12}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").repartition(6)
+    found = {r.source: r.target for r in mixing.targets(df).collect()}
+    want = reshared(sizes)
+    assert found.keys() == want.keys() and all(found[s] == pytest.approx(want[s]) for s in want)
+    assert "SinglePartition" not in mixing.ranked(df, ["source"])._jdf.queryExecution().toString()

@@ -80,6 +80,24 @@ def test_copies_with_short_lines_go_whole(spark, docs_of):
     shorts = "\n".join(["A heading", *[line(4) for _ in range(5)]])
     docs = docs_of([(1, copy), (2, copy), (3, near), (4, poem), (5, shorts), (6, shorts), (None, copy), (7, None), (8, "")]).select(*cp.COLUMNS)
     got = {r.doc_id: r for r in cp.drop_recurring_lines(spark, docs, "").collect()}
-    assert set(got) == {1, 4, 5, 6, 7, 8}  # copies of short lines only are left to the SimHash stage
+    assert set(got) == {1, 3, 4, 5, 6, 7, 8}  # copies of short lines only are left to the SimHash stage
     assert got[1].text == copy and got[4].text == "\n".join(poem.split("\n")[1:]) and got[5].text == got[6].text == shorts
-    assert got[4].n_chars == len(got[4].text)
+    assert got[3].text == near.split("\n")[6] and got[4].n_chars == len(got[4].text)  # its own line is all that is left
+
+
+def test_no_line_of_the_corpus_is_lost(spark, docs_of):
+    """Documents may be copies of each other in any chain; every line stays in the first document that has it."""
+    rng = random.Random(6)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(12))
+    pool = [line() for _ in range(60)]
+    rows = [(i, "\n".join([*rng.sample(pool, 10), *(["Short."] if i % 2 else [])])) for i in range(40)]
+    docs = docs_of(rows).select(*cp.COLUMNS)
+    got = {r.doc_id: (r.text or "").split("\n") for r in cp.drop_recurring_lines(spark, docs, "").collect()}
+    first = {}
+    for i, text in rows:
+        for x in text.split("\n"):
+            first.setdefault(x, i)
+    long_lines = {x: i for x, i in first.items() if x != "Short."}
+    assert {x: i for i, kept in got.items() for x in kept if x in long_lines} == long_lines
+    assert sum(x in long_lines for kept in got.values() for x in kept) == len(long_lines)
+    assert any("Short." in kept for kept in got.values())

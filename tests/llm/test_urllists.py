@@ -39,3 +39,11 @@ def test_as_of(spark):
 
 def test_empty(spark):
     assert judged(spark, []).count() == 0
+
+
+def test_hosts_in_brackets_and_a_listed_top_domain(spark):
+    log = spark.createDataFrame([("v6", "[2001:db8::1]", "add", 1), ("all", "com", "add", 1)], "list string, pattern string, action string, day int")
+    rows = [(1, "http://[2001:DB8::1]/x", 5), (2, "http://[2001:db8::1]:8080/x/", 5), (3, "http://[2001:db8::2]/", 5), (4, "http://a.b.com/", 5), (5, "http://[::1", 5), (6, "http://com/", 5)]
+    captures = spark.createDataFrame(rows, "id int, url string, fetched int")
+    got = {r.id: (r.host, r.lists) for r in urllists.judge(captures, log).collect()}
+    assert got == {1: ("[2001:db8::1]", "v6"), 2: ("[2001:db8::1]", "v6"), 3: ("[2001:db8::2]", ""), 4: ("a.b.com", "all"), 5: (None, ""), 6: ("com", "all")}
