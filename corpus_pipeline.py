@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colophon.llm import bpe, lines, mixing, simhash, toxicity
 from colophon.llm.queries import HELD_OUT, TOXIC, TOXIC_FOLDS
-from colophon.llm.shared import fold_of, table, written
+from colophon.llm.shared import BLANKS, fold_of, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Share of a document's words in lines of earlier documents from which it is a copy and goes as a whole.
+#: Share of a document's words in lines of earlier documents from which it is a copy.
 COPY_SHARE = 0.8
 #: The mix depends on a trained machine and on hashes, so no SQL engine has the rows; tests hold them against brute force.
 ORACLE_SQL = None
@@ -31,10 +31,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines whose template stands in an earlier document. A document goes as a whole if at least
-    ``COPY_SHARE`` of its words stand in lines of earlier documents: a copy leaves no stub of its short lines behind."""
-    cleaned = lines.dedup(docs.select(*COLUMNS), share="_share")
-    left = cleaned.filter(F.col("_share") < COPY_SHARE)
+    """Texts without the lines whose template stands in an earlier document, which keeps them. A document with at least
+    ``COPY_SHARE`` of its words in such lines is a copy: its recurring short lines go too, and so does the document if nothing
+    is left. What is left of a copy is its own, so no line of the corpus is lost."""
+    cleaned = lines.dedup(docs.select(*COLUMNS), copies=COPY_SHARE)
+    left = cleaned.filter((F.col("dropped_lines") == 0) | F.col("text").isNull() | (F.length(F.btrim("text", F.lit(BLANKS))) > 0))
     changed = F.when(F.col("dropped_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed).select(*COLUMNS)
 
