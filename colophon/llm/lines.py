@@ -31,11 +31,13 @@ def templates(line: Column, depth: int, min_tokens: int, short: bool = False) ->
     A line under ``min_tokens`` has none or, with ``short``, the hash of its tokens as they are. Tokens are hashed once per
     stretch; the templates are made of the hashes of their closed stretches.
     """
-    trimmed = _blank_trimmed(F.lower(line))
-    # Most lines have nothing to mask: one look at the line spares one at every token.
-    masked = F.when(trimmed.rlike(TRIGGER), F.transform(_tokens(trimmed), lambda w: F.when(w.rlike(VARIABLE), F.lit(OPEN)).otherwise(w)))
     none = F.expr("array()").cast("array<bigint>")
 
+    def tokens(t: Column) -> Column:
+        # Most lines have nothing to mask: one look at the line spares one at every token.
+        masked = F.when(t.rlike(TRIGGER), F.transform(_tokens(t), lambda w: F.when(w.rlike(VARIABLE), F.lit(OPEN)).otherwise(w)))
+        return F.struct(_tokens(t).alias("plain"), masked.alias("masked"), (t != "").alias("filled"))
+
     def stretches(x: Column) -> Column:
         """struct<plain, masked, literal> per stretch (the leading tokens, then SEGMENTS); masked and literal only where masked."""
         n, rest = F.size(x["plain"]), F.size(x["plain"]) - depth
@@ -73,15 +75,17 @@ def templates(line: Column, depth: int, min_tokens: int, short: bool = False) ->
 
     def of_tokens(x: Column) -> Column:
         n = F.size(x["plain"])
-        few = F.when(trimmed != "", F.array(F.xxhash64(n, F.lit(-1), x["plain"]))).otherwise(none) if short else none
+        few = F.when(x["filled"], F.array(F.xxhash64(n, F.lit(-1), x["plain"]))).otherwise(none) if short else none
         return F.when(n < max(min_tokens, 2), few).otherwise(bind(stretches(x), hashes))
 
-    return bind(F.struct(_tokens(trimmed).alias("plain"), masked.alias("masked")), of_tokens)
+    return bind(bind(_blank_trimmed(F.lower(line)), tokens), of_tokens)
 
 
 def _blank_trimmed(text: Column) -> Column:
     """All blanks as spaces, none at the ends."""
-    return F.btrim(F.translate(text, BLANKS, " " * len(BLANKS)))
+    for blank in BLANKS.replace(" ", ""):
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.btrim(text)
 
 
 def _tokens(trimmed: Column) -> Column:
@@ -93,8 +97,10 @@ def _tokens(trimmed: Column) -> Column:
 def recurring(docs: DataFrame, text: str, depth: int, min_tokens: int, min_docs: int, short: bool = False) -> DataFrame:
     """(doc, line numbers) that stand in an earlier document; ``docs`` has the document key ``_doc``."""
     lines = docs.select("_doc", F.posexplode(F.split(text, "\n")).alias("n", "line"))
-    # Hashes are made once: they are read twice below and are much smaller than the lines.
-    hashed = written(lines.select("_doc", "n", templates(F.col("line"), depth, min_tokens, short).alias("ts")).filter(F.size("ts") > 0), "line_templates")
+    # Hashes are made once: they are read twice below and are much smaller than the lines. They are a generated row, as a filter
+    # on a plain column would be moved below it and make them a second time.
+    made = lines.select("_doc", "n", F.explode(F.array(templates(F.col("line"), depth, min_tokens, short))).alias("ts"))
+    hashed = written(made.filter(F.size("ts") > 0), "line_templates")
     found = hashed.select("_doc", "n", F.explode("ts").alias("t"))
     # Partial aggregates: first and last document of each template, and for min_docs over 2 the number of different ones.
     if min_docs <= 2:
