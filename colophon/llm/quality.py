@@ -1,14 +1,16 @@
 """Quality rules whose cutoffs carry a guarantee.
 
-Every rule is a figure that grows with junk and a list of cutoffs from mild to strict. Labelled documents of good quality are
-the holdout: per stratum (a listed language, or ``other``), a cutoff is *safe* if the exact binomial (Clopper-Pearson) bound
-says that it rejects at most ``risk / rules`` of the good documents. Each (stratum, rule) walks its cutoffs from mild to strict
-and stops at the first that isn't safe (fixed-sequence testing, so the walk itself costs nothing); the walks share ``error`` by
-Bonferroni. So with probability 1 - ``error`` no stratum loses more than ``risk`` of its good documents, all rules together.
-A stratum with too few labels for any proof keeps its documents.
-
-Figures are computed inside the row, once, and written; the holdout is one aggregate over labelled figures, and at most
-(strata x rules) cutoffs are joined back. No Python, and texts are never shuffled.
+Every rule is a figure that grows with junk. All rules share one scale of cutoffs from mild to strict; at a *level* of the scale a
+document is rejected if any of its figures is above that cutoff, so what stricter levels reject grows with the level.
+Labelled documents of good quality are the holdout: per stratum (a listed language, or ``other``), a level is *safe* if the
+exact binomial (Clopper-Pearson) bound says that it rejects at most ``risk`` of the good documents, all rules together. Each
+stratum walks the levels from mild to strict and stops at the first that isn't safe (fixed-sequence testing, so the walk itself
+costs nothing); the strata share ``error`` by Bonferroni. So with probability 1 - ``error`` no stratum loses more than ``risk`` of
+its good documents. A stratum with too few labels for any proof (77 good ones suffice at the defaults if none is rejected)
+keeps its documents.
+
+Figures are computed inside the row, once, and written; the holdout is one aggregate over labelled figures, and one cutoff per
+stratum is joined back. No Python, and texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -93,19 +95,18 @@ def below(k: Column, n: Column, p: float) -> Column:
 
 
 def safe_cutoffs(labelled: DataFrame, risk: float = 0.05, error: float = 0.1, strata: tuple[str, ...] = STRATA) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest safe cutoff of each walk; ``labelled`` has stratum, the shares and quality (0/1)."""
-    tests = len(RULES) * (len(strata) + 1)
-    cells = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(r).alias("share")) for r in RULES for i, c in enumerate(GRID)])
+    """(stratum, cutoff): the strictest safe cutoff of each stratum; ``labelled`` has stratum, the shares and quality (0/1)."""
+    worst = F.greatest(*[F.col(r) for r in RULES])  # a document is rejected below its largest share
+    cells = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(c).alias("cutoff")) for i, c in enumerate(GRID)])
     counts = (
-        labelled.filter("quality = 1").select("stratum", F.explode(cells).alias("c")).select("stratum", "c.*")
-        .groupBy("stratum", "rule", "step", "cutoff").agg(F.count("*").alias("n"), F.sum((F.col("share") > F.col("cutoff")).cast("long")).alias("k"))
+        labelled.filter("quality = 1").select("stratum", worst.alias("worst"), F.explode(cells).alias("c")).select("stratum", "worst", "c.*")
+        .groupBy("stratum", "step", "cutoff").agg(F.count("*").alias("n"), F.sum((F.col("worst") > F.col("cutoff")).cast("long")).alias("k"))
     )
     # The bound is below risk exactly when so few rejections would be rare at that risk. Beyond the mean they are not.
-    limit = risk / len(RULES)
-    chance = F.when(F.col("k") >= F.col("n") * limit, F.lit(1.0)).otherwise(below(F.col("k"), F.col("n"), limit))
-    walk = W.partitionBy("stratum", "rule").orderBy("step")
-    tested = counts.withColumn("safe", (chance <= error / tests).cast("int")).withColumn("safe", F.min("safe").over(walk))
-    return tested.filter("safe = 1").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    chance = F.when(F.col("k") >= F.col("n") * risk, F.lit(1.0)).otherwise(below(F.col("k"), F.col("n"), risk))
+    walk = W.partitionBy("stratum").orderBy("step")
+    tested = counts.withColumn("safe", (chance <= error / (len(strata) + 1)).cast("int")).withColumn("safe", F.min("safe").over(walk))
+    return tested.filter("safe = 1").groupBy("stratum").agg(F.min("cutoff").alias("cutoff"))
 
 
 def verdicts(figured: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.1, strata: tuple[str, ...] = STRATA) -> DataFrame:
@@ -118,10 +119,9 @@ def verdicts(figured: DataFrame, labels: DataFrame, risk: float = 0.05, error: f
     with_stratum = figured.withColumn("stratum", stratum(F.col("lang"), strata))
     cutoffs = safe_cutoffs(with_stratum.select("doc_id", "stratum", *RULES).join(good, "doc_id"), risk, error, strata)
     # One row per stratum, of which there are len(strata) + 1 at most: a bounded broadcast.
-    by_stratum = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
-    joined = with_stratum.join(F.broadcast(by_stratum), "stratum", "left")
-    failed = F.filter(F.array(*[F.when(F.col(r) > F.col("_cutoffs")[r], F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
-    return joined.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_cutoffs")
+    joined = with_stratum.join(F.broadcast(cutoffs.withColumnRenamed("cutoff", "_cutoff")), "stratum", "left")
+    failed = F.filter(F.array(*[F.when(F.col(r) > F.col("_cutoff"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
+    return joined.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_cutoff")
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.1) -> DataFrame:
@@ -132,11 +132,9 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float =
 
 
 def oracle(risk: float = 0.05, error: float = 0.1) -> str:
-    tests, limit = len(RULES) * (len(STRATA) + 1), risk / len(RULES)
+    tests = len(STRATA) + 1
     strata = ", ".join(f"'{s}'" for s in STRATA)
-    cells = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, g.cutoff, {r} AS share FROM labelled, (SELECT unnest([{', '.join(map(str, GRID))}]) AS cutoff) g" for r in RULES)
-    fails = " OR ".join(f"coalesce(f.{r} > c.{r}, false)" for r in RULES)
-    pivot = ", ".join(f"min(cutoff) FILTER (WHERE rule = '{r}') AS {r}" for r in RULES)
+    fails = " OR ".join(f"coalesce(f.{r} > c.cutoff, false)" for r in RULES)
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({strata}) THEN lang ELSE 'other' END AS stratum FROM documents),
 split AS (SELECT rid, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
@@ -152,11 +150,12 @@ shares AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base
   n_dup_lines / greatest(n_lines, 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share,
   upper / greatest(word_chars, 1) AS upper_share, bang / greatest(n_words, 1) AS bang_share FROM figures),
 labelled AS (SELECT s.* FROM shares s JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) q USING (doc_id) WHERE quality = 1),
-counts AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE share > cutoff) AS k FROM ({cells}) GROUP BY ALL),
-chances AS (SELECT stratum, rule, cutoff, CASE WHEN k >= n * {limit} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
-    lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({limit}) + (n - i) * ln(1 - {limit})))) END AS chance FROM counts),
-walk AS (SELECT *, max(chance) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) <= {error / tests} AS safe FROM chances),
-cutoffs AS (SELECT stratum, {pivot} FROM walk WHERE safe GROUP BY stratum)
+counts AS (SELECT stratum, cutoff, count(*) AS n, count(*) FILTER (WHERE greatest({', '.join(RULES)}) > cutoff) AS k
+  FROM labelled, (SELECT unnest([{', '.join(map(str, GRID))}]) AS cutoff) g GROUP BY ALL),
+chances AS (SELECT stratum, cutoff, CASE WHEN k >= n * {risk} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
+    lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) END AS chance FROM counts),
+walk AS (SELECT *, max(chance) OVER (PARTITION BY stratum ORDER BY cutoff DESC) <= {error / tests} AS safe FROM chances),
+cutoffs AS (SELECT stratum, min(cutoff) AS cutoff FROM walk WHERE safe GROUP BY stratum)
 SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND NOT ({fails}) AS kept

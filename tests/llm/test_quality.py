@@ -61,6 +61,37 @@ def test_cutoffs_hold_on_good_documents_and_catch_junk(spark, docs_of):
     assert all(r.kept for r in few)  # nothing can be proven on twenty labels
 
 
+def test_the_walk_stops_at_the_first_unsafe_level(spark):
+    """Cutoffs per stratum against exact sums: levels count all rules together, strata share the error."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for stratum, n, tail in (("de", 90, 0), ("en", 2000, 40), ("es", 70, 0), ("fr", 400, 9), ("other", 300, 30)):
+        worst = [0.0] * (n - tail) + [rng.choice([0.03, 0.07, 0.18, 0.33]) for _ in range(tail)]
+        for w in worst:
+            shares = [0.0] * len(quality.RULES)
+            shares[rng.randrange(len(shares))] = w
+            rows.append((stratum, 1, *shares))
+        rows += [(stratum, 0, *[0.9] * len(quality.RULES))] * 50  # junk has no say
+        for cutoff in quality.GRID:
+            k = sum(w > cutoff for w in worst)
+            if sum(comb(n, i) * 0.05**i * 0.95 ** (n - i) for i in range(k + 1)) > 0.1 / 5:
+                break
+            want[stratum] = cutoff
+    df = spark.createDataFrame(rows, ["stratum", "quality", *quality.RULES])
+    assert {r.stratum: r.cutoff for r in quality.safe_cutoffs(df).collect()} == want
+    assert set(want) == {"de", "en", "fr", "other"} and want["de"] == min(quality.GRID) < want["other"]
+
+
+def test_every_language_has_a_proven_cutoff(spark):
+    """On the given labels each listed language rejects junk, and far fewer than the risk of its good documents."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    judged = quality.judge(docs, labels).join(labels, "doc_id").filter("NOT base_failed")
+    lost = judged.groupBy("stratum", "quality").agg(F.avg((~F.col("kept")).cast("double")).alias("lost")).collect()
+    rate = {(r.stratum, r.quality): r.lost for r in lost}
+    assert all(rate[s, 1] <= 0.05 and rate[s, 0] > 0.3 for s in quality.STRATA), rate
+
+
 def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judge(docs_of([]), none).count() == 0
