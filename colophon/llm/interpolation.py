@@ -139,11 +139,23 @@ def requests(chunks: DataFrame, parts: int) -> DataFrame:
 REQUEST = pa.schema([("part", pa.int32()), ("chunk", pa.string()), ("deleted", pa.bool_()), *((c, pa.binary()) for c in ("words", "word_counts", "pairs", "pair_counts"))])
 
 
+def _added(codes: list[np.ndarray], counts: list[np.ndarray], deleted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different codes of all requests with their sums, over all and over those that aren't deleted."""
+    unique = np.unique(np.concatenate(codes))
+    both, fit = np.zeros(len(unique), dtype=np.uint64), np.zeros(len(unique), dtype=np.uint64)
+    for c, n, out in zip(codes, counts, deleted, strict=True):  # the codes of one chunk are different
+        at = np.searchsorted(unique, c)
+        both[at] += n
+        if not out:
+            fit[at] += n
+    return unique, both, fit
+
+
 def answers(asked: DataFrame) -> DataFrame:
     """(chunk, deleted, part, words, words_fit, pairs, pairs_fit, tokens, types, tokens_fit), one row per request.
 
-    Counts are unsigned 32-bit, in the order of the request: of all texts that count, and (for deleted chunks only) of those
-    that aren't deleted. The last three are sums of the partition, given once. A partition holds its share of the hash space,
+    Counts are unsigned 64-bit, in the order of the request: of all texts that count, and (for deleted chunks only) of those
+    that aren't deleted. (A chunk's own counts are below 2^32, sums over the corpus may not be.) The last three are sums of the partition, given once. A partition holds its share of the hash space,
     and the number of partitions grows with the tokens.
     """
     ddl = "chunk string, deleted boolean, part int, words binary, words_fit binary, pairs binary, pairs_fit binary, tokens long, types long, tokens_fit long"
@@ -155,18 +167,12 @@ def answers(asked: DataFrame) -> DataFrame:
         for name in ("word", "pair"):
             codes = [_plain(x, np.uint64) for x in rows[f"{name}s"]]
             counts = [_plain(x, np.uint32) for x in rows[f"{name}_counts"]]
-            unique = np.unique(np.concatenate(codes))
-            both, fit = np.zeros(len(unique), dtype=np.uint32), np.zeros(len(unique), dtype=np.uint32)
-            for c, n, deleted in zip(codes, counts, rows.deleted, strict=True):  # the codes of one chunk are different
-                at = np.searchsorted(unique, c)
-                both[at] += n
-                if not deleted:
-                    fit[at] += n
+            unique, both, fit = _added(codes, counts, rows.deleted)
             found = [np.searchsorted(unique, c) for c in codes]
             out[f"{name}s"] = [_planes(both[at]) for at in found]
             out[f"{name}s_fit"] = [_planes(fit[at]) if d else b"" for at, d in zip(found, rows.deleted, strict=True)]
             if name == "word":
-                sums = {"tokens": both.sum(dtype=np.int64), "types": (both > 0).sum(), "tokens_fit": fit.sum(dtype=np.int64)}
+                sums = {"tokens": both.sum(), "types": (both > 0).sum(), "tokens_fit": fit.sum()}
         for name, value in sums.items():
             out[name] = [int(value), *[0] * (len(rows) - 1)]
         return pd.DataFrame(out)
@@ -181,7 +187,7 @@ def _seen(chunk: pd.Series, replies: pd.DataFrame, fit: bool) -> tuple[np.ndarra
     suffix = "_fit" if fit else ""
     w = np.unique(words)
     p, at = np.unique(pairs, return_inverse=True)
-    wc, pc = (np.concatenate([_plain(x, np.uint32) for x in by_part[f"{c}{suffix}"]]).astype(np.int64) for c in ("words", "pairs"))
+    wc, pc = (np.concatenate([_plain(x, np.uint64) for x in by_part[f"{c}{suffix}"]]).astype(np.int64) for c in ("words", "pairs"))
     return wc[np.searchsorted(w, words)], wc[np.searchsorted(w, contexts)], pc[at]
 
 

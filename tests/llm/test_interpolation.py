@@ -79,3 +79,19 @@ def test_no_training_text_and_no_text(docs_of):
     got = ip.score(docs_of([(1, "a b"), (2, None)]), F.lit(0)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in got)
     assert ip.score(docs_of([]), F.lit(1)).count() == 0
+
+
+def test_counts_beyond_32_bits_do_not_wrap(spark):
+    """Two chunks that each hold a word three thousand million times: sums, and the counts that chunks get back."""
+    import numpy as np
+
+    codes, many = np.array([5, 9, 1 << 63], dtype=np.uint64), np.array([3_000_000_000, 7, 4_294_967_295], dtype=np.uint32)
+    unique, both, fit = ip._added([codes, codes[1:]], [many, many[1:]], [False, True])
+    assert unique.tolist() == codes.tolist() and both.tolist() == [3_000_000_000, 14, 2 * 4_294_967_295] and fit.tolist() == [int(x) for x in many]
+    plane = lambda a: bytearray(ip._planes(a))
+    rows = [(0, c, d, plane(codes), plane(many), plane(codes), plane(many)) for c, d in (("a", False), ("b", True))]
+    asked = spark.createDataFrame(rows, "part int, chunk string, deleted boolean, words binary, word_counts binary, pairs binary, pair_counts binary")
+    got = {r.chunk: r for r in ip.answers(asked).collect()}
+    assert ip._plain(bytes(got["a"].words), np.uint64).tolist() == [6_000_000_000, 14, 8_589_934_590]
+    assert ip._plain(bytes(got["b"].pairs_fit), np.uint64).tolist() == [int(x) for x in many]
+    assert sum(r.tokens for r in got.values()) == 2 * int(many.sum(dtype=np.int64))
