@@ -39,7 +39,7 @@ START, END = 62, 63
 CACHE_ENTRIES = 1 << 17
 LONG_WORD = 4096  # characters from which a word is summed in slices; the result is the same
 LOWEST = -2.0  # decision where a text has fewer than three words
-_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+PURITY, SURE = 0.7, 1.645  # share of its sentences that are toxic at least for a word of both kinds, and the quantile that says so
 _SPLIT = re.compile(r"[^\s\"(),.;:!?|]+")
 _SPELLED = re.compile(r"(?<![^\s\"(])[^\s\"(),.;:!?|](?:[ .\-_*][^\s\"(),.;:!?|]){2,}(?=[\"(),.;:!?|]*(?!\S))")
 _INSIDE = re.compile(r"[\"(),.;:!?|]+")
@@ -137,7 +137,7 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
 
 def words_of(text: str) -> set[str]:
     """Distinct lower-case words, blank-separated tokens that separators split (whole and without them), and runs of single characters joined."""
-    text = text.encode("utf-8", "surrogatepass").translate(_PLAIN).decode("utf-8", "surrogatepass")
+    text = text.lower()
     found = set(_SPLIT.findall(text))
     for token in _BROKEN.findall(text):
         found.add(token)
@@ -274,8 +274,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, max_words:
     counted = once.select(F.col("least").alias("toxic"), F.explode(split).alias("word")).groupBy("word").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"))
     counted = written(counted, "toxicity_words")
-    bad = counted.filter((F.col("fine") == 0) & (F.col("bad") >= _least_sentences(counted, false_words))).orderBy(F.desc("bad"), "word").limit(max_words // 20).collect()
-    clean = counted.filter("fine > 0")
+    # One quoted or mislabelled sentence doesn't clear an insult: of words that clean sentences have too, those count whose toxic
+    # share is surely high, so the rule gets no harsher with more labels.
+    counted = counted.withColumn("insult", ((F.col("fine") == 0) & (F.col("bad") >= _least_sentences(counted, false_words))) | (_surely(F.col("bad"), F.col("fine")) >= PURITY))
+    bad = counted.filter("insult").orderBy(F.desc("bad"), "word").limit(max_words // 20).collect()
+    clean = counted.filter("fine > 0 AND NOT insult")
     fine = clean.orderBy(F.desc("fine"), F.xxhash64("word")).limit(max_words // 4).collect()
     positive, negative = {r.word: float(r.bad) for r in bad}, {r.word: 1.0 for r in fine}
     machine = train_words(positive, negative, landmarks=landmarks)
@@ -290,6 +293,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, max_words:
     return Machine(machine.weights, machine.bias, curve)
 
 
+def _surely(bad: Column, fine: Column) -> Column:
+    """Lower end of the Wilson interval of bad / (bad + fine)."""
+    n, z = bad + fine, SURE
+    middle = bad / n + z * z / (2 * n)
+    return (middle - z * F.sqrt(bad * fine / (n * n * n) + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def _least_sentences(counted: DataFrame, false_words: float, longest: int = 40) -> int:
     """Fewest toxic sentences at which words seen in toxic sentences only are chance finds at a share of ``false_words`` at most.
 
