@@ -97,21 +97,27 @@ def health_records(entries: DataFrame, date1904: bool = False, cap: int = MAX_MI
         F.when(state == "MISSING", "record:title-empty").when(state == "UNMAPPED", "record:title-unmapped")
         .when(state == "AMBIGUOUS", "record:title-ambiguous")
     )
-    titles = _finding(entries.filter(kind.isNotNull()), ident(kind), "RECORDS", "ERROR", field="title", **place)
+    url, date, price = (F.col(f"{f}.text") for f in ("url", "published", "price"))
+    text = F.lit(None).cast("string")
+    found = lambda of, kind, severity, field, evidence=text: F.when(of, F.struct(
+        (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), F.lit(severity).alias("severity"),
+        F.lit(field).alias("field"), evidence.alias("evidence"),
+    ))
+    each = F.array_compact(F.array(  # all that is wrong with one record, in one pass
+        found(kind.isNotNull(), kind, "ERROR", "title"),
+        found(url.isNotNull() & ~valid_url(url), "record:url", "WARNING", "url", url),
+        found(date_is_malformed(date, True, date1904), "record:date", "WARNING", "published", date),
+        found(price.isNotNull() & ~F.rlike(price, F.lit(r"\p{Nd}")), "record:price", "WARNING", "price", price),
+    ))
+    single = entries.select("id", "sheet", "row", F.explode(each).alias("f"))
     missing = missing_fields(entries)
     listed = _finding(
         missing.orderBy("sheet", "row", "id", "ord").limit(cap),
         ident(F.concat(F.lit("record:missing:"), F.upper("field"))), "RECORDS", "INFO", field=F.col("field"), **place,
     )
-    url, date, price = (F.col(f"{f}.text") for f in ("url", "published", "price"))
-    bad_url = entries.filter(url.isNotNull() & ~valid_url(url))
-    bad_date = entries.filter(date_is_malformed(date, True, date1904))
-    bad_price = entries.filter(price.isNotNull() & ~F.rlike(price, F.lit(r"\p{Nd}")))
     return _union([
-        titles, listed, _rest(missing, cap, "record:missing:more", "RECORDS"),
-        _finding(bad_url, ident("record:url"), "RECORDS", "WARNING", field="url", evidence=url, **place),
-        _finding(bad_date, ident("record:date"), "RECORDS", "WARNING", field="published", evidence=date, **place),
-        _finding(bad_price, ident("record:price"), "RECORDS", "WARNING", field="price", evidence=price, **place),
+        _finding(single, ident(F.col("f.kind")), "RECORDS", F.col("f.severity"), field=F.col("f.field"), evidence=F.col("f.evidence"), **place),
+        listed, _rest(missing, cap, "record:missing:more", "RECORDS"),
     ])
 
 

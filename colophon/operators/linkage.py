@@ -15,6 +15,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colophon.functions.text import grams, normalize_code, normalize_text, similarity_of_normal, strip
+from colophon.operators.numbering import written
 
 # Fixed values of the evidence model.
 WEIGHTS = {"identifier": 0.45, "title": 0.30, "circle": 0.15, "author": 0.10, "cover": 0.35}
@@ -129,7 +130,7 @@ def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
             tokens(3).alias("trigrams"),
         )
 
-    a, b = side(left), side(right)
+    a, b = written(side(left), "left_texts"), written(side(right), "right_texts")  # each is read by every step below
     both = a.select("tokens", "trigrams").unionByName(b.select("tokens", "trigrams"))
     counted = lambda c: both.select(F.explode(c).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     two, three = counted("tokens"), counted("trigrams")
@@ -283,7 +284,7 @@ def match_views(candidates: DataFrame, locals_: DataFrame, covers: DataFrame | N
     views = members.groupBy("view", *TEXTS, "coded").agg(
         F.count("*").alias("n"), F.sum("copies").alias("copies"), F.min("first_key").alias("first_key")
     )
-    near = similar_texts(_values(candidates), _values(locals_))
+    near = written(similar_texts(_values(candidates), _values(locals_)), "similar_texts")  # looked up three times
     x = _comparable(candidates.withColumn("c_coded", F.col("code").isNotNull()), "c", "c", "circle", "author", "c_coded")
     y = _comparable(views.withColumnRenamed("view", "profile"), "view", "l", "circle", "author", "coded", "n", "copies", "first_key")
     x = x.select("c", "kind", "way", F.col("value").alias("left_value"), F.col("circle").alias("c_circle"), F.col("author").alias("c_author"), "c_coded")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from colophon.operators import facets, mapping, tables
 from colophon.plans.inputs import FEEDS, Inputs, query
-from colophon.sources.cells import SHEET, clean_cells
+from colophon.session import checkpoint_dir
+from colophon.sources.cells import SHEET, clean_cells, read_cells
 
 STRIP = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 
@@ -85,6 +86,15 @@ def _(i):
     return clean_cells(i.stored("cells"))
 
 
+@grid_query("read_cells_files", "SELECT * FROM clean")
+def _(i):
+    """The cells as CSV files, read back from their folder with the fixed schema."""
+    path = f"{checkpoint_dir(i.spark)}/cells-{i.spark.range(1).select(F.uuid()).first()[0]}"
+    quoted = {"quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    i.stored("cells").write.options(**quoted).csv(path)
+    return read_cells(i.spark, path, "csv", escape='"')
+
+
 @grid_query("detect_header", "SELECT sheet_key, sheet, header_row, header_cells FROM header_rows")
 def _(i):
     return Grid(i).headers.select("sheet_key", "sheet", "header_row", "header_cells")
@@ -426,6 +436,23 @@ def _(i):
     return tables.window_summary(book.cells, i.feed("window_targets"), book.headers, max_cols=4)
 
 
+@book_query("cell_window_whole", WINDOW + """
+SELECT n.target_id, n.row, n.col, n.text FROM near n JOIN used u ON u.target_id = n.target_id AND u.col = n.col WHERE u.rn <= 96
+""", ["window_targets"])
+def _(i):
+    """As many columns as a window shows unless asked otherwise."""
+    return tables.cell_window(Workbook(i).cells, i.feed("window_targets")).select("target_id", "row", "col", "text")
+
+
+@book_query("window_headers", WINDOW + """
+SELECT DISTINCT n.target_id, n.col, chr(cast(65 + n.col AS int)) AS letter, c.name FROM near n JOIN used u ON u.target_id = n.target_id AND u.col = n.col
+JOIN cols c ON c.sheet_key = n.sheet_key AND c.col = n.col WHERE u.rn <= 96 AND c.name <> ''
+""", ["window_targets"])
+def _(i):
+    book = Workbook(i)
+    return tables.window_headers(tables.cell_window(book.cells, i.feed("window_targets")), book.columns)
+
+
 @book_query("record_locations", """
 SELECT t.sheet_key, t.row, chr(65 + cast(min(c.col) AS int)) || (t.row + 1) AS cell FROM (SELECT DISTINCT sheet_key, row FROM tcells) t JOIN cols c USING (sheet_key) GROUP BY t.sheet_key, t.row
 """)
