@@ -117,8 +117,8 @@ def _run(pdf: pd.DataFrame, state: tuple, config: CaptureConfig, expire_ms: int)
         state, tick = step(state, now, row.gate, int(row.signature), config)
         out.append((row.known, row.device, row.ts, *tick))
     names = ["known", "device", "ts", "phase", "stable_count", "capture", "steady", "signature"]
-    ticks = pd.DataFrame(out, columns=names)
-    ticks["signature"] = ticks["signature"].astype("Int64")
+    ticks = pd.DataFrame([t[:-1] for t in out], columns=names[:-1])
+    ticks[names[-1]] = pd.array([t[-1] for t in out], dtype="Int64")  # never through doubles: signatures have 64 bits
     return (*state, last_seen), ticks
 
 

@@ -22,3 +22,11 @@ def test_rows_made_of_ranges_and_targets_are_not_broadcast(spark):
     assert _broadcasts(tables.window_cells(cells, targets)) == 0 and tables.window_cells(cells, targets).count() == 3
     ranges = spark.sql("SELECT 'b' AS workbook, 'k' AS sheet_key, 's' AS sheet, 0 AS row_from, 999999 AS row_to")
     assert _broadcasts(tables.rows_in_ranges(cells, ranges)) == 0 and tables.rows_in_ranges(cells, ranges).count() == 1
+
+
+def test_signatures_keep_all_64_bits(spark):
+    big = 2**60 + 1
+    rows = [(1, f"2024-01-01 00:00:0{n}", 60.0, None if n == 2 else 120.0, big) for n in range(4)]
+    frames = spark.createDataFrame(rows, "device long, ts string, blur double, mean_lum double, signature long")
+    got = [r.signature for r in capture.capture_events_batch(frames).orderBy("ts").collect()]
+    assert got == [big, big, None, big]
