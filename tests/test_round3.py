@@ -30,3 +30,10 @@ def test_signatures_keep_all_64_bits(spark):
     frames = spark.createDataFrame(rows, "device long, ts string, blur double, mean_lum double, signature long")
     got = [r.signature for r in capture.capture_events_batch(frames).orderBy("ts").collect()]
     assert got == [big, big, None, big]
+
+
+def test_serials_beyond_the_year_9999(spark):
+    show = lambda raw, kind="DATE", d1904=False: one(spark, formats.display_value(F.lit(kind), F.lit(raw), F.lit(True), d1904))
+    assert show("2958465") == "9999-12-31" and show("2958466") == "10000-01-01"
+    assert show("3000000.5", "DATE_TIME") == "10113-09-19 12:00" and show("2958465", d1904=True) == "10004-01-01"
+    assert show("1000000000000") == "1000000000000"
