@@ -37,3 +37,10 @@ def test_serials_beyond_the_year_9999(spark):
     assert show("2958465") == "9999-12-31" and show("2958466") == "10000-01-01"
     assert show("3000000.5", "DATE_TIME") == "10113-09-19 12:00" and show("2958465", d1904=True) == "10004-01-01"
     assert show("1000000000000") == "1000000000000"
+
+
+def test_references_below_row_ten_million(spark):
+    parse = lambda ref: one(spark, cellref.a1_parse(F.lit(ref)))
+    assert parse("ZZ12000001").asDict() == {"row": 12_000_000, "col": 701}
+    assert parse("A2147483648").row == 2**31 - 1 and parse("A2147483649") is None and parse("A0") is None
+    assert one(spark, cellref.parse_range(F.lit("A1:ZZ12000001"))).row_to == 12_000_000
