@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from colophon.functions.text import strip
+from colophon.functions.text import bind, strip
 
 # Query parameters that only track the visitor.
 TRACKING_PARAMS = [
@@ -38,7 +38,7 @@ def url_scheme(url: Column) -> Column:
 
 def url_domain(url: Column) -> Column:
     """Lower-case host without a trailing dot; null when the text has none."""
-    return F.nullif(F.regexp_replace(F.lower(_group(url, 3)), r"\.+$", ""), F.lit(""))
+    return bind(F.regexp_replace(F.lower(_group(url, 3)), r"\.+$", ""), lambda host: F.when(host != "", host))
 
 
 def valid_url(c: Column) -> Column:

@@ -30,14 +30,18 @@ def _code_point(entity: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    pieces = F.regexp_extract_all(c, F.lit(r"(&#x?[0-9A-Fa-f]+;|[^&]+|&)"), F.lit(1))
-    decoded = F.array_join(
-        F.transform(pieces, lambda p: F.when(F.rlike(p, F.lit(NUMERIC_ENTITY)), _code_point(p)).otherwise(p)), ""
+    pieces = lambda t: F.regexp_extract_all(t, F.lit(r"(&#x?[0-9A-Fa-f]+;|[^&]+|&)"), F.lit(1))
+    decoded = lambda t: F.array_join(
+        F.transform(pieces(t), lambda p: F.when(F.rlike(p, F.lit(NUMERIC_ENTITY)), _code_point(p)).otherwise(p)), ""
     )
-    out = F.when(F.contains(c, F.lit("&#")), decoded).otherwise(c)
-    for name, text in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(text))
-    return out
+
+    def named(t: Column) -> Column:
+        for name, text in NAMED_ENTITIES:
+            t = F.replace(t, F.lit(f"&{name};"), F.lit(text))
+        return t
+
+    numbered = lambda t: F.when(F.contains(t, F.lit("&#")), decoded(t)).otherwise(t)
+    return bind(c, lambda t: F.when(F.contains(t, F.lit("&")), named(numbered(t))).otherwise(t))
 
 
 def html_text(c: Column) -> Column:
@@ -130,16 +134,17 @@ MB = ListingSpec(
 
 def _read(block: Column, part: Part) -> Column:
     """First pattern with a non-empty reading; null when there is none."""
-    readings = []
     for pattern in part.within:
         block = F.regexp_extract(block, pattern, 1)
-    for pattern in part.patterns:
-        raw = F.regexp_extract(block, pattern, 1)
+
+    def reading(cut: Column, pattern: str) -> Column:
+        raw = F.regexp_extract(cut, pattern, 1)
         text = html_text(raw) if part.clean else strip(unescape(raw))
         if part.longest is not None:
             text = F.substring(text, 1, part.longest)
-        readings.append(F.nullif(text, F.lit("")))
-    return F.coalesce(*readings)
+        return bind(text, lambda t: F.when(t != "", t))
+
+    return bind(block, lambda cut: F.coalesce(*[reading(cut, pattern) for pattern in part.patterns]))
 
 
 def page_status(pages: DataFrame, spec: ListingSpec, html: str = "html") -> DataFrame:
@@ -165,10 +170,10 @@ def extract_listing(
         if spec.price_suffix is not None and "price" in values:
             values["price"] = F.concat(values["price"], F.coalesce(_read(block, spec.price_suffix), F.lit("")))
         if "cover" in values:
-            cover = values["cover"]
-            cover = F.when(F.startswith(cover, F.lit("//")), F.concat(F.lit(spec.cover_prefix), cover)).otherwise(cover)
-            refused = F.contains(cover, F.lit(spec.cover_refuse)) if spec.cover_refuse else F.lit(False)
-            values["cover"] = F.when(F.startswith(cover, F.lit(spec.cover_must)) & ~refused, cover)
+            whole = lambda u: F.when(F.startswith(u, F.lit("//")), F.concat(F.lit(spec.cover_prefix), u)).otherwise(u)
+            refused = lambda u: F.contains(u, F.lit(spec.cover_refuse)) if spec.cover_refuse else F.lit(False)
+            fine = lambda u: F.when(F.startswith(u, F.lit(spec.cover_must)) & ~refused(u), u)
+            values["cover"] = bind(bind(values["cover"], whole), fine)
         if spec.people is not None:
             names = F.regexp_extract_all(block, F.lit(spec.people.patterns[0]), F.lit(1))
             cleaned = F.transform(names, html_text)
@@ -183,17 +188,20 @@ def extract_listing(
         for name in spec.required:
             fine = fine & x[name].isNotNull()
         if spec.detail_host:
-            url, host = x["detail_url"], url_domain(x["detail_url"])
+            url = x["detail_url"]
+            of_shop = lambda host: (host == spec.detail_host) | F.endswith(host, F.lit("." + spec.detail_host))
             fine = fine & F.startswith(url, F.lit("https://")) & ~F.contains(url, F.lit(".."))
-            fine = fine & ((host == spec.detail_host) | F.endswith(host, F.lit("." + spec.detail_host)))
+            fine = fine & bind(url_domain(url), of_shop)
             for text in spec.detail_must:
                 fine = fine & F.contains(url, F.lit(text))
         if spec.same_id:
             fine = fine & (F.regexp_extract(x["detail_url"], spec.same_id, 1) == x["id"])
         return F.coalesce(fine, F.lit(False))
 
-    items = pages.filter(F.rlike(html, F.lit(spec.guard))).select(key, F.transform(blocks, item).alias("items"))
-    kept = items.select(key, F.posexplode(first_of(F.filter("items", complete), limit)).alias("pos", "item"))
+    # One expression, exploded with its empty pages: a filter on what is read would be moved before any exchange under the
+    # pages, and a plain explode brings a filter of its own that reads every page a second time.
+    items = F.when(F.rlike(html, F.lit(spec.guard)), first_of(F.filter(F.transform(blocks, item), complete), limit))
+    kept = pages.select(key, F.posexplode_outer(items).alias("pos", "item")).filter("pos IS NOT NULL")
     return kept.select(key, "pos", "item.*").drop("arrival")
 
 

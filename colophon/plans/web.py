@@ -27,7 +27,7 @@ FROM ({_FIELDS}))
 
 
 def _parsed(i):
-    return search.parse_search_queries(i.feed("search_log"), image="image")
+    return search.parse_search_queries(i.spread("search_log"), image="image")
 
 
 @query("parse_search_queries", f"WITH {PARSED} SELECT id, title, circle, author, code, keyword, array_to_string(fields, ',') AS fields FROM parsed")
@@ -140,7 +140,7 @@ OF_REGIONS = f"WITH {REGIONS} SELECT fixture, region, truth, got, distance, grea
 
 @query("ocr_regions", OF_REGIONS, ["ocr_truth", "ocr_found"])
 def _(i):
-    return ocr.ocr_regions(i.feed("ocr_truth"), i.feed("ocr_found"))
+    return ocr.ocr_regions(i.spread("ocr_truth"), i.spread("ocr_found"))
 
 
 FEEDS["ascii_truth"] = """
@@ -175,7 +175,7 @@ def _(i):
 
 @query("ocr_nfkc", OF_REGIONS, ["ocr_truth", "ocr_found"])  # the given turns have no compatibility characters
 def _(i):
-    return ocr.ocr_regions(i.feed("ocr_truth"), i.feed("ocr_found"), nfkc)
+    return ocr.ocr_regions(i.spread("ocr_truth"), i.spread("ocr_found"), nfkc)
 
 
 FEEDS["boxes"] = """
@@ -252,12 +252,12 @@ SELECT p_partkey AS page_id, 0 AS pos, 'RJ' || lpad(p_partkey::VARCHAR, 6, '0')
 UNION ALL SELECT p_partkey, 1, 'BJ' || lpad(p_partkey::VARCHAR, 6, '0'), p_type || ' ' || p_name, NULL, 'by ' || p_brand, NULL, NULL, 'https://dlsite.com/product_id/' || p_partkey || '.html' FROM part WHERE p_partkey % 10 < 8
 """)
 def _(i):
-    return pages.extract_listing(i.feed("shop_pages"), pages.DL, "page_id", 10)
+    return pages.extract_listing(i.spread("shop_pages"), pages.DL, "page_id", 10)
 
 
 @query("page_status", "SELECT p_partkey AS page_id, CASE p_partkey % 10 WHEN 9 THEN 'WRONG_PAGE' WHEN 8 THEN 'EMPTY' ELSE 'RESULTS' END AS page_status FROM part")
 def _(i):
-    return pages.page_status(i.feed("shop_pages"), pages.DL).select("page_id", "page_status")
+    return pages.page_status(i.spread("shop_pages"), pages.DL).select("page_id", "page_status")
 
 
 FEEDS["goods_pages"] = """
@@ -271,7 +271,7 @@ SELECT p_partkey AS page_id, 0 AS pos, (1000 + p_partkey)::VARCHAR AS id, 'https
   CASE WHEN p_partkey % 3 <> 0 THEN 'https://cdn.example/resize_image.php?image=' || p_partkey || '&w=1' END AS cover, p_brand || ', ' || p_type AS author FROM part
 """)
 def _(i):
-    return pages.extract_listing(i.feed("goods_pages"), pages.MB, "page_id", 10)
+    return pages.extract_listing(i.spread("goods_pages"), pages.MB, "page_id", 10)
 
 
 FEEDS["cover_pages"] = """

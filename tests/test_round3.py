@@ -44,3 +44,11 @@ def test_references_below_row_ten_million(spark):
     assert parse("ZZ12000001").asDict() == {"row": 12_000_000, "col": 701}
     assert parse("A2147483648").row == 2**31 - 1 and parse("A2147483649") is None and parse("A0") is None
     assert one(spark, cellref.parse_range(F.lit("A1:ZZ12000001"))).row_to == 12_000_000
+
+
+def test_spread_feeds_reach_every_task(spark):
+    i = Inputs(spark, "/root/testdata/sf0.01")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("shop_pages", "search_log", "goods_pages", "ocr_truth", "cells"):
+        assert i.spread(name).rdd.getNumPartitions() >= tasks, name
+        assert i.spread(name).count() == i.feed(name).count()
