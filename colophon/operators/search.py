@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colophon.functions.text import collapse, fold_width, normalize_code, strip
+from colophon.functions.text import bind, collapse, fold_width, normalize_code, strip
 from colophon.functions.urls import url_domain, url_scheme
 
 # Text prefixes that name a field, and product codes.
@@ -124,9 +124,9 @@ def route_queries(queries: DataFrame, selected: str = "selected", include_second
 
 def safe_link(url: Column, host: Column) -> Column:
     """https on the expected host or a sub-host, without credentials, on the default port."""
-    domain = url_domain(url)
+    expected = lambda domain: (domain == host) | F.endswith(domain, F.concat(F.lit("."), host))
     return F.coalesce(
-        (url_scheme(url) == "https") & ((domain == host) | F.endswith(domain, F.concat(F.lit("."), host)))
+        (url_scheme(url) == "https") & bind(url_domain(url), expected)
         & ~F.rlike(url, F.lit("^https://[^/?#]*@")) & ~F.rlike(url, F.lit(r"^https://[^/?#]*:(?!443(?:[/?#]|$))")),
         F.lit(False),
     )
@@ -134,15 +134,22 @@ def safe_link(url: Column, host: Column) -> Column:
 
 def search_urls(queries: DataFrame, text: str = "keyword", providers: list[tuple] | None = None) -> DataFrame:
     """One row per query and provider with its search address; a blank query leads to the landing page."""
-    trimmed = strip(F.col(text))
-    plus = F.url_encode(trimmed)
     dimension = F.array(*[
         F.struct(*[F.lit(v).alias(n) for n, v in zip(("provider", "name", "host", "template", "landing", "plus"), p)])
         for p in providers or PROVIDERS
     ])
-    encoded = F.when(F.col("p.plus"), plus).otherwise(F.replace(plus, F.lit("+"), F.lit("%20")))
-    address = F.when(trimmed == "", F.col("p.landing")).otherwise(F.replace(F.col("p.template"), F.lit("{q}"), encoded))
-    rows = queries.withColumn("p", F.explode(dimension)).withColumn("address", address)
-    return rows.filter(safe_link(F.col("address"), F.col("p.host"))).select(
-        *queries.columns, "p.provider", F.col("address").alias("search_url")
+    spellings = lambda t: F.struct(
+        t.alias("text"), F.url_encode(t).alias("plus"), F.replace(F.url_encode(t), F.lit("+"), F.lit("%20")).alias("percent")
     )
+
+    def addresses(s: Column) -> Column:
+        filled = lambda p: F.replace(p["template"], F.lit("{q}"), F.when(p["plus"], s["plus"]).otherwise(s["percent"]))
+        all_ = F.transform(dimension, lambda p: F.struct(
+            p["provider"].alias("provider"), F.when(s["text"] == "", p["landing"]).otherwise(filled(p)).alias("search_url"), p["host"].alias("host")
+        ))
+        return F.filter(all_, lambda a: safe_link(a["search_url"], a["host"]))
+
+    # Built once per query inside one expression; exploded with empty lists, as a plain explode would build it twice.
+    built = bind(bind(strip(F.col(text)), spellings), addresses)
+    rows = queries.withColumn("p", F.explode_outer(built)).filter("p IS NOT NULL")
+    return rows.select(*queries.columns, "p.provider", "p.search_url")
