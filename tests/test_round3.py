@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colophon.functions import cellref, formats
-from colophon.operators import tables
+from colophon.operators import linkage, tables
 from colophon.plans.inputs import Inputs
 from colophon.streaming import capture
 
@@ -52,3 +52,20 @@ def test_spread_feeds_reach_every_task(spark):
     for name in ("shop_pages", "search_log", "goods_pages", "ocr_truth", "cells"):
         assert i.spread(name).rdd.getNumPartitions() >= tasks, name
         assert i.spread(name).count() == i.feed(name).count()
+
+
+def test_spelled_out_keeps_evidence_and_leaves_covered_pairs_to_their_own_rows(spark):
+    rows = [("a", "red fox", "den", "ann", "RJ1"), ("b", "red fox", "den", "ann", "RJ2"), ("d", "red fox", "den", "ann", "RJ3")]
+    names = "key string, title string, circle string, author string, identifier string"
+    locals_ = linkage.profiles(spark.createDataFrame(rows, names))
+    asked = linkage.profiles(spark.createDataFrame([("x", "red fox", "den", "ann", ""), ("y", "red fox", "den", "", "")], names))
+    one_pair = asked.filter("author IS NOT NULL").crossJoin(locals_.filter("first_key = 'b'").select(F.col("profile").alias("l")))
+    covers = one_pair.select(F.col("profile").alias("c"), "l", F.lit(0.9).alias("cover_similarity"))
+    views = linkage.match_views(asked, locals_, covers)
+    got = linkage.spelled_out(views, locals_, covers, ("evidence",)).withColumn("cover", F.col("evidence")[4]["similarity"])
+    found = sorted((r.c, r.first_key, r.cover or 0.0) for r in got.collect())
+    ids = {r.first_key: r.profile for r in asked.collect()}
+    assert found == sorted([(ids[o], k, 0.9 if (o, k) == ("x", "b") else 0.0) for o in "xy" for k in "abd"])
+    pairs = linkage.block_pairs(asked, locals_, covers)
+    plain = {(r.c, r.l): r.evidence for r in linkage.pair_evidence(pairs, asked, locals_, covers).collect()}
+    assert {(r.c, r.l): r.evidence for r in got.collect()} == plain
