@@ -18,7 +18,7 @@ import re
 import struct
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 MASK = (1 << 64) - 1
 CACHE_ENTRIES = 1 << 18  # pre-tokens whose ids a task remembers; the memory is emptied when full
+CACHED_CHARS = 256  # longer pre-tokens are merged anew each time, so that what is remembered is bounded in bytes
+PART_CHARS = 1 << 19  # characters whose ids a task holds at once, or one text
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -141,6 +143,8 @@ class Pieces(dict):
         whole = self.found.find(data)
         ids = (whole,) if whole >= 0 else merge_bytes(data, self.ranks)
         packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) > CACHED_CHARS:
+            return packed
         if len(self) >= self.entries:
             self.clear()
         self[piece] = packed
@@ -157,6 +161,20 @@ def _pieces(key: str, found: PerfectHash) -> Pieces:
     return _KEPT[key]
 
 
+def parts(texts: Iterable[str | None], chars: int = PART_CHARS) -> Iterator[list[str]]:
+    """The texts in runs of about ``chars`` characters; null is read as empty. A batch is as many rows as the session says,
+    however long they are, and its ids take more room than its texts."""
+    run, held = [], 0
+    for text in texts:
+        run.append(text or "")
+        held += len(run[-1])
+        if held >= chars:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
 class Tokenizer:
     """A vocabulary and a pre-token pattern that can be sent to executors."""
 
@@ -173,8 +191,9 @@ class Tokenizer:
         def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             split, pieces = splitter(pattern), _pieces(key, shared.value)
             for texts in batches:
-                packed = (b"".join(map(pieces.__getitem__, split(t or ""))) for t in texts)
-                yield pd.Series([np.frombuffer(x, dtype="<i4") for x in packed], dtype=object)
+                for run in parts(texts):
+                    packed = (b"".join(map(pieces.__getitem__, split(t))) for t in run)
+                    yield pd.Series([np.frombuffer(x, dtype="<i4") for x in packed], dtype=object)
 
         return ids(text)
 

@@ -58,5 +58,16 @@ def test_ids_are_the_librarys_and_decode_to_the_text(spark, docs_of, library):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_long_texts_are_encoded_in_parts_and_long_pieces_are_not_remembered(library):
+    given = [None, "ab", *["x" * bpe.PART_CHARS] * 3, "", "c"]
+    runs = list(bpe.parts(given))
+    assert [t for run in runs for t in run] == [t or "" for t in given]
+    assert [len(run) for run in runs] == [3, 1, 1, 2] and list(bpe.parts([])) == []
+    pieces = bpe.Pieces(bpe.PerfectHash(bpe.read_ranks(PATH)))
+    for text in ("word", "a" * 30_000):
+        assert np.frombuffer(pieces[text], dtype="<u4").tolist() == library.encode_ordinary(text)
+    assert list(pieces) == ["word"]
+
+
 def test_empty_table(spark, docs_of):
     assert bpe.token_digests(docs_of([]), bpe.Tokenizer(spark, PATH, public_tokenizers.PATTERN)).count() == 0
