@@ -186,3 +186,13 @@ def test_two_passes_register_each_content_once(spark, tmp_path):
     assert {r.name: (r.outcome, r.imported_at) for r in again.filter("imported_at = 2").collect()} == {"f.xlsx": ("ALREADY_SAVED", 2), "g.xlsx": ("ADDED", 2)}
     assert again.filter("outcome = 'ADDED'").select("sha256").distinct().count() == again.filter("outcome = 'ADDED'").count() == 2
     assert workbooks.import_workbooks(spark, *where, at=3).count() == 6
+
+
+def test_similar_texts_move_texts_only(spark):
+    """No token, and no pair that merely shares one, is shuffled: what is exchanged are texts and blocks."""
+    df = spark.createDataFrame([("t", v) for v in ("abc abd", "abc abe", "é", "日本語の本", "日本語の本棚", "")], "kind string, value string")
+    found = linkage.similar_texts(df, df)
+    assert "regexp_extract_all" not in plan_of(found) and "FlatMapCoGroupsInPandas" in plan_of(found)
+    got = {(r.left_value, r.right_value): r.similarity for r in found.collect()}
+    texts = [r.value for r in df.collect()]
+    assert got == {(a, b): pytest.approx(similar(a, b), abs=1e-12) for a in texts for b in texts if a and similar(a, b) >= 0.6}
