@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colophon.functions import cellref, formats
-from colophon.operators import linkage, tables
+from colophon.operators import images, linkage, tables
 from colophon.plans.inputs import Inputs
 from colophon.streaming import capture
 
@@ -69,3 +69,26 @@ def test_spelled_out_keeps_evidence_and_leaves_covered_pairs_to_their_own_rows(s
     pairs = linkage.block_pairs(asked, locals_, covers)
     plain = {(r.c, r.l): r.evidence for r in linkage.pair_evidence(pairs, asked, locals_, covers).collect()}
     assert {(r.c, r.l): r.evidence for r in got.collect()} == plain
+
+
+def test_images_group_places_once(spark):
+    places = spark.createDataFrame(
+        [("m/a.png", "s", "A1", 2, "m/a.png", "a", None), ("m/a.png", "s", "B1", 1, "m/a.png", "a", None), ("unresolved:x", "s", "C1", 3, None, "x", "gone")],
+        "key string, sheet string, cell string, pos long, media_path string, reference string, detail string",
+    )
+    media = spark.createDataFrame([("m/a.png", 5), ("m/b.JPG", 6), ("unresolved:x", 7), (None, 8)], "path string, size_bytes int")
+    found = images.image_index(media, places)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [key") == 1
+    assert sorted(((r.key or "", r.state, r.size_bytes, r.cell, r.places) for r in found.collect())) == [
+        ("", "UNREFERENCED", 8, None, 0), ("m/a.png", "LINKED", 5, "B1", 2), ("m/b.JPG", "UNREFERENCED", 6, None, 0),
+        ("unresolved:x", "LINKED", 7, "C1", 1), ("unresolved:x", "UNRESOLVED", -1, "C1", 1),
+    ]
+
+
+def test_references_without_a_path_are_not_one_key(spark):
+    refs = spark.range(50).selectExpr("id % 7 AS shape_id", "id AS pos", "'SRC' AS kind", "concat('http://x/', id) AS reference", "'xl/d.vml' AS part")
+    rels = spark.createDataFrame([], "part string, rel_id string, target string, external boolean")
+    media = spark.createDataFrame([("xl/a.png",)], "path string")
+    found = images.resolve_media_refs(refs, rels, media)
+    assert "Join LeftOuter, (wanted" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.detail for r in found.collect()} == {"external reference, not a package part"} and found.count() == 50
