@@ -313,6 +313,15 @@ def hamming_pairs(signatures: DataFrame, max_distance: int = SAME_COVER_DISTANCE
     )
 
 
+def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int, rows: int = 128) -> pd.DataFrame:
+    """k nearest signatures of a block per query, a slice of queries at a time: few distances are told apart, so most of a
+    block may tie with the k-th, and every tie is held until the order is known."""
+    a, b = (x["signature"].to_numpy().astype(np.int64).view(np.uint64) for x in (left, right))
+    ids, ties, queries = right["id"].to_numpy(), right["tie"].to_numpy(), left["query"].to_numpy()
+    score = lambda at: 1 - np.bitwise_count(a[at : at + rows, None] ^ b[None, :]).astype(np.float64) / 32.0
+    return pd.concat([_best(score(at), ids, ties, queries[at : at + rows], k) for at in range(0, len(a), rows)])
+
+
 def rank_by_hamming(queries: DataFrame, signatures: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """k nearest signatures per query: distance, then cell; score = 1 - distance / 32."""
     v = signatures.select("id", F.col("cell").alias("tie"), "signature")
@@ -321,10 +330,7 @@ def rank_by_hamming(queries: DataFrame, signatures: DataFrame, k: int = 5, block
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query": [], "id": [], "tie": [], "score": []})
-        a = left["signature"].to_numpy().astype(np.int64).view(np.uint64)
-        b = right["signature"].to_numpy().astype(np.int64).view(np.uint64)
-        distance = np.bitwise_count(a[:, None] ^ b[None, :]).astype(np.float64)
-        return _best(1 - distance / 32.0, right["id"].to_numpy(), right["tie"].to_numpy(), left["query"], k)
+        return _nearest(left, right, k)
 
     schema = "query {}, id {}, tie string, score double".format(
         q.schema["query"].dataType.simpleString(), v.schema["id"].dataType.simpleString()

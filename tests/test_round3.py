@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colophon.functions import cellref, formats
-from colophon.operators import images, linkage, tables
+from colophon.operators import images, linkage, similarity, tables
 from colophon.plans.inputs import Inputs
 from colophon.streaming import capture
 
@@ -92,3 +92,21 @@ def test_references_without_a_path_are_not_one_key(spark):
     found = images.resolve_media_refs(refs, rels, media)
     assert "Join LeftOuter, (wanted" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r.detail for r in found.collect()} == {"external reference, not a package part"} and found.count() == 50
+
+
+def test_a_block_of_signatures_is_ranked_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    values = np.repeat(np.arange(4, dtype=np.int64), 256)  # most signatures tie
+    right = pd.DataFrame({"id": np.arange(1024), "tie": [f"c{i:04}" for i in range(1024)], "signature": values})
+    left = pd.DataFrame({"query": np.arange(1024), "signature": values})
+    tracemalloc.start()
+    got = similarity._nearest(left, right, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = similarity._nearest(left, right, 3, rows=1024)
+    assert got.reset_index(drop=True).equals(whole.reset_index(drop=True)) and len(got) == 3 * 1024
+    assert peak < 8 << 20 and (got["score"] == 1).all() and (got["id"] // 256 == got["query"] // 256).all()
