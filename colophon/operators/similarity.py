@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,8 @@ from colophon.session import checkpoint_dir
 BLOCK_ROWS = 4096
 DRAWS = 50_000  # fixed value: pairs that a sampled baseline draws
 BUCKETS = 4096
-HOT_ROWS = 2048  # signatures under one pair of bands that a task compares
+HOT_ROWS = 1 << 15  # signatures under one value of a band that a task compares
+DEALT_BITS, FEW_PAIRS = 7, 1 << 22  # bits of a band that signatures are dealt by, pairs that are compared outright
 BINS, FEW, REFINED = 4096, 1 << 16, 4  # histogram of an exact baseline: bins, pairs that need no finer bins, passes at most
 
 
@@ -274,43 +274,96 @@ def _bands(count: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
 
 
+def _close(a: np.ndarray, b: np.ndarray, same: bool, max_distance: int, cells: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of two sets within ``max_distance`` bits, a slice at a time; of one set with itself each pair once."""
+    rows = max(1, cells // max(len(b), 1))
+    for at in range(0, len(a), rows):
+        first = at if same else 0
+        near = np.bitwise_count(a[at : at + rows, None] ^ b[None, first:]) <= max_distance
+        x, y = np.nonzero(near)
+        x, y = x + at, y + first
+        yield (x[x < y], y[x < y]) if same else (x, y)
+
+
+def _near_pairs(a: np.ndarray, b: np.ndarray, same: bool, cuts: list[tuple[int, int]], i: int, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs within ``max_distance`` bits whose first equal band is ``i``.
+
+    Few signatures are compared outright. Of many only those that share band i and a later band j meet: both sides are sorted
+    by these bands, and a pair counts where j is the first equal band after i.
+    """
+    part = lambda v, cut: (v >> np.uint64(cut[0])) & np.uint64((1 << cut[1]) - 1)
+    equal = lambda v, k: part(v, cuts[k]) == 0
+    found = [(np.zeros(0, dtype=np.int64),) * 2]
+
+    def keep(x: np.ndarray, y: np.ndarray, unequal: list[int]) -> None:
+        differ = a[x] ^ b[y]
+        once = equal(differ, i)
+        for k in unequal:
+            once &= ~equal(differ, k)
+        found.append((x[once], y[once]))
+
+    if len(a) * len(b) <= FEW_PAIRS:
+        for x, y in _close(a, b, same, max_distance):
+            keep(x, y, list(range(i)))
+    else:
+        for j in range(i + 1, len(cuts)):
+            unequal = [k for k in range(j) if k != i]
+            shared = lambda v, j=j: part(v, cuts[i]) << np.uint64(cuts[j][1]) | part(v, cuts[j])
+            key_a, key_b = shared(a), shared(b)
+            order_a, order_b = np.argsort(key_a, kind="stable"), np.argsort(key_b, kind="stable")
+            key_b = key_b[order_b]
+            values, starts, sizes = np.unique(key_a[order_a], return_index=True, return_counts=True)
+            low, high = np.searchsorted(key_b, values, "left"), np.searchsorted(key_b, values, "right")
+            for s, n, lo, hi in zip(starts, sizes, low, high):
+                left, right = order_a[s : s + n], order_b[lo:hi]
+                if len(right) > same:
+                    for x, y in _close(a[left], b[right], same, max_distance):
+                        if len(x):
+                            keep(left[x], right[y], unequal)
+    return tuple(np.concatenate(side) for side in zip(*found))
+
+
 def hamming_pairs(signatures: DataFrame, max_distance: int = SAME_COVER_DISTANCE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pairs of distinct signatures within ``max_distance`` bits, each with its number of copies.
 
-    With max_distance + 2 bands at least two bands of a qualifying pair are equal, so joining on every
-    pair of bands loses nothing. A pair counts only where the joined bands are the first two it shares, so it is found once
-    and nothing is de-duplicated. Copies are folded before the join; a band value of more than ``hot_rows`` signatures is a
+    With max_distance + 2 bands at least two bands of a qualifying pair are equal. Signatures are dealt by one band, once for
+    each band but the last, and a task looks for a second equal band among those that share the first: nothing is lost, and
+    pairs of signatures never become rows before they are known to be near. A pair counts only under its first equal bands,
+    so nothing is de-duplicated. Copies are folded before; a band value of more than ``hot_rows`` signatures is a
     grid of parts of that size, each cell a task of its own.
     """
-    groups = signature_groups(signatures)
+    groups = written(signature_groups(signatures).filter(F.col("signature").isNotNull()), "signatures")  # read twice
     cuts = _bands(max_distance + 2)
-    band = lambda c, lo, width: F.call_function("shiftrightunsigned", c, F.lit(lo)).bitwiseAND(F.lit((1 << width) - 1))
-    bands = [band(F.col("signature"), *cut) for cut in cuts]
-    keys = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), bands[i].alias("x"), bands[j].alias("y"))
-        for i, j in combinations(range(len(bands)), 2)
-    ])
-    key = ["i", "j", "x", "y"]
-    keyed = groups.withColumn("key", F.explode(keys)).select("key.*", "signature", "copies", "first_id")
+    high = lambda lo, width: F.call_function("shiftrightunsigned", F.col("signature"), F.lit(lo + max(width - DEALT_BITS, 0)))
+    dealt_by = F.array(*[
+        F.struct(F.lit(i).alias("i"), high(lo, width).bitwiseAND(F.lit((1 << min(width, DEALT_BITS)) - 1)).alias("x"))
+        for i, (lo, width) in enumerate(cuts[:-1])
+    ])
+    key = ["i", "x"]
+    keyed = groups.withColumn("key", F.explode(dealt_by)).select("key.*", "signature", "copies", "first_id")
     hot = keyed.groupBy(*key).agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("parts")).filter("parts > 1")
-    dealt = keyed.join(hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("signature"), F.col("parts")).cast("int")
-    # a cell (u, v), u <= v, holds the pairs of parts u and v; the left side lies in part u, the right one in part v
-    side = lambda df, name: df.select(*key, "u", "v", *[F.col(c).alias(f"{c}_{name}") for c in ("signature", "copies", "first_id")])
-    a = side(dealt.withColumn("u", own).withColumn("v", F.explode(F.sequence("u", F.col("parts") - 1))), "p")
-    b = side(dealt.withColumn("v", own).withColumn("u", F.explode(F.sequence(F.lit(0), "v"))), "q")
-    differ = F.col("signature_p").bitwiseXOR(F.col("signature_q"))
-    equal = F.array_compact(F.array(*[F.when(band(differ, *cut) == 0, F.lit(n)) for n, cut in enumerate(cuts)]))
-    met = a.join(b, [*key, "u", "v"]).filter(
-        F.when(F.col("u") == F.col("v"), F.col("signature_p") < F.col("signature_q")).otherwise(True)
-    )
-    near = met.withColumn("distance", hamming(F.col("signature_p"), F.col("signature_q"))).filter(F.col("distance") <= max_distance)
-    once = near.filter((F.get(equal, F.lit(0)) == F.col("i")) & (F.get(equal, F.lit(1)) == F.col("j")))
-    first = F.col("signature_p") < F.col("signature_q")
-    pick = lambda c, low: F.when(first == low, F.col(f"{c}_p")).otherwise(F.col(f"{c}_q"))
-    return once.select(
-        *[pick(c, low).alias(f"{c}_{name}") for name, low in (("a", True), ("b", False)) for c in ("signature", "copies", "first_id")], "distance"
+    dealt = keyed.join(written(hot, "hot"), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("signature"), F.col("parts")).cast("int"))
+    # a cell (u, v), u <= v, holds parts u and v
+    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        *key, F.least("part", "other").alias("u"), F.greatest("part", "other").alias("v"), "part", "signature", "copies", "first_id"
     )
+    columns = ["signature", "copies", "first_id"]
+
+    def cell(df: pd.DataFrame) -> pd.DataFrame:
+        same = df["u"].iloc[0] == df["v"].iloc[0]
+        p = df[df["part"] == df["u"].iloc[0]]
+        q = p if same else df[df["part"] == df["v"].iloc[0]]
+        a, b = (x["signature"].to_numpy().astype(np.int64) for x in (p, q))
+        x, y = _near_pairs(a.view(np.uint64), b.view(np.uint64), bool(same), cuts, int(df["i"].iloc[0]), max_distance)
+        first = a[x] < b[y]
+        of = lambda c, low: np.where(first == low, p[c].to_numpy()[x], q[c].to_numpy()[y])
+        out = {f"{c}_{name}": of(c, low) for name, low in (("a", True), ("b", False)) for c in columns}
+        return pd.DataFrame(out | {"distance": np.bitwise_count(a[x].view(np.uint64) ^ b[y].view(np.uint64)).astype(np.int32)})
+
+    kinds = {c: groups.schema[c].dataType.simpleString() for c in columns}
+    schema = ", ".join([*[f"{c}_{name} {kinds[c]}" for name in "ab" for c in columns], "distance int"])
+    return placed.groupBy(*key, "u", "v").applyInPandas(cell, schema)
 
 
 def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int, rows: int = 128) -> pd.DataFrame:
