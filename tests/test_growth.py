@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 
-from colophon.operators import similarity
+from colophon.operators import similarity, tables
+from colophon.plans import QUERIES, inputs
 
 
 def plan_of(df) -> str:
@@ -37,3 +40,25 @@ def test_pairs_by_two_bands_equal_brute_force(monkeypatch):
                     x, y = similarity._near_pairs(values[p], values[q], u == v, cuts, i, 8)
                     found += [tuple(sorted(pair)) for pair in zip(p[x].tolist(), q[y].tolist())]
         assert sorted(found) == want and len(want) > 800
+
+
+def test_the_table_is_not_built_where_only_columns_are_asked(spark, tmp_path):
+    for source in Path("/root/testdata/sf0.001").iterdir():
+        (tmp_path / source.name).symlink_to(source)
+    kept = set(inputs._STORED)
+    QUERIES["resolve_mapping"](spark, str(tmp_path)).count()
+    QUERIES["health_structure"](spark, str(tmp_path)).count()
+    assert {name for _, _, name in set(inputs._STORED) - kept} == {"clean_cells", "columns"}
+
+
+def test_cells_do_not_move_for_columns(spark):
+    cells = spark.createDataFrame(
+        [("b", "k", "s", r, c, f"h{c}" if r == 1 else "x" * 50) for r in (0, 1, 30) for c in range(1, 5) if r != 0 or c == 1]
+        + [("b", "k", "s", 40, 9, "outside"), ("b", "k", "s", 0, 2, "above")],
+        "workbook string, sheet_key string, sheet string, row int, col int, text string",
+    )
+    columns = tables.table_columns(cells, tables.detect_header(cells))
+    plan = plan_of(columns)
+    assert plan.count("partial_max(row") == 1  # beyond the first rows, a task adds up before anything is exchanged
+    got = sorted((r.idx, r.col, r["name"], r.labels) for r in columns.collect())
+    assert got == [(c - 1, c, f"h{c}", 4) for c in range(1, 5)]
