@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,26 +25,47 @@ from colophon.session import checkpoint_dir
 BLOCK_ROWS = 4096
 DRAWS = 50_000  # fixed value: pairs that a sampled baseline draws
 BUCKETS = 4096
+TIE = 1e-12  # scores this close are equal
 HOT_ROWS = 1 << 15  # signatures under one value of a band that a task compares
 DEALT_BITS, FEW_PAIRS = 7, 1 << 22  # bits of a band that signatures are dealt by, pairs that are compared outright
 BINS, FEW, REFINED = 4096, 1 << 16, 4  # histogram of an exact baseline: bins, pairs that need no finer bins, passes at most
 
 
-def _grid(queries: DataFrame, vectors: DataFrame, block_rows: int):
-    """Both sides with their grid cell; the numbers of blocks are counted inside the same job, as one row.
+def _packed(df: DataFrame, key: str, block_rows: int, side: str) -> DataFrame:
+    """One row per block: an array of each column, vectors end to end; written, a file per block.
 
     A block is a hash slice of the key, so its size is about block_rows whatever the keys look like.
     """
-    blocks = lambda df, name: df.agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int").alias(name), F.lit(1).alias("_one"))
-    counts = F.broadcast(blocks(queries, "_nq").join(blocks(vectors, "_nv"), "_one"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    of = lambda df: df.withColumn("_one", F.lit(1)).join(counts, "_one")
-    # Columns of their own on both sides: queries and vectors may be the same table.
-    fresh = lambda df, columns: df.select(*[F.col(c).alias(c) for c in (*columns, "qb", "vb")]).groupBy("qb", "vb")
-    q = of(queries).withColumn("qb", own("query", "_nq")).withColumn("vb", every("_nv"))
-    v = of(vectors).withColumn("vb", own("id", "_nv")).withColumn("qb", every("_nq"))
-    return fresh(q, queries.columns), fresh(v, vectors.columns)
+    blocks = max(1, math.ceil(df.count() / block_rows))
+    dealt = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks))).repartition(blocks, "_b")
+    whole = dealt.groupBy("_b").agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
+    column = lambda c: F.flatten(F.col(f"rows.{c}")) if c == "embedding" else F.col(f"rows.{c}")
+    return written(whole.select(*[column(c).alias(f"{side}_{c}") for c in df.columns]), f"{side}_blocks")
+
+
+def _over_blocks(
+    queries: DataFrame, vectors: DataFrame, cell: Callable[[dict, dict], pd.DataFrame], schema: str, block_rows: int
+) -> DataFrame:
+    """``cell`` of every query block with every vector block, each as a dict of arrays (embedding: one row per vector).
+
+    Each side moves once, to be packed; a task then reads the packed blocks that it multiplies, so what is shuffled
+    and written does not grow with the number of pairs of blocks.
+    """
+    left, right = _packed(queries, "query", block_rows, "q"), _packed(vectors, "id", block_rows, "v")
+
+    def block(row: dict, side: str) -> dict:
+        found = {c[2:]: v for c, v in row.items() if c.startswith(side)}
+        if "embedding" in found:
+            found["embedding"] = found["embedding"].astype(np.float64).reshape(len(next(iter(found.values()))), -1)
+        return found
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(len(batch)):
+                row = batch.iloc[at].to_dict()
+                yield cell(block(row, "q_"), block(row, "v_"))
+
+    return left.crossJoin(right.hint("shuffle_replicate_nl")).mapInPandas(run, schema)
 
 
 def _best(score: np.ndarray, ids: np.ndarray, ties: np.ndarray, queries, k: int) -> pd.DataFrame:
@@ -76,19 +97,14 @@ def topk_inner_product(
     v = vectors.select("id", F.col(tie).alias("tie"), "embedding")
     q = queries.select("query", F.col("embedding"))
 
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query": [], "id": [], "tie": [], "score": []})
-        a = np.stack(left["embedding"].to_numpy()).astype(np.float64)
-        b = np.stack(right["embedding"].to_numpy()).astype(np.float64)
-        return _best(a @ b.T, right["id"].to_numpy(), right["tie"].to_numpy(), left["query"], k)
+    def cell(left: dict, right: dict) -> pd.DataFrame:
+        return _best(left["embedding"] @ right["embedding"].T, right["id"], right["tie"], left["query"], k)
 
     schema = "query {}, id {}, tie {}, score double".format(
         q.schema["query"].dataType.simpleString(), v.schema["id"].dataType.simpleString(),
         v.schema["tie"].dataType.simpleString(),
     )
-    left, right = _grid(q, v, block_rows)
-    return _ranked(left.cogroup(right).applyInPandas(cell, schema), k)
+    return _ranked(_over_blocks(q, v, cell, schema, block_rows), k)
 
 
 def dense_index(df: DataFrame, key: str, groups: list[str]) -> DataFrame:
@@ -366,11 +382,11 @@ def hamming_pairs(signatures: DataFrame, max_distance: int = SAME_COVER_DISTANCE
     return placed.groupBy(*key, "u", "v").applyInPandas(cell, schema)
 
 
-def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int, rows: int = 128) -> pd.DataFrame:
+def _nearest(left: dict, right: dict, k: int, rows: int = 128) -> pd.DataFrame:
     """k nearest signatures of a block per query, a slice of queries at a time: few distances are told apart, so most of a
     block may tie with the k-th, and every tie is held until the order is known."""
-    a, b = (x["signature"].to_numpy().astype(np.int64).view(np.uint64) for x in (left, right))
-    ids, ties, queries = right["id"].to_numpy(), right["tie"].to_numpy(), left["query"].to_numpy()
+    a, b = (np.asarray(x["signature"]).astype(np.int64).view(np.uint64) for x in (left, right))
+    ids, ties, queries = (np.asarray(x) for x in (right["id"], right["tie"], left["query"]))
     score = lambda at: 1 - np.bitwise_count(a[at : at + rows, None] ^ b[None, :]).astype(np.float64) / 32.0
     return pd.concat([_best(score(at), ids, ties, queries[at : at + rows], k) for at in range(0, len(a), rows)])
 
@@ -380,16 +396,13 @@ def rank_by_hamming(queries: DataFrame, signatures: DataFrame, k: int = 5, block
     v = signatures.select("id", F.col("cell").alias("tie"), "signature")
     q = queries.select("query", "signature")
 
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query": [], "id": [], "tie": [], "score": []})
+    def cell(left: dict, right: dict) -> pd.DataFrame:
         return _nearest(left, right, k)
 
     schema = "query {}, id {}, tie string, score double".format(
         q.schema["query"].dataType.simpleString(), v.schema["id"].dataType.simpleString()
     )
-    left, right = _grid(q, v, block_rows)
-    ranked = _ranked(left.cogroup(right).applyInPandas(cell, schema), k)
+    ranked = _ranked(_over_blocks(q, v, cell, schema, block_rows), k)
     return ranked.withColumn("distance", F.round((1 - F.col("score")) * 32).cast("int"))
 
 
@@ -401,26 +414,27 @@ def true_ranks(queries: DataFrame, vectors: DataFrame, block_rows: int = BLOCK_R
     """
     v = vectors.select("id", "cell", "embedding")
     truth = v.select(F.col("id").alias("true_id"), F.col("cell").alias("true_cell"), F.col("embedding").alias("truth"))
-    q = queries.select("query", "true_id", "embedding").join(truth, "true_id")
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query": [], "ahead": [], "true_score": [], "top_score": []})
-        a = np.stack(left["embedding"].to_numpy()).astype(np.float64)
-        b = np.stack(right["embedding"].to_numpy()).astype(np.float64)
-        true_score = np.einsum("ij,ij->i", a, np.stack(left["truth"].to_numpy()).astype(np.float64))
-        scores = a @ b.T
-        same = left["true_id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
-        tied = np.isclose(scores, true_score[:, None], rtol=0, atol=1e-12)
-        first = right["cell"].to_numpy()[None, :] < left["true_cell"].to_numpy()[:, None]
-        ahead = ~same & np.where(tied, first, scores > true_score[:, None])
-        return pd.DataFrame({
-            "query": left["query"], "ahead": ahead.sum(axis=1), "true_score": true_score, "top_score": scores.max(axis=1),
-        })
+    true_score = dot(F.col("embedding"), F.col("truth")).alias("true_score")
+    q = queries.select("query", "true_id", "embedding").join(truth, "true_id").select("query", "true_id", "true_cell", true_score, "embedding")
+
+    def cell(left: dict, right: dict, rows: int = 512) -> pd.DataFrame:
+        place = lambda ids, name: pd.DataFrame({"id": ids, name: np.arange(len(ids))})
+        own = place(left["true_id"], "i").merge(place(right["id"], "j"), on="id")  # the true vectors among these
+        own_i, own_j = own["i"].to_numpy(), own["j"].to_numpy()
+        ahead, top = np.zeros(len(left["query"]), dtype=np.int64), np.zeros(len(left["query"]))
+        for at in range(0, len(ahead), rows):
+            scores = left["embedding"][at : at + rows] @ right["embedding"].T
+            top[at : at + rows] = scores.max(axis=1)
+            scores -= left["true_score"][at : at + rows, None]
+            here = (own_i >= at) & (own_i < at + rows)
+            scores[own_i[here] - at, own_j[here]] = -np.inf
+            ahead[at : at + rows] = (scores > TIE).sum(axis=1)
+            i, j = np.nonzero(np.abs(scores) <= TIE)  # ties are few: by cell
+            np.add.at(ahead, i[right["cell"][j] < left["true_cell"][at + i]] + at, 1)
+        return pd.DataFrame({"query": left["query"], "ahead": ahead, "true_score": left["true_score"], "top_score": top})
 
     kind = q.schema["query"].dataType.simpleString()
-    left, right = _grid(q, v, block_rows)
-    counted = left.cogroup(right).applyInPandas(cell, f"query {kind}, ahead long, true_score double, top_score double")
+    counted = _over_blocks(q, v, cell, f"query {kind}, ahead long, true_score double, top_score double", block_rows)
     return counted.groupBy("query").agg(
         (F.sum("ahead") + 1).alias("rank"), F.max("true_score").alias("true_score"), F.max("top_score").alias("top_score")
     )

@@ -62,3 +62,24 @@ def test_cells_do_not_move_for_columns(spark):
     assert plan.count("partial_max(row") == 1  # beyond the first rows, a task adds up before anything is exchanged
     got = sorted((r.idx, r.col, r["name"], r.labels) for r in columns.collect())
     assert got == [(c - 1, c, f"h{c}", 4) for c in range(1, 5)]
+
+
+def test_vectors_move_once_whatever_the_number_of_blocks(spark):
+    rng = np.random.default_rng(8)
+    m = rng.integers(-2, 3, (60, 5)).astype(float)  # small whole numbers: many equal scores
+    rows = [(i, f"c{(i * 37) % 60:02}", [float(x) for x in v]) for i, v in enumerate(m)]
+    vectors = spark.createDataFrame(rows, "id long, cell string, embedding array<double>")
+    asked = vectors.filter("id % 3 = 0").selectExpr("id AS query", "id AS true_id", "transform(embedding, x -> x + 1) AS embedding")
+    scores = (m[::3] + 1) @ m.T
+    want = {}
+    for n, q in enumerate(range(0, 60, 3)):
+        true = scores[n, q]
+        ahead = [j for j in range(60) if j != q and (scores[n, j] > true or (scores[n, j] == true and rows[j][1] < rows[q][1]))]
+        want[q] = (len(ahead) + 1, true, scores[n].max())
+    for block_rows in (7, 4096):
+        found = similarity.true_ranks(asked, vectors, block_rows)
+        plan = plan_of(found)
+        assert "CartesianProduct" in plan and "CoGroup" not in plan and "explode" not in plan
+        assert {r["query"]: (r["rank"], r.true_score, r.top_score) for r in found.collect()} == want
+    none = vectors.filter("id < 0")
+    assert similarity.true_ranks(asked.limit(0), vectors).count() == 0 and similarity.topk_inner_product(asked, none, 2).count() == 0
