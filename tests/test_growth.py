@@ -5,8 +5,9 @@ from __future__ import annotations
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from colophon.operators import similarity, tables
+from colophon.operators import linkage, similarity, tables
 from colophon.plans import QUERIES, inputs
 
 
@@ -83,3 +84,13 @@ def test_vectors_move_once_whatever_the_number_of_blocks(spark):
         assert {r["query"]: (r["rank"], r.true_score, r.top_score) for r in found.collect()} == want
     none = vectors.filter("id < 0")
     assert similarity.true_ranks(asked.limit(0), vectors).count() == 0 and similarity.topk_inner_product(asked, none, 2).count() == 0
+
+
+def test_a_join_of_few_bytes_is_dealt_by_the_rows_it_makes(spark):
+    left = spark.range(400).selectExpr("id AS a", "if(id % 20 = 0, NULL, if(id < 300, 'hot', 'k' || id % 7)) AS k")
+    right = spark.range(90).selectExpr("id AS b", "if(id % 9 = 0, NULL, if(id < 60, 'hot', 'k' || id % 11)) AS k")
+    want = sorted(map(tuple, left.join(right, "k").select("a", "b", "k").collect()))
+    for x, y in ((left, right), (right, left)):  # either side may be the larger one
+        met = linkage._dealt_join(x, y, ["k"], cell_rows=1000)
+        tasks = {r.t for r in met.filter("k = 'hot'").select(F.spark_partition_id().alias("t")).collect()}
+        assert sorted(map(tuple, met.select("a", "b", "k").collect())) == want and len(tasks) > 1
