@@ -406,32 +406,51 @@ def rank_by_hamming(queries: DataFrame, signatures: DataFrame, k: int = 5, block
     return ranked.withColumn("distance", F.round((1 - F.col("score")) * 32).cast("int"))
 
 
+def _may_reach(a: np.ndarray, b: np.ndarray, least: np.ndarray, rows: int = 256) -> np.ndarray:
+    """Which rows of ``a`` may have a product of at least ``least`` with a row of ``b``; none that has is left out.
+
+    Products are made in single precision of vectors scaled to length 1 at most, so their rounding is below ``slack``. Whatever
+    is not finite, or has no length, may.
+    """
+    slack = (a.shape[1] + 8) * 2.0**-23  # twice what conversion and summing of so many terms can lose
+    with np.errstate(all="ignore"):
+        of_a, of_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1).max()
+        x, y = (a / of_a[:, None]).astype(np.float32), (b / of_b).astype(np.float32)
+        top = np.concatenate([(x[at : at + rows] @ y.T).max(axis=1) for at in range(0, len(x), rows)]).astype(np.float64)
+        return ~((top + slack) * of_a * of_b < least)
+
+
 def true_ranks(queries: DataFrame, vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Where the right record landed: query, rank, true_score, top_score.
 
     queries: query, true_id, embedding; vectors: id, cell, embedding. Each grid cell only counts how many of its
-    vectors beat the true one, so the result is one row per query and block before the sum.
+    vectors beat the true one. A query is handed on by the cell of its true vector and by those where some vector may reach
+    the true score: elsewhere nothing is ahead and the top is lower, so the sum does not need one row per query and block.
     """
     v = vectors.select("id", "cell", "embedding")
     truth = v.select(F.col("id").alias("true_id"), F.col("cell").alias("true_cell"), F.col("embedding").alias("truth"))
     true_score = dot(F.col("embedding"), F.col("truth")).alias("true_score")
     q = queries.select("query", "true_id", "embedding").join(truth, "true_id").select("query", "true_id", "true_cell", true_score, "embedding")
 
-    def cell(left: dict, right: dict, rows: int = 512) -> pd.DataFrame:
+    def cell(left: dict, right: dict, rows: int = 128) -> pd.DataFrame:
         place = lambda ids, name: pd.DataFrame({"id": ids, name: np.arange(len(ids))})
         own = place(left["true_id"], "i").merge(place(right["id"], "j"), on="id")  # the true vectors among these
-        own_i, own_j = own["i"].to_numpy(), own["j"].to_numpy()
-        ahead, top = np.zeros(len(left["query"]), dtype=np.int64), np.zeros(len(left["query"]))
-        for at in range(0, len(ahead), rows):
-            scores = left["embedding"][at : at + rows] @ right["embedding"].T
+        may = _may_reach(left["embedding"], right["embedding"], left["true_score"] - TIE)
+        may[own["i"].to_numpy()] = True
+        asked = np.nonzero(may)[0]
+        true_score, true_cell = left["true_score"][asked], left["true_cell"][asked]
+        own_i, own_j = np.searchsorted(asked, own["i"].to_numpy()), own["j"].to_numpy()
+        ahead, top = np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked))
+        for at in range(0, len(asked), rows):
+            scores = left["embedding"][asked[at : at + rows]] @ right["embedding"].T
             top[at : at + rows] = scores.max(axis=1)
-            scores -= left["true_score"][at : at + rows, None]
+            scores -= true_score[at : at + rows, None]
             here = (own_i >= at) & (own_i < at + rows)
             scores[own_i[here] - at, own_j[here]] = -np.inf
             ahead[at : at + rows] = (scores > TIE).sum(axis=1)
             i, j = np.nonzero(np.abs(scores) <= TIE)  # ties are few: by cell
-            np.add.at(ahead, i[right["cell"][j] < left["true_cell"][at + i]] + at, 1)
-        return pd.DataFrame({"query": left["query"], "ahead": ahead, "true_score": left["true_score"], "top_score": top})
+            np.add.at(ahead, i[right["cell"][j] < true_cell[at + i]] + at, 1)
+        return pd.DataFrame({"query": left["query"][asked], "ahead": ahead, "true_score": true_score, "top_score": top})
 
     kind = q.schema["query"].dataType.simpleString()
     counted = _over_blocks(q, v, cell, f"query {kind}, ahead long, true_score double, top_score double", block_rows)

@@ -86,6 +86,42 @@ def test_vectors_move_once_whatever_the_number_of_blocks(spark):
     assert similarity.true_ranks(asked.limit(0), vectors).count() == 0 and similarity.topk_inner_product(asked, none, 2).count() == 0
 
 
+def test_true_ranks_hand_on_a_query_only_where_its_true_score_may_be_reached(spark, monkeypatch):
+    grids, over_blocks = [], similarity._over_blocks
+    monkeypatch.setattr(similarity, "_over_blocks", lambda *a: grids.append(over_blocks(*a)) or grids[-1])
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(120, 16))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    m[50], m[51] = m[49], m[49] + 1e-9 * m[7]  # a copy, and one that single precision cannot tell from it
+    rows = [(i, f"c{(i * 37) % 120:03}", [float(x) for x in v]) for i, v in enumerate(m)]
+    vectors = spark.createDataFrame(rows, "id long, cell string, embedding array<double>")
+    asked = m + 0.01 * m[::-1]
+    asked[:3] = m[60:63]  # three queries whose true vector is not the nearest
+    queries = spark.createDataFrame([(i, i, [float(x) for x in q]) for i, q in enumerate(asked)], "query long, true_id long, embedding array<double>")
+    scores = asked @ m.T
+    own = scores.diagonal()[:, None]
+    before = np.array([[rows[j][1] < rows[i][1] for j in range(120)] for i in range(120)])
+    beats = (scores - own > 1e-12) | ((abs(scores - own) <= 1e-12) & before)
+    np.fill_diagonal(beats, False)
+    found = similarity.true_ranks(queries, vectors, 10).collect()
+    assert {r["query"]: r["rank"] for r in found} == {i: int(n) + 1 for i, n in enumerate(beats.sum(axis=1))}
+    assert all(abs(r.top_score - scores[r["query"]].max()) < 1e-14 and abs(r.true_score - own[r["query"], 0]) < 1e-14 for r in found)
+    assert grids[0].count() <= 120 + 3 * 12 + 3 * 2  # of 120 queries x 12 blocks
+
+
+def test_no_row_that_reaches_the_least_score_is_left_out():
+    rng = np.random.default_rng(5)
+    for scale_a, scale_b in ((1.0, 1.0), (1e-60, 1e60), (1e40, 1e40), (1e-25, 1e-25)):
+        a, b = rng.normal(size=(700, 33)) * scale_a, rng.normal(size=(90, 33)) * scale_b * rng.uniform(0.01, 1.0, (90, 1))
+        top = (a @ b.T).max(axis=1)
+        assert similarity._may_reach(a, b, top).all() and not similarity._may_reach(a, b, top + 0.01 * abs(top).max()).any()
+    a, b = rng.normal(size=(6, 4)), rng.normal(size=(5, 4))
+    a[0], a[1], a[2, 0], a[3, 0], a[4] = 0.0, 1e200, np.nan, np.inf, 1e-200
+    assert similarity._may_reach(a, b, np.array([0.0, *[np.inf] * 3, 0.0, np.inf])).tolist() == [True] * 5 + [False]
+    b[1, 2] = np.nan
+    assert similarity._may_reach(a, b, np.full(6, np.inf)).all()
+
+
 def test_a_join_of_few_bytes_is_dealt_by_the_rows_it_makes(spark):
     left = spark.range(400).selectExpr("id AS a", "if(id % 20 = 0, NULL, if(id < 300, 'hot', 'k' || id % 7)) AS k")
     right = spark.range(90).selectExpr("id AS b", "if(id % 9 = 0, NULL, if(id < 60, 'hot', 'k' || id % 11)) AS k")
